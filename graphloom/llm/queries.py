@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontaminate
+from graphloom.llm import decontaminate, substrings
 
 
 def queries() -> dict:
     return {
+        "op1_substring_dedup": substrings.query,
         "op10_decontaminate": decontaminate.query,
     }
 
