@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontaminate, substrings
+from graphloom.llm import blocks, decontaminate, packing, substrings
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substrings.query,
+        "op5_packing": packing.query,
+        "op7_token_blocks": blocks.query,
         "op10_decontaminate": decontaminate.query,
     }
 
