@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import blocks, decontaminate, packing, secrets, substrings
+from graphloom.llm import blocks, decontaminate, packing, pii, secrets, substrings
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_substring_dedup": substrings.query,
         "op5_packing": packing.query,
         "op7_token_blocks": blocks.query,
+        "op8_personal_data": pii.query,
         "op9_secret_scan": secrets.query,
         "op10_decontaminate": decontaminate.query,
     }
