@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from graphloom.llm import blocks, decontaminate, packing, pii, secrets, substrings
+from graphloom.llm import blocks, decontaminate, langid, packing, pii, secrets, substrings
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substrings.query,
+        "op4_language_id": langid.query,
         "op5_packing": packing.query,
         "op7_token_blocks": blocks.query,
         "op8_personal_data": pii.query,
