@@ -33,6 +33,7 @@ from graphloom.llm.tokens import encoder, texts
 from graphloom.llm.words import batches
 
 WINDOW, GRAIN, END_ID, MAX_QUEUES = 1024, 128, 0, 1024
+MAX_BASES = 200_000  # rows of a queue's name, a partition and a number
 
 
 def tokenized(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", source: str = "source", end_id: int = END_ID, spaces: str = "kept", max_queues: int = MAX_QUEUES) -> DataFrame:
@@ -140,6 +141,8 @@ def packed(tokens: DataFrame, doc_id: str = "doc_id", window: int = WINDOW, grai
     by_part = tokens.groupBy("_queue", "part").agg(F.sum("n_tokens").alias("n"))
     before = Window.partitionBy("_queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_part.select("_queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    if bases.count() <= MAX_BASES:  # else a shuffle joins them
+        bases = F.broadcast(bases)
     plan = Plan({r["_queue"]: r["n"] for r in by_part.groupBy("_queue").agg(F.sum("n").alias("n")).collect()}, weights, window, grain)
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
