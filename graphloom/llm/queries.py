@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from graphloom.llm import blocks, decontaminate, jaccard, langid, packing, pii, secrets, substrings
+from graphloom.llm import blocks, decontaminate, fingerprints, jaccard, langid, packing, pii, secrets, substrings
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substrings.query,
+        "op2_fingerprints": fingerprints.query,
         "op3_jaccard_join": jaccard.query,
         "op4_language_id": langid.query,
         "op5_packing": packing.query,
