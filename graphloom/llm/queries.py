@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import blocks, decontaminate, fingerprints, jaccard, langid, packing, pii, secrets, substrings
+from graphloom.llm import blocks, decontaminate, fingerprints, jaccard, langid, packing, pages, pii, secrets, substrings
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_jaccard_join": jaccard.query,
         "op4_language_id": langid.query,
         "op5_packing": packing.query,
+        "op6_main_text": pages.query,
         "op7_token_blocks": blocks.query,
         "op8_personal_data": pii.query,
         "op9_secret_scan": secrets.query,
