@@ -125,11 +125,12 @@ def find_contamination(
     max_windows: int = MAX_WINDOWS,
     clean: bool = False,
     keep: list[str] | None = None,
+    with_row: bool = False,
 ) -> DataFrame:
     """One row per row of ``documents``: id, n_words, n_hit, hits (word intervals), items (ids that occur), and
     with ``clean`` also clean_text: the text without the hit words, from each run's first to its last byte.
 
-    ``keep`` carries more columns through (only with one block of windows). Null or empty texts have no words and
+    ``keep`` carries more columns through (only with one block of windows); ``with_row`` adds _row, a hash of id and text. Null or empty texts have no words and
     no hits; rows that repeat are scanned like any others; an empty benchmark hits nothing; items without words
     have no window; other columns of either table are not read.
     """
@@ -140,16 +141,18 @@ def find_contamination(
     keep = keep or []
     if blocks > 1 and (keep or clean):
         raise ValueError("columns are kept, and texts cleaned, with one block of windows only; raise max_windows or join by id")
-    source = documents.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"), *[F.col(c).alias(f"_keep_{k}") for k, c in enumerate(keep)])
+    row = [F.xxhash64(F.col(doc_id), F.col(text).cast("string")).alias("_row")] if with_row or blocks > 1 else []
+    source = documents.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"), *row, *[F.col(c).alias(f"_keep_{k}") for k, c in enumerate(keep)])
     parts = []
     for block in range(blocks):
         mine = windows if blocks == 1 else windows.where(F.pmod(F.col("hash"), F.lit(blocks)) == block)
         sent = spark.sparkContext.broadcast([r.asDict() for r in mine.collect()])
         parts.append(source.mapInArrow(_scanner(sent, clean, source.schema), _out_schema(source, clean)))
     if blocks > 1:
-        parts = [_merged(reduce(DataFrame.union, [p.withColumn("_row", F.xxhash64("_id", "_text")).withColumn("_block", F.lit(b)) for b, p in enumerate(parts)]))]
+        parts = [_merged(reduce(DataFrame.union, [p.withColumn("_block", F.lit(b)) for b, p in enumerate(parts)]))]
     names = {"_id": doc_id, **{f"_keep_{k}": c for k, c in enumerate(keep)}}
-    return parts[0].select(*[F.col(c).alias(names.get(c, c)) for c in parts[0].columns if c != "_text"])
+    hidden = {"_text"} if with_row else {"_text", "_row"}
+    return parts[0].select(*[F.col(c).alias(names.get(c, c)) for c in parts[0].columns if c not in hidden])
 
 
 def _out_schema(source: DataFrame, clean: bool) -> str:
@@ -203,11 +206,44 @@ def _merged(parts: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     numbered = parts.withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_row", "_block", "n_words").orderBy("n_hit")))
-    both = numbered.groupBy("_id", "n_words", "_k").agg(
+    both = numbered.groupBy("_id", "_row", "n_words", "_k").agg(
         F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
     covered: Column = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["end"] - 1))))
-    return both.select("_id", "n_words", F.size(covered).cast("long").alias("n_hit"), "hits", "items")
+    return both.select("_id", "_row", "n_words", F.size(covered).cast("long").alias("n_hit"), "hits", "items")
+
+
+def decontaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", drop_share: float = 0.5, **options) -> DataFrame:
+    """``documents``, all columns, with hit passages cut out of their texts; those of whose words at least ``drop_share`` are hit go.
+
+    Rows without a hit, null texts included, stay as they are.
+    """
+    columns = documents.columns
+    windows = benchmark_windows(benchmark, options.get("item_id", "item_id"), options.get("item_text", "text"), options.get("n", WINDOW)).count()
+    if windows <= options.get("max_windows", MAX_WINDOWS):
+        found = find_contamination(documents, benchmark, doc_id, text, clean=True, keep=[c for c in columns if c not in (doc_id, text)], **options)
+        kept = found.where((F.col("n_hit") == 0) | (F.col("n_hit") < drop_share * F.col("n_words")))
+        return kept.select(*[F.col("clean_text").alias(c) if c == text else F.col(f"`{c}`") for c in columns])
+    found = find_contamination(documents, benchmark, doc_id, text, with_row=True, **options).where("n_hit > 0").select(doc_id, "_row", "n_words", "n_hit", "hits").distinct()
+    rows = documents.withColumn("_row", F.xxhash64(F.col(doc_id), F.col(text).cast("string")))
+    met = rows.join(found.withColumnRenamed(doc_id, "_id"), "_row", "left").where(F.col("n_hit").isNull() | (F.col("n_hit") < drop_share * F.col("n_words")))
+    plain = met.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(columns)], F.col(text).cast("string").alias("_text"), "hits")
+
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it, "_text"):
+            raw, offsets = utf8(batch.column("_text"))
+            words, texts = Words(lower_ascii(raw), offsets, ALNUM_WORDS, hashed=False), batch.column("_text").to_pylist()
+            for d, hits in enumerate(batch.column("hits").to_pylist()):
+                if hits:
+                    texts[d] = _without(raw, words, d, _merge([(h["start"], h["end"]) for h in hits])).decode()
+            out = {c: batch.column(c) for c in batch.schema.names if c.startswith("_c")}
+            yield pa.RecordBatch.from_pydict(out | {"_clean": pa.array(texts, pa.string())})
+
+    from pyspark.sql.types import StringType, StructType
+
+    schema = StructType([f for f in plain.schema.fields if f.name.startswith("_c")]).add("_clean", StringType())
+    out = plain.mapInArrow(cut, schema)
+    return out.select(*[F.col("_clean" if c == text else f"_c{k}").alias(c) for k, c in enumerate(columns)])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

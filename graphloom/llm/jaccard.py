@@ -327,6 +327,15 @@ def similarity_classes(
     )
 
 
+def one_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``documents``, all columns, with the least id of each class of near duplicates alone; rows alike in id and text become one. Texts without words stay."""
+    found = similarity_classes(documents, doc_id, text, **options)
+    kept = found.where(F.col(doc_id).eqNullSafe(F.col("class_id"))).select(F.col(doc_id).alias("_kept")).distinct()
+    rows = documents.withColumn("_text_hash", F.xxhash64(F.col(text).cast("string")))
+    rows = rows.join(kept, rows[doc_id].eqNullSafe(kept["_kept"]), "left_semi")
+    return rows.dropDuplicates([doc_id, "_text_hash"]).drop("_text_hash")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op3: every document with its class of near duplicates and its number of links."""
     return similarity_classes(tables(spark, sf_dir, "documents"))
