@@ -219,15 +219,18 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "do
     Rows without a hit, null texts included, stay as they are.
     """
     columns = documents.columns
+    names = {c: f"_c{k}" for k, c in enumerate(columns)}  # apart from the results' names
+    apart = documents.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    own_id, own_text = names[doc_id], names[text]
     windows = benchmark_windows(benchmark, options.get("item_id", "item_id"), options.get("item_text", "text"), options.get("n", WINDOW)).count()
+    few = (F.col("n_hit") == 0) | (F.col("n_hit") < drop_share * F.col("n_words"))
     if windows <= options.get("max_windows", MAX_WINDOWS):
-        found = find_contamination(documents, benchmark, doc_id, text, clean=True, keep=[c for c in columns if c not in (doc_id, text)], **options)
-        kept = found.where((F.col("n_hit") == 0) | (F.col("n_hit") < drop_share * F.col("n_words")))
-        return kept.select(*[F.col("clean_text").alias(c) if c == text else F.col(f"`{c}`") for c in columns])
-    found = find_contamination(documents, benchmark, doc_id, text, with_row=True, **options).where("n_hit > 0").select(doc_id, "_row", "n_words", "n_hit", "hits").distinct()
-    rows = documents.withColumn("_row", F.xxhash64(F.col(doc_id), F.col(text).cast("string")))
-    met = rows.join(found.withColumnRenamed(doc_id, "_id"), "_row", "left").where(F.col("n_hit").isNull() | (F.col("n_hit") < drop_share * F.col("n_words")))
-    plain = met.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(columns)], F.col(text).cast("string").alias("_text"), "hits")
+        found = find_contamination(apart, benchmark, own_id, own_text, clean=True, keep=[n for n in names.values() if n not in (own_id, own_text)], **options)
+        return found.where(few).select(*[F.col("clean_text" if c == text else n).alias(c) for c, n in names.items()])
+    found = find_contamination(apart, benchmark, own_id, own_text, with_row=True, **options).where("n_hit > 0").select("_row", "n_words", "n_hit", "hits").dropDuplicates(["_row"])
+    rows = apart.withColumn("_row", F.xxhash64(F.col(own_id), F.col(own_text).cast("string")))
+    met = rows.join(found, "_row", "left").where(F.col("n_hit").isNull() | few)
+    plain = met.select(*names.values(), F.col(own_text).cast("string").alias("_text"), "hits")
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, "_text"):
@@ -243,7 +246,7 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "do
 
     schema = StructType([f for f in plain.schema.fields if f.name.startswith("_c")]).add("_clean", StringType())
     out = plain.mapInArrow(cut, schema)
-    return out.select(*[F.col("_clean" if c == text else f"_c{k}").alias(c) for k, c in enumerate(columns)])
+    return out.select(*[F.col("_clean" if c == text else n).alias(c) for c, n in names.items()])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
