@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,20 +10,15 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one set here where none is (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or in a local session where that is unset (tests) one made here."""
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if known:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(known)
-        return known.rstrip("/")
-    held = sc._jsc.sc().getCheckpointDir()
-    if held.isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
-        held = sc._jsc.sc().getCheckpointDir()
-    return held.get().rstrip("/")
+    if not known:
+        if not sc.master.startswith("local") or "cluster" in sc.master:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        known = f"file://{tempfile.mkdtemp(prefix='graphloom-')}"
+        spark.conf.set("spark.checkpoint.dir", known)
+    return known.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
