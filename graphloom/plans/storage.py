@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, or one made here where that is unset (local runs, tests)."""
+    """The folder named by spark.checkpoint.dir, or in a local session where that is unset (tests) one made here."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = f"file://{tempfile.mkdtemp(prefix='graphloom-')}"
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")

@@ -4,7 +4,8 @@ A round is: sources (active ones only, where the program says so) joined to thei
 edges, one message per edge, messages combined by target with a partial
 aggregate before the shuffle, and the program's ``apply`` over all vertices with
 what they received. The edges are dealt by source and kept, so a round moves
-vertex values and combined messages only.
+vertex values and combined messages only. A source with more than ``split`` edges
+is dealt out as several, and its value sent to each of them.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from graphloom.graph import Graph
 from graphloom.plans.storage import cut, keep_round, resume
 
 Columns = dict[str, Column]
+SPLIT = 1_000_000
 COMBINE: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "min": F.min, "max": F.max, "product": F.product, "count": F.count}
 
 
@@ -63,6 +65,7 @@ def run(
     truncate: int = 1,
     on_round: Callable[[int, DataFrame], None] | None = None,
     checkpoint: str | None = None,
+    split: int = SPLIT,
 ) -> Run:
     """Run up to ``max_rounds`` rounds; a program with a frontier stops when nobody is active.
 
@@ -71,8 +74,14 @@ def run(
     """
     weighted = graph.edges.select("src", "tgt", *(["weight"] if "weight" in graph.edges.columns else []))
     width = int(graph.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = weighted.repartition(width, "src").persist(StorageLevel.MEMORY_AND_DISK)
     vertices = graph.vertices()
+    hubs = (vertices.agg(F.max("out_degree")).first()[0] or 0) > split
+    shares = F.greatest(F.ceil(F.col("out_degree") / split), F.lit(1)).cast("int")
+    if hubs:
+        degrees = vertices.select("id", shares.alias("shares"))
+        weighted = weighted.join(degrees, weighted["src"] == degrees["id"]).withColumn("share", F.pmod(F.xxhash64("tgt"), F.col("shares"))).drop("id", "shares")
+    ends = ["src", "share"] if hubs else ["src"]
+    edges = weighted.repartition(width, *ends).persist(StorageLevel.MEMORY_AND_DISK)
     static = ["id", "in_degree", "out_degree"]
     found = resume(graph.edges.sparkSession, checkpoint, program.name) if checkpoint else None
     start = found[0] + 1 if found else 0
@@ -89,8 +98,12 @@ def run(
         step = program.before_round(number, state) if program.before_round else program
         senders = state.where("active") if step.frontier else state
         named = senders.select(*[F.col(c).alias(f"s_{c}") for c in senders.columns])
+        at = [F.col("src") == F.col("s_id")]
+        if hubs:
+            named = named.withColumn("s_share", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("s_out_degree") / split), F.lit(1)).cast("int") - 1)))
+            at.append(F.col("share") == F.col("s_share"))
         messages = step.message()
-        sent = edges.join(named, F.col("src") == F.col("s_id")).select("tgt", *[c.alias(f"m_{k}") for k, c in messages.items()])
+        sent = edges.join(named, at).select("tgt", *[c.alias(f"m_{k}") for k, c in messages.items()])
         met = sent.groupBy("tgt").agg(*[COMBINE[kind](F.col(f"m_{k}")).alias(f"m_{k}") for k, kind in step.combine.items()])
         base = state if step.carries else vertices
         new = step.apply()

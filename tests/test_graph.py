@@ -41,6 +41,15 @@ def test_min_programs(spark):
     assert programs.triangle_count(g).first()[0] == 2
 
 
+@pytest.mark.parametrize("split", [1, 2, 100])
+def test_hubs_are_dealt_out(spark, split):
+    edges = [(0, k) for k in range(1, 12)] + [(k, 0) for k in range(1, 12)] + [(3, 4)]
+    g = graph(spark, edges, 13)
+    assert values(programs.bfs(g, 2, split=split)) == [1, 2, 0] + [2] * 9 + [None]
+    plain = values(programs.pagerank(g, 4), "rank")
+    assert all(math.isclose(a, b) for a, b in zip(values(programs.pagerank(g, 4, split=split), "rank"), plain))
+
+
 def test_path_keeps_what_it_found(spark):
     g = graph(spark, [(0, 1), (1, 2), (2, 3)], 4)
     done = programs.bfs(g, 0)
