@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import blocks, decontaminate, fingerprints, jaccard, langid, packing, pages, pii, secrets, substrings
+from graphloom.llm import blocks, decontaminate, fingerprints, jaccard, langid, packing, pages, pii, secrets, sql, substrings
 
 
 def queries() -> dict:
@@ -21,4 +21,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_substring_dedup": sql.SUBSTRINGS,
+        "op9_secret_scan": sql.SECRETS,
+        "op10_decontaminate": sql.DECONTAMINATE,
+    }

@@ -156,4 +156,4 @@ def _parse(ddl: str):
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: the words of every document that lie in no repeated window of 35 words."""
     found = repeated_spans(tables(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "removed")
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
