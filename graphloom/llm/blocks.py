@@ -24,7 +24,7 @@ from graphloom.llm.frames import shuffle_width, tables, written
 from graphloom.llm.tokens import encoder, texts
 from graphloom.llm.words import batches
 
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 21
 END_ID = 1
 
 

@@ -7,14 +7,14 @@ decoder sees the same lanes and so learns the same model.
 The model mixes three predictions of the next id. Order 0 is an adaptive
 frequency table. Orders 1 and 2 each predict one id, the one that followed their
 context before; how much weight that prediction gets is learned, per confidence
-state, from how often it was right. The interval of an id in [0, 65536 * total0)
+state, from how often it was right. The interval of an id in [0, 4096 * total0)
 is its order-0 share times w0, plus w1 or w2 times total0 where it is predicted.
-All arithmetic is in integers. A 64-bit carry-less range coder (Subbotin) turns
-the intervals into bytes.
+All arithmetic is in integers. A 64-bit carry-less range coder (after Subbotin)
+turns the intervals into 16-bit words.
 
 Block layout (little endian): magic "GLC1", ids u32, alphabet u32, lane length
 u32, lanes u32, CRC-32 of the ids as u32 values, bytes of the packed lane sizes u32,
-lane sizes (u32, zlib), then the lanes' bytes.
+lane sizes in words (u32, zlib), then the lanes' words (u16).
 """
 
 from __future__ import annotations
@@ -28,39 +28,59 @@ MAGIC = b"GLC1"
 LANE = 256
 _HEAD = struct.Struct("<4s6I")
 _U = np.uint64
-_TOP, _BOT = _U(1 << 56), _U(1 << 48)
-_ONE = 1 << 16
+_TOP, _BOT, _WORD = _U(1 << 48), _U(1 << 40), _U(16)
+_ONE, _ONE_BITS = 1 << 12, 12
+_MOST = 4000  # of 4096, so that order 0 keeps a share
 _STATES = 16
 _ORDER2_BITS = 18
 _STEP = 32
 _LIMIT = 1 << 22
 
 
+class _Order:
+    """Predictions of one context order: ``table`` holds id * 16 + confidence; how often each confidence was right is counted."""
+
+    def __init__(self, size: int):
+        self.table = np.zeros(size, np.int32)
+        self.seen, self.right = np.full(_STATES, 4, np.int64), np.zeros(_STATES, np.int64)
+
+    def look(self, context: np.ndarray) -> np.ndarray:
+        """Predicted ids; ``share`` is the weight that each deserves."""
+        self.context = context
+        packed = self.table[context]
+        self.guess, self.sure = packed >> 4, packed & 15
+        self.share = np.minimum((self.right << _ONE_BITS) // self.seen, _MOST).astype(np.int32)[self.sure]
+        return self.guess
+
+    def learn(self, x: np.ndarray, hit: np.ndarray, counted: np.ndarray | None) -> None:
+        key = self.sure * 2 + hit
+        if counted is not None:
+            key += counted * (2 * _STATES)
+        tally = np.bincount(key, minlength=4 * _STATES)[: 2 * _STATES].reshape(_STATES, 2)
+        self.seen += tally.sum(axis=1)
+        self.right += tally[:, 1]
+        kept = (self.guess << 4) + np.where(hit, np.minimum(self.sure + 1, _STATES - 1), self.sure >> 1)
+        self.table[self.context] = np.where(hit | (self.sure > 0), kept, x << 4)
+
+
 class _Model:
     def __init__(self, alphabet: int, lanes: int):
         self.count = np.ones(alphabet, np.int64)
         self.cum = np.zeros(alphabet + 1, np.int64)
-        self.next1, self.sure1 = np.zeros(alphabet, np.int64), np.zeros(alphabet, np.int64)
-        self.next2, self.sure2 = np.zeros(1 << _ORDER2_BITS, np.int64), np.zeros(1 << _ORDER2_BITS, np.int64)
-        self.seen1, self.right1 = np.full(_STATES, 4, np.int64), np.zeros(_STATES, np.int64)
-        self.seen2, self.right2 = np.full(_STATES, 4, np.int64), np.zeros(_STATES, np.int64)
+        self.one, self.two = _Order(alphabet), _Order(1 << _ORDER2_BITS)
         self.before1, self.before2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def predict(self, n: int) -> None:
         """Predictions and weights for the first ``n`` lanes."""
         np.cumsum(self.count, out=self.cum[1:])
         self.total = int(self.cum[-1])
-        self.context1 = self.before1[:n]
-        self.context2 = ((self.before2[:n] * 0x9E3779B1 + self.before1[:n] * 0x85EBCA6B) >> 7) & ((1 << _ORDER2_BITS) - 1)
-        self.a, self.b = self.next1[self.context1], self.next2[self.context2]
-        self.sa, self.sb = self.sure1[self.context1], self.sure2[self.context2]
-        share1 = np.minimum(self.right1 * _ONE // self.seen1, 64000)
-        share2 = np.minimum(self.right2 * _ONE // self.seen2, 64000)
-        self.w2 = share2[self.sb]
-        self.w1 = (_ONE - self.w2) * share1[self.sa] >> 16
-        self.w1[self.a == self.b] = 0
-        self.w0 = _ONE - self.w1 - self.w2
-        self.extra1, self.extra2 = self.w1 * self.total, self.w2 * self.total
+        last = self.before1[:n]
+        self.a = self.one.look(last)
+        self.b = self.two.look(((self.before2[:n] * 0x9E3779B1 + last * 0x85EBCA6B) >> 7) & ((1 << _ORDER2_BITS) - 1))
+        w2 = self.two.share
+        w1 = ((_ONE - w2) * self.one.share >> _ONE_BITS) * (self.a != self.b)
+        self.w0 = (_ONE - w1 - w2).astype(np.int64)
+        self.extra1, self.extra2 = w1 * np.int64(self.total), w2 * np.int64(self.total)
 
     def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = self.w0 * self.cum[x] + self.extra2 * (self.b < x) + self.extra1 * (self.a < x)
@@ -70,24 +90,20 @@ class _Model:
     def find(self, v: np.ndarray) -> np.ndarray:
         low_b, size_b = self.interval(self.b)
         low_a, size_a = self.interval(self.a)
-        rest = v - self.extra2 * (v >= low_b + size_b) - self.extra1 * (v >= low_a + size_a)
-        x = np.searchsorted(self.cum, rest // self.w0, "right") - 1
-        np.copyto(x, self.a, where=(v >= low_a) & (v < low_a + size_a))
-        np.copyto(x, self.b, where=(v >= low_b) & (v < low_b + size_b))
+        end_b, end_a = low_b + size_b, low_a + size_a
+        rest = ((v - self.extra2 * (v >= end_b) - self.extra1 * (v >= end_a)) // self.w0).astype(np.int32)
+        order = np.argsort(rest)  # searching in order is faster by more than the sort takes
+        x = np.empty(len(v), np.int64)
+        x[order] = np.searchsorted(self.cum.astype(np.int32), rest[order], "right") - 1
+        np.copyto(x, self.a, where=(v >= low_a) & (v < end_a))
+        np.copyto(x, self.b, where=(v >= low_b) & (v < end_b))
         return x
 
     def learn(self, x: np.ndarray) -> None:
         n = len(x)
-        hit2, hit1 = x == self.b, x == self.a
-        miss2 = ~hit2
-        self.seen2 += np.bincount(self.sb, minlength=_STATES)
-        self.right2 += np.bincount(self.sb[hit2], minlength=_STATES)
-        self.seen1 += np.bincount(self.sa[miss2], minlength=_STATES)
-        self.right1 += np.bincount(self.sa[miss2 & hit1], minlength=_STATES)
-        self.next1[self.context1] = np.where(hit1 | (self.sa > 0), self.a, x)
-        self.sure1[self.context1] = np.where(hit1, np.minimum(self.sa + 1, _STATES - 1), self.sa >> 1)
-        self.next2[self.context2] = np.where(hit2 | (self.sb > 0), self.b, x)
-        self.sure2[self.context2] = np.where(hit2, np.minimum(self.sb + 1, _STATES - 1), self.sb >> 1)
+        hit2 = x == self.b
+        self.two.learn(x, hit2, None)
+        self.one.learn(x, x == self.a, hit2)  # counts where order 2 was wrong
         np.add.at(self.count, x, _STEP)
         if self.total > _LIMIT:
             self.count = (self.count + 1) >> 1
@@ -96,12 +112,14 @@ class _Model:
 
 
 def _due(low: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """Lanes that must give out or take in a byte; narrows a range that straddles a carry."""
+    """Lanes that must give out or take in a word; narrows a range that straddles a carry."""
     settled = (low ^ (low + span)) < _TOP
-    small = ~settled & (span < _BOT)
+    small = span < _BOT
+    small &= ~settled
     if small.any():
         span[small] = (~low[small] + _U(1)) & (_BOT - _U(1))
-    return np.flatnonzero(settled | small)
+        settled |= small
+    return np.flatnonzero(settled)
 
 
 def encode_block(ids: np.ndarray, lane: int = LANE) -> bytes:
@@ -117,7 +135,7 @@ def encode_block(ids: np.ndarray, lane: int = LANE) -> bytes:
     short = len(ids) - (lanes - 1) * lane  # the last lane may be shorter
     model = _Model(alphabet, lanes)
     low, span = np.zeros(lanes, _U), np.full(lanes, ~_U(0), _U)
-    out, place = np.zeros((lanes, 4 * lane + 64), np.uint8), np.zeros(lanes, np.int64)
+    out, place = np.zeros((lanes, 2 * lane + 32), np.uint16), np.zeros(lanes, np.int64)
     with np.errstate(over="ignore"):
         for step in range(min(lane, len(ids))):
             n = lanes if step < short else lanes - 1
@@ -129,19 +147,20 @@ def encode_block(ids: np.ndarray, lane: int = LANE) -> bytes:
             span[:n] = unit * size.astype(_U)
             l, s = low[:n], span[:n]
             while len(due := _due(l, s)):
-                out[due, place[due]] = (l[due] >> _U(56)).astype(np.uint8)
+                shown = l[due]
+                out[due, place[due]] = (shown >> _U(48)).astype(np.uint16)
                 place[due] += 1
-                l[due] <<= _U(8)
-                s[due] <<= _U(8)
+                l[due] = shown << _WORD
+                s[due] <<= _WORD
                 if place.max() >= out.shape[1] - 16:
                     out = np.concatenate([out, np.zeros_like(out)], axis=1)
             model.learn(x)
-        for _ in range(8):
-            out[np.arange(lanes), place] = (low >> _U(56)).astype(np.uint8)
+        for _ in range(4):
+            out[np.arange(lanes), place] = (low >> _U(48)).astype(np.uint16)
             place += 1
-            low <<= _U(8)
+            low <<= _WORD
     sizes = zlib.compress(place.astype("<u4").tobytes(), 1)
-    body = out[np.arange(out.shape[1]) < place[:, None]].tobytes()
+    body = out[np.arange(out.shape[1]) < place[:, None]].astype("<u2").tobytes()
     return _HEAD.pack(MAGIC, len(ids), alphabet, lane, lanes, crc, len(sizes)) + sizes + body
 
 
@@ -156,18 +175,21 @@ def decode_block(block: bytes) -> np.ndarray:
         sizes = np.frombuffer(zlib.decompress(block[_HEAD.size : _HEAD.size + packed]), "<u4").astype(np.int64)
     except zlib.error as error:
         raise ValueError("damaged lane sizes") from error
-    data = np.frombuffer(block, np.uint8, offset=_HEAD.size + packed)
+    body = block[_HEAD.size + packed :]
+    if len(body) % 2:
+        raise ValueError("damaged block")
+    data = np.frombuffer(body, "<u2")
     if len(sizes) != lanes or sizes.sum() != len(data):
         raise ValueError("damaged lane sizes")
-    data = np.concatenate([data, np.zeros(16, np.uint8)])
+    data = np.concatenate([data, np.zeros(8, np.uint16)]).astype(_U)
     place = np.cumsum(sizes) - sizes
     grid = np.zeros((lane, lanes), np.int64)
     short = n_ids - (lanes - 1) * lane
     model = _Model(alphabet, lanes)
     low, span, code = np.zeros(lanes, _U), np.full(lanes, ~_U(0), _U), np.zeros(lanes, _U)
     with np.errstate(over="ignore"):
-        for _ in range(8):
-            code = (code << _U(8)) | data[place].astype(_U)
+        for _ in range(4):
+            code = (code << _WORD) | data[place]
             place += 1
         for step in range(min(lane, n_ids)):
             n = lanes if step < short else lanes - 1
@@ -180,11 +202,11 @@ def decode_block(block: bytes) -> np.ndarray:
             span[:n] = unit * size.astype(_U)
             l, s, c = low[:n], span[:n], code[:n]
             while len(due := _due(l, s)):
-                c[due] = (c[due] << _U(8)) | data[np.minimum(place[due], len(data) - 1)].astype(_U)
+                c[due] = (c[due] << _WORD) | data[np.minimum(place[due], len(data) - 1)]
                 place[due] += 1
-                l[due] <<= _U(8)
-                s[due] <<= _U(8)
-                if step and not s.all():
+                l[due] <<= _WORD
+                s[due] <<= _WORD
+                if not s[due].all():
                     raise ValueError("damaged block")
             model.learn(x)
             grid[step, :n] = x

@@ -145,14 +145,16 @@ class Encoder:
         return out
 
 
-_held: dict[tuple[str, str], Encoder] = {}
+_held: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, spaces: str) -> Encoder:
+def encoder(path: str, spaces: str, cache_entries: int = CACHE_ENTRIES) -> Encoder:
     """One encoder per worker."""
-    if (path, spaces) not in _held:
-        _held[path, spaces] = Encoder(path, spaces)
-    return _held[path, spaces]
+    key = (path, spaces, cache_entries)
+    if key not in _held:
+        _held.clear()
+        _held[key] = Encoder(path, spaces, cache_entries)
+    return _held[key]
 
 
 def texts(column: pa.Array) -> list[str]:
