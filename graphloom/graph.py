@@ -19,7 +19,8 @@ class Graph:
     def from_dataframe(edges: DataFrame, n: int | None = None) -> Graph:
         """``n`` defaults to the largest id plus one."""
         if n is None:
-            n = (edges.agg(F.max(F.greatest("src", "tgt"))).first()[0] or -1) + 1
+            most = edges.agg(F.max(F.greatest("src", "tgt"))).first()[0]
+            n = 0 if most is None else most + 1
         return Graph(edges, n)
 
     @staticmethod

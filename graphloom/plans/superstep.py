@@ -15,7 +15,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
@@ -114,9 +114,10 @@ def run(
         values = joined.select(*[F.col(c) for c in static], *[c.alias(k) for k, c in new.items()], live.alias("active"))
         state, active = values, None
         if (number + 1 - start) % every == 0 or number + 1 == max_rounds:
-            state = cut(values, program.name)
+            seen = Observation(f"{program.name}-{number}")
+            state = cut(values.observe(seen, F.count_if("active").alias("active")), program.name)
             if step.frontier:
-                active = state.where("active").count()
+                active = seen.get["active"]
         if checkpoint:
             keep_round(state, checkpoint, program.name, number)
         if on_round:

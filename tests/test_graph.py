@@ -99,6 +99,12 @@ def test_dictionary_round_trip(spark):
     assert {r.orig_id: r.in_degree for r in back.collect()} == {1: 1, 2: 2, 3: 1, 4: 2}
 
 
+def test_vertex_count_defaults(spark):
+    none = spark.createDataFrame([], "src long, tgt long")
+    assert Graph.from_dataframe(none).n == 0 and Graph.from_dataframe(none).degrees().count() == 0
+    assert Graph.from_dataframe(spark.createDataFrame([(0, 0)], "src long, tgt long")).n == 1
+
+
 def test_out_of_bounds_edges_raise(spark):
     with pytest.raises(Exception, match="out of bounds"):
         graph(spark, [(0, 9)], 4).checked().edges.collect()
