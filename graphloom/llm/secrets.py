@@ -183,7 +183,9 @@ def find_secrets(documents: DataFrame, text: str = "text", rules: tuple[Rule, ..
     wanted = sorted(set().union(*(trigrams(q) for q in indexed.values()))) if indexed else []
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     packed = documents.select(F.struct("*").alias("_row"), body.alias("_body"))
-    keyed = packed.withColumn("_key", F.xxhash64(F.lit(7), "_body"))
+    # a key from every plain column: copies of a text have keys of their own, rows alike throughout share one
+    plain = [F.col(f"_row.`{c}`") for c, kind in documents.dtypes if c != text and not re.match("array|map|struct|variant|void", kind)]
+    keyed = packed.withColumn("_key", F.xxhash64(F.lit(7), "_body", *plain))
     rows = keyed
     if wanted:
         found = candidates(postings(keyed, "_key", "_body", wanted), "_key", indexed)
