@@ -14,7 +14,7 @@ turns the intervals into 16-bit words.
 
 Block layout (little endian): magic "GLC1", ids u32, alphabet u32, lane length
 u32, lanes u32, CRC-32 of the ids as u32 values, bytes of the packed lane sizes u32,
-lane sizes in words (u32, zlib), then the lanes' words (u16).
+CRC-32 of all that and the packed lane sizes u32, lane sizes in words (u32, zlib), then the lanes' words (u16).
 """
 
 from __future__ import annotations
@@ -127,7 +127,7 @@ def encode_block(ids: np.ndarray, lane: int = LANE) -> bytes:
     ids = np.ascontiguousarray(ids, dtype=np.int64)
     crc = zlib.crc32(ids.astype("<u4").tobytes())
     if not len(ids):
-        return _HEAD.pack(MAGIC, 0, 0, lane, 0, crc, 0)
+        return _headed(_HEAD.pack(MAGIC, 0, 0, lane, 0, crc, 0), b"")
     lanes, alphabet = -(-len(ids) // lane), int(ids.max()) + 1
     grid = np.zeros(lanes * lane, np.int64)
     grid[: len(ids)] = ids
@@ -161,21 +161,25 @@ def encode_block(ids: np.ndarray, lane: int = LANE) -> bytes:
             low <<= _WORD
     sizes = zlib.compress(place.astype("<u4").tobytes(), 1)
     body = out[np.arange(out.shape[1]) < place[:, None]].astype("<u2").tobytes()
-    return _HEAD.pack(MAGIC, len(ids), alphabet, lane, lanes, crc, len(sizes)) + sizes + body
+    return _headed(_HEAD.pack(MAGIC, len(ids), alphabet, lane, lanes, crc, len(sizes)), sizes) + body
+
+
+def _headed(head: bytes, sizes: bytes) -> bytes:
+    return head + struct.pack("<I", zlib.crc32(head + sizes)) + sizes
 
 
 def decode_block(block: bytes) -> np.ndarray:
     """The block's ids; ValueError if it is damaged."""
-    magic, n_ids, alphabet, lane, lanes, crc, packed = _HEAD.unpack_from(block)
-    if magic != MAGIC:
+    if len(block) < _HEAD.size + 4 or block[:4] != MAGIC:
         raise ValueError("not a coded block")
+    _, n_ids, alphabet, lane, lanes, crc, packed = _HEAD.unpack_from(block)
+    head, sizes_at = block[: _HEAD.size], _HEAD.size + 4
+    if struct.unpack_from("<I", block, _HEAD.size)[0] != zlib.crc32(head + block[sizes_at : sizes_at + packed]):
+        raise ValueError("damaged header")
     if not n_ids:
         return np.zeros(0, np.int64)
-    try:
-        sizes = np.frombuffer(zlib.decompress(block[_HEAD.size : _HEAD.size + packed]), "<u4").astype(np.int64)
-    except zlib.error as error:
-        raise ValueError("damaged lane sizes") from error
-    body = block[_HEAD.size + packed :]
+    sizes = np.frombuffer(zlib.decompress(block[sizes_at : sizes_at + packed]), "<u4").astype(np.int64)
+    body = block[sizes_at + packed :]
     if len(body) % 2:
         raise ValueError("damaged block")
     data = np.frombuffer(body, "<u2")

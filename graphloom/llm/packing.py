@@ -28,11 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.frames import tables, written
+from graphloom.llm.frames import arrow_rows, tables, written
 from graphloom.llm.tokens import encoder, texts
 from graphloom.llm.words import batches
 
 WINDOW, GRAIN, END_ID, MAX_QUEUES = 1024, 128, 0, 1024
+ARROW_ROWS = 1000
 MAX_BASES = 200_000  # rows of a queue's name, a partition and a number
 
 
@@ -47,7 +48,7 @@ def tokenized(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, done = encoder(tokenizer, spaces), TaskContext.get().partitionId(), defaultdict(int)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches(it, "_text"):
+        for batch in batches(it, "_text", 1 << 20):
             ids = [x + end for x in coder.encode(texts(batch.column("_text")))]
             counts = [len(x) // 4 for x in ids]
             local = []
@@ -70,7 +71,8 @@ def tokenized(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
     queue = name if known <= max_queues else F.pmod(F.xxhash64(name), F.lit(max_queues)).cast("string")
     rows = documents.select(F.col(doc_id).alias("_id"), queue.alias("_queue"), F.col(text).cast("string").alias("_text"))
     kind = dict(rows.dtypes)["_id"]
-    return written(rows.mapInArrow(encode, f"_id {kind}, _queue string, part int, local long, n_tokens long, ids binary"), "tokens")
+    with arrow_rows(documents.sparkSession, ARROW_ROWS):
+        return written(rows.mapInArrow(encode, f"_id {kind}, _queue string, part int, local long, n_tokens long, ids binary"), "tokens")
 
 
 class Plan:
