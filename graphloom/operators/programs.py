@@ -25,7 +25,7 @@ def pagerank_program(threshold: float = 0.01) -> VertexProgram:
 
 
 def pagerank(graph: Graph, rounds: int = 20, **options) -> Run:
-    return run(graph, pagerank_program(), rounds, **({"truncate": 10} | options))
+    return run(graph, pagerank_program(), rounds, **({"truncate": 5} | options))
 
 
 def _least(name: str, init: Column, active: Column, message: Column) -> VertexProgram:
