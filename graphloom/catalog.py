@@ -1,7 +1,9 @@
 """The library's own queries over the driver's tables, and their SQL.
 
 The graphs: G_cust has an edge o_custkey -> o_orderkey % |customer| per order; G_mid and G_sparse are its orders with
-keys below two times and one time |customer|; G_sp has an edge supplier -> part per line item.
+keys below two times and one time |customer|; G_sp has an edge supplier -> part per line item. bfs_deep, bfs_sparse, sssp,
+cc, cc_weak and adjacency_edges read the thinned graphs (long paths, unreached vertices, many components); bfs and the
+_whole queries read every order, the _suppliers queries every line item.
 """
 
 from __future__ import annotations
@@ -50,8 +52,8 @@ _DEGREES = "SELECT id, count(s.src) AS out_degree FROM v LEFT JOIN e s ON s.src
 _PAIRS = "SELECT DISTINCT least(src, tgt) AS a, greatest(src, tgt) AS b FROM e WHERE src <> tgt"
 
 
-def _with(edges: str = _EDGES, more: str = "") -> str:
-    return f"WITH RECURSIVE e AS MATERIALIZED ({edges}), v AS MATERIALIZED ({_IDS}){more} "
+def _with(edges: str = _EDGES, more: str = "", ids: str = _IDS) -> str:
+    return f"WITH RECURSIVE e AS MATERIALIZED ({edges}), v AS MATERIALIZED ({ids}){more} "
 
 
 def _pagerank_sql(rounds: int) -> str:
@@ -62,12 +64,12 @@ def _pagerank_sql(rounds: int) -> str:
         WHERE k < {rounds})""") + f"SELECT id, round(rank, 6) AS rank FROM r WHERE k = {rounds}"
 
 
-def _least_sql(edges: str, first: str, step: str, value: str) -> str:
+def _least_sql(edges: str, first: str, step: str, value: str, ids: str = _IDS) -> str:
     """A fixpoint by repeated relaxation; the recursive table keeps one row per vertex."""
     return _with(edges, f""", r(v, x) USING KEY (v) AS (
         {first} UNION
         SELECT n.tgt, n.x FROM (SELECT e.tgt, min({step}) AS x FROM r JOIN e ON e.src = r.v GROUP BY e.tgt) n
-        LEFT JOIN recurring.r c ON c.v = n.tgt WHERE c.x IS NULL OR n.x < c.x)""") + f"SELECT id, {value} AS value FROM v LEFT JOIN r ON r.v = id"
+        LEFT JOIN recurring.r c ON c.v = n.tgt WHERE c.x IS NULL OR n.x < c.x)""", ids) + f"SELECT id, {value} AS value FROM v LEFT JOIN r ON r.v = id"
 
 
 def _tile_sql(edges: str = _EDGES, n: str = _N) -> str:
@@ -139,8 +141,8 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("device"), F.col("l_orderkey").alias("sample"), F.col("l_quantity").cast("long").alias("counter")).groupBy("device", "sample").agg(F.max("counter").alias("counter"))
 
 
-def _adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = customer_graph(spark, sf_dir, 1)
+def _adjacency(spark: SparkSession, sf_dir: str, times: int | None = None) -> DataFrame:
+    g = customer_graph(spark, sf_dir, times)
     lines = g.edges.groupBy("src").agg(F.count("*").alias("d"), F.array_sort(F.collect_list("tgt")).alias("t"))
     text = lines.select(F.concat_ws(" ", F.col("src").cast("string"), F.col("d").cast("string"), F.array_join(F.transform("t", lambda x: x.cast("string")), " ")).alias("value"))
     return readers.adjacency_edges(text)
@@ -173,6 +175,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sssp": lambda s, d: _rounded(_values(programs.sssp(cust(s, d, 2), START)), "value"),
         "cc": lambda s, d: _values(programs.cc(cust(s, d, 1))),
         "cc_weak": lambda s, d: _values(programs.cc(cust(s, d, 1), directed=False)),
+        "sssp_whole": lambda s, d: _rounded(_values(programs.sssp(cust(s, d), START)), "value"),
+        "cc_whole": lambda s, d: _values(programs.cc(cust(s, d))),
+        "cc_weak_whole": lambda s, d: _values(programs.cc(cust(s, d), directed=False)),
+        "cc_suppliers": lambda s, d: _values(programs.cc(supplier_graph(s, d))),
+        "cc_weak_suppliers": lambda s, d: _values(programs.cc(supplier_graph(s, d), directed=False)),
         "spmv_target": lambda s, d: programs.spmv(cust(s, d)),
         "spmv_source": lambda s, d: programs.spmv(cust(s, d), "source"),
         "spmv_weighted": lambda s, d: _rounded(programs.spmv(supplier_graph(s, d), "source", weighted=True), "y"),
@@ -202,7 +209,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pack_tiles": lambda s, d: tiling.packed_tiles(_tiles(s, d), 4, 256),
         "hash_weights": lambda s, d: cust(s, d).edges.select("src", "tgt", F.round(arith.hash_weight(F.col("src"), F.col("tgt")), 9).alias("weight")),
         "constant_values": lambda s, d: readers.constant_values(cust(s, d).degrees()),
-        "adjacency_edges": _adjacency,
+        "adjacency_edges": lambda s, d: _adjacency(s, d, 1),
+        "adjacency_edges_whole": _adjacency,
         "compare_results": lambda s, d: _rounded(analysis.compare_results(programs.spmv(cust(s, d)).withColumnRenamed("y", "value"), programs.spmv(cust(s, d), "source").withColumnRenamed("y", "value"), ["id"], digits=4), "a", "b", digits=4),
         "compare_results_relative": lambda s, d: analysis.compare_results(programs.spmv(cust(s, d)).withColumnRenamed("y", "value"), programs.spmv(cust(s, d), "source").withColumnRenamed("y", "value"), ["id"], digits=None, relative=0.1).agg(F.count("*").alias("differing")),
         "compare_labels": lambda s, d: analysis.compare_labels(_table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("label")), _table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.pmod("c_nationkey", F.lit(5)).alias("label"))),
@@ -221,6 +229,7 @@ def oracle_sql() -> dict[str, str]:
     e, n = _with(), _N
     tiles = f"WITH t AS MATERIALIZED ({_tile_sql()}) "
     sp_n = "(SELECT count(*) FROM supplier) + (SELECT count(*) FROM part)"
+    sp_ids, both_ways = f"SELECT range AS id FROM range({sp_n})", "SELECT src, tgt FROM ({e}) UNION ALL SELECT tgt, src FROM ({e})"
     degrees = "SELECT id, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree FROM v LEFT JOIN (SELECT tgt, count(*) AS i FROM e GROUP BY tgt) a ON a.tgt = id LEFT JOIN (SELECT src, count(*) AS o FROM e GROUP BY src) b ON b.src = id"
     first = "d AS MATERIALIZED (SELECT orig_id, row_number() OVER (ORDER BY place) - 1 AS id FROM (SELECT orig_id, min(place) AS place FROM (SELECT src AS orig_id, 2 * pos AS place FROM e UNION ALL SELECT tgt, 2 * pos + 1 FROM e) GROUP BY orig_id))"
     bfs_first, bfs_value = f"SELECT {START}::BIGINT, 0::BIGINT", "x"
@@ -246,6 +255,12 @@ def oracle_sql() -> dict[str, str]:
         "sssp": _least_sql(_MID, f"SELECT {START}::BIGINT, 0.0::DOUBLE", "r.x + e.weight", "round(x, 6)"),
         "cc": _least_sql(_SPARSE, "SELECT id, id FROM v", "r.x", "x"),
         "cc_weak": _least_sql(f"SELECT src, tgt FROM ({_SPARSE}) UNION ALL SELECT tgt, src FROM ({_SPARSE})", "SELECT id, id FROM v", "r.x", "x"),
+        "sssp_whole": _least_sql(_EDGES, f"SELECT {START}::BIGINT, 0.0::DOUBLE", "r.x + e.weight", "round(x, 6)"),
+        "cc_whole": _least_sql(_EDGES, "SELECT id, id FROM v", "r.x", "x"),
+        "cc_weak_whole": _least_sql(both_ways.format(e=_EDGES), "SELECT id, id FROM v", "r.x", "x"),
+        "cc_suppliers": _least_sql(_SP, "SELECT id, id FROM v", "r.x", "x", sp_ids),
+        "cc_weak_suppliers": _least_sql(both_ways.format(e=_SP), "SELECT id, id FROM v", "r.x", "x", sp_ids),
+        "adjacency_edges_whole": f"SELECT src, tgt FROM ({_EDGES})",
         "spmv_target": e + spmv.format(x="tgt"),
         "spmv_source": e + spmv.format(x="src"),
         "spmv_weighted": f"WITH e AS ({_SP}), v AS (SELECT range AS id FROM range({sp_n})) SELECT id, round(coalesce(y, 0), 6)::DOUBLE AS y FROM v LEFT JOIN (SELECT tgt, sum(weight * src) AS y FROM e GROUP BY tgt) m ON m.tgt = id",
