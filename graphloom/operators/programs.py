@@ -52,7 +52,7 @@ def _inside(graph: Graph, start: int) -> None:
         raise ValueError(f"start vertex {start} is outside 0 .. {graph.n - 1}")
 
 
-def bfs(graph: Graph, start: int = 100, max_rounds: int = 1000, **options) -> Run:
+def bfs(graph: Graph, start: int = 100, max_rounds: int | None = None, **options) -> Run:
     """Hops from ``start``; null where it doesn't reach."""
     _inside(graph, start)
     return run(graph, bfs_program(start), max_rounds, **options)
@@ -63,9 +63,11 @@ def sssp_program(start: int) -> VertexProgram:
     return _least("sssp", F.when(at, F.lit(0.0)), at, F.col("s_value") + F.col("weight"))
 
 
-def sssp(graph: Graph, start: int = 100, max_rounds: int = 1000, **options) -> Run:
+def sssp(graph: Graph, start: int = 100, max_rounds: int | None = None, **options) -> Run:
     """Least path weight from ``start``; needs a weight column, weights not negative."""
     _inside(graph, start)
+    if max_rounds is None and not graph.edges.where("weight < 0").isEmpty():  # a cycle of them would never settle
+        raise ValueError("negative weights")
     return run(graph, sssp_program(start), max_rounds, **options)
 
 
@@ -73,7 +75,7 @@ def cc_program() -> VertexProgram:
     return _least("cc", F.col("id"), F.lit(True), F.col("s_value"))
 
 
-def cc(graph: Graph, max_rounds: int = 1000, directed: bool = True, **options) -> Run:
+def cc(graph: Graph, max_rounds: int | None = None, directed: bool = True, **options) -> Run:
     """Least id among the vertices that reach each one; weak components with ``directed=False``."""
     return run(graph if directed else graph.symmetrized(), cc_program(), max_rounds, **options)
 

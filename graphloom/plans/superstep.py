@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from itertools import count
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -52,6 +53,7 @@ class Run:
     state: DataFrame
     rounds: int = 0
     log: list[tuple[int, int | None, float]] = field(default_factory=list)  # (round, active vertices, milliseconds)
+    settled: bool | None = None  # whether nobody is active any more; None for programs without a frontier
 
     def lines(self) -> list[str]:
         """One line per round, as ``analysis.log_stats`` reads them."""
@@ -61,17 +63,21 @@ class Run:
 def run(
     graph: Graph,
     program: VertexProgram,
-    max_rounds: int,
+    max_rounds: int | None,
     truncate: int = 1,
     on_round: Callable[[int, DataFrame], None] | None = None,
     checkpoint: str | None = None,
     split: int = SPLIT,
 ) -> Run:
-    """Run up to ``max_rounds`` rounds; a program with a frontier stops when nobody is active.
+    """Run up to ``max_rounds`` rounds; a program with a frontier stops when nobody is active, and with None only then.
+
+    ``settled`` of the result tells whether a bound ended the run before that.
 
     State is written to the shared folder every ``truncate`` rounds (programs that carry state: every round).
     ``checkpoint`` keeps every round under a path; a later call with it goes on from the last complete one.
     """
+    if max_rounds is None and not program.frontier:
+        raise ValueError(f"{program.name} has no frontier to run out of; give max_rounds")
     weighted = graph.edges.select("src", "tgt", *(["weight"] if "weight" in graph.edges.columns else []))
     width = int(graph.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     vertices = graph.vertices()
@@ -92,8 +98,8 @@ def run(
         if program.active is None:
             state = state.withColumn("active", F.lit(True)) if "active" not in state.columns else state
     out = Run(state, start)
-    every = 1 if program.carries else truncate
-    for number in range(start, max_rounds):
+    every, active = 1 if program.carries else truncate, None
+    for number in count(start) if max_rounds is None else range(start, max_rounds):
         began = time.time()
         step = program.before_round(number, state) if program.before_round else program
         senders = state.where("active") if step.frontier else state
@@ -127,5 +133,7 @@ def run(
         if active == 0:
             break
     out.state = state
+    if program.frontier:
+        out.settled = active == 0 if active is not None else state.where("active").isEmpty()
     edges.unpersist()
     return out

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.graph import Graph, decode_ids, encode_ids
 from graphloom.operators import programs
+from graphloom.plans.storage import keep_round
 from graphloom.plans.superstep import run
 
 SIX = [(0, 1), (3, 1), (0, 2), (1, 2), (1, 3), (3, 0)]
@@ -60,6 +61,29 @@ def test_path_keeps_what_it_found(spark):
         programs.bfs(g, 4)
 
 
+def test_paths_of_over_a_thousand_hops(spark, tmp_path):
+    """Round 1000 of a path of 1005 hops, kept, is gone on from until nobody is active."""
+    n, at = 1006, 1001  # vertex at is the frontier after round 1000
+    g = graph(spark, [(k, k + 1) for k in range(n - 1)], n)
+    for name, call, value in (("bfs", programs.bfs, "id"), ("sssp", programs.sssp, "cast(id as double)"), ("cc", lambda g, _, **o: programs.cc(g, **o), "cast(0 as long)")):
+        rest = "id" if name == "cc" else "null"
+        kept = g.vertices().selectExpr("id", "in_degree", "out_degree", f"case when id <= {at} then {value} else {rest} end as value", f"id = {at} as active")
+        path = f"file://{tmp_path}/{name}"
+        keep_round(kept, path, name, 1000)
+        done = call(g, 0, checkpoint=path)
+        assert values(done) == ([0] * n if name == "cc" else list(range(n))) and done.settled
+
+
+def test_bounds_are_told(spark):
+    g = graph(spark, [(0, 1), (1, 2), (2, 3)], 4)
+    assert programs.bfs(g, 0).settled is True and programs.bfs(g, 0, 2).settled is False and programs.bfs(g, 0, 0).settled is False
+    assert programs.pagerank(g, 1).settled is None
+    with pytest.raises(ValueError):
+        run(g, programs.pagerank_program(), None)
+    with pytest.raises(ValueError):
+        programs.sssp(graph(spark, [(0, 1), (1, 0)], 2, [1, -2]), 0)
+
+
 def test_sssp_and_weak_components(spark):
     random.seed(5)
     edges = [(random.randrange(30), random.randrange(30)) for _ in range(60)]
