@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.frames import crc_bucket, tables
+from graphloom.llm.frames import crc_bucket, tables, written
 from graphloom.llm.words import batches, utf8
 
 #: Families of some languages by ISO code; a language that isn't here is a family of its own.
@@ -70,6 +70,11 @@ def _has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text)
 
 
+def lettered(text: Column) -> Column:
+    """Whether a text holds a letter; false for null."""
+    return F.coalesce(text.cast("string").rlike(r"\p{L}"), F.lit(False))
+
+
 @dataclass
 class LanguageModel:
     """``weights[k]`` and ``bias[k]``: a machine's; ``families``, ``languages`` and ``pairs`` say what they tell apart."""
@@ -137,19 +142,29 @@ def _svm(x: np.ndarray, y: np.ndarray, epochs: int = 30, penalty: float = 1.0) -
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, buckets: int = BUCKETS) -> LanguageModel | None:
     """Fit on rows with a non-null ``lang`` and a letter in their text; None if there are none.
 
-    The sample is bounded: of each language the ``per_language`` rows with the smallest hashes of their texts, of which
-    the whole text is used. At most MAX_LANGUAGES languages are told apart.
+    The sample is bounded: of each language the texts with the ``per_language`` smallest hashes, copies counting once, of
+    which the whole text is used. At most MAX_LANGUAGES languages are told apart.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    rows = labelled.where(F.col(lang).isNotNull() & lettered(F.col(text))).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text") / F.lit(float(1 << 64)) + 0.5)  # 0 to 1
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    hashes = written(rows.select("lang", "h").distinct(), "hashes")  # of distinct texts: copies hash alike
+    counts = {r["lang"]: r["count"] for r in hashes.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
     if not counts:
         return None
-    # rows in hash order up to a cut that leaves about twice the bound; copies hash alike, so texts are made distinct
-    cut = F.coalesce(F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, 4 * per_language / n)))])[F.col("lang")], F.lit(0.0))
-    near = rows.where(F.col("h") <= cut).groupBy("lang", "text").agg(F.first("h").alias("h"))
+    # the smallest hashes of each language, without moving texts: sorted up to a cut that leaves about four times the
+    # bound, and that is lifted where it leaves too few
+    cuts, limits = {k: min(1.0, 4 * per_language / n) for k, n in counts.items()}, {}
+    while todo := sorted(set(counts) - set(limits)):
+        cut = F.create_map(*[x for k in todo for x in (F.lit(k), F.lit(cuts[k]))])[F.col("lang")]
+        least = hashes.where(F.col("h") <= cut).groupBy("lang").agg(F.slice(F.array_sort(F.collect_list("h")), 1, per_language).alias("least"))
+        found = {r["lang"]: (r["n"], r["most"]) for r in least.select("lang", F.size("least").alias("n"), F.element_at("least", -1).alias("most")).collect()}
+        for k in todo:
+            if found.get(k, (0, None))[0] >= min(per_language, counts[k]):
+                limits[k] = found[k][1]
+            else:
+                cuts[k] = min(1.0, 4 * cuts[k])
 
     def features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, "text"):
@@ -160,9 +175,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
                 cells.append({"at": at.tolist(), "share": (n / max(1, n.sum())).tolist()})
             yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "h": batch.column("h"), "at": pa.array([c["at"] for c in cells], pa.list_(pa.int32())), "share": pa.array([c["share"] for c in cells], pa.list_(pa.float32()))})
 
-    # the smallest hashes of each language, without moving texts: a threshold from the hashes alone
-    limit = near.groupBy("lang").agg(F.element_at(F.slice(F.array_sort(F.collect_set("h")), 1, per_language), -1).alias("most"))
-    chosen = near.join(F.broadcast(limit), "lang").where(F.col("h") <= F.col("most")).select("lang", "text", "h")
+    most = F.create_map(*[x for k, m in sorted(limits.items()) for x in (F.lit(k), F.lit(m))])[F.col("lang")]
+    chosen = rows.where(F.col("h") <= most).groupBy("lang", "text").agg(F.first("h").alias("h"))
     got = sorted(((r["lang"], r["h"], r["at"], r["share"]) for r in chosen.mapInArrow(features, "lang string, h double, at array<int>, share array<float>").collect()), key=lambda r: r[:2])
     x = np.zeros((len(got), buckets), np.float32)
     for k, (_, _, at, share) in enumerate(got):

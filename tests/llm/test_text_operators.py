@@ -110,6 +110,15 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_learns_beside_copies(spark):
+    """20,000 copies of one text leave the sample of its language as it is without them."""
+    rows = [r for r in language_rows(240) if r[2] in ("en", "de")]
+    alone = langid.train(documents(spark, rows), per_language=40)
+    first = next(t for _, t, lang, _ in rows if lang == "de")
+    beside = langid.train(documents(spark, rows + [(1000 + k, first, "de", "s") for k in range(20000)]), per_language=40)
+    assert beside.pairs == alone.pairs == [("de", "en")] and (beside.weights == alone.weights).all()
+
+
 def test_language_edges(spark):
     model = langid.train(documents(spark, language_rows(40)))
     got = {r.doc_id: r for r in langid.identify(documents(spark), model).collect()}
