@@ -20,10 +20,10 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in no language (null, or without a letter) go; a missing ``lang`` is filled in."""
-    found = langid.identify(docs.select(*COLUMNS), langid.train(docs))
-    kept = found.where(F.col("lang_pred") != langid.UNKNOWN)
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    """Texts in no language (null, or without a letter) go; a missing ``lang`` is filled in, by ``und`` if no text is labelled."""
+    kept = docs.select(*COLUMNS).where(langid.lettered(F.col("text")))
+    found = langid.identify(kept, langid.train(docs))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

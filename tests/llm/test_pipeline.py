@@ -38,3 +38,13 @@ def test_run_and_registry(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
     assert [len([q for q in queries() if q.startswith(f"op{n}_")]) for n in range(1, 11)] == [1] * 10
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_documents_without_a_known_language_stay(spark):
+    """No labels at all, labels on letterless texts alone, and ``und`` as a label: every text with a letter stays."""
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    texts = [(1, "one two"), (2, "trois quatre"), (3, None), (4, "!!!")]
+    for labels in ([None] * 4, [None, None, "en", "en"], ["und", None, None, None]):
+        rows = [(i, t, g, None) for (i, t), g in zip(texts, labels)]
+        got = stage(spark, documents(spark, rows, extra=False), "").collect()
+        assert {(r.doc_id, r.lang) for r in got} == {(1, "und"), (2, "und")}
