@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +37,13 @@ ARROW_ROWS = 1000
 MAX_BASES = 200_000  # rows of a queue's name, a partition and a number
 
 
-def tokenized(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", source: str = "source", end_id: int = END_ID, spaces: str = "kept", max_queues: int = MAX_QUEUES) -> DataFrame:
+def tokenized(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", source: str = "source", end_id: int = END_ID, spaces: str = "kept", max_queues: int = MAX_QUEUES, weighted: Iterable[str] = ()) -> DataFrame:
     """(id, queue, part, local, n_tokens, ids binary): each row's ids as unsigned little-endian 32-bit values with
     ``end_id`` last, and where they begin among its partition's tokens of its queue.
 
-    A queue is a source, null being one of its own; more than ``max_queues`` sources share queues by hash. Written to
-    the shared folder, so partitions stay as they are.
+    A queue is a source, null being one of its own. Of more than ``max_queues`` sources those in ``weighted`` (queue
+    names, as in ``packed``) and the largest, half of all queues together, keep their own; the small rest share the other
+    queues by hash. Written to the shared folder, so partitions stay as they are.
     """
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +69,13 @@ def tokenized(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
 
     known = documents.select(F.col(source).cast("string").alias("s")).distinct().limit(max_queues + 1).count()
     name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
-    queue = name if known <= max_queues else F.pmod(F.xxhash64(name), F.lit(max_queues)).cast("string")
+    queue = name
+    if known > max_queues:
+        own = list(dict.fromkeys(weighted))
+        size = F.sum(F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)) + 1)
+        largest = documents.select(name.alias("name"), F.col(text)).where(~F.col("name").isin(own)).groupBy("name").agg(size.alias("size")).orderBy(F.desc("size"), "name")
+        own += [r["name"] for r in largest.limit(max(0, max_queues // 2 - len(own))).collect()]
+        queue = F.when(name.isin(own), name).otherwise(F.pmod(F.xxhash64(name), F.lit(max(1, max_queues - len(own)))).cast("string"))
     rows = documents.select(F.col(doc_id).alias("_id"), queue.alias("_queue"), F.col(text).cast("string").alias("_text"))
     kind = dict(rows.dtypes)["_id"]
     with arrow_rows(documents.sparkSession, ARROW_ROWS):
@@ -134,8 +141,9 @@ def packed(tokens: DataFrame, doc_id: str = "doc_id", window: int = WINDOW, grai
     """One row per piece of a row of ``tokenized``: id, start (its ids before the piece), length, ids_crc32, doc_tokens,
     sequence_id, offset, queue.
 
-    ``weights`` gives target token shares by queue ("=" and the source's name; "null" for null); without it each queue's share of all tokens
-    is its target. Every id lies in exactly one piece, whatever the weights. An empty table gives no rows; a row with
+    ``weights`` gives target token shares by queue ("=" and the source's name; "null" for null); one that matches no queue
+    is an error (name it to ``tokenized`` as ``weighted``). Without it each queue's share of all tokens is its target: for
+    a shared queue the sum of its sources' shares. Every id lies in exactly one piece, whatever the weights. An empty table gives no rows; a row with
     a null or empty text has its end id alone.
     """
     if window % grain:
@@ -145,7 +153,10 @@ def packed(tokens: DataFrame, doc_id: str = "doc_id", window: int = WINDOW, grai
     bases = by_part.select("_queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     if bases.count() <= MAX_BASES:  # else a shuffle joins them
         bases = F.broadcast(bases)
-    plan = Plan({r["_queue"]: r["n"] for r in by_part.groupBy("_queue").agg(F.sum("n").alias("n")).collect()}, weights, window, grain)
+    totals = {r["_queue"]: r["n"] for r in by_part.groupBy("_queue").agg(F.sum("n").alias("n")).collect()}
+    if totals and (lost := sorted(set(weights or ()) - set(totals))):
+        raise ValueError(f"weights that match no queue: {lost}")
+    plan = Plan(totals, weights, window, grain)
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:

@@ -169,6 +169,27 @@ def test_packing_edges(spark):
     assert many.select("queue").distinct().count() == 1 and many.select("doc_id").distinct().count() == len({r[0] for r in ROWS})
 
 
+def test_packing_of_many_sources(spark):
+    """Over the bound the largest and the weighted sources keep their queues, and the largest its share of every window."""
+    rows = [(k, prose(k, 60), "en", "hot" if k % 2 else f"s{k}") for k in range(120)]
+    df = documents(spark, rows)
+    got = packing.packed(packing.tokenized(df, BYTES, max_queues=4)).collect()
+    queues = {r.queue for r in got}
+    assert "=hot" in queues and 2 <= len(queues) <= 4
+    hot = {r.doc_id for r in got if r.queue == "=hot"}
+    assert hot == {k for k, *_, s in rows if s == "hot"}
+    windows = collections.Counter()
+    for r in got:
+        windows[r.sequence_id] += r.length * (r.queue == "=hot")
+    share = sum(windows.values()) / sum(r.length for r in got)
+    assert all(abs(windows[w] - 1024 * share) <= 2 * 128 for w in range(max(windows) - 1))
+    tokens = packing.tokenized(df, BYTES, max_queues=4, weighted=["=s2", "=s4"])
+    first = min(packing.packed(tokens, weights={"=s2": 1.0, "=s4": 1.0}).collect(), key=lambda r: (r.sequence_id, r.offset))
+    assert first.doc_id in (2, 4)
+    with pytest.raises(ValueError, match="=s6"):
+        packing.packed(tokens, weights={"=s6": 1.0})
+
+
 @pytest.mark.parametrize("size", [0, 1, 5, 127, 128, 129, 1000, 20000])
 @pytest.mark.parametrize("kind", ["same", "few", "many"])
 def test_coder_round_trip(size, kind):
