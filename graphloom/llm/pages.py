@@ -18,7 +18,7 @@ from __future__ import annotations
 import html as _html
 import json
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -37,14 +37,15 @@ MAX_BROADCAST = 500_000
 # Elements by what they do.
 _BLOCKS = set("html head body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = "script|style|noscript|template|textarea|title|iframe|svg|select|math|object|button"
+_RAW = "script|style|textarea|title|iframe"  # without an end tag they run to the end of the page
+_MUTE = set("button select svg template noscript annotation annotation-xml".split())  # without an end tag they are no elements
 _CONTAINERS = set("body div article main section center td form".split())
 _NOISE_TAGS = set("head nav header footer aside form menu dialog".split())
 _NOISE_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored banner promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead comment comments disqus cookie cookies consent notice notices alert popup modal newsletter subscribe share sharing social related recommended toolbar pagination pager skip login search contentinfo complementary".split())
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[/!?][^>]*>", re.S | re.I
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[/!?][^>]*>", re.S | re.I
 )
 _ROLE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -82,6 +83,11 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
     root = Node("html", "html", False, None)
     node, blocks, buffer, at = root, [], [], 0
     inline: list[tuple[str, Node]] = []
+    deep: list[str] = []  # open elements below DEEPEST, and how many of each
+    held: Counter[str] = Counter()
+    muted: list[str] = []  # open elements whose text isn't read, and the blocks in the outermost
+    inner: Counter[str] = Counter()
+    ends: dict[str, int] = {}  # the last end tag of each
 
     def flush() -> None:
         if buffer:
@@ -94,6 +100,14 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
     def leave(tags: set[str], within: set[str]) -> None:
         """Close the nearest open element of ``tags``, not looking beyond ``within``."""
         nonlocal node
+        if any(held[t] for t in tags) or any(held[t] for t in within):
+            for k in reversed(range(len(deep))):
+                if deep[k] in tags:
+                    held.subtract(deep[k:])
+                    del deep[k:]
+                    return
+                if deep[k] in within:
+                    return
         seek = node
         while seek.parent is not None and seek.tag not in tags:
             if seek.tag in within:
@@ -101,9 +115,30 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
             seek = seek.parent
         if seek.parent is not None:
             node = seek.parent
+            deep.clear()
+            held.clear()
+
+    def unmuted(tag: str, closes: bool, empty: bool) -> bool:
+        """Follow a tag within a muted element; whether it ended that, being a block that can't lie in it."""
+        if tag in _MUTE:
+            if not closes and not empty:
+                muted.append(tag)
+            elif closes and tag in muted:
+                while muted.pop() != tag:
+                    pass
+        elif tag in _BLOCKS and not closes:
+            if muted[0] not in ("svg", "select") or inner["foreignobject"] > 0:
+                inner[tag] += tag != "hr"
+                return False
+            muted.clear()
+        elif tag in _BLOCKS and inner[tag] <= 0 and tag not in ("p", "html", "body"):
+            muted.clear()
+        elif tag in _BLOCKS or tag == "foreignobject":
+            inner[tag] += -1 if closes else 1
+        return tag in _BLOCKS and not muted
 
     for m in _TOKEN.finditer(html):
-        if m.start() > at:
+        if m.start() > at and not muted:
             buffer.append(html[at : m.start()])
         at = m.end()
         tag = (m[3] or "").lower()
@@ -111,6 +146,16 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
             if m[1]:
                 buffer.append(" ")
             continue
+        if muted and not unmuted(tag, bool(m[2]), m[4].rstrip().endswith("/")):
+            continue
+        if tag in _MUTE:
+            buffer.append(" ")
+            if tag not in ends:
+                ends[tag] = max((e.start() for e in re.finditer(rf"</{tag}\s*>", html, re.I)), default=-1)
+            if not m[2] and not m[4].rstrip().endswith("/") and ends[tag] >= at:
+                muted.append(tag)
+                inner.clear()
+            continue
         if tag in _VOID and tag != "hr":
             if tag == "br":
                 buffer.append(" ")
@@ -136,7 +181,11 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
                 if tag in _CLOSES:
                     leave(*_CLOSES[tag])
                 leave({"p"}, _CONTAINERS | {"table", "td", "th", "li", "blockquote"})
-            if tag == "hr" or node.depth >= DEEPEST:
+            if tag == "hr":
+                continue
+            if node.depth >= DEEPEST:
+                deep.append(tag)
+                held[tag] += 1
                 continue
             node.kids.append(kid := Node(tag, _label(tag, attributes), _noisy(tag, attributes), node))
             node = kid
@@ -145,7 +194,7 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
             node.kids.append(kid := Node(tag, _label(tag, attributes), True, node))
             node = kid
             inline.append((tag, kid))
-    if at < len(html):
+    if at < len(html) and not muted:
         buffer.append(html[at:])
     flush()
     return root, blocks

@@ -269,3 +269,21 @@ def test_tree_matching():
     size, pairs = pages.match(a, b)
     assert size == 4 and [x[0] for x, _ in pairs] == ["r", "d", "b", "c"]
     assert pages.match(a, ["q", 0, 0, []]) == (0, [])
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<button-group>x</button-group><p>rest", "x\nrest"),
+        ("<title-bar>a</title-bar><svg-icon></svg-icon><p>rest", "a\nrest"),
+        ("<object data=x><p>fallback</p></object><p>x <math><mi>y</mi></math> z", "fallback\nx y z"),
+        ("<p>a <svg><title>t</title><text>no</text></svg>b <button>no<div>in</div></button>c<p>d", "a b c\nd"),
+        ("<div><button>no</div><p>yes</p><button>no</button>", "yes"),
+        ("<svg>no<p>yes</p></svg>", "yes"),
+        ("<p>shown<script>var a = 1", "shown"),
+        ("<div class=ad>" + "<div>" * 300 + "no" + "</div>" * 300 + "still no</div><p>after", "after"),
+        ("<div class=ad>" + "<div>" * 250 + "<ul><li>no<li>no</ul>" + "</div>" * 250 + "still no</div><p>after", "after"),
+    ],
+)
+def test_pages_are_read_to_the_end(html, text):
+    assert pages.main_text(html, []) == text
