@@ -28,7 +28,7 @@ BLOCK_IDS = 1 << 21
 END_ID = 1
 
 
-def coded(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, spaces: str = "dropped", block_ids: int = BLOCK_IDS, lane: int = 128) -> DataFrame:
+def coded(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, block_ids: int = BLOCK_IDS, lane: int = 128) -> DataFrame:
     """The rows of the block table, in memory order; write them as Parquet. ``end_id`` closes each document.
 
     Null texts count as empty; repeated ids stay, next to each other; a document over ``block_ids`` is a block alone.
@@ -38,7 +38,7 @@ def coded(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
     ranged = rows.repartitionByRange(shuffle_width(documents.sparkSession), "_id").sortWithinPartitions("_id")
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part, number = encoder(tokenizer, spaces), TaskContext.get().partitionId(), 0
+        tokens, part, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         ids: list[bytes] = []
         names: list[int | None] = []

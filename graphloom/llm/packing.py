@@ -37,7 +37,7 @@ ARROW_ROWS = 1000
 MAX_BASES = 200_000  # rows of a queue's name, a partition and a number
 
 
-def tokenized(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", source: str = "source", end_id: int = END_ID, spaces: str = "kept", max_queues: int = MAX_QUEUES, weighted: Iterable[str] = ()) -> DataFrame:
+def tokenized(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", source: str = "source", end_id: int = END_ID, max_queues: int = MAX_QUEUES, weighted: Iterable[str] = ()) -> DataFrame:
     """(id, queue, part, local, n_tokens, ids binary): each row's ids as unsigned little-endian 32-bit values with
     ``end_id`` last, and where they begin among its partition's tokens of its queue.
 
@@ -47,7 +47,7 @@ def tokenized(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
     """
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, done = encoder(tokenizer, spaces), TaskContext.get().partitionId(), defaultdict(int)
+        coder, part, done = encoder(tokenizer), TaskContext.get().partitionId(), defaultdict(int)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches(it, "_text", 1 << 20):
             ids = [x + end for x in coder.encode(texts(batch.column("_text")))]

@@ -1,18 +1,21 @@
 """Token ids of whole texts by a public tokenizer file, with a bounded cache of the pieces between spaces.
 
-Both supported schemes split a text at white space before they merge, so the ids
-of a text are those of its pieces put together. A batch of texts is cut into
-pieces, hashed, looked up and put together by numpy; each worker encodes a
-piece once while it stays in the cache. A new piece of Latin letters, with ASCII
-punctuation behind them or not, goes straight to the tokenizer's merge model, as
-the splitting is known for it; other new pieces go through the whole tokenizer,
-and so do texts with unusual white space. Pieces are told apart by 64-bit hashes
-within one worker's cache: two of a million cached pieces and a billion looked
-up ones are mixed up with probability 0.00005.
+Two schemes of splitting are known; both split a text at white space before they
+merge, so the ids of a text are those of its pieces put together. A batch of
+texts is cut into pieces, hashed, looked up and put together by numpy; each
+worker encodes a piece once while it stays in the cache. A new piece of Latin
+letters, with ASCII punctuation behind them or not, goes straight to the
+tokenizer's merge model, as the splitting is known for it; other new pieces go
+through the whole tokenizer, and so do texts with unusual white space, texts that
+hold one of the file's added tokens, and all texts if the file splits in another
+way than the two. Pieces are told apart by 64-bit hashes within one worker's
+cache: two of a million cached pieces and a billion looked up ones are mixed up
+with probability 0.00005.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
@@ -28,6 +31,21 @@ _OTHER = re.compile("[\0\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u202
 _PLAIN = re.compile(r"([\0\n]?)([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)\Z")
 
 
+#: The normalizers, pre-tokenizers and marks of a word's end of the two known schemes.
+_KEPT = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, None)
+_DROPPED = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "</w>",
+)
+
+
 def _byte_letters() -> dict[int, int]:
     """The public byte-level alphabet: printable bytes stand for themselves, the others for 256 onwards."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -89,15 +107,27 @@ class _Cache:
             hashes, number, slot = hashes[left], number[left], (slot[left] + 1) & ((1 << self.bits) - 1)
 
 
+def _scheme(rules: dict) -> str | None:
+    """How a tokenizer file splits: "kept" for byte-level merges, where a space belongs to the piece after it; "dropped" where white space never gets an id; None for any other way."""
+    model, added = rules["model"], rules.get("added_tokens") or []
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    if not plain or any(t[k] for t in added for k in ("normalized", "lstrip", "rstrip", "single_word")):
+        return None
+    found = (rules.get("normalizer"), rules.get("pre_tokenizer"), model.get("end_of_word_suffix"))
+    return "kept" if found == _KEPT else "dropped" if found == _DROPPED else None
+
+
 class Encoder:
-    """``encode(texts)`` gives little-endian unsigned 32-bit ids. ``spaces``: "kept" for byte-level merges, where a space belongs to the piece after it; "dropped" where white space never gets an id."""
+    """``encode(texts)`` gives little-endian unsigned 32-bit ids, those of the library's ``encode(text, add_special_tokens=False)``."""
 
-    def __init__(self, path: str, spaces: str, cache_entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.kept = spaces == "kept"
+        rules = json.loads(self.tokenizer.to_str())
+        self.scheme = _scheme(rules)
+        self.kept = self.scheme == "kept"
+        self.added = [t["content"] for t in rules.get("added_tokens") or []]
         self.cache = _Cache(cache_entries)
         self.merge = self.tokenizer.model.tokenize
         self.feed = self.whole("\n") if self.kept else b""
@@ -110,6 +140,8 @@ class Encoder:
 
     def _unusual(self, text: str) -> bool:
         """Whether the pieces between spaces and line feeds don't have ids of their own, or can't be told apart."""
+        if self.scheme is None or any(t in text for t in self.added):
+            return True
         if not self.kept:
             return "\0" in text
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] == "\n" or text[-1] in " \n":
@@ -197,12 +229,12 @@ class Encoder:
 _held: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, spaces: str, cache_entries: int = CACHE_ENTRIES) -> Encoder:
+def encoder(path: str, cache_entries: int = CACHE_ENTRIES) -> Encoder:
     """One encoder per worker."""
-    key = (path, spaces, cache_entries)
+    key = (path, cache_entries)
     if key not in _held:
         _held.clear()
-        _held[key] = Encoder(path, spaces, cache_entries)
+        _held[key] = Encoder(path, cache_entries)
     return _held[key]
 
 

@@ -1,4 +1,6 @@
 import collections
+import functools
+import json
 import random
 import re
 import zlib
@@ -15,6 +17,7 @@ from graphloom.llm.words import ALNUM_WORDS, SPACE_WORDS, Words, roll
 from tests.llm.cases import ROWS, documents, empty, prose
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
+Tokenizer = pytest.importorskip("tokenizers").Tokenizer
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -115,19 +118,42 @@ def test_components(spark):
 # 5 and 7
 
 
-@pytest.mark.parametrize("path, spaces", [(BYTES, "kept"), (WORDS, "dropped")])
-def test_encoder_is_the_tokenizer(path, spaces):
+@functools.cache
+def tokenizer(path):
+    return Tokenizer.from_file(path)
+
+
+def library(path, text):
+    return np.array(tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_encoder_is_the_tokenizer(path):
     rng = random.Random(3)
     texts = ["", "a  b", " a", "a ", "\n", "a\n\nb", "a \n b\nc", "x\ty", "a|b | c ||", "it's we'll", "123 45\n7", "|", "a\0b", "***a***b", "ÀÉ×÷ß ÿÿ ª", "x\n***\ny..", "<|endoftext|> x", "İx Σας"]
+    texts += ["hello <|endoftext|> world", "<|startoftext|>", "a<|startoftext|>b <|endoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endoftext |>", "<|endoftext"]
     texts += ["".join(rng.choice("aé .,'*\n 1Zß|") for _ in range(40)) for _ in range(500)] + [t for _, t, *_ in ROWS if t]
-    one = Encoder(path, spaces, cache_entries=50)
-    assert one.encode(texts) == [one.whole(t) for t in texts]
-    assert [one.encode([t])[0] for t in texts] == [one.whole(t) for t in texts]
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|", " ", "\n", "word", "Word's", "é", "12", "|>", " <"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(10000)]
+    one, plain = Encoder(path, cache_entries=50), tokenizer(path)
+    truth = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert one.scheme and one.encode(texts) == truth
+    assert [one.encode([t])[0] for t in texts] == truth
+
+
+def test_other_tokenizers_are_not_guessed(tmp_path):
+    """A file that splits in another way goes through the library whole."""
+    rules = json.loads(Tokenizer.from_file(BYTES).to_str())
+    rules["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(rules))
+    one = Encoder(str(path))
+    texts = ["plain words here", " x", "", "a\nb"]
+    assert one.scheme is None and one.encode(texts) == [library(str(path), t) for t in texts]
 
 
 def ids_by_hand(path, end, rows):
-    one = Encoder(path, "kept")
-    return [(i, np.append(np.frombuffer(one.whole(t or ""), "<u4"), np.uint32(end)).astype("<u4")) for i, t, *_ in rows]
+    return [(i, np.append(np.frombuffer(library(path, t or ""), "<u4"), np.uint32(end)).astype("<u4")) for i, t, *_ in rows]
 
 
 @pytest.mark.parametrize("weights", [None, {"=a": 5.0, "=b": 1.0}, {"=a": 0.0}])
