@@ -87,17 +87,25 @@ class _Model:
         size = self.w0 * self.count[x] + self.extra2 * (self.b == x) + self.extra1 * (self.a == x)
         return low, size
 
-    def find(self, v: np.ndarray) -> np.ndarray:
-        low_b, size_b = self.interval(self.b)
+    def find(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, their intervals' lows and sizes) in which ``v`` lies; only what neither order predicted is searched."""
+        low, size = self.interval(self.b)
         low_a, size_a = self.interval(self.a)
-        end_b, end_a = low_b + size_b, low_a + size_a
-        rest = ((v - self.extra2 * (v >= end_b) - self.extra1 * (v >= end_a)) // self.w0).astype(np.int32)
-        order = np.argsort(rest)  # searching in order is faster by more than the sort takes
-        x = np.empty(len(v), np.int64)
-        x[order] = np.searchsorted(self.cum.astype(np.int32), rest[order], "right") - 1
-        np.copyto(x, self.a, where=(v >= low_a) & (v < end_a))
-        np.copyto(x, self.b, where=(v >= low_b) & (v < end_b))
-        return x
+        end, end_a = low + size, low_a + size_a
+        in_b, in_a = (v >= low) & (v < end), (v >= low_a) & (v < end_a)
+        x = self.b.astype(np.int64)
+        for out, other in ((x, self.a), (low, low_a), (size, size_a)):
+            np.copyto(out, other, where=in_a)
+        at = np.flatnonzero(~(in_a | in_b))
+        if len(at):
+            w0, extra1, extra2 = self.w0[at], self.extra1[at], self.extra2[at]
+            beyond = extra2 * (v[at] >= end[at]) + extra1 * (v[at] >= end_a[at])
+            share = ((v[at] - beyond) // w0).astype(np.int32)
+            order = np.argsort(share)  # searching in order is faster by more than the sort takes
+            found = np.empty(len(at), np.int64)
+            found[order] = np.searchsorted(self.cum.astype(np.int32), share[order], "right") - 1
+            x[at], low[at], size[at] = found, w0 * self.cum[found] + beyond, w0 * self.count[found]
+        return x, low, size
 
     def learn(self, x: np.ndarray) -> None:
         n = len(x)
@@ -200,8 +208,7 @@ def decode_block(block: bytes) -> np.ndarray:
             model.predict(n)
             unit = span[:n] // _U(_ONE * model.total)
             v = np.minimum((code[:n] - low[:n]) // np.maximum(unit, _U(1)), _U(_ONE * model.total - 1)).astype(np.int64)
-            x = model.find(v)
-            at, size = model.interval(x)
+            x, at, size = model.find(v)
             low[:n] += unit * at.astype(_U)
             span[:n] = unit * size.astype(_U)
             l, s, c = low[:n], span[:n], code[:n]

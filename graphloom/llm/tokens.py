@@ -130,6 +130,7 @@ class Encoder:
         self.added = [t["content"] for t in rules.get("added_tokens") or []]
         self.cache = _Cache(cache_entries)
         self.merge = self.tokenizer.model.tokenize
+        self.units: dict[str, bytes] = {}  # ids of what the merge model saw: words come with many marks behind them
         self.feed = self.whole("\n") if self.kept else b""
 
     def vocabulary(self) -> int:
@@ -156,8 +157,11 @@ class Encoder:
 
     def _run(self, text: str) -> bytes:
         """Ids of a text that is one unit to the merge model."""
-        shown = text.replace(" ", "Ġ") if text.isascii() else text.encode().decode("latin-1").translate(_LETTERS)
-        return array("I", [t.id for t in self.merge(shown)]).tobytes()
+        found = self.units.get(text)
+        if found is None:
+            shown = text.replace(" ", "Ġ") if text.isascii() else text.encode().decode("latin-1").translate(_LETTERS)
+            found = self.units[text] = array("I", [t.id for t in self.merge(shown)]).tobytes()
+        return found
 
     def _letters(self, lead: str, letters: str) -> bytes:
         if not self.kept:
@@ -197,6 +201,7 @@ class Encoder:
                 new = np.arange(len(hashes))
                 distinct, first = np.unique(hashes, return_index=True)
                 self.cache.clear(len(distinct))
+                self.units.clear()
             raw = data.tobytes()
             self.cache.add(distinct, [self._learn(raw[a:b].decode()) for a, b in zip(starts[new[first]].tolist(), ends[new[first]].tolist())])
             entry[new] = self.cache.find(hashes[new])

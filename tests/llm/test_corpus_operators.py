@@ -253,6 +253,22 @@ def test_block_files(spark, block_ids, tmp_path):
         at += len(ids)
 
 
+def test_blocks_stand_by_what_they_hold(spark, tmp_path):
+    """Written by one task, as by many, with null ids too; a changed index is noticed."""
+    rows = ROWS + [(None, "no id", "en", "a")]
+    path = str(tmp_path / "one")
+    blocks.coded(documents(spark, rows), WORDS, block_ids=300).coalesce(1).write.parquet(path)
+    table = spark.read.parquet(path)
+    got = sorted(blocks.decoded(table).collect(), key=lambda r: r.start)
+    truth = sorted(ids_by_hand(WORDS, 1, rows), key=lambda r: -1 if r[0] is None else r[0])
+    assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in got] == [(i, len(x), zlib.crc32(x.tobytes())) for i, x in truth]
+    assert [r.start for r in got] == np.cumsum([0, *[len(x) for _, x in truth]])[:-1].tolist()
+    longer = F.transform("lengths", lambda n, k: F.when(k == 0, n + 1).otherwise(n))
+    for changed in (table.withColumn("lengths", longer), table.withColumn("doc_ids", F.transform("doc_ids", lambda i: i + 1)), table.withColumn("n_ids", F.col("n_ids") + 1)):
+        with pytest.raises(Exception, match="damaged block index"):
+            blocks.decoded(changed).collect()
+
+
 def test_block_files_empty(spark, tmp_path):
     path = str(tmp_path / "none")
     blocks.coded(empty(spark), WORDS).write.parquet(path)
