@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.coder import decode_block, encode_block
-from graphloom.llm.frames import shuffle_width, tables, written
+from graphloom.llm.frames import shuffle_width, small, tables, written
 from graphloom.llm.tokens import encoder, texts
 from graphloom.llm.words import batches
 
@@ -118,7 +118,7 @@ def decoded(blocks: DataFrame, doc_id: str = "doc_id", with_ids: bool = False) -
                     out["ids"] = pa.array([bytes(c) for c in cuts], pa.binary())
                 yield pa.RecordBatch.from_pydict(out)
 
-    found = blocks.join(starts, F.col("part").eqNullSafe(F.col("p")) & (F.col("block") == F.col("b")))
+    found = blocks.join(small(starts), F.col("part").eqNullSafe(F.col("p")) & (F.col("block") == F.col("b")))
     rows = found.select("part", "block", "n_ids", "base", "index_crc32", "doc_ids", "lengths", "payload")
     docs = rows.mapInArrow(decode, "_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))
     return docs.withColumnRenamed("_id", doc_id)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,17 +9,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.plans.storage import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in a local session where that is unset (tests) one made here."""
-    sc = spark.sparkContext
-    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not known:
-        if not sc.master.startswith("local") or "cluster" in sc.master:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        known = f"file://{tempfile.mkdtemp(prefix='graphloom-')}"
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/")
+BROADCAST_BYTES = 64 << 20
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -31,6 +22,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, marked for broadcast if its rows, measured, take at most ``limit`` bytes; else Spark joins it by shuffle."""
+    texts = [c for c, kind in df.dtypes if kind in ("string", "binary")]
+    size = F.lit(16 + 16 * len(df.columns))
+    for c in texts:
+        size = size + F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0))
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most ``rows`` rows for what is run inside: texts of a whole default batch can be tens of megabytes in either process."""

@@ -3,11 +3,14 @@
 A Boolean query over trigrams is derived from each rule's regular expression:
 strings that every match must contain give conjunctions of their trigrams,
 alternatives give disjunctions. The trigrams that occur in the queries are
-indexed: one posting (trigram, document) for each that the lower-cased text
-contains. The postings of a document meet again under its key, where each
-rule's query is evaluated; only the (rule, document) pairs that pass are verified
-with the rule's pattern. Rules without mandatory trigrams (a bare hex run) are
-verified in every document.
+indexed by the lower-cased texts that contain them: a row of the index is a
+trigram, a block of documents and the sorted keys of those in the block that have
+it, so a trigram that a third of all documents contain is many rows of bounded
+size. Per block the lists of a rule's trigrams are intersected and united as its
+query says; what is left are its candidates, which alone are verified with the
+rule's pattern. Rules without mandatory trigrams (a bare hex run) are verified in
+every document. Only keys are shuffled: texts stay where they are, and candidates
+come to them.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import spans as S
-from graphloom.llm.frames import tables
+from graphloom.llm.frames import small, tables, written
 
 try:
     from re import _constants as _ops
@@ -31,6 +34,7 @@ except ImportError:  # before Python 3.11
     import sre_parse as _parser
 
 _MOST_STRINGS = 64
+BLOCK_KEYS = 8192  # documents of a block of the index
 
 
 @dataclass(frozen=True)
@@ -150,26 +154,29 @@ def trigrams(query: Query) -> set[str]:
     return set() if query is True else set().union(*(trigrams(p) for p in query[1]))
 
 
-def _holds(query: Query, present: Column) -> Column:
-    if query is True:
-        return F.lit(True)
-    if isinstance(query, str):
-        return F.array_contains(present, query)
-    return reduce(Column.__and__ if query[0] == "and" else Column.__or__, [_holds(p, present) for p in query[1]])
-
-
-def postings(keyed: DataFrame, key: str, text: str, wanted: list[str]) -> DataFrame:
-    """(trigram, key): the inverted index, restricted to ``wanted``."""
+def inverted_index(keyed: DataFrame, key: str, text: str, wanted: list[str], block_keys: int = BLOCK_KEYS) -> DataFrame:
+    """(trigram, block, keys): the posting lists of ``wanted``, written to the shared folder. ``key`` is a long; rows that share one are one document."""
+    blocks = max(1, -(-keyed.count() // block_keys))
     lowered = keyed.select(key, F.lower(text).alias("_low"))
     held = F.filter(F.array(*[F.lit(t) for t in wanted]), lambda t: F.contains(F.col("_low"), t))
-    return lowered.select(F.explode(held).alias("trigram"), key)
+    postings = lowered.select(F.explode(held).alias("trigram"), F.col(key).alias("_k"))
+    lists = postings.groupBy("trigram", F.pmod("_k", F.lit(blocks)).alias("block")).agg(F.array_sort(F.collect_set("_k")).alias("keys"))
+    return written(lists.sortWithinPartitions("trigram", "block"), "index")
+
+
+def _listed(query: Query, lists: Column) -> Column:
+    """The keys of a block that satisfy a query, from its posting lists by trigram."""
+    if isinstance(query, str):
+        return F.coalesce(F.element_at(lists, query), F.array().cast("array<long>"))
+    return reduce(F.array_intersect if query[0] == "and" else F.array_union, [_listed(p, lists) for p in query[1]])
 
 
 def candidates(index: DataFrame, key: str, rules: dict[str, Query]) -> DataFrame:
-    """(key, rules that may match): the postings of each document intersected and united as the queries say."""
-    met = index.groupBy(key).agg(F.collect_set("trigram").alias("_present"))
-    passed = F.filter(F.array(*[F.when(_holds(q, F.col("_present")), F.lit(name)) for name, q in rules.items()]), lambda r: r.isNotNull())
-    return met.select(key, passed.alias("_rules")).where(F.size("_rules") > 0)
+    """(key, _rules): which rules may match a document, none of them a rule without trigrams."""
+    blocks = index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "keys"))).alias("lists"))
+    passed = F.array(*[F.struct(F.lit(name).alias("rule"), _listed(q, F.col("lists")).alias("keys")) for name, q in rules.items()])
+    pairs = blocks.select(F.explode(passed).alias("p")).select("p.rule", F.explode("p.keys").alias(key))
+    return pairs.groupBy(key).agg(F.collect_set("rule").alias("_rules"))
 
 
 def find_secrets(documents: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -181,15 +188,15 @@ def find_secrets(documents: DataFrame, text: str = "text", rules: tuple[Rule, ..
     queries = {r.name: trigram_query(r.pattern) for r in rules}
     indexed = {n: q for n, q in queries.items() if q is not True}
     wanted = sorted(set().union(*(trigrams(q) for q in indexed.values()))) if indexed else []
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    body = S.safe(F.coalesce(F.col(text).cast("string"), F.lit("")))
     packed = documents.select(F.struct("*").alias("_row"), body.alias("_body"))
     # a key from every plain column: copies of a text have keys of their own, rows alike throughout share one
     plain = [F.col(f"_row.`{c}`") for c, kind in documents.dtypes if c != text and not re.match("array|map|struct|variant|void", kind)]
     keyed = packed.withColumn("_key", F.xxhash64(F.lit(7), "_body", *plain))
     rows = keyed
     if wanted:
-        found = candidates(postings(keyed, "_key", "_body", wanted), "_key", indexed)
-        rows = keyed.join(found, "_key", "left")
+        found = candidates(inverted_index(keyed, "_key", "_body", wanted), "_key", indexed)
+        rows = keyed.join(small(written(found, "candidates")), "_key", "left")
     else:
         rows = keyed.withColumn("_rules", F.array().cast("array<string>"))
     parts = []

@@ -200,6 +200,24 @@ def test_secrets(spark):
     assert sorted(got.columns) == sorted(documents(spark).columns)
 
 
+@pytest.mark.parametrize("block_keys", [8192, 2])
+def test_index_gives_each_rule_its_candidates(spark, block_keys):
+    """Against the query evaluated on every text by itself."""
+
+    def holds(q, text):
+        return q in text if isinstance(q, str) else (all if q[0] == "and" else any)(holds(p, text) for p in q[1])
+
+    texts = SECRETS + ["pass the word", "tokens", "a sec, a ret", "xoxb", "api key", ""] + [t for _, t, *_ in ROWS if t]
+    queries = {r.name: q for r in secrets.RULES if (q := secrets.trigram_query(r.pattern)) is not True}
+    wanted = sorted(set().union(*map(secrets.trigrams, queries.values())))
+    keyed = spark.createDataFrame(list(enumerate(texts)), "_key long, _body string")
+    index = secrets.inverted_index(keyed, "_key", "_body", wanted, block_keys)
+    assert index.groupBy("trigram", "block").count().where("count > 1").count() == 0
+    got = {r["_key"]: set(r["_rules"]) for r in secrets.candidates(index, "_key", queries).collect()}
+    truth = {k: {n for n, q in queries.items() if holds(q, t.lower())} for k, t in enumerate(texts)}
+    assert got == {k: v for k, v in truth.items() if v}
+
+
 def test_trigram_queries_are_mandatory():
     """Whatever matches must satisfy its rule's query."""
 
@@ -215,6 +233,18 @@ def test_trigram_queries_are_mandatory():
     assert secrets.trigram_query("(abc)?def") == "def" and secrets.trigram_query("(?:abc)+x*") == "abc"
 
 
+def test_spans_in_texts_with_many_matches(spark):
+    """Places add up over thousands of matches, and beside the characters that mark them."""
+    texts = ["", "x", "7", "ab12cd345 \ufdd0 9", "1\ufdd1\ufdd0é2 " * 700, "5.5 " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", S.find(S.safe(F.col("t")), "[0-9]+", "n", 0, context=True).alias("f"))
+    for r in df.collect():
+        truth = list(re.finditer("[0-9]+", texts[r.i]))
+        assert [(x.start, x.end, x.match) for x in r.f] == [(m.start(), m.end(), m[0]) for m in truth]
+        edges = [0, *[m.end() for m in truth]]
+        marks = lambda t: re.sub("[\ufdd0\ufdd1]", "\ufdd2", t)
+        assert [x.before for x in r.f] == [marks(texts[r.i][a : m.start()][-30:]) for a, m in zip(edges, truth)]
+
+
 def test_redaction(spark):
     df = documents(spark, [(1, "é token=abcdefgh12 end", "en", "a"), (2, "clean", "en", "a"), (3, None, "en", "a")])
     got = secrets.find_secrets(df).select("doc_id", S.redacted(F.col("text"), F.col("spans")).alias("t"))
