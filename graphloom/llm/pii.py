@@ -1,31 +1,39 @@
 """Personal data by weak supervision, in DataFrame operations only.
 
-Strict patterns (with checks such as Luhn's) give the base spans. Looser patterns
-give further candidates: spelled-out addresses, telephone numbers without a
-plus, names after a title. Regex, gazetteer and context labelers each vote yes
-(1), no (-1) or nothing (0) on every candidate, base spans included. Only how
-often each combination of votes occurs goes to the driver, at most 3**6 rows per
-kind and length class whatever the input; there expectation-maximisation
-(Dawid-Skene) estimates how reliable each labeler is, and a logistic classifier
-is trained on the resulting soft labels. It becomes an SQL expression that
-decides which candidates are spans. Base spans stay whatever it says.
+Strict patterns (with checks such as Luhn's) give the base spans. What the strict
+patterns match and the checks drop, and what looser patterns find (spelled-out
+addresses, addresses without a domain, telephone numbers without a plus, long
+network addresses, names), are further candidates. Regex, gazetteer and context
+labelers each vote yes (1), no (-1) or nothing (0) on every candidate, base spans
+included. Only how often each combination of votes and surroundings occurs goes
+to the driver: at most 3**8 votes by a few dozen classes a kind, whatever the
+input. There, for each kind by itself, expectation-maximisation (Dawid-Skene)
+estimates how reliable each labeler is, and a logistic classifier is trained on
+the resulting soft labels. It becomes an SQL expression that decides which
+candidates are spans. Base spans stay whatever it says.
+
+Candidates are found once: the table of them is written, learned from and read
+again for the decisions.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import spans as S
-from graphloom.llm.frames import tables
+from graphloom.llm.frames import tables, written
 
 KINDS = ("email", "ip", "card", "phone", "name")
 BASE_KINDS = KINDS[:4]
-LABELERS = ("shape", "cue_before", "cue_against", "boundary", "variety", "gazetteer")
+LABELERS = ("strict", "shape", "gazetteer", "cue_before", "cue_after", "cue_against", "boundary", "variety")
+SIZES, EDGES = 4, 5
 
 # The base patterns. A match starts where a run of its first class starts, or where the match before
 # ended; that is where the plain pattern's leftmost match starts, without trying every place within a run.
@@ -36,205 +44,297 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IP_PARTS = rf"^{_PART}(?:\.{_PART}){{3}}$"
 # The looser patterns.
-_LOOSE_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[(\[](?:at|AT)[)\]] ?[A-Za-z0-9-]{1,63} ?(?:\.|[(\[](?:dot|DOT)[)\]]) ?[A-Za-z]{2,12}"
-_LOOSE_PHONE = r"(?<![0-9+.(-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])"
-_NAME = r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20})?"
+_SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[(\[{] ?(?:at|AT) ?[)\]}] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[(\[{] ?(?:dot|DOT) ?[)\]}]) ?[A-Za-z0-9-]{2,63}){1,4}"
+_SPACED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ @ [A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{2,63}){0,4}"
+_HOSTED = r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?![A-Za-z0-9@]|\.[A-Za-z0-9-])"
+_LONG_IP = r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"
+_LOCAL = r"(?<![0-9+.(/-])(?<![0-9][ /.-])\(?[0-9]{2,5}\)?[ ./-]{1,2}[0-9]{2,8}(?:[ .-][0-9]{2,8}){0,4}(?![0-9])"
+_TITLED = r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.? \p{Lu}\p{L}{1,20}(?:[ -]\p{Lu}\p{L}{1,20}){0,2}"
+_NAMED = r"(?<=(?:[Mm]y|[Ff]ull|[Yy]our) name is |[Nn]ame: |[Nn]amed )\p{Lu}\p{L}{1,20}(?: \p{Lu}\p{L}{1,20}){0,2}"
 # Cue words and gazetteers.
 _CUES = {
-    "email": "mail|contact|write|address|reach",
-    "ip": r"\bip\b|host|server|addr|login|client",
-    "card": "card|visa|master|amex|pay|credit",
-    "phone": "tel|phone|call|fax|mobile|cell|contact|dial",
-    "name": "dear|contact|attn|regards|by|from",
+    "email": r"mail|contact|write|address|reach|send",
+    "ip": r"\bip\b|ipv6|host|server|addr|login|client|\bfrom\b|ping",
+    "card": r"card|visa|master|amex|pay|credit|debit|carte|karte|tarjeta",
+    "phone": r"tel|phone|call|fax|mobile|cell|contact|dial|whatsapp|ruf|hotline",
+    "name": r"dear|contact|attn|regards|name|\bby\b|\bfrom\b|signed",
 }
-_AGAINST = r"isbn|order|version|\bv\b|page|invoice|serial|[$€£#]\s?$"
+_FOLLOWING = {
+    "email": r"^[>)\]]",
+    "ip": r"^(?::[0-9]{2,5}\b|/[0-9]{1,2}\b)",
+    "card": r"^[ ,;(]{0,3}(?:exp|cvv|cvc|valid)",
+    "phone": r"^[ ,;(]{0,3}(?:ext|x[0-9])",
+    "name": r"^[ ,]{1,2}(?:said|wrote|is|was|born|ph)\b",
+}
+_AGAINST = r"(?:isbn|issn|order|version|release|\bver|\bv|page|pp|invoice|serial|section|chapter|model|part|item|total|score|no\.|nr\.?|#|[$€£])[ .:#]*$"
 _KNOWN = {
-    "email": r"gmail|yahoo|outlook|hotmail|proton|example\.(?:com|org|net)",
-    "ip": r"^(?:10|127|172|192)\.",
-    "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6)",
-    "phone": r"^(?:\+1|\+33|\+34|\+44|\+49|\(?0|\(?[2-9][0-9]{2}\)?[ .-])",
-    "name": r"(?:Smith|Jones|Brown|Miller|Davis|Garcia|Martin|Bernard|Müller|Schmidt|Weber|Lopez)",
+    "email": r"(?i)[. )\]}](?:com|org|net|edu|gov|io|info|biz|de|fr|es|it|uk|us|eu|nl|ch|at|ca|au|jp|in|br|ru|pl|se|no|dk)$",
+    "ip": r"^(?:[1-9]|[1-9][0-9]|1[0-9][0-9]|2[01][0-9]|22[0-3])\.|:",
+    "card": r"^(?:4|5[1-5]|2[2-7]|3[0-9]|6)",
+    "phone": r"^(?:\+[1-9]|00[1-9]|\(?0[1-9]|\(?[2-9][0-9]{2}\)?[ .-][2-9])",
+    "name": r"(?:John|James|Mary|Anna|Peter|Paul|Maria|Thomas|Michael|David|Sarah|Laura|Smith|Jones|Brown|Miller|Davis|Garcia|Martin|Bernard|Müller|Schmidt|Weber|Lopez|Wilson|Taylor|Fischer|Dubois|Moreau|Fernández|Sánchez)",
 }
 _DIGITS = "[^0-9]"
 
+SPAN_FIELDS = ("start", "rank", "end", "kind", "match")
 
-def base_spans(text: Column) -> Column:
-    """The strict spans of a non-null text."""
 
-    def digits(match: Column) -> Column:
-        return F.regexp_replace(match, _DIGITS, "")
+def _digits(match: Column) -> Column:
+    return F.regexp_replace(match, _DIGITS, "")
+
+
+def _card_passes(match: Column) -> Column:
+    return (F.length(_digits(match)) <= 19) & F.call_function("luhn_check", _digits(match))
+
+
+def _strict(text: Column) -> Column:
+    """All matches of the base patterns in a safe text, with whether they pass their checks."""
+
+    def checked(found: Column, passes) -> Column:
+        return F.transform(found, lambda s: F.struct(*[s[c].alias(c) for c in (*SPAN_FIELDS, "before", "after")], passes(s["match"]).alias("base")))
 
     return F.concat(
-        S.find(text, _EMAIL, "email", 0, F.contains(text, F.lit("@"))),
-        S.find(text, _IP, "ip", 1, None, lambda m: m.rlike(_IP_PARTS)),
-        S.find(text, _CARD, "card", 2, None, lambda m: (F.length(digits(m)) <= 19) & F.call_function("luhn_check", digits(m))),
-        S.find(text, _PHONE, "phone", 3, F.contains(text, F.lit("+")), lambda m: F.length(digits(m)).between(9, 15)),
+        checked(S.find(text, _EMAIL, "email", 0, F.contains(text, F.lit("@")), context=True), lambda m: F.lit(True)),
+        checked(S.find(text, _IP, "ip", 1, F.contains(text, F.lit(".")), context=True), lambda m: m.rlike(_IP_PARTS)),
+        checked(S.find(text, _CARD, "card", 2, context=True), _card_passes),
+        checked(S.find(text, _PHONE, "phone", 3, F.contains(text, F.lit("+")), context=True), lambda m: F.length(_digits(m)).between(9, 15)),
     )
 
 
-def _loose_spans(text: Column) -> Column:
-    return F.concat(
-        S.find(text, _LOOSE_EMAIL, "email", 0),
-        S.find(text, _LOOSE_PHONE, "phone", 3),
-        S.find(text, _NAME, "name", 4),
+def _loose(text: Column) -> Column:
+    def any_of(*words: str) -> Column:
+        return reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in words])
+
+    at = any_of("(at", "[at", "{at", "(AT", "[AT", "{AT", "( at", "[ at", "{ at")
+    found = F.concat(
+        S.find(text, _SPELLED, "email", 0, at, context=True),
+        S.find(text, _SPACED, "email", 0, any_of(" @ "), context=True),
+        S.find(text, _HOSTED, "email", 0, any_of("@"), context=True),
+        S.find(text, _LONG_IP, "ip", 1, any_of(":"), context=True),
+        S.find(text, _LOCAL, "phone", 3, keep=lambda m: F.length(_digits(m)).between(7, 15), context=True),
+        S.find(text, _TITLED, "name", 4, any_of("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Sr"), context=True),
+        S.find(text, _NAMED, "name", 4, any_of(" name is ", "ame: ", "amed "), context=True),
     )
+    return F.transform(found, lambda s: F.struct(*[s[c].alias(c) for c in (*SPAN_FIELDS, "before", "after")], F.lit(False).alias("base")))
+
 
+def base_spans(text: Column) -> Column:
+    """The strict spans of a non-null, safe text."""
+    return F.transform(F.filter(_strict(text), lambda s: s["base"]), lambda s: F.struct(*[s[c].alias(c) for c in SPAN_FIELDS]))
+
+
+def _clear(spans: Column, taken: Column) -> Column:
+    """Those of ``spans`` that overlap none of ``taken``: by binary search in the taken spans of each kind, which ascend."""
+
+    def free(s: Column, own: Column) -> Column:
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(26))])
+        before = F.aggregate(steps, F.lit(0), lambda at, k: F.when((at + k <= F.size(own)) & (F.get(own, at + k - 1)["start"] < s["end"]), at + k).otherwise(at))
+        return (before == 0) | (F.get(own, before - 1)["end"] <= s["start"])
+
+    def of_kind(kind: str) -> Column:
+        return F.filter(taken, lambda b: b["kind"] == kind)
 
-def _by_kind(kind: Column, patterns: dict[str, str], value: Column, yes: int = 1) -> Column:
+    for kind in BASE_KINDS:
+        own = of_kind(kind)
+        spans = S.bound(F.struct(spans.alias("s"), own.alias("own")), lambda x: F.when((F.size(x["own"]) == 0) | (F.size(x["s"]) == 0), x["s"]).otherwise(F.filter(x["s"], lambda s: free(s, x["own"]))))
+    return spans
+
+
+def _by_kind(kind: Column, patterns: dict[str, str], value: Column) -> Column:
     out = F.lit(0)
     for name, pattern in patterns.items():
-        out = F.when(kind == name, F.when(value.rlike(pattern), F.lit(yes)).otherwise(F.lit(0))).otherwise(out)
+        out = F.when(kind == name, F.when(value.rlike(pattern), F.lit(1)).otherwise(F.lit(0))).otherwise(out)
     return out
 
 
-def _votes(text: Column, s: Column) -> Column:
-    match, kind = s["match"], s["kind"]
-    before = F.lower(F.substring(text, F.greatest(s["start"] - 29, F.lit(1)), F.least(s["start"], F.lit(30))))
-    after = F.substring(text, s["end"] + 1, F.lit(2))
-    digits = F.regexp_replace(match, _DIGITS, "")
+def _votes(s: Column) -> Column:
+    match, kind, before, after = s["match"], s["kind"], F.lower(s["before"]), F.lower(s["after"])
+    digits = _digits(match)
     n = F.length(digits)
+    yes, no, none = F.lit(1), F.lit(-1), F.lit(0)
     shape = (
-        F.when(kind == "phone", F.when(n.between(9, 15), F.lit(1)).otherwise(F.lit(-1)))
-        .when(kind == "card", F.when(n.isin(13, 15, 16), F.lit(1)).otherwise(F.lit(0)))
-        .when(kind == "ip", F.when(match.rlike(r"(?:^|\.)0[0-9]"), F.lit(-1)).otherwise(F.lit(1)))
-        .when(kind == "email", F.when(match.rlike(r"[A-Za-z]{2,12}$"), F.lit(1)).otherwise(F.lit(-1)))
-        .otherwise(F.when(match.rlike(" [A-Z][a-z]+ [A-Z]"), F.lit(1)).otherwise(F.lit(0)))
+        F.when(kind == "phone", F.when(n.between(9, 15), yes).when(n < 7, no).otherwise(none))
+        .when(kind == "card", F.when(~F.call_function("luhn_check", digits), no).when(n.isin(13, 15, 16, 19), yes).otherwise(none))
+        .when(kind == "ip", F.when(F.contains(match, F.lit(":")), yes).when(match.rlike(_IP_PARTS), F.when(match.rlike(r"(?:^|\.)0[0-9]"), none).otherwise(yes)).otherwise(no))
+        .when(kind == "email", F.when(match.rlike(r"[. )\]}][A-Za-z]{2,12}$"), yes).when(match.rlike(r"[.) ][A-Za-z0-9-]*$"), none).otherwise(no))
+        .otherwise(F.when(match.rlike(r"\p{L} \p{Lu}\p{L}+ \p{Lu}|^\p{Lu}\p{L}+ \p{Lu}"), yes).otherwise(none))
     )
-    bounded = ~F.coalesce(F.substring(before, -1, 1), F.lit("")).rlike(r"[A-Za-z0-9]") & ~after.rlike(r"^(?:[A-Za-z0-9]|[.,-][0-9])")
+    glued = F.substring(before, -1, 1).rlike(r"[\p{L}0-9_]") | after.rlike(r"^(?:[\p{L}0-9_]|[ .,/-][0-9])")
+    against = before.rlike(_AGAINST) | (kind.isin("phone", "card") & after.rlike(r"^ ?(?:€|\$|£|%|km|kg|pages|copies)"))
+    numeric = kind.isin("phone", "card")
     return F.array(
+        F.when(s["base"], yes).otherwise(none),
         shape,
-        _by_kind(kind, _CUES, before),
-        F.when(before.rlike(_AGAINST), F.lit(-1)).otherwise(F.lit(0)),
-        F.when(bounded, F.lit(1)).otherwise(F.lit(-1)),
-        F.when(kind.isin("phone", "card"), F.when(F.size(F.array_distinct(F.split(digits, ""))) <= 3, F.lit(-1)).otherwise(F.lit(1))).otherwise(F.lit(0)),
         _by_kind(kind, _KNOWN, match),
+        _by_kind(kind, _CUES, before),
+        _by_kind(kind, _FOLLOWING, after),
+        F.when(against, no).otherwise(none),
+        F.when(glued, no).otherwise(yes),
+        F.when(numeric & (F.size(F.array_distinct(F.split(digits, ""))) <= 3), no).otherwise(none),
     )
 
 
+def _edge(c: Column) -> Column:
+    """What stands beside a candidate: nothing, white space, a letter or digit, an opening or closing mark, other."""
+    return F.when(c == "", F.lit(0)).when(c.rlike(r"\s"), F.lit(1)).when(c.rlike(r"[\p{L}0-9]"), F.lit(2)).when(c.rlike(r"[.,;:!?)\]}>]"), F.lit(3)).otherwise(F.lit(4))
+
+
 def _size_class(match: Column) -> Column:
     n = F.length(match)
     return F.when(n < 10, F.lit(0)).when(n < 16, F.lit(1)).when(n < 25, F.lit(2)).otherwise(F.lit(3))
 
 
 @dataclass(frozen=True)
-class SpanModel:
-    """``reliability[labeler]``: P(vote is right | it votes); the classifier's weights."""
+class KindModel:
+    """``reliability[labeler]``: P(vote is right | it votes); the classifier's weights of votes, length classes and the two edges."""
 
     reliability: dict[str, float]
     bias: float
-    vote_weights: tuple[float, ...]
-    kind_weights: dict[str, float]
-    size_weights: tuple[float, ...]
+    votes: tuple[float, ...]
+    sizes: tuple[float, ...]
+    left: tuple[float, ...]
+    right: tuple[float, ...]
+
+    def score(self, votes, size: int, left: int, right: int) -> float:
+        return self.bias + sum(w * v for w, v in zip(self.votes, votes)) + self.sizes[size] + self.left[left] + self.right[right]
+
+    def column(self, s: Column) -> Column:
+        weighed = [F.lit(w) * F.get(s["votes"], F.lit(j)) for j, w in enumerate(self.votes)]
+        classes = [F.get(F.array(*map(F.lit, weights)), s[c]) for weights, c in ((self.sizes, "size"), (self.left, "left"), (self.right, "right"))]
+        return reduce(Column.__add__, weighed + classes, F.lit(self.bias))
+
+
+@dataclass(frozen=True)
+class SpanModel:
+    """One model a kind that had candidates; of other kinds nothing is accepted."""
+
+    kinds: dict[str, KindModel]
 
     def accepts(self, s: Column) -> Column:
-        score = reduce(Column.__add__, [F.lit(w) * s["votes"][j] for j, w in enumerate(self.vote_weights)], F.lit(self.bias))
-        for kind, w in self.kind_weights.items():
-            score = score + F.when(s["kind"] == kind, F.lit(w)).otherwise(F.lit(0.0))
-        for size, w in enumerate(self.size_weights):
-            score = score + F.when(s["size"] == size, F.lit(w)).otherwise(F.lit(0.0))
-        return score > 0
-
-
-def fit(cells: list[tuple[str, bool, tuple[int, ...], int, int]], rounds: int = 50, steps: int = 400) -> SpanModel:
-    """``cells``: (kind, base, votes, length class, how often). No cells give a model that accepts nothing."""
-    cells = sorted(cells)
-    total = sum(c[4] for c in cells)
-    if not total:
-        return SpanModel({n: 0.5 for n in LABELERS}, -1.0, (0.0,) * len(LABELERS), {}, ())
-    belief = [1 / (1 + math.exp(-sum(c[2]))) for c in cells]  # the majority, to begin with
+        out = F.lit(False)
+        for kind, model in self.kinds.items():
+            out = F.when(s["kind"] == kind, model.column(s) > 0).otherwise(out)
+        return out
+
+
+#: (votes, length class, left edge, right edge, how often)
+Cell = tuple[tuple[int, ...], int, int, int, int]
+#: How labelers are thought to vote before any are counted: P(-1, 0, 1) for spans and for others.
+_PRIOR = {1: (0.1, 0.3, 0.6), 0: (0.6, 0.3, 0.1)}
+
+
+def _estimate(cells: list[Cell], rounds: int) -> tuple[np.ndarray, dict[str, float]]:
+    """Dawid-Skene over one kind: (belief that each cell's candidates are spans, reliability of each labeler).
+
+    The prior counts for 4 candidates and a twentieth of all, so that the two classes cannot change places.
+    """
+    votes, count = np.array([c[0] for c in cells]) + 1, np.array([c[4] for c in cells], float)
+    total = count.sum()
+    belief = 1 / (1 + np.exp(-(votes - 1).sum(axis=1).astype(float)))
     for _ in range(rounds):
-        prior = min(0.99, max(0.01, sum(b * c[4] for b, c in zip(belief, cells)) / total))
-        chance: list[dict[tuple[int, int], float]] = []
+        share = (belief @ count + 2) / (total + 4)
+        odds = np.full(len(cells), math.log(share / (1 - share)))
         for j in range(len(LABELERS)):
-            table = {(y, v): 0.5 for y in (0, 1) for v in (-1, 0, 1)}
-            for b, c in zip(belief, cells):
-                table[1, c[2][j]] += b * c[4]
-                table[0, c[2][j]] += (1 - b) * c[4]
-            sums = [sum(table[y, v] for v in (-1, 0, 1)) for y in (0, 1)]
-            chance.append({(y, v): n / sums[y] for (y, v), n in table.items()})
-        new = []
-        for c in cells:
-            odds = math.log(prior / (1 - prior)) + sum(math.log(t[1, v] / t[0, v]) for t, v in zip(chance, c[2]))
-            new.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
-        moved = max(abs(a - b) for a, b in zip(belief, new))
+            chance = []
+            for y, mass in ((1, belief * count), (0, (1 - belief) * count)):
+                table = np.bincount(votes[:, j], weights=mass, minlength=3) + (4 + 0.05 * total) * np.array(_PRIOR[y])
+                chance.append(table / table.sum())
+            odds += np.log(chance[0][votes[:, j]] / chance[1][votes[:, j]])
+        new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        moved = np.abs(new - belief).max()
         belief = new
         if moved < 1e-6:
             break
     reliability = {}
     for j, name in enumerate(LABELERS):
-        right = sum(c[4] * (b if c[2][j] > 0 else 1 - b) for b, c in zip(belief, cells) if c[2][j])
-        cast = sum(c[4] for c in cells if c[2][j])
-        reliability[name] = right / cast if cast else 0.5
-    return _classifier(cells, belief, reliability, steps)
-
-
-def _classifier(cells, belief, reliability, steps: int) -> SpanModel:
-    """Logistic regression on the cells, by gradient steps with a small penalty."""
-    total = sum(c[4] for c in cells)
-    width = len(LABELERS)
-    size_of = 1 + width + len(KINDS) + 4
-
-    def features(c) -> list[float]:
-        out = [1.0, *map(float, c[2])] + [0.0] * (len(KINDS) + 4)
-        out[1 + width + KINDS.index(c[0])] = 1.0
-        out[1 + width + len(KINDS) + c[3]] = 1.0
-        return out
-
-    rows = [(features(c), b, c[4] / total) for b, c in zip(belief, cells)]
-    w = [0.0] * size_of
+        cast = votes[:, j] != 1
+        right = np.where(votes[:, j] > 1, belief, 1 - belief)
+        reliability[name] = float((right * count)[cast].sum() / count[cast].sum()) if cast.any() else 0.5
+    return belief, reliability
+
+
+def _classifier(cells: list[Cell], belief: np.ndarray, reliability: dict[str, float], steps: int) -> KindModel:
+    """Logistic regression on the cells by Newton's steps with a small penalty."""
+    hot = lambda k, n: np.eye(n)[k]
+    x = np.concatenate([np.ones((len(cells), 1)), np.array([c[0] for c in cells], float), *[hot([c[k] for c in cells], n) for k, n in ((1, SIZES), (2, EDGES), (3, EDGES))]], axis=1)
+    share = np.array([c[4] for c in cells], float)
+    share /= share.sum()
+    w = np.zeros(x.shape[1])
     for _ in range(steps):
-        gradient = [0.001 * x for x in w]
-        for x, y, share in rows:
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(w, x))))))
-            for k, v in enumerate(x):
-                gradient[k] += share * (p - y) * v
-        w = [a - 0.5 * g for a, g in zip(w, gradient)]
-    w = [round(x, 6) for x in w]
-    return SpanModel(reliability, w[0], tuple(w[1 : 1 + width]), dict(zip(KINDS, w[1 + width : 1 + width + len(KINDS)])), tuple(w[-4:]))
-
-
-def with_candidates(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``_row`` (all columns), ``_base`` (spans) and ``_cands``: base and loose candidates with their votes."""
-    rows = documents.select(F.struct("*").alias("_row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_body"))
-    rows = rows.select("_row", "_body", base_spans(F.col("_body")).alias("_base"), _loose_spans(F.col("_body")).alias("_loose"))
-    free = F.filter("_loose", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    voted = lambda spans, base: F.transform(
-        spans,
-        lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["match"].alias("match"), F.lit(base).alias("base"), _votes(F.col("_body"), s).alias("votes"), _size_class(s["match"]).alias("size")),
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (share * (p - belief)) + 0.001 * w
+        curve = (x * (share * p * (1 - p))[:, None]).T @ x + 0.001 * np.eye(len(w))
+        step = np.linalg.solve(curve, gradient)
+        w -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    w = [round(float(v), 6) for v in w]
+    cuts = np.cumsum([1, len(LABELERS), SIZES, EDGES, EDGES])
+    return KindModel(reliability, w[0], *[tuple(w[a:b]) for a, b in zip(cuts, cuts[1:])])
+
+
+def fit(cells: dict[str, list[Cell]], rounds: int = 100, steps: int = 60) -> SpanModel:
+    """One model for each kind with cells. The order of cells does not matter."""
+    kinds = {}
+    for kind, own in sorted(cells.items()):
+        own = sorted(c for c in own if c[4])
+        if own:
+            belief, reliability = _estimate(own, rounds)
+            kinds[kind] = _classifier(own, belief, reliability, steps)
+    return SpanModel(kinds)
+
+
+def with_candidates(documents: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``_row`` (all columns, or those of ``keep``), ``_base`` (spans) and ``_cands``: base and other candidates with
+    votes, length class and edges."""
+    held = F.struct(*[F.col(f"`{c}`") for c in (documents.columns if keep is None else keep)])
+    rows = documents.select(held.alias("_row"), S.safe(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("_body"))
+    rows = rows.select("_row", _strict(F.col("_body")).alias("_strict"), _loose(F.col("_body")).alias("_loose"))
+    rows = rows.withColumn("_passed", F.filter("_strict", lambda s: s["base"]))
+    # cards and telephone numbers of wild lengths are no candidates
+    failed = F.filter("_strict", lambda s: ~s["base"] & (F.length(s["match"]) <= 40))
+    others = F.when((F.size("_loose") == 0) & (F.size("_strict") == F.size("_passed")), F.col("_loose")).otherwise(_clear(F.concat(failed, F.col("_loose")), F.col("_passed")))
+    voted = F.transform(
+        F.concat("_passed", others),
+        lambda s: F.struct(*[s[c].alias(c) for c in (*SPAN_FIELDS, "base")], _votes(s).alias("votes"), _size_class(s["match"]).alias("size"), _edge(F.substring(s["before"], -1, 1)).alias("left"), _edge(F.substring(s["after"], 1, 1)).alias("right")),
     )
-    return rows.select("_row", "_base", F.concat(voted(F.col("_base"), True), voted(free, False)).alias("_cands"))
+    return rows.select("_row", F.transform("_passed", lambda s: F.struct(*[s[c].alias(c) for c in SPAN_FIELDS])).alias("_base"), voted.alias("_cands"))
 
 
-def learn(documents: DataFrame, text: str = "text") -> SpanModel:
-    """Fit on every candidate of every document; only the counts of vote combinations are collected."""
-    cands = with_candidates(documents.select(text), text).where(F.size("_cands") > 0).select(F.explode("_cands").alias("s"))
-    cells = cands.groupBy("s.kind", "s.base", "s.votes", "s.size").count().collect()
-    return fit([(r["kind"], r["base"], tuple(r["votes"]), r["size"], r["count"]) for r in cells])
+def learn(candidates: DataFrame) -> SpanModel:
+    """Fit on every candidate of ``with_candidates``; only counts of combinations are collected."""
+    cands = candidates.where(F.size("_cands") > 0).select(F.explode("_cands").alias("s"))
+    cells: dict[str, list[Cell]] = defaultdict(list)
+    for r in cands.groupBy("s.kind", "s.votes", "s.size", "s.left", "s.right").count().collect():
+        cells[r["kind"]].append((tuple(r["votes"]), r["size"], r["left"], r["right"], r["count"]))
+    return fit(cells)
 
 
-def find_personal_data(documents: DataFrame, text: str = "text", model: SpanModel | None = None) -> DataFrame:
+def find_personal_data(documents: DataFrame, text: str = "text", model: SpanModel | None = None, keep: list[str] | None = None) -> DataFrame:
     """``documents`` with ``base_spans`` and ``spans`` (start, rank, end, kind, match), the latter with the accepted candidates.
 
-    Null texts count as empty and have none. All columns stay; those of these two names are replaced. Rows that repeat
-    are scanned each; an empty table trains a model that accepts nothing.
+    Null texts count as empty and have none. All columns stay, or those of ``keep``; those of these two names are
+    replaced. Rows that repeat are scanned each; an empty table trains a model that accepts nothing. Without a ``model``
+    the candidates are written to the shared folder, with the columns that stay, and learned from.
     """
-    model = model or learn(documents, text)
-    rows = with_candidates(documents, text)
-    added = F.transform(
-        F.filter("_cands", lambda s: ~s["base"] & model.accepts(s)),
-        lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["match"].alias("match")),
-    )
     taken = ("base_spans", "spans")
+    kept = [c for c in (documents.columns if keep is None else keep) if c not in taken]
+    numbered = documents.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(kept)], F.col(f"`{text}`").alias("_source"))
+    rows = with_candidates(numbered, "_source", [f"_c{k}" for k in range(len(kept))] or ["_source"])
+    if model is None:
+        rows = written(rows, "candidates")
+        model = learn(rows)
+    added = F.transform(F.filter("_cands", lambda s: ~s["base"] & model.accepts(s)), lambda s: F.struct(*[s[c].alias(c) for c in SPAN_FIELDS]))
     return rows.select(
-        *[F.col(f"_row.`{c}`").alias(c) for c in documents.columns if c not in taken],
+        *[F.col(f"_row._c{k}").alias(c) for k, c in enumerate(kept)],
         F.array_sort("_base").alias("base_spans"),
-        F.array_sort(F.concat("_base", added)).alias("spans"),
+        F.array_sort(F.concat("_base", F.array_distinct(added))).alias("spans"),
     )
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op8: the personal data of every document."""
-    found = find_personal_data(tables(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    found = find_personal_data(tables(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return found.select(
         "doc_id",
         *[S.count(F.col("base_spans"), k).alias(f"n_{k}") for k in BASE_KINDS],
