@@ -19,11 +19,23 @@ def shared_folder(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """``df`` written to the shared folder and read back."""
+def cut_at(df: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read back, and its path there."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    return cut_at(df, name)[0]
+
+
+def remove(spark: SparkSession, path: str | None) -> None:
+    """Delete a table that nothing reads any more."""
+    if path:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def resume(spark: SparkSession, path: str, name: str) -> tuple[int, DataFrame] | None:
