@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.plans.storage import shared_folder
+from graphloom.plans.storage import cut as written  # noqa: F401  the operators' name for it
 
 BROADCAST_BYTES = 64 << 20
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: a cut in the lineage that outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+LEAST_HOT, MOST_HOT = 1000, 100_000
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -32,6 +24,18 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if total <= limit else df
 
 
+def beside_group(rows: DataFrame, key: str, groups: DataFrame, size: str, total: int) -> DataFrame:
+    """``rows`` joined to ``groups``, one row a key, whose column ``size`` says how many rows each key has; ``total`` is their sum.
+
+    Keys with over a thousand rows and a 100,000th of all, 100,000 of them at most, are joined by broadcast, so that their
+    rows stay where they are; a shuffle then meets no key with many rows.
+    """
+    limit = max(LEAST_HOT, total // MOST_HOT)
+    hot = F.broadcast(groups.where(F.col(size) > limit))
+    rest = rows.join(hot.select(key), key, "left_anti").join(groups.where(F.col(size) <= limit), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most ``rows`` rows for what is run inside: texts of a whole default batch can be tens of megabytes in either process."""

@@ -2,15 +2,17 @@
 
 1. Every document becomes the set of its hashed word ``n``-grams and 128 MinHash
    values of it; documents with equal sets (copies) become one class.
-2. Bands of four values bring together classes that may be similar. Large
-   buckets are cut into blocks, and blocks meet pairwise.
+2. Bands of four values bring together classes that may be similar. Buckets that
+   are too large for one task are cut into blocks, and blocks meet pairwise.
 3. Within a bucket pairs are compared a few MinHash values at a time. After each
    step a pair is dropped if, given its matches so far, the posterior probability
    that its similarity reaches the threshold is below ``tolerance`` (uniform
    prior, so the posterior is a Beta distribution). What is left forms clusters.
 4. A cluster's pairs are verified exactly on their n-gram sets, again block by
    block. Links are counted where they are found and only chains of linked
-   classes leave a task, so a group of m near copies costs no m**2 rows.
+   classes leave a task, so a group of m near copies costs no m**2 rows; that
+   they are counted takes m**2 comparisons, and a set is sent to as many tasks as
+   its cluster has blocks of 2,048 sets or 16 MB.
 
 Four values a band and 32 bands miss a pair at the threshold 0.8 with probability
 5e-8, and the default tolerance adds about as little.
@@ -23,18 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import components
-from graphloom.llm.frames import shuffle_width, tables, written
+from graphloom.llm.frames import beside_group, shuffle_width, small, tables, written
 from graphloom.llm.words import ALNUM_WORDS, Words, batches, lower_ascii, mix64, utf8
 
 N, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 HASHES, BAND = 128, 4
 STEPS = (16, 32, 64, 128)
-BLOCK = 512
-MAX_BROADCAST = 2_000_000
+BUCKET_BLOCK = 8192  # classes of a bucket's block: 2 MB of signatures
+BLOCK, BLOCK_BYTES = 2048, 16 << 20  # sets of a cluster's block
 _U = np.uint64
 _PRIMES = mix64(np.arange(1, 2 * HASHES + 1, dtype=_U))
 _FACTOR = (_PRIMES[:HASHES] >> _U(32)).astype(np.uint32) | np.uint32(1)
@@ -148,9 +150,9 @@ def _cuts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _blocked(rows: DataFrame, group: str, member: str, total: str, block: int) -> DataFrame:
-    """Rows with (lo, hi): groups over ``block`` members are cut into blocks by hash, and a row is in every pair of its block with another or itself."""
-    n = F.ceil(F.col(total) / block).cast("int")
+def _blocked(rows: DataFrame, member: str, blocks: Column) -> DataFrame:
+    """Rows with (lo, hi): a group of ``blocks`` blocks is cut by hash, and a row is in every pair of its block with another or itself."""
+    n = blocks.cast("int")
     own = F.pmod(F.xxhash64(member, F.lit(11)), n).cast("int")
     rows = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), n - 1)))
     return rows.select("*", F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi")).drop("_other")
@@ -175,7 +177,8 @@ def _candidate_edges(classes: DataFrame, least: dict[int, int], block: int) -> D
     """(u, v): pairs of classes, or chains of them, that the pruning leaves."""
     bands = _bands(classes)
     full = bands.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
-    met = _blocked(bands.join(full, "band"), "band", "v", "m", block)
+    shared = beside_group(bands, "band", full, "m", classes.count() * HASHES // BAND)
+    met = _blocked(shared, "v", F.ceil(F.col("m") / block))
     with_sig = met.select("band", "lo", "hi", "v").join(classes.select("v", "sig"), "v")
     dealt = with_sig.repartition(shuffle_width(classes.sparkSession), "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
 
@@ -210,7 +213,7 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections."""
     m = len(sets)
     if m <= 4:
-        out = np.zeros((m, m))
+        out = np.zeros((m, m), np.float32)
         for i in range(m):
             for j in range(i + 1, m):
                 out[i, j] = out[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -223,7 +226,7 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     rows, columns = rows[keep], number[inverse[keep]]
     order = np.argsort(columns, kind="stable")
     rows, columns = rows[order], columns[order]
-    out, width = np.zeros((m, m), np.float64), 8192
+    out, width = np.zeros((m, m), np.float32), 2048
     for at in range(0, int(shared.sum()), width):
         lo, hi = np.searchsorted(columns, [at, at + width])
         dense = np.zeros((m, width), np.float32)
@@ -237,23 +240,25 @@ def _verified(documents: DataFrame, doc_id: str, text: str, n: int, threshold: f
     spark = documents.sparkSession
     # a cluster's least class is in it too
     members = clusters.union(clusters.select(F.col("v").alias("u"), "v").distinct()).select(F.col("u").alias("v"), F.col("v").alias("cluster"))
-    sized = members.join(members.groupBy("cluster").agg(F.count("*").alias("m")), "cluster")
-    needed = written(classes.select("v", "rep", "copies").join(sized, "v"), "needed")
+    known = written(classes.select("v", "rep", "copies", "size").join(members, "v"), "members")
+    blocks = known.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("size") * 8 / BLOCK_BYTES)).alias("blocks"))
+    large = small(written(blocks.where("blocks > 1"), "large"))
+    needed = written(known.join(large, "cluster", "left").drop("size").fillna(1, ["blocks"]), "needed")
     rows = documents.select(F.col(doc_id).alias("rep"), F.col(text).cast("string").alias("_text"))
-    known = F.broadcast(needed) if needed.count() <= MAX_BROADCAST else needed
-    source = rows.join(known, rows["rep"].eqNullSafe(known["rep"])).select("v", "copies", "cluster", "m", "_text")
+    sent = small(needed)
+    source = rows.join(sent, rows["rep"].eqNullSafe(sent["rep"])).select("v", "copies", "cluster", "blocks", "_text")
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, "_text"):
             sets = _sets(batch, "_text", n)
             own = pa.array([_key(s)[0] for s in sets], pa.int64())
-            out = {c: batch.column(c) for c in ("v", "copies", "cluster", "m")} | {"grams": pa.array([s.tobytes() for s in sets], pa.binary())}
+            out = {c: batch.column(c) for c in ("v", "copies", "cluster", "blocks")} | {"grams": pa.array([s.tobytes() for s in sets], pa.binary())}
             import pyarrow.compute as pc
 
             yield pa.RecordBatch.from_pydict(out).filter(pc.equal(own, batch.column("v")))  # rows that share an id
 
-    sets = source.mapInArrow(read, "v long, copies long, cluster long, m long, grams binary")
-    dealt = _blocked(sets, "cluster", "v", "m", block).repartition(shuffle_width(spark), "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "_own", "v")
+    sets = source.mapInArrow(read, "v long, copies long, cluster long, blocks long, grams binary")
+    dealt = _blocked(sets, "v", F.col("blocks")).repartition(shuffle_width(spark), "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "_own", "v")
 
     def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in _groups(it, ["cluster", "lo", "hi"]):
@@ -266,14 +271,9 @@ def _verified(documents: DataFrame, doc_id: str, text: str, n: int, threshold: f
                 if len(at) < 2:
                     continue
                 parts = [np.frombuffer(grams[int(k)].as_py(), _U) for k in at]
-                sizes = np.array([len(p) for p in parts], np.float64)
-                common = _common(parts)
-                linked = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-9
-                np.fill_diagonal(linked, False)
-                if lo[a] != hi[a]:
-                    linked &= own[at][:, None] != own[at][None, :]
+                linked = _linked(parts, threshold, own[at] if lo[a] != hi[a] else None)
                 v = ids[at]
-                out_v.append(v), out_links.append((linked * copies[at][None, :]).sum(axis=1)), out_root.append(_roots(linked, v))
+                out_v.append(v), out_links.append(_counted(linked, copies[at])), out_root.append(_roots(linked, v))
             if out_v:
                 v, links, root = np.concatenate(out_v), np.concatenate(out_links), np.concatenate(out_root)
                 hit = links > 0
@@ -282,6 +282,23 @@ def _verified(documents: DataFrame, doc_id: str, text: str, n: int, threshold: f
     return dealt.mapInArrow(verify, "v long, links long, root long")
 
 
+def _linked(sets: list[np.ndarray], threshold: float, own: np.ndarray | None) -> np.ndarray:
+    """Which sets are similar; with ``own``, the block of each, only between different blocks."""
+    common, sizes = _common(sets), np.array([len(p) for p in sets], np.float64)
+    out = np.zeros(common.shape, bool)
+    for a in range(0, len(sets), 256):  # some rows at a time: temporaries stay small
+        part = common[a : a + 256].astype(np.float64)
+        out[a : a + 256] = part >= threshold * (sizes[a : a + 256, None] + sizes[None, :] - part) - 1e-9
+        if own is not None:
+            out[a : a + 256] &= own[a : a + 256, None] != own[None, :]
+    np.fill_diagonal(out, False)
+    return out
+
+
+def _counted(linked: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    return np.concatenate([(linked[a : a + 256] * copies[None, :]).sum(axis=1) for a in range(0, len(copies), 256)])
+
+
 def _roots(linked: np.ndarray, v: np.ndarray) -> np.ndarray:
     """The least v reachable from each row."""
     root = v.copy()
@@ -297,7 +314,7 @@ def _roots(linked: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def similarity_classes(
-    documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK
+    documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK, bucket_block: int = BUCKET_BLOCK
 ) -> DataFrame:
     """One row per row of ``documents``: id, class_id (least id of all rows chained to it by links), n_links (other rows
     with Jaccard similarity >= ``threshold``, copies included), n_copies (rows with the same n-grams) and rep_id (the least id among those).
@@ -307,16 +324,16 @@ def similarity_classes(
     empty table gives no rows.
     """
     sigs = written(signatures(documents, doc_id, text, n), "signatures")
-    classes = written(sigs.where("size > 0").groupBy("v", "w").agg(F.min("_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
-    clusters = components(_candidate_edges(classes, least_matches(threshold, tolerance), block), "clusters")
+    classes = written(sigs.where("size > 0").groupBy("v", "w").agg(F.min("_id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig")), "classes")
+    clusters = components(_candidate_edges(classes, least_matches(threshold, tolerance), bucket_block), "clusters")
     found = written(_verified(documents, doc_id, text, n, threshold, classes, clusters, block), "verified")
     chained = components(found.select(F.col("v").alias("u"), F.col("root").alias("v")), "chained")
     links = found.groupBy("v").agg(F.sum("links").alias("links"))
     roots = chained.select(F.col("u").alias("v"), F.col("v").alias("root"))
     whole = classes.select("v", "w", "rep", "copies").join(links, "v", "left").join(roots, "v", "left")
-    whole = whole.select("v", "w", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "v").alias("root"))
-    class_ids = whole.groupBy("root").agg(F.min("rep").alias("class_id"))
-    whole = whole.join(class_ids, "root").select("v", "w", "rep", "copies", "links", "class_id")
+    whole = written(whole.select("v", "w", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "v").alias("root")), "linked")
+    class_ids = whole.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("n"))
+    whole = beside_group(whole, "root", class_ids, "n", classes.count()).select("v", "w", "rep", "copies", "links", "class_id")
     out = sigs.select("_id", "v", "w", "size").join(whole, ["v", "w"], "left")
     return out.select(
         F.col("_id").alias(doc_id),

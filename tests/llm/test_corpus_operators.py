@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from graphloom.llm import blocks, coder, components, jaccard, packing, pages
+from graphloom.llm import blocks, coder, components, frames, jaccard, packing, pages
 from graphloom.llm.tokens import Encoder
 from graphloom.llm.words import ALNUM_WORDS, SPACE_WORDS, Words, roll
 from tests.llm.cases import ROWS, documents, empty, prose
@@ -66,10 +66,11 @@ def near_rows():
     return rows + [(500, "short text", "en", "a"), (501, "Short, TEXT!", "en", "a"), (502, None, "en", "a"), (503, "", "en", "a"), (504, "...", "en", "a"), (505, prose(3, 20000), "en", "a"), (506, prose(3, 20000) + " end", "en", "a")]
 
 
-@pytest.mark.parametrize("block", [512, 3])
-def test_jaccard(spark, block):
+@pytest.mark.parametrize("block, hot", [(2048, 1000), (3, 2)])
+def test_jaccard(spark, monkeypatch, block, hot):
+    monkeypatch.setattr(frames, "LEAST_HOT", hot)
     rows = near_rows()
-    got = {r.doc_id: r for r in jaccard.similarity_classes(documents(spark, rows), block=block).collect()}
+    got = {r.doc_id: r for r in jaccard.similarity_classes(documents(spark, rows), block=block, bucket_block=block).collect()}
     sets = {i: grams(t) for i, t, *_ in rows}
     links, parent = collections.Counter(), {i: i for i in sets}
 
@@ -103,7 +104,9 @@ def test_pruning_keeps_what_may_reach_the_threshold():
     assert least == dict(sorted(least.items())) and all(m < 0.8 * n for n, m in least.items())
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [1000, 3])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(frames, "LEAST_HOT", hub)
     rng = random.Random(6)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)] + [(400, k) for k in range(401, 460)]
     label = {v: v for e in edges for v in e}
