@@ -1,16 +1,22 @@
 """Main text of web pages by wrapper induction.
 
-1. Each page becomes a tree of its block elements; runs of like siblings are one
-   repeated node. Only this skeleton (labels, hashes and lengths of the text) is
-   shuffled, by host; hosts with many pages are dealt into groups by hash.
+1. Each page becomes a tree of its block elements; siblings of one label are one
+   repeated node that holds the texts of all. Only this skeleton (labels, hashes and
+   lengths of the texts) is shuffled, by host; hosts with many pages are dealt into
+   groups by hash.
 2. Within a group the trees are aligned in small batches by simple tree matching.
-   Aligned nodes with equal text are constant, the template's; nodes with
-   different text, or in one tree alone, are varying slots.
-3. Per host and node path the constant and varying text is summed in Spark. The
+   Texts that aligned nodes have in common are constant, the template's; other texts,
+   and those of nodes in one tree alone, are varying slots.
+3. Per host and node path the constant and varying texts are summed in Spark. The
    deepest container that holds most of the varying text is the host's content
-   slot. Hosts without two different pages take the slot of most hosts.
-4. Each page is read again; its text is that of the slot, without the parts whose
-   element or class names a role that isn't content (menus, forms, adverts, ...).
+   slot. Texts that are constant at one path on nearly all pages of a host of some
+   pages are its template, inside the slot too. Hosts without two different pages
+   take the slot of most hosts.
+4. Each page is read again; its text is that of the slot without the template's. A
+   page of which that would leave less than half is one that its host repeats, and
+   keeps all. What varies from page to page and is no content all the same (menus,
+   forms, adverts, readers' comments) goes by its element or by a class, id or role
+   that names it as a whole.
 """
 
 from __future__ import annotations
@@ -18,21 +24,25 @@ from __future__ import annotations
 import html as _html
 import json
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.frames import shuffle_width, tables, written
+from graphloom.llm.frames import shuffle_width, small, tables, written
 from graphloom.llm.words import batches
 
 GROUP_PAGES, ALIGNED = 500, 24
 SLOT_SHARE = 0.6
-DEEPEST = 200  # elements below this depth belong to the one at it
-MAX_BROADCAST = 500_000
+TEMPLATE_SHARE, TEMPLATE_PAGES = 0.8, 8  # a text is template if on that share of a host's pages, that many at least
+KEPT_SHARE = 0.5
+DEEPEST = 200  # texts of elements below this depth belong to the one at it
 
 # Elements by what they do.
 _BLOCKS = set("html head body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
@@ -41,14 +51,15 @@ _RAW = "script|style|textarea|title|iframe"  # without an end tag they run to th
 _MUTE = set("button select svg template noscript annotation annotation-xml".split())  # without an end tag they are no elements
 _CONTAINERS = set("body div article main section center td form".split())
 _NOISE_TAGS = set("head nav header footer aside form menu dialog".split())
-_NOISE_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored banner promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead comment comments disqus cookie cookies consent notice notices alert popup modal newsletter subscribe share sharing social related recommended toolbar pagination pager skip login search contentinfo complementary".split())
+#: Whole names in class, id or role.
+_NOISE_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored banner promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer site-footer site-header masthead comment comments comment-list comments-area disqus disqus_thread cookie cookies cookie-notice cookie-banner consent notice notices alert popup modal newsletter subscribe share sharing social social-share share-buttons related related-posts recommended toolbar pagination pager skip login search searchbox contentinfo complementary".split())
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[/!?][^>]*>", re.S | re.I
 )
-_ROLE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ROLE = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_CLASS = re.compile(r"""(?<![\w-])class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _WHITE = re.compile(r"\s+")
 
@@ -69,7 +80,7 @@ def _noisy(tag: str, attributes: str) -> bool:
     if not attributes:
         return False
     named = " ".join("".join(m) for m in _ROLE.findall(attributes)).lower()
-    return any(w in _NOISE_WORDS for w in _WORD.findall(named))
+    return any(w in _NOISE_WORDS for w in named.split())
 
 
 def _label(tag: str, attributes: str) -> str:
@@ -83,7 +94,7 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
     root = Node("html", "html", False, None)
     node, blocks, buffer, at = root, [], [], 0
     inline: list[tuple[str, Node]] = []
-    deep: list[str] = []  # open elements below DEEPEST, and how many of each
+    deep: list[tuple[str, bool]] = []  # open elements below DEEPEST, whether they have a role, and how many there are of each
     held: Counter[str] = Counter()
     muted: list[str] = []  # open elements whose text isn't read, and the blocks in the outermost
     inner: Counter[str] = Counter()
@@ -92,7 +103,7 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
     def flush() -> None:
         if buffer:
             text = _WHITE.sub(" ", _html.unescape("".join(buffer))).strip()
-            if text:
+            if text and not any(noise for _, noise in deep):
                 blocks.append((node, text))
                 node.texts.append(text)
             buffer.clear()
@@ -102,11 +113,11 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
         nonlocal node
         if any(held[t] for t in tags) or any(held[t] for t in within):
             for k in reversed(range(len(deep))):
-                if deep[k] in tags:
-                    held.subtract(deep[k:])
+                if deep[k][0] in tags:
+                    held.subtract(t for t, _ in deep[k:])
                     del deep[k:]
                     return
-                if deep[k] in within:
+                if deep[k][0] in within:
                     return
         seek = node
         while seek.parent is not None and seek.tag not in tags:
@@ -184,7 +195,7 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
             if tag == "hr":
                 continue
             if node.depth >= DEEPEST:
-                deep.append(tag)
+                deep.append((tag, _noisy(tag, attributes)))
                 held[tag] += 1
                 continue
             node.kids.append(kid := Node(tag, _label(tag, attributes), _noisy(tag, attributes), node))
@@ -201,71 +212,76 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
 
 
 def skeleton(node: Node) -> list:
-    """[label, hash of its own text, its length, kids]; a run of siblings with one label is one node."""
-    kids: list[list] = []
-    for kid in node.kids:
-        one = skeleton(kid)
-        if kids and kids[-1][0] == one[0]:
-            last = kids[-1]
-            last[1], last[2] = crc32(b"%d,%d" % (last[1], one[1])), last[2] + one[2]
-            last[3] = _joined(last[3], one[3])
-        else:
-            kids.append(one)
-    text = "\n".join(node.texts)
-    return [node.label, crc32(text.encode("utf-8", "replace")), len(text), kids]
-
-
-def _joined(a: list, b: list) -> list:
-    out = list(a)
-    for one in b:
-        same = next((k for k in out if k[0] == one[0]), None)
-        if same is None:
-            out.append(one)
-        else:
-            same[1], same[2] = crc32(b"%d,%d" % (same[1], one[1])), same[2] + one[2]
-            same[3] = _joined(same[3], one[3])
-    return out
+    """[label, own texts as hash, length, hash, length ..., kids]; siblings with one label are one node with the texts of all."""
+    return _merged([node])
+
+
+def _merged(nodes: list[Node]) -> list:
+    texts, kids = [], defaultdict(list)
+    for node in nodes:
+        for text in node.texts:
+            texts += [crc32(text.encode("utf-8", "replace")), len(text)]
+        for kid in node.kids:
+            kids[kid.label].append(kid)
+    return [nodes[0].label, texts, [_merged(k) for k in kids.values()]]
 
 
 def match(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
-    """Simple tree matching of two skeletons: (size of the largest order-keeping matching, its pairs)."""
+    """Simple tree matching of two skeletons: (size of the largest order-keeping matching, its pairs).
+
+    Labels are different among siblings, so each kid has one counterpart at most, and the best matching of the kids is an
+    increasing sequence of places with most weight: found in about as many steps as there are kids.
+    """
     if a[0] != b[0]:
         return 0, []
-    rows, columns = a[3], b[3]
-    best = [[0] * (len(columns) + 1) for _ in range(len(rows) + 1)]
-    found: dict[tuple[int, int], tuple[int, list]] = {}
-    for i, x in enumerate(rows, 1):
-        for j, y in enumerate(columns, 1):
-            if x[0] == y[0]:
-                found[i, j] = match(x, y)
-            w = found[i, j][0] if x[0] == y[0] else 0
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w)
-    pairs, i, j = [(a, b)], len(rows), len(columns)
-    while i and j:
-        if (i, j) in found and best[i][j] == best[i - 1][j - 1] + found[i, j][0]:
-            pairs += found[i, j][1]
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return 1 + best[-1][-1], pairs
-
-
-def _vote(page: list, reference: list, sums: dict) -> None:
-    constant = {id(b) for a, b in match(reference, page)[1] if a[1] == b[1] and a[2] == b[2]}
-
-    def walk(node: list, path: str, depth: int) -> tuple[int, int]:
+    place = {kid[0]: k for k, kid in enumerate(b[2])}
+    ends: list[int] = []  # places at which a chain ends, ascending, with ascending weights
+    chains: list[tuple[int, tuple | None]] = []  # (weight, (pairs of the last kid, chain before))
+    for kid in a[2]:
+        k = place.get(kid[0])
+        if k is None:
+            continue
+        size, pairs = match(kid, b[2][k])
+        at = bisect_left(ends, k)
+        before = chains[at - 1] if at else (0, None)
+        chain = (before[0] + size, (pairs, before))
+        stop = at
+        while stop < len(ends) and chains[stop][0] <= chain[0]:  # later ends that weigh no more are of no use
+            stop += 1
+        ends[at:stop], chains[at:stop] = [k], [chain]
+    found, best = [(a, b)], chains[-1] if chains else (0, None)
+    size, link = 1 + best[0], best[1]
+    kids = []
+    while link is not None:
+        kids.append(link[0])
+        link = link[1][1]
+    for pairs in reversed(kids):
+        found += pairs
+    return size, found
+
+
+def text_key(path: str, text_hash: int) -> int:
+    """A text at a path, as 64 bits."""
+    return xxhash.xxh64_intdigest(f"{path} {text_hash}") - (1 << 63)
+
+
+def _vote(page: list, reference: list, sums: dict, constant: Counter) -> None:
+    """Add a page's varying text by container, and the texts that it has in common with the reference."""
+    common = {id(b): set(a[1][::2]) for a, b in match(reference, page)[1]}
+
+    def walk(node: list, path: str, depth: int) -> int:
         path = f"{path}/{node[0]}" if path else node[0]
-        varying, total = (0 if id(node) in constant else node[2]), node[2]
-        for kid in node[3]:
-            v, t = walk(kid, path, depth + 1)
-            varying, total = varying + v, total + t
+        shared, varying = common.get(id(node), ()), 0
+        for text, size in dict(zip(node[1][::2], node[1][1::2])).items():
+            if text in shared:
+                constant[path, text] += 1
+        for text, size in zip(node[1][::2], node[1][1::2]):
+            varying += 0 if text in shared else size
+        for kid in node[2]:
+            varying += walk(kid, path, depth + 1)
         if node[0].split(".", 1)[0] in _CONTAINERS:
-            held = sums[path, depth]
-            held[0] += varying
-            held[1] += total
-        return varying, total
+            sums[path, depth] += varying
+        return varying
 
     walk(page, "", 0)
 
@@ -275,8 +291,9 @@ def _host(url: str | None) -> str:
     return re.split(r"[/?#]", rest, maxsplit=1)[0].lower()
 
 
-def content_slots(pages: DataFrame, url: str = "url", html: str = "html", aligned: int = ALIGNED) -> DataFrame:
-    """(host, slot): the path of the container that holds the content; the row with a null host is the slot of most hosts."""
+def wrappers(pages: DataFrame, url: str = "url", html: str = "html", aligned: int = ALIGNED) -> DataFrame:
+    """(host, slot, template): the path of the container that holds the content, and the ``text_key`` of each template
+    text, as packed 64-bit integers; the row with a null host has the slot of most hosts."""
     spark = pages.sparkSession
     source = pages.select(F.col(url).cast("string").alias("u"), F.col(html).cast("string").alias("t"))
 
@@ -287,30 +304,25 @@ def content_slots(pages: DataFrame, url: str = "url", html: str = "html", aligne
             yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "tree": pa.array(trees, pa.string())})
 
     trees = written(source.mapInArrow(reduce_pages, "host string, tree string"), "skeletons")
-    counts = trees.groupBy("host").agg(F.count("*").alias("n")).where("n > 1")
-    counts = F.broadcast(counts) if counts.count() <= MAX_BROADCAST else counts
+    counts = small(trees.groupBy("host").agg(F.count("*").alias("n")).where("n > 1"))
     salted = trees.join(counts, "host").withColumn("salt", F.pmod(F.xxhash64("tree"), F.ceil(F.col("n") / GROUP_PAGES)))
     dealt = salted.select("host", "salt", "tree").repartition(shuffle_width(spark), "host", "salt").sortWithinPartitions("host", "salt", "tree")
+    none = {"path": "string", "depth": "int", "varying": "long", "text": "long", "n": "long"}
 
     def align(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = []
         key, copies = None, ""
 
         def emit() -> Iterator[pa.RecordBatch]:
-            sums: dict = defaultdict(lambda: [0, 0])
+            if len(held) < 2:
+                return
+            sums, constant = Counter(), Counter()
             for k, page in enumerate(held):
-                if len(held) > 1:
-                    _vote(page, held[0] if k else held[1], sums)
-            if sums:
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "host": pa.array([key[0]] * len(sums), pa.string()),
-                        "path": pa.array([p for p, _ in sums], pa.string()),
-                        "depth": pa.array([d for _, d in sums], pa.int32()),
-                        "varying": pa.array([v[0] for v in sums.values()], pa.int64()),
-                        "total": pa.array([v[1] for v in sums.values()], pa.int64()),
-                    }
-                )
+                _vote(page, held[0] if k else held[1], sums, constant)
+            rows = [(p, d, v, None, None) for (p, d), v in sums.items()]
+            rows += [(p, None, None, t, n) for (p, t), n in constant.items()] + [(None, None, None, None, len(held))]
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(rows), pa.string()), *columns], names=["host", *none])
 
         for batch in it:
             for host, salt, tree in zip(batch.column("host").to_pylist(), batch.column("salt").to_pylist(), batch.column("tree").to_pylist()):
@@ -323,13 +335,25 @@ def content_slots(pages: DataFrame, url: str = "url", html: str = "html", aligne
                 held.append(json.loads(tree))
         yield from emit()
 
-    votes = dealt.mapInArrow(align, "host string, path string, depth int, varying long, total long")
-    summed = votes.groupBy("host", "path").agg(F.max("depth").alias("depth"), F.sum("varying").alias("varying"))
+    votes = written(dealt.mapInArrow(align, "host string, " + ", ".join(f"{c} {k}" for c, k in none.items())), "votes")
+    summed = votes.where("depth is not null").groupBy("host", "path").agg(F.max("depth").alias("depth"), F.sum("varying").alias("varying"))
     whole = summed.groupBy("host").agg(F.max("varying").alias("most"))
     slots = summed.join(whole, "host").where((F.col("most") > 0) & (F.col("varying") >= SLOT_SHARE * F.col("most")))
-    slots = written(slots.groupBy("host").agg(F.max_by("path", F.struct("depth", "path")).alias("slot")), "slots")
-    common = slots.groupBy("slot").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "slot").limit(1).select(F.lit(None).cast("string").alias("host"), "slot")
-    return slots.union(common)
+    slots = slots.groupBy("host").agg(F.max_by("path", F.struct("depth", "path")).alias("slot"))
+    total = votes.where("path is null").groupBy("host").agg(F.sum("n").alias("pages"))
+    texts = votes.where("text is not null").groupBy("host", "path", "text").agg(F.sum("n").alias("n"))
+    often = texts.join(total, "host").where((F.col("n") >= TEMPLATE_SHARE * F.col("pages")) & (F.col("pages") >= TEMPLATE_PAGES))
+    # no more than a page has texts, by 1 / TEMPLATE_SHARE
+    listed = often.groupBy("host").agg(F.to_json(F.collect_list(F.struct("path", "text"))).alias("texts"))
+
+    def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            keys = [np.array(sorted(text_key(x["path"], x["text"]) for x in json.loads(t)), "<i8").tobytes() if t else b"" for t in batch.column("texts").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"host": batch.column("host"), "slot": batch.column("slot"), "template": pa.array(keys, pa.binary())})
+
+    own = written(slots.join(listed, "host", "full_outer").mapInArrow(pack, "host string, slot string, template binary"), "slots")
+    common = own.where("slot is not null").groupBy("slot").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "slot").limit(1)
+    return own.union(common.select(F.lit(None).cast("string").alias("host"), "slot", F.lit(b"").alias("template")))
 
 
 def _path(node: Node) -> str:
@@ -343,7 +367,7 @@ def _path(node: Node) -> str:
 def _inside(node: Node | None, region: Node) -> bool:
     """Whether ``node`` lies in the region and in no part of it that has another role."""
     while node is not None and node is not region:
-        if node.noise and not (node.tag == "header" and any(k.tag == "h1" for k in node.kids)):
+        if node.noise and not (node.tag == "header" and any(n.tag == "h1" for n in _nodes(node))):
             return False
         node = node.parent
     return node is region
@@ -367,8 +391,8 @@ def _roleless(node: Node) -> bool:
     return True
 
 
-def main_text(html: str, slots: list[str | None]) -> str:
-    """The text of the first of ``slots`` that the page has; else of its article or main element; else of its body."""
+def main_text(html: str, slots: list[str | None], template: frozenset[int] | set[int] = frozenset()) -> str:
+    """The text of the first of ``slots`` that the page has, else of its article or main element, else of its body, without ``template``."""
     root, blocks = parse(html)
     nodes = list(_nodes(root))
     regions: list[Node] = []
@@ -388,7 +412,19 @@ def main_text(html: str, slots: list[str | None]) -> str:
             region = region.parent
         return region is not None and _inside(node, region)
 
-    return "\n".join(text for node, text in blocks if within(node))
+    inside: dict[int, bool] = {}
+    texts = []
+    for node, text in blocks:
+        if id(node) not in inside:
+            inside[id(node)] = within(node)
+        if inside[id(node)]:
+            texts.append((node, text))
+    if template:
+        paths = {id(n): _path(n) for n, _ in texts}
+        own = [text for n, text in texts if text_key(paths[id(n)], crc32(text.encode("utf-8", "replace"))) not in template]
+        if sum(map(len, own)) >= KEPT_SHARE * sum(len(text) for _, text in texts):
+            return "\n".join(own)
+    return "\n".join(text for _, text in texts)
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", aligned: int = ALIGNED) -> DataFrame:
@@ -397,23 +433,29 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", aligned: int
     Null html counts as empty, null urls as one host without a name. All columns stay; one named ``text`` is replaced.
     Repeated rows get the same text; an empty table gives no rows.
     """
-    spark = pages.sparkSession
-    slots = written(content_slots(pages, url, html, aligned), "wrappers")
-    common = [r["slot"] for r in slots.where("host is null").collect()]
-    own = slots.where("host is not null").withColumnRenamed("host", "_host").withColumnRenamed("slot", "_slot")
-    own = F.broadcast(own) if own.count() <= MAX_BROADCAST else own
+    known = written(wrappers(pages, url, html, aligned), "wrappers")
+    common = [r["slot"] for r in known.where("host is null").collect()]
+    own = small(known.where("host is not null").select(F.col("host").alias("_host"), F.col("slot").alias("_slot"), F.col("template").alias("_template")))
     kept = [c for c in pages.columns if c != "text"]
     rows = pages.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(kept)], F.col(f"`{html}`").cast("string").alias("_html"), F.coalesce(F.col(f"`{url}`").cast("string"), F.lit("")).alias("_url"))
     host = F.lower(F.regexp_extract("_url", r"^(?:.*?://)?([^/?#]*)", 1))
     joined = rows.withColumn("_host", host).join(own, "_host", "left").drop("_host", "_url")
     from pyspark.sql.types import StringType, StructType
 
-    schema = StructType([f for f in joined.schema.fields if f.name not in ("_html", "_slot")]).add("_text", StringType())
+    hidden = ("_html", "_slot", "_template")
+    schema = StructType([f for f in joined.schema.fields if f.name not in hidden]).add("_text", StringType())
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacked: dict[bytes | None, frozenset[int]] = {None: frozenset()}
         for batch in batches(it, "_html"):
-            found = [main_text(t or "", [slot, *common]) for t, slot in zip(batch.column("_html").to_pylist(), batch.column("_slot").to_pylist())]
-            out = {c: batch.column(c) for c in batch.schema.names if c not in ("_html", "_slot")}
+            found = []
+            for t, slot, template in zip(*[batch.column(c).to_pylist() for c in hidden]):
+                if template not in unpacked:
+                    if len(unpacked) > 1000:
+                        unpacked = {None: frozenset()}
+                    unpacked[template] = frozenset(np.frombuffer(template, "<i8").tolist())
+                found.append(main_text(t or "", [slot, *common], unpacked[template]))
+            out = {c: batch.column(c) for c in batch.schema.names if c not in hidden}
             yield pa.RecordBatch.from_pydict(out | {"_text": pa.array(found, pa.string())})
 
     made = joined.mapInArrow(read, schema)

@@ -3,6 +3,7 @@ import functools
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -295,7 +296,7 @@ def test_main_text(spark):
     for k in range(12):
         assert text[k] == f"Head {k}\nSome & text {k}.\ntwo lines é{k}\nend"
     assert (text[20], text[21], text[22], text[23], text[24]) == ("Head 20\nonly page", "", "", "plain text < more", "deep")
-    slots = pages.content_slots(df).collect()
+    slots = pages.wrappers(df).collect()
     assert {r.slot for r in slots if r.host in ("h0.org", "h1.org", "h2.org")} == {"html/body/article"}
     assert pages.extract(df.limit(0)).count() == 0
 
@@ -308,12 +309,90 @@ def test_wrapper_finds_unnamed_content(spark):
     assert {r.page_id: r.text for r in got} == {k: f"Story {k} begins\n{prose(k, 30)}" for k in range(8)}
 
 
+LAYOUT = "<html><body><div class=top><p>Site of {host}</p><p>A slogan that stays the same</p></div><div class=mid><p>Published by the staff of {host}</p>{body}<p>Thank you for reading, come back soon</p></div><div class=low><p>All rights reserved</p></div></body></html>"
+
+
+def wrapped_rows():
+    """30 pages of three hosts without an article element; the content container holds two paragraphs that are equal on all pages of a host, before and after those that vary."""
+    rows, truth = [], {}
+    for k in range(30):
+        host = f"h{k % 3}.org"
+        own = [f"Story {k} begins", prose(k, 25 + k), *[prose(100 * k + j, 12) for j in range(k % 4)]]
+        if k % 5 == 0:
+            own.append("Shared by a few pages alone")
+        rows.append((k, f"https://{host}/{k}", LAYOUT.format(host=host, body="".join(f"<p>{x}</p>" for x in own))))
+        truth[k] = own
+    return rows, truth
+
+
+def template_by_hand(rows):
+    """Texts at one path on nearly all pages of a host, counted page by page."""
+    seen = collections.defaultdict(collections.Counter)
+    pages_of = collections.Counter()
+    for _, url, html in rows:
+        host, (_, found) = url.split("/")[2], pages.parse(html)
+        pages_of[host] += 1
+        seen[host].update({(pages._path(n), t) for n, t in found})
+    return {h: {x for x, n in c.items() if n >= 0.8 * pages_of[h]} for h, c in seen.items()}
+
+
+def test_wrapper_against_brute_force(spark):
+    rows, truth = wrapped_rows()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.host: r for r in pages.wrappers(df, aligned=7).collect() if r.host}
+    by_hand = template_by_hand(rows)
+    for host, r in found.items():
+        assert r.slot == "html/body/div.mid"
+        keys = {pages.text_key(path, zlib.crc32(t.encode())) for path, t in by_hand[host]}
+        assert set(np.frombuffer(r.template, "<i8").tolist()) == keys
+    got = {r.page_id: r.text for r in pages.extract(df).collect()}
+    assert got == {k: "\n".join(own) for k, own in truth.items()}
+    assert all(got[k] != pages.main_text(html, []) for k, _, html in rows)  # the wrapper decides
+
+
+def test_pages_that_a_host_repeats_keep_their_text(spark):
+    """Copies of one article, told apart by an advert alone."""
+    rows = [(k, f"http://c.org/{k}", f"<body><div class=ad>Offer number {k} of today</div><article><h1>One</h1><p>{prose(3, 40)}</p></article></body>") for k in range(9)]
+    got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {f"One\n{prose(3, 40)}"}
+
+
+def best_matching(a, b):
+    """Simple tree matching by the textbook table."""
+    if a[0] != b[0]:
+        return 0
+    table = [[0] * (len(b[2]) + 1) for _ in range(len(a[2]) + 1)]
+    for i, x in enumerate(a[2], 1):
+        for j, y in enumerate(b[2], 1):
+            table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + best_matching(x, y))
+    return 1 + table[-1][-1]
+
+
 def test_tree_matching():
-    a = ["r", 0, 0, [["a", 1, 1, []], ["b", 2, 1, [["c", 3, 1, []]]], ["d", 4, 1, []]]]
-    b = ["r", 0, 0, [["b", 2, 1, [["x", 9, 1, []], ["c", 3, 1, []]]], ["d", 5, 1, []], ["a", 1, 1, []]]]
+    a = ["r", [], [["a", [1, 1], []], ["b", [2, 1], [["c", [3, 1], []]]], ["d", [4, 1], []]]]
+    b = ["r", [], [["b", [2, 1], [["x", [9, 1], []], ["c", [3, 1], []]]], ["d", [5, 1], []], ["a", [1, 1], []]]]
     size, pairs = pages.match(a, b)
-    assert size == 4 and [x[0] for x, _ in pairs] == ["r", "d", "b", "c"]
-    assert pages.match(a, ["q", 0, 0, []]) == (0, [])
+    assert size == 4 and [x[0] for x, _ in pairs] == ["r", "b", "c", "d"]
+    assert pages.match(a, ["q", [], []]) == (0, [])
+    rng = random.Random(9)
+
+    def tree(depth):
+        labels = rng.sample("abcdefgh", rng.randrange(0, 7)) if depth else []
+        return ["n", [], [[x, [], tree(depth - 1)[2]] for x in labels]]
+
+    for _ in range(300):
+        a, b = tree(3), tree(3)
+        size, pairs = pages.match(a, b)
+        assert size == best_matching(a, b) == len(pairs) and all(x[0] == y[0] for x, y in pairs)
+
+
+def test_pages_of_many_siblings():
+    many = "".join(f"<p>text {k}</p><div>other {k}</div>" for k in range(20000))
+    one, two = (pages.skeleton(pages.parse(f"<body>{x}{many}</body>")[0]) for x in ("<p>a</p>", "<p>b</p>"))
+    began = time.time()
+    assert pages.match(one, two)[0] == 4
+    wide = [["r", [], [[f"k{j * step % 3001}", [], []] for j in range(3001)]] for step in (1, 7)]
+    assert pages.match(*wide)[0] > 1 and time.time() - began < 0.2
 
 
 @pytest.mark.parametrize(
@@ -325,6 +404,12 @@ def test_tree_matching():
         ("<p>a <svg><title>t</title><text>no</text></svg>b <button>no<div>in</div></button>c<p>d", "a b c\nd"),
         ("<div><button>no</div><p>yes</p><button>no</button>", "yes"),
         ("<svg>no<p>yes</p></svg>", "yes"),
+        ('<div class="content no-sidebar"><article><p>body of it</p></article></div>', "body of it"),
+        ("<title-bar>x</title-bar><article><p>y</p></article>", "y"),
+        ('<article><div class="post-header"><h1>Title</h1></div><p>text</p></article>', "Title\ntext"),
+        ('<article><p class="search-and-rescue">found</p><p data-id="share-3" data-role=nav>kept</p><p class="lead share">no</p></article>', "found\nkept"),
+        ("<article><header><div><h1>Title</h1></div></header><p>text</p><section class=related-work>work</section></article>", "Title\ntext\nwork"),
+        ("<article>" + "<div>" * 300 + "<p>yes</p><p class=ad>no</p><nav>no</nav>end" + "</div>" * 300 + "</article>", "yes\nend"),
         ("<p>shown<script>var a = 1", "shown"),
         ("<div class=ad>" + "<div>" * 300 + "no" + "</div>" * 300 + "still no</div><p>after", "after"),
         ("<div class=ad>" + "<div>" * 250 + "<ul><li>no<li>no</ul>" + "</div>" * 250 + "still no</div><p>after", "after"),
