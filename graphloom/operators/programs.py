@@ -13,19 +13,22 @@ DAMPING = 0.85
 
 
 def pagerank_program(threshold: float = 0.01) -> VertexProgram:
-    """r0 = 1; r = 0.15 + 0.85 * sum of r / out_degree over in-edges; not normalised."""
+    """r0 = 1; r = 0.15 + 0.85 * sum of r / out_degree over in-edges; not normalised.
+
+    Every vertex sends each round; a vertex counts as active if its rank moved by over ``threshold``.
+    """
+    rank = F.lit(1 - DAMPING) + F.lit(DAMPING) * F.coalesce("m_r", F.lit(0.0))
     return VertexProgram(
         "pagerank",
         init=lambda: {"rank": F.lit(1.0), "active": F.lit(True)},
         message=lambda: {"r": F.col("s_rank") / F.col("s_out_degree")},
         combine={"r": "sum"},
-        apply=lambda: {"rank": F.lit(1 - DAMPING) + F.lit(DAMPING) * F.coalesce("m_r", F.lit(0.0))},
-        carries=False,
+        apply=lambda: {"rank": rank, "active": F.abs(rank - F.col("rank")) > threshold},
     )
 
 
-def pagerank(graph: Graph, rounds: int = 20, **options) -> Run:
-    return run(graph, pagerank_program(), rounds, **({"truncate": 5} | options))
+def pagerank(graph: Graph, rounds: int = 20, threshold: float = 0.01, **options) -> Run:
+    return run(graph, pagerank_program(threshold), rounds, **options)
 
 
 def _least(name: str, init: Column, active: Column, message: Column) -> VertexProgram:
@@ -80,15 +83,24 @@ def cc(graph: Graph, max_rounds: int | None = None, directed: bool = True, **opt
     return run(graph if directed else graph.symmetrized(), cc_program(), max_rounds, **options)
 
 
+def spmv_program(index: str = "target", x: Column | None = None, weighted: bool = False) -> VertexProgram:
+    """One round: y(v) = sum of a(u, v) * x(v or u) over in-edges; with ``index`` "target" an edge reads its target's x."""
+    a = F.col("weight") if weighted else F.lit(1.0)
+    own = F.col("id").cast("double") if x is None else x
+    return VertexProgram(
+        "spmv",
+        init=lambda: {"x": own, "y": F.lit(0.0)},
+        message=lambda: {"y": a * F.col("t_x" if index == "target" else "s_x")},
+        combine={"y": "sum"},
+        apply=lambda: {"x": F.col("x"), "y": F.coalesce("m_y", F.lit(0.0))},
+        target=("x",) if index == "target" else (),
+        degrees=False,
+    )
+
+
 def spmv(graph: Graph, index: str = "target", x: Column | None = None, weighted: bool = False) -> DataFrame:
     """(id, y): y(v) = sum of a(u, v) * x(v or u) over in-edges, with x(i) = i unless given as a column of ``id``."""
-    x = F.col("id").cast("double") if x is None else x
-    values = graph.edges.sparkSession.range(graph.n).select(F.col("id").alias("i"), x.alias("x"))
-    end = "tgt" if index == "target" else "src"
-    a = F.col("weight") if weighted else F.lit(1.0)
-    summed = graph.edges.join(values, F.col(end) == F.col("i")).groupBy("tgt").agg(F.sum(a * F.col("x")).alias("y"))
-    ids = graph.edges.sparkSession.range(graph.n)
-    return ids.join(summed, ids["id"] == summed["tgt"], "left").select("id", F.coalesce("y", F.lit(0.0)).alias("y"))
+    return run(graph, spmv_program(index, x, weighted), 1).state.select("id", "y")
 
 
 def undirected(graph: Graph) -> DataFrame:
@@ -150,35 +162,49 @@ def triangles_minhash(graph: Graph, hashes: int = 8) -> DataFrame:
     return ids.join(summed, ids["id"] == summed["a"], "left").select("id", F.coalesce("t", F.lit(0.0)).alias("estimate"))
 
 
-def belief_propagation(graph: Graph, rounds: int, prior0: Column | None = None) -> DataFrame:
-    """(id, belief0, belief1) of a two-state model after ``rounds`` rounds.
-
-    Rounds alternate EMIT, p(v) = product of p(u), and ABSORB, m(v) = sum of w * prior(v) * p(u) / p(v); the last round is
-    CONVERGED, belief(v) ~ prior(v) * product of m(u), normalised. Products are kept as sums of logarithms.
-    """
+def belief_program(rounds: int, prior0: Column | None = None) -> VertexProgram:
+    """A two-state model: rounds alternate EMIT, p(v) = product of p(u), and ABSORB, m(v) = sum of w * prior(v) * p(u) / p(v);
+    the last round is CONVERGED, belief(v) ~ prior(v) * product of m(u), normalised. Products are kept as sums of logarithms (l0, l1)."""
     p0 = F.lit(0.5) if prior0 is None else prior0
-    state = graph.edges.sparkSession.range(graph.n).select("id", p0.alias("q0"), (1 - p0).alias("q1"), F.lit(0.0).alias("l0"), F.lit(0.0).alias("l1"), F.lit(0.0).alias("m0"), F.lit(0.0).alias("m1"))
-    state = cut(state, "bp")
-    edges = graph.edges.select("src", "tgt", "weight")
-    for number in range(rounds):
-        sent = edges.join(state.select(F.col("id").alias("src"), *[F.col(c).alias(f"s_{c}") for c in ("l0", "l1", "m0", "m1")]), "src")
-        if number + 1 == rounds:
-            met = sent.groupBy("tgt").agg(*[F.sum(F.ln(F.col(f"s_m{k}"))).alias(f"x{k}") for k in (0, 1)], *[F.min(F.col(f"s_m{k}")).alias(f"least{k}") for k in (0, 1)])
-            joined = state.join(met, state["id"] == met["tgt"], "left")
-            score = [F.when(F.col(f"least{k}") <= 0, F.lit(float("-inf"))).otherwise(F.ln(F.col(f"q{k}")) + F.coalesce(F.col(f"x{k}"), F.lit(0.0))) for k in (0, 1)]
-            scored = joined.select("id", score[0].alias("a"), score[1].alias("b"))
-            top = F.greatest("a", "b")
-            low = top == F.lit(float("-inf"))
-            e0, e1 = F.exp(F.col("a") - top), F.exp(F.col("b") - top)
-            return scored.select("id", F.when(low, 0.0).otherwise(e0 / (e0 + e1)).alias("belief0"), F.when(low, 0.0).otherwise(e1 / (e0 + e1)).alias("belief1"))
-        if number % 2 == 0:
-            met = sent.groupBy("tgt").agg(*[F.sum(f"s_l{k}").alias(f"x{k}") for k in (0, 1)])
-            new = [F.coalesce(F.col(f"x{k}"), F.col(f"l{k}")).alias(f"l{k}") for k in (0, 1)] + [F.col("m0"), F.col("m1")]
-        else:
-            met = sent.groupBy("tgt").agg(*[F.sum(F.col("weight") * F.exp(f"s_l{k}")).alias(f"x{k}") for k in (0, 1)])
-            new = [F.col("l0"), F.col("l1")] + [F.coalesce(F.col(f"x{k}") * F.col(f"q{k}") / F.exp(f"l{k}"), F.lit(0.0)).alias(f"m{k}") for k in (0, 1)]
-        state = cut(state.join(met, state["id"] == met["tgt"], "left").select("id", "q0", "q1", *new), "bp")
-    return state.select("id", F.lit(0.5).alias("belief0"), F.lit(0.5).alias("belief1"))
+    both, kept = (0, 1), lambda *names: {n: F.col(n) for n in names}
+
+    def start() -> dict[str, Column]:
+        return {"q0": p0, "q1": 1 - p0, **{n: F.lit(0.0) for n in ("l0", "l1", "m0", "m1")}}
+
+    def emit() -> dict[str, Column]:
+        return kept("q0", "q1", "m0", "m1") | {f"l{k}": F.coalesce(f"m_x{k}", f"l{k}") for k in both}
+
+    def absorb() -> dict[str, Column]:
+        return kept("q0", "q1", "l0", "l1") | {f"m{k}": F.coalesce(F.col(f"m_x{k}") * F.col(f"q{k}") / F.exp(f"l{k}"), F.lit(0.0)) for k in both}
+
+    def converged() -> dict[str, Column]:
+        score = [F.when(F.col(f"m_least{k}") <= 0, F.lit(float("-inf"))).otherwise(F.ln(F.col(f"q{k}")) + F.coalesce(F.col(f"m_x{k}"), F.lit(0.0))) for k in both]
+        top = F.greatest(*score)
+        e0, e1 = (F.exp(s - top) for s in score)
+        return {f"belief{k}": F.when(top == F.lit(float("-inf")), 0.0).otherwise(e / (e0 + e1)) for k, e in enumerate((e0, e1))}
+
+    def program(message, combine, apply) -> VertexProgram:
+        return VertexProgram("bp", start, message, combine, apply, degrees=False)
+
+    emitting = program(lambda: {f"x{k}": F.col(f"s_l{k}") for k in both}, {"x0": "sum", "x1": "sum"}, emit)
+    absorbing = program(lambda: {f"x{k}": F.col("weight") * F.exp(f"s_l{k}") for k in both}, {"x0": "sum", "x1": "sum"}, absorb)
+    ending = program(
+        lambda: {f"x{k}": F.ln(F.col(f"s_m{k}")) for k in both} | {f"least{k}": F.col(f"s_m{k}") for k in both},
+        {"x0": "sum", "x1": "sum", "least0": "min", "least1": "min"},
+        converged,
+    )
+
+    def turn(number: int, state: DataFrame) -> VertexProgram:
+        return ending if number + 1 == rounds else absorbing if number % 2 else emitting
+
+    return VertexProgram("bp", start, emitting.message, emitting.combine, emitting.apply, degrees=False, before_round=turn)
+
+
+def belief_propagation(graph: Graph, rounds: int, prior0: Column | None = None, **options) -> DataFrame:
+    """(id, belief0, belief1) after ``rounds`` rounds of ``belief_program``."""
+    if not rounds:
+        return graph.edges.sparkSession.range(graph.n).select("id", F.lit(0.5).alias("belief0"), F.lit(0.5).alias("belief1"))
+    return run(graph, belief_program(rounds, prior0), rounds, **options).state.select("id", "belief0", "belief1")
 
 
 def nearest(x: Column, centroids: list[float]) -> Column:

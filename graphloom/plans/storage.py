@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +59,42 @@ def resume(spark: SparkSession, path: str, name: str) -> tuple[int, DataFrame] |
 
 def keep_round(state: DataFrame, path: str, name: str, number: int) -> None:
     state.write.mode("overwrite").parquet(f"{path}/{name}-{number:08d}")
+
+
+def drop_round(spark: SparkSession, path: str, name: str, number: int) -> None:
+    remove(spark, f"{path}/{name}-{number:08d}")
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for what is run inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+class Checkpoints:
+    """Checkpoints of a loop in folders of their own under the shared one; only the last two are kept."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.before = spark.sparkContext.getCheckpointDir()
+        self.kept: list[str] = []
+
+    def checkpoint(self, df: DataFrame) -> DataFrame:
+        self.kept.append(f"{self.folder}/{len(self.kept)}-{uuid.uuid4().hex}")
+        self.spark.sparkContext.setCheckpointDir(self.kept[-1])
+        out = df.checkpoint()
+        if len(self.kept) > 2:
+            remove(self.spark, self.kept.pop(0))
+        return out
+
+    def close(self) -> None:
+        """Put the session's own checkpoint folder back."""
+        if self.kept:
+            self.spark.sparkContext.setCheckpointDir(self.before.rsplit("/", 1)[0] if self.before else shared_folder(self.spark))

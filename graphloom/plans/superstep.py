@@ -3,27 +3,39 @@
 A round is: sources (active ones only, where the program says so) joined to their
 edges, one message per edge, messages combined by target with a partial
 aggregate before the shuffle, and the program's ``apply`` over all vertices with
-what they received. The edges are dealt by source and kept, so a round moves
-vertex values and combined messages only. A source with more than ``split`` edges
-is dealt out as several, and its value sent to each of them.
+what they received. Edges are dealt and sorted by source once and kept, and the
+state is dealt and sorted by id, so both joins of a round are merge joins of
+partitions that lie side by side, and the combined messages are all that moves. A
+source with more than ``split`` edges is dealt out as several, and its value sent
+to each of them.
+
+A round with a small frontier reads the stretches of edges whose sources may be
+active, by the least and greatest source that the kept batches are known by.
+
+Each round's state is checkpointed in the shared folder, which keeps how it is
+dealt and sorted and cuts the lineage: a lost executor costs the round it was in,
+and the plan of a round is no longer than the first one's. The state before the
+last is deleted.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from itertools import count
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
-from graphloom.plans.storage import cut, keep_round, resume
+from graphloom.plans.storage import Checkpoints, cut, drop_round, keep_round, resume, settings
 
 Columns = dict[str, Column]
 SPLIT = 1_000_000
+ROWS_A_TASK = 100_000  # of edges and vertices, unless that makes more tasks than shuffle partitions
+STRETCHES, RANGES = 1024, 32  # vertex ids are in that many stretches; a round reads that many ranges of them
 COMBINE: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "min": F.min, "max": F.max, "product": F.product, "count": F.count}
 
 
@@ -32,9 +44,11 @@ class VertexProgram:
     """Column factories of one algorithm.
 
     ``init`` gives the state from id, in_degree, out_degree; ``message`` what an edge carries, from the source's columns
-    (named s_<column>), src, tgt and weight; ``combine`` names the aggregate of each message; ``apply`` the new state from the old
-    columns and the messages (m_<name>, null where none came). ``active`` tells which vertices send next round; with ``frontier``
-    the others don't send. ``carries`` says that ``apply`` reads old state columns beside id and degrees.
+    (named s_<column>), src, tgt, weight and those of the target's columns that ``target`` lists (named t_<column>);
+    ``combine`` names the aggregate of each message; ``apply`` the new state from the old columns and the messages
+    (m_<name>, null where none came). ``active`` tells which vertices send next round; with ``frontier`` the others
+    don't send. ``before_round`` may give another program for a round, from its number and the state. A program that
+    asks for no ``degrees`` has none in its state.
     """
 
     name: str
@@ -44,7 +58,8 @@ class VertexProgram:
     apply: Callable[[], Columns]
     active: Callable[[], Column] | None = None
     frontier: bool = False
-    carries: bool = True
+    target: tuple[str, ...] = ()
+    degrees: bool = True
     before_round: Callable[[int, DataFrame], VertexProgram] | None = None
 
 
@@ -52,53 +67,88 @@ class VertexProgram:
 class Run:
     state: DataFrame
     rounds: int = 0
-    log: list[tuple[int, int | None, float]] = field(default_factory=list)  # (round, active vertices, milliseconds)
+    log: list[tuple[int, int | None, float]] = field(default_factory=list)  # (round, active vertices after it, milliseconds)
     settled: bool | None = None  # whether nobody is active any more; None for programs without a frontier
 
     def lines(self) -> list[str]:
         """One line per round, as ``analysis.log_stats`` reads them."""
-        return [f"Round Time for iteration {k} {ms:.3f}msec" for k, _, ms in self.log]
+        return [f"Round Time for iteration {k} {ms:.3f}msec" for k, _, ms in self.log]  # fixed value: the line's format
+
+    def metrics(self, spark: SparkSession) -> DataFrame:
+        """(round, active, milliseconds), one row a round."""
+        return spark.createDataFrame(self.log, "round long, active long, milliseconds double")
+
+
+def ranges_of(stretches: list[int], most: int = RANGES) -> list[tuple[int, int]]:
+    """At most ``most`` ranges, ends included, that hold all of ``stretches``: the smallest gaps are closed."""
+    ordered = sorted(set(stretches))
+    gaps = sorted((a - b, k) for k, (b, a) in enumerate(zip(ordered, ordered[1:])) if a - b > 1)
+    breaks = sorted(k for _, k in gaps[max(0, len(gaps) - most + 1) :])
+    out, first = [], 0
+    for k in [*breaks, len(ordered) - 1] if ordered else []:
+        out.append((ordered[first], ordered[k]))
+        first = k + 1
+    return out
 
 
 def run(
     graph: Graph,
     program: VertexProgram,
     max_rounds: int | None,
-    truncate: int = 1,
     on_round: Callable[[int, DataFrame], None] | None = None,
     checkpoint: str | None = None,
     split: int = SPLIT,
 ) -> Run:
     """Run up to ``max_rounds`` rounds; a program with a frontier stops when nobody is active, and with None only then.
 
-    ``settled`` of the result tells whether a bound ended the run before that.
-
-    State is written to the shared folder every ``truncate`` rounds (programs that carry state: every round).
-    ``checkpoint`` keeps every round under a path; a later call with it goes on from the last complete one.
+    ``settled`` of the result tells whether a bound ended the run before that. With ``checkpoint`` each round is written
+    as a table under that path instead, where the last two stay; a later call with it goes on from the last complete one. A single
+    round of a program without a frontier is a plan and nothing more, so its count of active vertices is None.
     """
     if max_rounds is None and not program.frontier:
         raise ValueError(f"{program.name} has no frontier to run out of; give max_rounds")
-    weighted = graph.edges.select("src", "tgt", *(["weight"] if "weight" in graph.edges.columns else []))
-    width = int(graph.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    vertices = graph.vertices()
-    hubs = (vertices.agg(F.max("out_degree")).first()[0] or 0) > split
-    shares = F.greatest(F.ceil(F.col("out_degree") / split), F.lit(1)).cast("int")
+    spark = graph.edges.sparkSession
+    seen = Observation("degrees")
+    if program.degrees:
+        sizes = [F.max("out_degree").alias("most"), F.sum("out_degree").alias("edges")]
+        vertices = cut(graph.degrees().observe(seen, *sizes), "degrees")
+    else:
+        vertices = spark.range(graph.n)
+    found = seen.get if program.degrees else {"most": 0, "edges": None}
+    hubs = (found["most"] or 0) > split
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width = shuffles if found["edges"] is None else max(1, min(shuffles, -(-(found["edges"] + graph.n) // ROWS_A_TASK)))
+    with settings(spark, {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(width)}):
+        return _rounds(graph, program, max_rounds, on_round, checkpoint, split, vertices, hubs, width)
+
+
+def _rounds(graph, program, max_rounds, on_round, checkpoint, split, vertices, hubs, width) -> Run:
+    spark = graph.edges.sparkSession
+    once = max_rounds == 1  # nothing is read twice
+    lazy = once and not (program.frontier or checkpoint or on_round)
+    merged = (lambda df: df) if lazy else lambda df: df.hint("merge")
+    edges = graph.edges.select("src", "tgt", *(["weight"] if "weight" in graph.edges.columns else []))
     if hubs:
-        degrees = vertices.select("id", shares.alias("shares"))
-        weighted = weighted.join(degrees, weighted["src"] == degrees["id"]).withColumn("share", F.pmod(F.xxhash64("tgt"), F.col("shares"))).drop("id", "shares")
+        degrees = vertices.select("id", F.greatest(F.ceil(F.col("out_degree") / split), F.lit(1)).cast("int").alias("shares"))
+        edges = edges.join(degrees, edges["src"] == degrees["id"]).withColumn("share", F.pmod(F.xxhash64("tgt"), F.col("shares"))).drop("id", "shares")
     ends = ["src", "share"] if hubs else ["src"]
-    edges = weighted.repartition(width, *ends).persist(StorageLevel.MEMORY_AND_DISK)
-    static = ["id", "in_degree", "out_degree"]
-    found = resume(graph.edges.sparkSession, checkpoint, program.name) if checkpoint else None
-    start = found[0] + 1 if found else 0
-    if found:
-        state = found[1]
+    if not once:
+        edges = edges.repartition(width, *ends).sortWithinPartitions(*ends).persist(StorageLevel.MEMORY_AND_DISK)
+    static = ["id", "in_degree", "out_degree"] if program.degrees else ["id"]
+    dealt = (lambda df: df) if once else lambda df: df.repartition(width, "id").sortWithinPartitions("id")
+    bits = max(0, (max(1, graph.n) - 1).bit_length() - (STRETCHES - 1).bit_length())
+    stretch = F.shiftright("id", bits)
+
+    done = resume(spark, checkpoint, program.name) if checkpoint else None
+    start = done[0] + 1 if done else 0
+    if done:
+        state = dealt(done[1])
     else:
         state = vertices.select(*static, *[c.alias(k) for k, c in program.init().items()])
-        if program.active is None:
-            state = state.withColumn("active", F.lit(True)) if "active" not in state.columns else state
-    out = Run(state, start)
-    every, active = 1 if program.carries else truncate, None
+        state = dealt(state if "active" in state.columns else state.withColumn("active", F.lit(True)))
+    out, active, folder = Run(state, start), None, Checkpoints(spark, program.name)
+    kept_rounds = [done[0]] if done else []
+    stretches: list[int] | None = None
     for number in count(start) if max_rounds is None else range(start, max_rounds):
         began = time.time()
         step = program.before_round(number, state) if program.before_round else program
@@ -108,32 +158,53 @@ def run(
         if hubs:
             named = named.withColumn("s_share", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("s_out_degree") / split), F.lit(1)).cast("int") - 1)))
             at.append(F.col("share") == F.col("s_share"))
+        sent = _among(edges, stretches, bits) if step.frontier else edges
+        sent = sent.join(merged(named), at)
+        if step.target:
+            there = state.select(F.col("id").alias("t_id"), *[F.col(c).alias(f"t_{c}") for c in step.target if c != "id"])
+            sent = sent.join(merged(there), F.col("tgt") == F.col("t_id"))
         messages = step.message()
-        sent = edges.join(named, at).select("tgt", *[c.alias(f"m_{k}") for k, c in messages.items()])
+        sent = sent.select("tgt", *[c.alias(f"m_{k}") for k, c in messages.items()])
         met = sent.groupBy("tgt").agg(*[COMBINE[kind](F.col(f"m_{k}")).alias(f"m_{k}") for k, kind in step.combine.items()])
-        base = state if step.carries else vertices
         new = step.apply()
-        joined = base.join(met, base["id"] == met["tgt"], "left")
-        live = step.active() if step.active else F.lit(True)
-        if "active" in new:
-            live = new.pop("active")
-        values = joined.select(*[F.col(c) for c in static], *[c.alias(k) for k, c in new.items()], live.alias("active"))
-        state, active = values, None
-        if (number + 1 - start) % every == 0 or number + 1 == max_rounds:
-            seen = Observation(f"{program.name}-{number}")
-            state = cut(values.observe(seen, F.count_if("active").alias("active")), program.name)
-            if step.frontier:
-                active = seen.get["active"]
+        joined = state.join(merged(met), state["id"] == met["tgt"], "left")
+        live = new.pop("active") if "active" in new else step.active() if step.active else F.lit(True)
+        state = joined.select(*[F.col(c) for c in static], *[c.alias(k) for k, c in new.items()], live.alias("active"))
+        if lazy:
+            out.state, out.rounds, out.log = state, 1, [(number, None, (time.time() - began) * 1000)]
+            return out
+        seen = Observation(f"{program.name}-{number}")
+        watched = state.observe(seen, F.count_if("active").alias("active"), F.collect_set(F.when(F.col("active"), stretch)).alias("stretches"))
         if checkpoint:
-            keep_round(state, checkpoint, program.name, number)
+            keep_round(watched, checkpoint, program.name, number)
+            state = dealt(resume(spark, checkpoint, program.name)[1])
+            kept_rounds.append(number)
+            if len(kept_rounds) > 2:
+                drop_round(spark, checkpoint, program.name, kept_rounds.pop(0))
+        else:
+            state = folder.checkpoint(watched)
+        active, stretches = seen.get["active"], list(seen.get["stretches"] or [])
         if on_round:
             on_round(number, state)
         out.rounds = number + 1
         out.log.append((number, active, (time.time() - began) * 1000))
-        if active == 0:
+        if program.frontier and active == 0:
             break
     out.state = state
     if program.frontier:
         out.settled = active == 0 if active is not None else state.where("active").isEmpty()
     edges.unpersist()
+    folder.close()
     return out
+
+
+def _among(edges: DataFrame, stretches: list[int] | None, bits: int) -> DataFrame:
+    """The edges whose sources lie in ``stretches`` of ids, by ranges, if these leave half of all ids out."""
+    ranges = ranges_of(stretches) if stretches is not None else []
+    if not ranges or 2 * sum(b - a + 1 for a, b in ranges) > STRETCHES:
+        return edges
+    inside = [(F.col("src") >= a << bits) & (F.col("src") < (b + 1) << bits) for a, b in ranges]
+    condition = inside[0]
+    for one in inside[1:]:
+        condition = condition | one
+    return edges.where(condition)

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from graphloom.graph import Graph, decode_ids, encode_ids
 from graphloom.operators import programs
+from graphloom.plans import superstep
 from graphloom.plans.storage import keep_round
-from graphloom.plans.superstep import run
+from graphloom.plans.superstep import VertexProgram, ranges_of, run
 
 SIX = [(0, 1), (3, 1), (0, 2), (1, 2), (1, 3), (3, 0)]
 
@@ -84,6 +85,85 @@ def test_bounds_are_told(spark):
         programs.sssp(graph(spark, [(0, 1), (1, 0)], 2, [1, -2]), 0)
 
 
+def test_programs_may_read_the_target(spark):
+    """SpMV with either index, and a message that divides by the target's in-degree."""
+    random.seed(4)
+    edges = [(random.randrange(20), random.randrange(20)) for _ in range(70)]
+    weights = [random.randrange(1, 9) for _ in edges]
+    g = graph(spark, edges, 20, weights)
+    for index, end in (("target", 1), ("source", 0)):
+        truth = [0.0] * 20
+        for e, w in zip(edges, weights):
+            truth[e[1]] += w * e[end]
+        assert [r.y for r in programs.spmv(g, index, weighted=True).orderBy("id").collect()] == truth
+    shares = VertexProgram(
+        "shares",
+        init=lambda: {"value": F.lit(0.0)},
+        message=lambda: {"x": 1 / F.col("t_in_degree")},
+        combine={"x": "sum"},
+        apply=lambda: {"value": F.col("value") + F.coalesce("m_x", F.lit(0.0))},
+        target=("in_degree",),
+    )
+    got = values(run(g, shares, 3))
+    reached = {t for _, t in edges}
+    assert all(math.isclose(x, 3.0 if v in reached else 0.0) for v, x in enumerate(got))
+
+
+def test_pagerank_tells_who_moved(spark):
+    """After each round the vertices whose rank moved by more than the threshold, by hand."""
+    rank, moved, out = [1.0] * 4, [], [2, 2, 0, 2]
+    for _ in range(6):
+        new = [0.15 + 0.85 * sum(rank[s] / out[s] for s, t in SIX if t == v) for v in range(4)]
+        moved.append(sum(abs(a - b) > 0.05 for a, b in zip(new, rank)))
+        rank = new
+    done = programs.pagerank(graph(spark, SIX, 4), 6, threshold=0.05)
+    assert [a for _, a, _ in done.log] == moved and len(set(moved)) > 1
+    assert [tuple(r)[:2] for r in done.metrics(spark).orderBy("round").collect()] == list(enumerate(moved))
+
+
+def test_rounds_by_hand(spark):
+    """Programs given round by round: emit, absorb, emit, converged."""
+    random.seed(7)
+    edges = [(random.randrange(8), random.randrange(8)) for _ in range(24)]
+    weights = [random.choice([0.5, 0.8, 0.9]) for _ in edges]
+    prior, n = [(v % 4 + 1) / 6 for v in range(8)], 8
+    beliefs = []
+    for q in (prior, [1 - p for p in prior]):
+        l, m = [0.0] * n, [0.0] * n
+        incoming = [[k for k, e in enumerate(edges) if e[1] == v] for v in range(n)]
+        for number in range(4):
+            if number % 2 == 0:
+                l = [sum(l[edges[k][0]] for k in incoming[v]) if incoming[v] else l[v] for v in range(n)]
+            elif number < 3:
+                m = [sum(weights[k] * math.exp(l[edges[k][0]]) for k in incoming[v]) * q[v] / math.exp(l[v]) for v in range(n)]
+        beliefs.append([q[v] * math.prod(m[edges[k][0]] for k in incoming[v]) for v in range(n)])
+    got = programs.belief_propagation(graph(spark, edges, n, weights), 4, (F.pmod("id", F.lit(4)) + 1) / 6).orderBy("id").collect()
+    for r, a, b in zip(got, *beliefs):
+        assert math.isclose(r.belief0, a / (a + b) if a + b else 0.0, abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("stretches, most, expected", [([], 4, []), ([5], 4, [(5, 5)]), ([1, 2, 3, 9], 4, [(1, 3), (9, 9)]), ([1, 5, 6, 20, 40], 2, [(1, 20), (40, 40)]), ([3, 1], 1, [(1, 3)])])
+def test_ranges_hold_all_stretches(stretches, most, expected):
+    assert ranges_of(stretches, most) == expected
+
+
+def test_small_frontiers_read_few_edges(spark, monkeypatch):
+    """A long path, of which each round reads one stretch: same hops as with all edges."""
+    n = 600
+    edges = [(k, k + 1) for k in range(n - 1)] + [(5, 400)]
+    seen = []
+    plain = superstep._among
+    monkeypatch.setattr(superstep, "_among", lambda e, stretches, bits: seen.append(plain(e, stretches, bits) is e) or plain(e, stretches, bits))
+    done = programs.bfs(graph(spark, edges, n), 580)
+    assert values(done) == [None] * 580 + list(range(20)) and seen[0] and not any(seen[1:-1])
+
+
+def test_old_states_go(spark, tmp_path):
+    path = f"file://{tmp_path}/kept"
+    programs.pagerank(graph(spark, SIX, 4), 5, checkpoint=path)
+    assert sorted(p.name for p in (tmp_path / "kept").iterdir()) == ["pagerank-00000003", "pagerank-00000004"]
+
+
 def test_sssp_and_weak_components(spark):
     random.seed(5)
     edges = [(random.randrange(30), random.randrange(30)) for _ in range(60)]
