@@ -37,11 +37,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     now, path = cut_at(ordered, name)
     state = _state(now)
     while True:
-        large, large_path = cut_at(_large_star(now, state[0]).where("u != v").distinct(), name)
-        remove(spark, path)
-        now, path = cut_at(_small_star(large, state[0]), name)
-        remove(spark, large_path)
-        before, state = state, _state(now)
+        before, last = state, path
+        now, path = cut_at(_small_star(_large_star(now, state[0]).where("u != v").distinct(), state[0]), name)
+        remove(spark, last)
+        state = _state(now)
         if before == state:
             return now
 

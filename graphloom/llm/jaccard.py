@@ -12,7 +12,7 @@
    block. Links are counted where they are found and only chains of linked
    classes leave a task, so a group of m near copies costs no m**2 rows; that
    they are counted takes m**2 comparisons, and a set is sent to as many tasks as
-   its cluster has blocks of 2,048 sets or 16 MB.
+   its cluster has blocks: of 512 sets up to 16 blocks, then of 2,048 or 16 MB.
 
 Four values a band and 32 bands miss a pair at the threshold 0.8 with probability
 5e-8, and the default tolerance adds about as little.
@@ -37,6 +37,7 @@ HASHES, BAND = 128, 4
 STEPS = (16, 32, 64, 128)
 BUCKET_BLOCK = 8192  # classes of a bucket's block: 2 MB of signatures
 BLOCK, BLOCK_BYTES = 2048, 16 << 20  # sets of a cluster's block
+FINER, FINER_BLOCKS = 4, 16  # blocks are a quarter of that while there are no more than 16, so that many tasks share the work
 _U = np.uint64
 _PRIMES = mix64(np.arange(1, 2 * HASHES + 1, dtype=_U))
 _FACTOR = (_PRIMES[:HASHES] >> _U(32)).astype(np.uint32) | np.uint32(1)
@@ -180,7 +181,7 @@ def _candidate_edges(classes: DataFrame, least: dict[int, int], block: int) -> D
     shared = beside_group(bands, "band", full, "m", classes.count() * HASHES // BAND)
     met = _blocked(shared, "v", F.ceil(F.col("m") / block))
     with_sig = met.select("band", "lo", "hi", "v").join(classes.select("v", "sig"), "v")
-    dealt = with_sig.repartition(shuffle_width(classes.sparkSession), "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+    dealt = with_sig.repartition(shuffle_width(classes.sparkSession), "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "v")
 
     def prune(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in _groups(it, ["band", "lo", "hi"]):
@@ -241,7 +242,9 @@ def _verified(documents: DataFrame, doc_id: str, text: str, n: int, threshold: f
     # a cluster's least class is in it too
     members = clusters.union(clusters.select(F.col("v").alias("u"), "v").distinct()).select(F.col("u").alias("v"), F.col("v").alias("cluster"))
     known = written(classes.select("v", "rep", "copies", "size").join(members, "v"), "members")
-    blocks = known.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("size") * 8 / BLOCK_BYTES)).alias("blocks"))
+    m = F.count("*")
+    parts = F.greatest(m / block, F.least(m * FINER / block, F.lit(FINER_BLOCKS)), F.sum("size") * 8 / BLOCK_BYTES)
+    blocks = known.groupBy("cluster").agg(F.ceil(parts).alias("blocks"))
     large = small(written(blocks.where("blocks > 1"), "large"))
     needed = written(known.join(large, "cluster", "left").drop("size").fillna(1, ["blocks"]), "needed")
     rows = documents.select(F.col(doc_id).alias("rep"), F.col(text).cast("string").alias("_text"))
