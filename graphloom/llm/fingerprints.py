@@ -8,7 +8,8 @@ before the shuffle, so a bucket with a third of all rows is no single task's. If
 they are equal so is all between; a bucket with different texts numbers them.
 
 The normaliser and the case folding are those of the ICU library that Spark
-itself ships, called by SQL's ``reflect``; texts of ASCII alone skip them.
+itself ships, called by SQL's ``reflect``; texts of ASCII and the letters of
+Latin-1 alone skip them, as for these folding is lowering, and ß is ss.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.frames import shuffle_width, tables, written
+from graphloom.llm.frames import shuffle_width, small, tables, written
 
-MAX_BROADCAST = 1_000_000
-MAX_RANGES = 20_000
+SAMPLED = 20  # rows a range that its bounds are taken from
 _SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
+#: Beyond ASCII and the letters of Latin-1, which NFKC leaves as they are.
+_NOT_LATIN = r"[^\x00-\x7f\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]"
+
 Digest = Callable[[Column], Column]
 
 
@@ -32,7 +35,8 @@ def canonical(text: Column) -> Column:
     composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
     folded = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed, F.lit(True))
     again = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), folded, F.lit(True))
-    plain = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(again)
+    simple = ~text.rlike(_NOT_LATIN)
+    plain = F.when(F.octet_length(text) == F.length(text), F.lower(text)).when(simple, F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))).otherwise(again)
     return F.trim(F.regexp_replace(plain, _SPACE, " "))
 
 
@@ -41,10 +45,6 @@ def digest128(canon: Column) -> Column:
     return F.concat(*[F.lpad(F.lower(F.hex(F.xxhash64(F.lit(seed), canon))), 16, "0") for seed in (1, 2)])
 
 
-def _bounded(small: DataFrame) -> DataFrame:
-    return F.broadcast(small) if small.count() <= MAX_BROADCAST else small
-
-
 def unequal_buckets(rows: DataFrame) -> DataFrame:
     """(h, least, greatest) of the buckets that hold different texts. ``rows``: (h, canon)."""
     return rows.groupBy("h").agg(F.min("canon").alias("least"), F.max("canon").alias("greatest")).where("least != greatest")
@@ -65,7 +65,7 @@ def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), canonical(body).alias("canon")).withColumn("h", digest(F.col("canon")))
     hashes = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    shared = rows.select("h", "canon").join(_bounded(written(hashes, "shared")), "h", "left_semi")
+    shared = rows.select("h", "canon").join(small(written(hashes, "shared")), "h", "left_semi")
     unequal = written(unequal_buckets(shared), "unequal")
     mark = F.col("h")
     if not unequal.isEmpty():
@@ -78,33 +78,32 @@ def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
 def with_next(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: Digest = digest128) -> DataFrame:
     """(_id, body, b, h) and the same of the next row by descending id, the first coming after the last: next_id, next_body, next_b, next_h.
 
-    Rows are ranged by id into many small windows; each window also gets a copy of the row that follows its last, so
-    one shuffle does. Rows with equal ids follow by their texts' hashes; null ids come last.
+    Rows are ranged by id and text hash into many small windows, by bounds from a sample; each window also gets a copy of
+    the row that follows its last, so one shuffle does. Rows with equal ids follow by their texts' hashes, so that many
+    rows with one id or none are many windows; rows alike in both are one window. Null ids come last. Ids may be of any
+    type that has an order.
     """
     spark = documents.sparkSession
-    ranges = min(4 * shuffle_width(spark), MAX_RANGES)
+    ranges = 4 * shuffle_width(spark)
     rows = documents.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
-    shares = [k / ranges for k in range(1, ranges)]
-    found = rows.agg(F.percentile_approx("_id", F.array(*map(F.lit, shares)), 20 * ranges).alias("q")).first()["q"] or []
-    bounds = sorted({x for x in found if x is not None})
-    bucket = F.lit(0)
-    if bounds:
-        held = F.array(*map(F.lit, bounds))
-        steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
-        search = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(bounds)) & (F.get(held, at + s - 1) <= F.col("_id")), at + s).otherwise(at))
-        bucket = F.coalesce(search, F.lit(0))
+    rows = rows.withColumn("b", F.xxhash64(F.lit(3), "body"))
+    place = F.struct("_id", "b")  # null ids are the least
+    sample = rows.select("_id", "b", F.xxhash64(F.lit(5), "_id", "b").alias("o")).distinct().orderBy("o").limit(SAMPLED * ranges)
+    places = f"array<struct<_id:{dict(rows.dtypes)['_id']},b:bigint>>"
+    found = sample.agg(F.array_sort(F.collect_list(place)).alias("s")).select(F.to_json(F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda k: F.get("s", F.floor(k * F.size("s") / ranges).cast("int"))))).first()[0]
+    held = F.filter(F.array_distinct(F.from_json(F.lit(found or "[]"), places)), lambda x: x.isNotNull())
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(ranges.bit_length()))])
+    bucket = F.aggregate(steps, F.lit(0), lambda at, k: F.when((at + k <= F.size(held)) & (F.get(held, at + k - 1) <= place), at + k).otherwise(at))
     placed = rows.withColumn("bucket", bucket)
-    heads = sorted((r["bucket"], r["m"]) for r in placed.groupBy("bucket").agg(F.max("_id").alias("m")).collect())
+    heads = placed.groupBy("bucket").agg(F.max(place).alias("m"))
     # the first row of a window follows the last row of the window above it; the very first follows the very last
-    follows = [(m, heads[(k + 1) % len(heads)][0]) for k, (_, m) in enumerate(heads)]
-    own = placed.withColumn("copy", F.lit(False))
-    if follows:
-        kind = dict(rows.dtypes)["_id"]
-        targets = F.broadcast(spark.createDataFrame(follows, f"m {kind}, bucket int"))
-        copies = rows.join(targets, rows["_id"].eqNullSafe(targets["m"])).select("_id", "body", "bucket", F.lit(True).alias("copy"))
-        own = own.unionByName(copies)
-    hashed = own.withColumn("b", F.xxhash64(F.lit(3), "body")).withColumn("h", digest(canonical(F.col("body"))))
-    order = Window.partitionBy("bucket").orderBy("copy", F.col("_id").desc_nulls_last(), "b")
+    above = F.lead("bucket").over(Window.orderBy("bucket"))  # one row per range
+    first = F.first("bucket").over(Window.orderBy("bucket"))
+    targets = F.broadcast(heads.select(F.col("m._id").alias("_m"), F.col("m.b").alias("_b"), F.coalesce(above, first).alias("bucket")))
+    copies = rows.join(targets, rows["_id"].eqNullSafe(F.col("_m")) & (rows["b"] == F.col("_b"))).select("_id", "body", "b", "bucket", F.lit(True).alias("copy"))
+    own = placed.withColumn("copy", F.lit(False)).unionByName(copies)
+    hashed = own.withColumn("h", digest(canonical(F.col("body"))))
+    order = Window.partitionBy("bucket").orderBy("copy", F.col("_id").desc_nulls_last(), F.desc("b"))
     led = hashed.select("*", *[F.lead(c).over(order).alias(f"next_{c.strip('_')}") for c in ("_id", "body", "b", "h")])
     return led.where("not copy").drop("copy", "bucket")
 
@@ -134,11 +133,11 @@ def edited_fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str
         "digests",
     )
     hashes = marks.select("h").union(marks.select(F.col("he").alias("h"))).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    shared = _bounded(written(hashes, "shared"))
+    shared = small(written(hashes, "shared"))
     rows = documents.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
     originals = rows.select("_id", F.xxhash64(F.lit(3), "body").alias("b"), canonical(F.col("body")).alias("canon")).withColumn("h", digest(F.col("canon")))
     originals = originals.join(shared, "h", "left_semi")
-    pairs = _bounded(written(marks.join(shared.withColumnRenamed("h", "he"), "he", "left_semi").select("_id", "b", "next_id", "next_b", "he").distinct(), "edited"))
+    pairs = small(written(marks.join(shared.withColumnRenamed("h", "he"), "he", "left_semi").select("_id", "b", "next_id", "next_b", "he").distinct(), "edited"))
     hashed = rows.withColumn("rb", F.xxhash64(F.lit(3), "body")).withColumnRenamed("_id", "rid")
     first = hashed.join(pairs, F.col("rid").eqNullSafe(F.col("_id")) & (F.col("rb") == F.col("b"))).select("_id", "b", "next_id", "next_b", "he", "body").distinct()
     second = hashed.join(pairs, F.col("rid").eqNullSafe(F.col("next_id")) & (F.col("rb") == F.col("next_b"))).select("_id", "b", "next_id", "next_b", F.col("body").alias("following")).distinct()

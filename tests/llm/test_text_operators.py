@@ -88,6 +88,33 @@ def test_edited_fingerprints(spark, digest):
     assert fingerprints.edited_fingerprints(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["string", "date"])
+def test_edited_fingerprints_of_other_ids(spark, kind):
+    """Text and date ids, null ones and many rows with one id, against the order by hand."""
+    rows = [(None, "no id"), ("2024-01-02", "a b c d e f")] + [(f"2023-0{1 + k % 9}-1{k % 10}", prose(k, 3 + k)) for k in range(45)] + [("2023-05-05", f"same id {k} " * 4) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = fingerprints.edited_fingerprints(df).collect()
+    assert len(got) == len(rows)
+    by_id = collections.Counter(i for i, _ in rows)
+    order = sorted(((i or "", t) for i, t in rows), reverse=True)
+    truth = {}
+    for k, (i, t) in enumerate(order):
+        j, following = order[(k + 1) % len(order)]
+        if by_id[i or None] == 1 and by_id[j or None] == 1:
+            cut = len(t) // 3
+            truth[i or None] = hashlib.sha256((t[: len(t) - cut] + following[:cut]).encode()).hexdigest()
+    found = {None if r.doc_id is None else str(r.doc_id): r.edited_sha256 for r in got}
+    assert len(truth) > 10 and all(found[i] == x for i, x in truth.items())
+
+
+def test_canonical_forms(spark):
+    """Every character up to U+04FF beside letters and marks, and the texts that skip the normaliser."""
+    texts = [f"A{chr(c)}B" for c in range(1, 0x500) if c not in (0x1C, 0x1D, 0x1E, 0x1F, 0x130)]  # white space to Python alone; a letter with two foldings
+    texts += ["ÀÉÎõÜß ẞ", "GROẞ straße", "É" * 5 + "e\u0301", "ÿŸ", "\u212a K"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", fingerprints.canonical(F.col("t")).alias("c")).collect()
+    assert [(texts[r.i], r.c) for r in got if r.c != canonical(texts[r.i])] == []
+
+
 # 4
 
 
@@ -119,6 +146,40 @@ def test_language_learns_beside_copies(spark):
     assert beside.pairs == alone.pairs == [("de", "en")] and (beside.weights == alone.weights).all()
 
 
+def test_votes_by_hand(spark):
+    """Predictions of a model against its decisions spelled out: trigram shares, family, pairs, wins, margins."""
+    df = documents(spark, language_rows(120))
+    model = langid.train(df, per_language=30)
+    at = {f: k for k, f in enumerate(model.families)} | {p: len(model.families) + k for k, p in enumerate(model.pairs)}
+
+    def predicted(text):
+        folded = "".join(c.lower() if c.isalpha() else " " for c in text).encode()
+        grams = [folded[k : k + 3] for k in range(len(folded) - 2)]
+        grams = [g for g in grams if g[1] != 0x20 and not (g[0] == 0x20 == g[2])]
+        counts = collections.Counter(((int.from_bytes(g, "big") * 0x9E3779B1) % 2**32) >> (32 - 13) for g in grams)
+        margin = lambda key: sum(n * model.weights[at[key]][b] for b, n in counts.items()) / max(1, len(grams)) + model.bias[at[key]]
+        family = max(model.families, key=margin)
+        own = [x for x in model.languages if langid.family_of(x) == family]
+        wins = {x: [0, 0.0] for x in own}
+        for a, b in model.pairs:
+            if a in own:
+                m = margin((a, b))
+                wins[a if m >= 0 else b][0] += 1
+                wins[a][1] += m
+                wins[b][1] -= m
+        return max(sorted(wins), key=lambda x: wins[x])
+
+    for r in langid.identify(df, model).collect():
+        assert r.lang_pred == predicted(r.text)
+
+
+def test_many_languages(spark):
+    """More languages than any list has, each with a word of its own."""
+    rows = [(k, f"word{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}x " * 5, f"x{k % 600:03d}", "s") for k in range(600)]
+    model = langid.train(documents(spark, rows), per_language=2, buckets=1 << 10)
+    assert len(model.languages) == len(model.families) == 600 and model.pairs == []
+
+
 def test_language_edges(spark):
     model = langid.train(documents(spark, language_rows(40)))
     got = {r.doc_id: r for r in langid.identify(documents(spark), model).collect()}
