@@ -4,8 +4,8 @@ A text's features are the shares of its hashed letter trigrams (lower-cased, run
 of letters with a space at each end). One-versus-rest linear SVMs over the
 families name the family; within it every pair of languages has a linear SVM of
 its own, and the language with most wins, then the largest sum of margins, is
-predicted. The machines are fitted on the driver from a sample of labelled rows
-bounded per language; everything else is one pass over all texts.
+predicted. The machines are fitted from a sample of labelled rows bounded per
+language, one machine a task; everything else is one pass over all texts.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.frames import crc_bucket, tables, written
@@ -34,7 +34,6 @@ FAMILIES = {
 UNKNOWN = "und"
 BUCKETS = 1 << 13
 PER_LANGUAGE = 400
-MAX_LANGUAGES = 500
 _U = np.uint64
 _FOLD = np.full(256, 0x20, np.uint8)  # bytes of letters stand for themselves, all else is a space
 _FOLD[97:123] = np.arange(97, 123)
@@ -121,36 +120,59 @@ def _logistic(m: float) -> float:
     return float(1 / (1 + np.exp(-max(-30.0, min(30.0, 2 * m)))))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, epochs: int = 30, penalty: float = 1.0) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss by dual coordinate descent; classes weigh alike. y in {-1, 1}."""
-    n, d = x.shape
-    ones = np.concatenate([x, np.ones((n, 1), x.dtype)], axis=1)
-    weight = np.where(y > 0, n / (2 * max(1, (y > 0).sum())), n / (2 * max(1, (y < 0).sum()))) * penalty
-    square = np.einsum("ij,ij->i", ones, ones) + 1 / (2 * weight)
-    alpha, w = np.zeros(n), np.zeros(d + 1)
-    order = np.random.default_rng(7)
-    for _ in range(epochs):
-        for i in order.permutation(n):
-            gradient = y[i] * (ones[i] @ w) - 1 + alpha[i] / (2 * weight[i])
-            new = max(0.0, alpha[i] - gradient / square[i])
-            if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * ones[i]
-                alpha[i] = new
-    return w[:-1], float(w[-1])
+@dataclass
+class _Sample:
+    """Labelled texts as sparse rows: row k has the features ``at[edges[k]:edges[k + 1]]`` with ``share``."""
+
+    names: np.ndarray
+    kin: np.ndarray
+    edges: np.ndarray
+    at: np.ndarray
+    share: np.ndarray
+    buckets: int
+
+    def machine(self, kind: str, a: str, b: str) -> tuple[np.ndarray, float]:
+        """A family against the rest, or language a against language b."""
+        if kind == "family":
+            rows, y = np.arange(len(self.names)), np.where(self.kin == a, 1.0, -1.0)
+        else:
+            rows = np.flatnonzero((self.names == a) | (self.names == b))
+            y = np.where(self.names[rows] == a, 1.0, -1.0)
+        return self._svm(rows, y)
+
+    def _svm(self, rows: np.ndarray, y: np.ndarray, epochs: int = 30, penalty: float = 1.0) -> tuple[np.ndarray, float]:
+        """Linear SVM with squared hinge loss by dual coordinate descent; classes weigh alike. y in {-1, 1}."""
+        n = len(rows)
+        cells = [(self.at[i:j], self.share[i:j]) for i, j in zip(self.edges[rows].tolist(), self.edges[rows + 1].tolist())]
+        weight = np.where(y > 0, n / (2 * max(1, (y > 0).sum())), n / (2 * max(1, (y < 0).sum()))) * penalty
+        extra = 1 / (2 * weight)
+        square = np.array([v @ v + 1 for _, v in cells]) + extra
+        alpha, w, bias = np.zeros(n), np.zeros(self.buckets), 0.0
+        order = np.random.default_rng(7)
+        for _ in range(epochs):
+            for i in order.permutation(n).tolist():
+                at, v = cells[i]
+                gradient = y[i] * (w[at] @ v + bias) - 1 + alpha[i] * extra[i]
+                new = max(0.0, alpha[i] - gradient / square[i])
+                if new != alpha[i]:
+                    step = (new - alpha[i]) * y[i]
+                    w[at] += step * v
+                    bias += step
+                    alpha[i] = new
+        return w, float(bias)
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, buckets: int = BUCKETS) -> LanguageModel | None:
     """Fit on rows with a non-null ``lang`` and a letter in their text; None if there are none.
 
     The sample is bounded: of each language the texts with the ``per_language`` smallest hashes, copies counting once, of
-    which the whole text is used. At most MAX_LANGUAGES languages are told apart.
+    which the whole text is used. Its trigram counts are collected and sent to the tasks that fit the machines: some
+    kilobytes a text, so a megabyte a language. Any number of languages is told apart.
     """
     rows = labelled.where(F.col(lang).isNotNull() & lettered(F.col(text))).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text") / F.lit(float(1 << 64)) + 0.5)  # 0 to 1
     hashes = written(rows.select("lang", "h").distinct(), "hashes")  # of distinct texts: copies hash alike
-    counts = {r["lang"]: r["count"] for r in hashes.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
+    counts = {r["lang"]: r["count"] for r in hashes.groupBy("lang").count().collect()}
     if not counts:
         return None
     # the smallest hashes of each language, without moving texts: sorted up to a cut that leaves about four times the
@@ -178,24 +200,40 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
     most = F.create_map(*[x for k, m in sorted(limits.items()) for x in (F.lit(k), F.lit(m))])[F.col("lang")]
     chosen = rows.where(F.col("h") <= most).groupBy("lang", "text").agg(F.first("h").alias("h"))
     got = sorted(((r["lang"], r["h"], r["at"], r["share"]) for r in chosen.mapInArrow(features, "lang string, h double, at array<int>, share array<float>").collect()), key=lambda r: r[:2])
-    x = np.zeros((len(got), buckets), np.float32)
-    for k, (_, _, at, share) in enumerate(got):
-        x[k, at] = share
-    x *= 30.0  # shares are small numbers; the machines see lengths near one
     names = np.array([r[0] for r in got])
-    families = sorted({family_of(n) for n in names.tolist()})
-    kin = np.array([family_of(n) for n in names.tolist()])
-    machines = [_svm(x, np.where(kin == f, 1.0, -1.0)) for f in families] if len(families) > 1 else []
-    languages, pairs = sorted(set(names.tolist())), []
-    for f in families:
-        for a, b in combinations([n for n in languages if family_of(n) == f], 2):
-            mine = (names == a) | (names == b)
-            machines.append(_svm(x[mine], np.where(names[mine] == a, 1.0, -1.0)))
-            pairs.append((a, b))
+    sample = _Sample(
+        names,
+        np.array([family_of(n) for n in names.tolist()]),
+        np.cumsum([0, *[len(r[2]) for r in got]]),
+        np.concatenate([np.array(r[2], np.int64) for r in got]),
+        30.0 * np.concatenate([np.array(r[3], np.float64) for r in got]),  # shares are small numbers; the machines see lengths near one
+        buckets,
+    )
+    families, languages = sorted(set(sample.kin.tolist())), sorted(set(names.tolist()))
+    pairs = [(a, b) for f in families for a, b in combinations([n for n in languages if family_of(n) == f], 2)]
+    jobs = [("family", f, "") for f in families] if len(families) > 1 else []
+    jobs += [("pair", a, b) for a, b in pairs]
+    machines = _fitted(labelled.sparkSession, sample, jobs)
     weights = np.array([30.0 * w for w, _ in machines]).reshape(len(machines), buckets)
     return LanguageModel(families, languages, pairs, weights, np.array([b for _, b in machines]))
 
 
+def _fitted(spark: SparkSession, sample: _Sample, jobs: list[tuple[str, str, str]]) -> list[tuple[np.ndarray, float]]:
+    """The machines, each fitted by a task of its own."""
+    if not jobs:
+        return []
+    sent = spark.sparkContext.broadcast(sample)
+
+    def fit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for k in batch.column("id").to_pylist():
+                w, bias = sent.value.machine(*jobs[k])
+                yield pa.RecordBatch.from_pydict({"id": pa.array([k], pa.int64()), "w": pa.array([w.astype("<f8").tobytes()], pa.binary()), "bias": pa.array([bias], pa.float64())})
+
+    rows = spark.range(0, len(jobs), 1, len(jobs)).mapInArrow(fit, "id long, w binary, bias double").collect()
+    return [(np.frombuffer(r["w"], "<f8"), r["bias"]) for r in sorted(rows, key=lambda r: r["id"])]
+
+
 def identify(documents: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
     """``documents`` with lang_pred and score (0 to 1, the least certain of the decisions taken).
 
