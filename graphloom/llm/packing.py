@@ -126,15 +126,24 @@ class Plan:
     def _round_robin(self, source: np.ndarray, i: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Slot within the phase of the i-th grain of each source: quantum_s = per_window * count_s / sum(count)."""
         total, per = int(count.sum()), self.per_window
-        kind = np.int64 if total < 1 << 29 or total * per * int(count.max()) < 1 << 62 else object  # Python integers beyond
-        c, i = count.astype(kind), i.astype(kind)
-        mine = c[source]
-        turn = -(-((i + 1) * total) // (per * mine)) - 1  # the round in which it is served
-        before = np.minimum(turn[:, None] * per * c[None, :] // total, c[None, :])
-        after = np.minimum((turn[:, None] + 1) * per * c[None, :] // total, c[None, :])
+        mine = count[source]
+        turn = -muldiv(-(i + 1), np.int64(total), per * mine) - 1  # the round in which it is served
+        before = np.minimum(muldiv(turn[:, None] * per, count[None, :], np.int64(total)), count[None, :])
+        after = np.minimum(muldiv((turn[:, None] + 1) * per, count[None, :], np.int64(total)), count[None, :])
         earlier = np.arange(len(count))[None, :] < source[:, None]
-        slot = before.sum(axis=1) + ((after - before) * earlier).sum(axis=1) + i - before[np.arange(len(i)), source]
-        return slot.astype(np.int64)
+        return before.sum(axis=1) + ((after - before) * earlier).sum(axis=1) + i - before[np.arange(len(i)), source]
+
+
+def muldiv(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """floor(a * b / c) in 64-bit integers, whatever the product: c over 0 and under 2**61, the result under 2**61.
+
+    The quotient of extended floats is off by little; what it is off by is known from the product modulo 2**64.
+    """
+    with np.errstate(over="ignore"):
+        if abs(a).max(initial=0) * float(abs(b).max(initial=0)) < 2**62:
+            return a * b // c
+        q = np.floor(a.astype(np.longdouble) * b.astype(np.longdouble) / c.astype(np.longdouble)).astype(np.int64)
+        return q + (a * b - q * c) // c
 
 
 def packed(tokens: DataFrame, doc_id: str = "doc_id", window: int = WINDOW, grain: int = GRAIN, weights: dict[str, float] | None = None) -> DataFrame:

@@ -193,6 +193,23 @@ def test_packing_keeps_proportions():
         assert all(abs(counts[k] - upto * share) <= 3 for k, share in enumerate((0.7, 0.2, 0.1)))
 
 
+@given(st.lists(st.tuples(st.integers(-(2**45), 2**45), st.integers(0, 2**45), st.integers(1, 2**50)), min_size=1, max_size=50))
+@settings(max_examples=200, deadline=None)
+def test_products_beyond_64_bits(rows):
+    rows = [(a, b, c) for a, b, c in rows if abs(a * b // c) < 2**60] or [(1, 1, 1)]
+    a, b, c = (np.array(x, np.int64) for x in zip(*rows))
+    assert packing.muldiv(a, b, c).tolist() == [x * y // z for x, y, z in rows]
+
+
+def test_packing_of_more_tokens_than_there_are():
+    """Places in a plan of 10**13 tokens: all different, in order, and about where the shares put them."""
+    plan = packing.Plan({"=a": 9 * 10**12, "=b": 10**12 + 77}, None, 1024, 128)
+    for source, share in ((0, 0.9), (1, 0.1)):
+        number = np.arange(plan.grains[source] // 2, plan.grains[source] // 2 + 50)
+        at = plan.places(np.full(50, source), number)
+        assert (np.diff(at) >= 128).all() and abs(at[0] * share - number[0] * 128) < 1024 * 4
+
+
 def test_packing_edges(spark):
     assert packing.packed(packing.tokenized(empty(spark), BYTES)).count() == 0
     many = packing.packed(packing.tokenized(documents(spark), BYTES, max_queues=1))
