@@ -18,10 +18,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.frames import tables
+from graphloom.llm.frames import tables, written
 from graphloom.llm.words import ALNUM_WORDS, Words, batches, lower_ascii, utf8
 
 WINDOW = 10
@@ -125,73 +125,92 @@ def find_contamination(
     max_windows: int = MAX_WINDOWS,
     clean: bool = False,
     keep: list[str] | None = None,
-    with_row: bool = False,
 ) -> DataFrame:
     """One row per row of ``documents``: id, n_words, n_hit, hits (word intervals), items (ids that occur), and
     with ``clean`` also clean_text: the text without the hit words, from each run's first to its last byte.
 
-    ``keep`` carries more columns through (only with one block of windows); ``with_row`` adds _row, a hash of id and text. Null or empty texts have no words and
-    no hits; rows that repeat are scanned like any others; an empty benchmark hits nothing; items without words
-    have no window; other columns of either table are not read.
+    ``keep`` carries more columns through. Null or empty texts have no words and no hits; rows that repeat are scanned
+    like any others; an empty benchmark hits nothing; items without words have no window; an item with a null id counts
+    in ``items`` as a null; other columns of either table are not read.
     """
     spark = documents.sparkSession
-    windows = benchmark_windows(benchmark, item_id, item_text, n)
-    total = windows.count()
-    blocks = max(1, -(-total // max_windows))
-    keep = keep or []
-    if blocks > 1 and (keep or clean):
-        raise ValueError("columns are kept, and texts cleaned, with one block of windows only; raise max_windows or join by id")
-    row = [F.xxhash64(F.col(doc_id), F.col(text).cast("string")).alias("_row")] if with_row or blocks > 1 else []
-    source = documents.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"), *row, *[F.col(c).alias(f"_keep_{k}") for k, c in enumerate(keep)])
-    parts = []
-    for block in range(blocks):
-        mine = windows if blocks == 1 else windows.where(F.pmod(F.col("hash"), F.lit(blocks)) == block)
-        sent = spark.sparkContext.broadcast([r.asDict() for r in mine.collect()])
-        parts.append(source.mapInArrow(_scanner(sent, clean, source.schema), _out_schema(source, clean)))
-    if blocks > 1:
-        parts = [_merged(reduce(DataFrame.union, [p.withColumn("_block", F.lit(b)) for b, p in enumerate(parts)]))]
-    names = {"_id": doc_id, **{f"_keep_{k}": c for k, c in enumerate(keep)}}
-    hidden = {"_text"} if with_row else {"_text", "_row"}
-    return parts[0].select(*[F.col(c).alias(names.get(c, c)) for c in parts[0].columns if c not in hidden])
+    windows = written(benchmark_windows(benchmark, item_id, item_text, n), "windows")
+    blocks = max(1, -(-windows.count() // max_windows))
+    names = {"_id": doc_id, **{f"_keep_{k}": c for k, c in enumerate(keep or [])}}
+    kept = [F.col(f"`{c}`").alias(f"_keep_{k}") for k, c in enumerate(keep or [])]
+    source = documents.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"), *kept)
+    if blocks == 1:
+        sent = spark.sparkContext.broadcast([r.asDict() for r in windows.collect()])
+        found = source.mapInArrow(_scanner(sent, clean), _out_schema(source, clean))
+    else:
+        keyed = source.withColumn("_row", F.xxhash64("_id", "_text"))
+        parts = []
+        for block in range(blocks):
+            sent = spark.sparkContext.broadcast([r.asDict() for r in windows.where(F.pmod("hash", F.lit(blocks)) == block).collect()])
+            scanned = keyed.select("_row", "_text")
+            parts.append(scanned.mapInArrow(_scanner(sent, False), _out_schema(scanned, False)).where("n_hit > 0"))
+        hits = reduce(DataFrame.union, parts).groupBy("_row").agg(
+            F.flatten(F.collect_set("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
+        )
+        met = keyed.join(hits, "_row", "left").drop("_row")
+        found = met.mapInArrow(_merger(clean), _out_schema(source, clean))
+    return found.select(*[F.col(c).alias(names.get(c, c)) for c in found.columns])
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _out_schema(source: DataFrame, clean: bool) -> str:
-    kinds = dict(source.dtypes)
-    kept = ", ".join(f"{c} {k}" for c, k in kinds.items() if c != "_text")
-    return kept + ", _text string, n_words long, n_hit long, hits array<struct<start:long,end:long>>, items array<string>" + (", clean_text string" if clean else "")
-
-
-def _scanner(sent, clean: bool, schema):
+    kept = "".join(f"{c} {k}, " for c, k in source.dtypes if c != "_text")
+    return kept + "n_words long, n_hit long, hits array<struct<start:long,end:long>>, items array<string>" + (", clean_text string" if clean else "")
+
+
+def _found(batch: pa.RecordBatch, words: Words, runs: list[np.ndarray], items: list[list[str | None]], raw: np.ndarray, clean: bool) -> pa.RecordBatch:
+    out = {c: batch.column(c) for c in batch.schema.names if c not in ("_text", "hits", "items")} | {
+        "n_words": pa.array(words.counts, pa.int64()),
+        "n_hit": pa.array([int((r[:, 1] - r[:, 0]).sum()) for r in runs], pa.int64()),
+        "hits": pa.array([[{"start": a, "end": b} for a, b in r.tolist()] for r in runs], _SPANS),
+        "items": pa.array(items, pa.list_(pa.string())),
+    }
+    if clean:
+        texts = batch.column("_text").to_pylist()
+        for d, r in enumerate(runs):
+            if len(r):
+                texts[d] = _without(raw, words, d, r).decode()
+        out["clean_text"] = pa.array(texts, pa.string())
+    return pa.RecordBatch.from_pydict(out)
+
+
+def _scanner(sent, clean: bool):
+    """Texts against one block of windows."""
     held: list[_Index] = []
 
     def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not held:
             held.append(_Index(sent.value))
         index = held[0]
-        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches(it, "_text"):
             raw, offsets = utf8(batch.column("_text"))
             words = Words(lower_ascii(raw), offsets, ALNUM_WORDS)
             runs, items = _scan(index, words)
-            kept = {c: batch.column(c) for c in batch.schema.names if c != "_text"}
-            out = kept | {
-                "_text": pa.nulls(batch.num_rows, pa.string()),
-                "n_words": pa.array(words.counts, pa.int64()),
-                "n_hit": pa.array([int((r[:, 1] - r[:, 0]).sum()) for r in runs], pa.int64()),
-                "hits": pa.array([[{"start": a, "end": b} for a, b in r.tolist()] for r in runs], span),
-                "items": pa.array([sorted((index.items[k] for k in s), key=str) for s in items], pa.list_(pa.string())),
-            }
-            if clean:
-                texts = batch.column("_text").to_pylist()
-                for d, r in enumerate(runs):
-                    if len(r):
-                        texts[d] = _without(raw, words, d, r).decode()
-                out["clean_text"] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_pydict(out)
+            yield _found(batch, words, runs, [sorted((index.items[k] for k in s), key=str) for s in items], raw, clean)
 
     return scan
 
 
+def _merger(clean: bool):
+    """Texts beside the hits that all blocks found in them."""
+
+    def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it, "_text"):
+            raw, offsets = utf8(batch.column("_text"))
+            words = Words(lower_ascii(raw), offsets, ALNUM_WORDS, hashed=False)
+            runs = [_merge([(h["start"], h["end"]) for h in hits or []]) for hits in batch.column("hits").to_pylist()]
+            yield _found(batch, words, runs, [sorted(x or [], key=str) for x in batch.column("items").to_pylist()], raw, clean)
+
+    return merge
+
+
 def _without(raw: np.ndarray, words: Words, d: int, runs: np.ndarray) -> bytes:
     base, at, end, out = int(words.first[d]), int(words.offsets[d]), int(words.offsets[d + 1]), []
     for a, b in runs.tolist():
@@ -201,18 +220,6 @@ def _without(raw: np.ndarray, words: Words, d: int, runs: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def _merged(parts: DataFrame) -> DataFrame:
-    """Blocks scan the same rows: their hits are united by row. Rows that repeat stay apart by a running number."""
-    from pyspark.sql import Window
-
-    numbered = parts.withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_row", "_block", "n_words").orderBy("n_hit")))
-    both = numbered.groupBy("_id", "_row", "n_words", "_k").agg(
-        F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-    )
-    covered: Column = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["end"] - 1))))
-    return both.select("_id", "_row", "n_words", F.size(covered).cast("long").alias("n_hit"), "hits", "items")
-
-
 def decontaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", drop_share: float = 0.5, **options) -> DataFrame:
     """``documents``, all columns, with hit passages cut out of their texts; those of whose words at least ``drop_share`` are hit go.
 
@@ -222,31 +229,9 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "do
     names = {c: f"_c{k}" for k, c in enumerate(columns)}  # apart from the results' names
     apart = documents.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     own_id, own_text = names[doc_id], names[text]
-    windows = benchmark_windows(benchmark, options.get("item_id", "item_id"), options.get("item_text", "text"), options.get("n", WINDOW)).count()
+    found = find_contamination(apart, benchmark, own_id, own_text, clean=True, keep=[n for n in names.values() if n not in (own_id, own_text)], **options)
     few = (F.col("n_hit") == 0) | (F.col("n_hit") < drop_share * F.col("n_words"))
-    if windows <= options.get("max_windows", MAX_WINDOWS):
-        found = find_contamination(apart, benchmark, own_id, own_text, clean=True, keep=[n for n in names.values() if n not in (own_id, own_text)], **options)
-        return found.where(few).select(*[F.col("clean_text" if c == text else n).alias(c) for c, n in names.items()])
-    found = find_contamination(apart, benchmark, own_id, own_text, with_row=True, **options).where("n_hit > 0").select("_row", "n_words", "n_hit", "hits").dropDuplicates(["_row"])
-    rows = apart.withColumn("_row", F.xxhash64(F.col(own_id), F.col(own_text).cast("string")))
-    met = rows.join(found, "_row", "left").where(F.col("n_hit").isNull() | few)
-    plain = met.select(*names.values(), F.col(own_text).cast("string").alias("_text"), "hits")
-
-    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(it, "_text"):
-            raw, offsets = utf8(batch.column("_text"))
-            words, texts = Words(lower_ascii(raw), offsets, ALNUM_WORDS, hashed=False), batch.column("_text").to_pylist()
-            for d, hits in enumerate(batch.column("hits").to_pylist()):
-                if hits:
-                    texts[d] = _without(raw, words, d, _merge([(h["start"], h["end"]) for h in hits])).decode()
-            out = {c: batch.column(c) for c in batch.schema.names if c.startswith("_c")}
-            yield pa.RecordBatch.from_pydict(out | {"_clean": pa.array(texts, pa.string())})
-
-    from pyspark.sql.types import StringType, StructType
-
-    schema = StructType([f for f in plain.schema.fields if f.name.startswith("_c")]).add("_clean", StringType())
-    out = plain.mapInArrow(cut, schema)
-    return out.select(*[F.col("_clean" if c == text else n).alias(c) for c, n in names.items()])
+    return found.where(few).select(*[F.col("clean_text" if c == text else n).alias(c) for c, n in names.items()])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
