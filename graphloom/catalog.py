@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions import arith
+from graphloom.functions import arith, hashing
 from graphloom.graph import Graph, decode_ids, encode_ids
 from graphloom.operators import analysis, programs, tiling
 from graphloom.plans.superstep import run
@@ -148,6 +149,48 @@ def _adjacency(spark: SparkSession, sf_dir: str, times: int | None = None) -> Da
     return readers.adjacency_edges(text)
 
 
+def _pack_sql(most: int) -> str:
+    """A pack begins at the first edge of its range, and where one end's distinct vertices since the last begin would be over ``most``."""
+    return f"""WITH RECURSIVE t AS MATERIALIZED ({_tile_sql()}), c AS (SELECT tile_id, count(*) AS edges FROM t GROUP BY tile_id),
+        p AS (SELECT tile_id, CAST(floor((sum(edges) OVER (ORDER BY tile_id) - edges) * (SELECT greatest({tiling.LEAST_RANGES}, count(*) // {tiling.RANGE_EDGES}) FROM t) / (sum(edges) OVER ())) AS BIGINT) AS part FROM c),
+        o AS (SELECT part, tile_id, src, tgt, row_number() OVER (PARTITION BY part ORDER BY tile_id, src, tgt) AS k FROM t JOIN p USING (tile_id)),
+        e AS MATERIALIZED (SELECT *, coalesce(lag(k) OVER (PARTITION BY part, src ORDER BY k), 0) AS ks, coalesce(lag(k) OVER (PARTITION BY part, tgt ORDER BY k), 0) AS kt FROM o),
+        r AS (SELECT part, 1::BIGINT AS number, 1::BIGINT AS first FROM e GROUP BY part UNION ALL
+            SELECT part, number + 1, min(k) FROM (SELECT r.part, r.number, e.k, sum((ks < first)::INT) OVER (PARTITION BY r.part ORDER BY e.k) AS s, sum((kt < first)::INT) OVER (PARTITION BY r.part ORDER BY e.k) AS g
+                FROM r JOIN e ON e.part = r.part AND e.k >= r.first) WHERE s > {most} OR g > {most} GROUP BY part, number)
+        SELECT tile_id, src, tgt, part * 4294967296 + max(number) - 1 AS pack FROM (SELECT e.*, r.number FROM e JOIN r ON r.part = e.part AND r.first <= e.k) GROUP BY tile_id, src, tgt, part, k"""
+
+
+_WRAP = "18446744073709551616::HUGEINT"  # 2**64
+
+
+def _mixed_sql(rows: str, column: str, keep: str) -> str:
+    """The 64-bit mixing steps of one column, a query a step, in 128-bit integers cut to 64 bits; ``keep`` names the others."""
+    for k, (c, s) in enumerate(zip(hashing.MIX64, hashing.SHIFT64)):
+        x, left, right = column, f"({column} * {1 << s}::HUGEINT)", f"({column} // {1 << s}::HUGEINT)"
+        if k in (0, 2, 4):
+            new = f"({x} + {c}::HUGEINT + {left} % {_WRAP}) % {_WRAP}"
+        elif k == 3:
+            new = f"xor(({x} + {c}::HUGEINT) % {_WRAP}, {left} % {_WRAP})"
+        else:
+            new = f"xor(xor({x}, {c}::HUGEINT), {right})"
+        rows = f"SELECT {keep}, {new} AS {column} FROM ({rows})"
+    return rows
+
+
+def _rmat_sql(n: int, m: int) -> str:
+    a, b, c = (repr(float(x)) for x in np.cumsum(rmat.SHARES))
+    key = int(hashing.mix64(np.array([rmat.SEED], np.uint64))[0])
+    factor = lambda more: f"((2 * range + {more})::HUGEINT * {key}::HUGEINT) % {_WRAP}"
+    seeds = f"SELECT range AS i, {factor(0)} AS draw, {factor(1)} AS stride FROM range({m})"
+    seeds = _mixed_sql(_mixed_sql(seeds, "draw", "i, stride"), "stride", "i, draw")
+    drawn = _mixed_sql("SELECT i, draw, stride, src, tgt, half, draw AS h FROM r WHERE half > 0", "h", "i, draw, stride, src, tgt, half")
+    share = f"h::DOUBLE / {float(2**64 - 1)!r}"
+    return f"""WITH RECURSIVE r AS (SELECT i, draw, stride, 0::BIGINT AS src, 0::BIGINT AS tgt, {n // 2}::BIGINT AS half FROM ({seeds}) UNION ALL
+        SELECT i, (draw + stride) % {_WRAP}, stride, src + CASE WHEN x >= {b} THEN half ELSE 0 END, tgt + CASE WHEN x >= {c} OR (x >= {a} AND x < {b}) THEN half ELSE 0 END, half // 2
+        FROM (SELECT *, {share} AS x FROM ({drawn}))) SELECT src, tgt FROM r WHERE half = 0"""
+
+
 def _hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles to read when only the vertices below 64 are active."""
     index = tiling.vertex_tiles(_tiles(spark, sf_dir))
@@ -206,7 +249,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rebalance": lambda s, d: tiling.rebalanced(tiling.tile_stats(_tiles(s, d)), 4),
         "equal_ranges": lambda s, d: tiling.equal_ranges(tiling.tile_stats(_tiles(s, d)), 8),
         "target_area": lambda s, d: cust(s, d).edges.where(tiling.in_area(F.col("src"), F.col("tgt"), (10, 500), (20, 90))).groupBy("src").agg(F.count("*").alias("edges")),
-        "pack_tiles": lambda s, d: tiling.packed_tiles(_tiles(s, d), 4, 256),
+        "pack_tiles": lambda s, d: tiling.packed_tiles(_tiles(s, d), max_vertices=256),
         "hash_weights": lambda s, d: cust(s, d).edges.select("src", "tgt", F.round(arith.hash_weight(F.col("src"), F.col("tgt")), 9).alias("weight")),
         "constant_values": lambda s, d: readers.constant_values(cust(s, d).degrees()),
         "adjacency_edges": lambda s, d: _adjacency(s, d, 1),
@@ -236,7 +279,11 @@ def oracle_sql() -> dict[str, str]:
     tri = f", p AS MATERIALIZED ({_PAIRS}), t AS MATERIALIZED (SELECT x.a AS a, x.b AS b, y.b AS c FROM p x JOIN p y ON y.a = x.b JOIN p z ON z.a = x.a AND z.b = y.b)"
     spmv = "SELECT id, coalesce(y, 0)::DOUBLE AS y FROM v LEFT JOIN (SELECT tgt, sum({x}) AS y FROM e GROUP BY tgt) m ON m.tgt = id"
     both = "a AS (SELECT id, coalesce(y, 0)::DOUBLE AS y FROM v LEFT JOIN (SELECT tgt, sum(tgt) AS y FROM e GROUP BY tgt) m ON m.tgt = id), b AS (SELECT id, coalesce(y, 0)::DOUBLE AS y FROM v LEFT JOIN (SELECT tgt, sum(src) AS y FROM e GROUP BY tgt) m ON m.tgt = id)"
+    rmat_edges = _rmat_sql(1024, 20000)
     return {
+        "pack_tiles": _pack_sql(256),
+        "rmat_edges": rmat_edges,
+        "rmat_degrees": f"WITH e AS MATERIALIZED ({rmat_edges}), v AS (SELECT range AS id FROM range(1024)) " + degrees,
         "graph_edges": f"SELECT src, tgt FROM ({_EDGES})",
         "degrees": e + degrees,
         "degrees_multigraph": f"WITH e AS ({_SP}), v AS (SELECT range AS id FROM range({sp_n})) " + degrees,

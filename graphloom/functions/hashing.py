@@ -12,7 +12,6 @@ MIX64 = (0x7ED55D166BEF7A1D, 0xC761C23C510FA2DD, 0x165667B183A9C0E1, 0xD3A2646CA
 SHIFT64 = (12, 9, 59, 49, 3, 32)
 MIX32 = (0x7ED55D16, 0xC761C23C, 0x165667B1, 0xD3A2646C, 0xFD7046C5, 0xB55A4F09)
 SHIFT32 = (12, 19, 5, 9, 3, 16)
-LCG_FACTOR, LCG_STEP, LCG_MASK = 1103515245, 12345, 0x7FFFFFFF
 
 
 def _mix(x: np.ndarray, kind: type, constants: tuple[int, ...], shifts: tuple[int, ...]) -> np.ndarray:

@@ -72,15 +72,11 @@ def dense_rank_by(rows: DataFrame, order: str, name: str) -> DataFrame:
 
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(rows.repartitionByRange(width, order).withColumn("_part", F.spark_partition_id()), "ranged")
-    sizes = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}
-    bases, total = {}, 0
-    for part in sorted(sizes):  # one number per shuffle partition
-        bases[part], total = total, total + sizes[part]
-    if not bases:
-        return rows.withColumn(name, F.lit(0).cast("long"))
-    base = F.create_map(*[F.lit(x).cast(kind) for pair in bases.items() for x, kind in zip(pair, ("int", "long"))])
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per shuffle partition
+    bases = F.broadcast(sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
-    return ranged.withColumn(name, (base[F.col("_part")] + within).cast("long")).drop("_part")
+    return ranged.join(bases, "_part").withColumn(name, (F.col("_base") + within).cast("long")).drop("_part", "_base")
 
 
 def decode_ids(values: DataFrame, known: DataFrame, id_col: str = "id") -> DataFrame:

@@ -75,7 +75,20 @@ def log_stats(lines: DataFrame, column: str = "line", run: str = "run") -> DataF
     return timed.groupBy(run).agg(F.count("*").alias("rounds"), F.median("ms").alias("median"), F.avg("ms").alias("mean"), F.stddev_pop("ms").alias("deviation"), F.sum("ms").alias("total"))
 
 
-def disk_throughput(samples: DataFrame) -> DataFrame:
-    """(sample, amount): per-device differences of running counters (device, sample, counter), summed over devices."""
-    step = F.col("counter") - F.lag("counter").over(Window.partitionBy("device").orderBy("sample"))
-    return samples.select("sample", step.alias("d")).where("d is not null").groupBy("sample").agg(F.sum("d").alias("amount"))
+def disk_throughput(samples: DataFrame, blocks: int = 1024) -> DataFrame:
+    """(sample, amount): per-device differences of running counters (device, sample, counter), summed over devices.
+
+    A device's history is cut into blocks of samples; the last counter of each is carried to the device's next one, so
+    no task sees a whole history.
+    """
+    ends = samples.agg(F.min("sample").alias("lo"), F.max("sample").alias("hi")).first()
+    if ends["lo"] is None:
+        return samples.select("sample", F.lit(0).cast("long").alias("amount"))
+    width = (ends["hi"] - ends["lo"]) // blocks + 1
+    placed = samples.withColumn("block", F.floor((F.col("sample") - F.lit(ends["lo"])) / width))
+    last = placed.groupBy("device", "block").agg(F.max_by("counter", "sample").alias("counter"))  # ``blocks`` rows a device
+    carried = last.select("device", "block", F.lag("counter").over(Window.partitionBy("device").orderBy("block")).alias("carried"))
+    inside = F.lag("counter").over(Window.partitionBy("device", "block").orderBy("sample"))
+    stepped = placed.select("device", "block", "sample", "counter", inside.alias("earlier")).join(carried, ["device", "block"])
+    step = F.col("counter") - F.coalesce("earlier", "carried")
+    return stepped.select("sample", step.alias("d")).where("d is not null").groupBy("sample").agg(F.sum("d").alias("amount"))

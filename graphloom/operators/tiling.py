@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -152,30 +153,60 @@ def rebalanced(stats: DataFrame, engines: int) -> DataFrame:
     return dense_rank_by(stats.select("tile_id"), "tile_id", "rank").select("tile_id", "rank", F.pmod("rank", F.lit(engines)).cast("long").alias("engine"))
 
 
-def packed_tiles(tiles: DataFrame, ranges: int, max_vertices: int = TILE_SIDE) -> DataFrame:
+RANGE_EDGES, LEAST_RANGES = 1_000_000, 4
+
+
+def packed_tiles(tiles: DataFrame, ranges: int | None = None, max_vertices: int = TILE_SIDE) -> DataFrame:
     """Edges with ``pack``, tiles grown along the traversal: a new one starts where distinct sources or targets would exceed ``max_vertices``.
 
-    Sequential within a range of the traversal; boundaries depend on the ranges, as they would on threads.
+    Sequential within a contiguous range of the traversal, so boundaries depend on the number of ranges, a million edges
+    each and four at least unless given; ``equal_ranges`` says where they lie. Packs are numbered within their range,
+    which is in the upper half of the number.
     """
-    ranged = tiles.select("tile_id", "src", "tgt").repartitionByRange(ranges, "tile_id").sortWithinPartitions("tile_id", "src", "tgt")
+    ranges = ranges or max(LEAST_RANGES, tiles.count() // RANGE_EDGES)
+    parts = equal_ranges(tiles.groupBy("tile_id").agg(F.count("*").alias("edges")), ranges)
+    width = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = tiles.select("tile_id", "src", "tgt").join(parts, "tile_id").repartition(max(width, ranges), "part")
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, number = TaskContext.get().partitionId(), 0
-        sources: set[int] = set()
-        targets: set[int] = set()
+        grown, part = _Pack(max_vertices), None
         for batch in it:
-            packs = []
-            for s, t in zip(batch.column("src").to_pylist(), batch.column("tgt").to_pylist()):
-                if len(sources) + (s not in sources) > max_vertices or len(targets) + (t not in targets) > max_vertices:
-                    sources, targets, number = set(), set(), number + 1
-                sources.add(s)
-                targets.add(t)
-                packs.append((part << 32) + number)
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("tile_id", "src", "tgt")} | {"pack": pa.array(packs, pa.int64())})
-
-    return ranged.mapInArrow(pack, "tile_id long, src long, tgt long, pack long")
+            own, src, tgt = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "src", "tgt"))
+            numbers = np.empty(batch.num_rows, np.int64)
+            cuts = np.flatnonzero(np.diff(own, prepend=own[:1] - 1)).tolist() if len(own) else []
+            for a, b in zip(cuts, [*cuts[1:], len(own)]):
+                if own[a] != part:
+                    grown, part = _Pack(max_vertices), int(own[a])
+                numbers[a:b] = (part << 32) + grown.add(src[a:b], tgt[a:b])
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("tile_id", "src", "tgt")} | {"pack": pa.array(numbers)})
+
+    return rows.sortWithinPartitions("part", "tile_id", "src", "tgt").mapInArrow(pack, "tile_id long, src long, tgt long, pack long")
+
+
+class _Pack:
+    """A tile that grows by stretches of edges: how many distinct sources and targets it would have after each."""
+
+    def __init__(self, most: int):
+        self.most, self.number = most, 0
+        self.held = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+
+    def add(self, src: np.ndarray, tgt: np.ndarray) -> np.ndarray:
+        """The tile's number for each edge."""
+        out, at = np.empty(len(src), np.int64), 0
+        while at < len(src):
+            ends = (src[at : at + 4 * self.most], tgt[at : at + 4 * self.most])
+            over = len(ends[0])
+            for held, values in zip(self.held, ends):
+                first = np.zeros(len(values), bool)
+                first[np.unique(values, return_index=True)[1]] = True
+                sizes = len(held) + np.cumsum(first & ~np.isin(values, held))
+                over = min(over, int(np.searchsorted(sizes, self.most, "right")))
+            out[at : at + over] = self.number
+            self.held = [np.union1d(held, values[:over]) for held, values in zip(self.held, ends)]
+            if over < len(ends[0]):
+                self.number, self.held = self.number + 1, [x[:0] for x in self.held]
+            at += over
+        return out
 
 
 def equal_ranges(stats: DataFrame, parts: int) -> DataFrame:

@@ -18,18 +18,38 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str = "tab", weigh
     return spark.read.schema(schema).csv(path, sep=DELIMITERS.get(delimiter, delimiter), enforceSchema=True, mode="PERMISSIVE")
 
 
-def read_binary(spark: SparkSession, path: str, edges_per_row: int = 1 << 20) -> DataFrame:
-    """edges(src, tgt) from files of little-endian 32-bit pairs. A file is one task's; write large lists as many files."""
+PAIR_BYTES = 8
+WHOLE_FILE = 128 << 20
+
+
+def read_binary(spark: SparkSession, path: str, edges_per_row: int = 1 << 20, whole_file: int = WHOLE_FILE) -> DataFrame:
+    """edges(src, tgt) from files of little-endian 32-bit pairs.
+
+    A file of up to ``whole_file`` bytes is one task's; larger ones are split as Hadoop splits fixed-length records, a
+    record being a pair.
+    """
+
+    def edges(pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(pairs), edges_per_row):
+            part = pairs[at : at + edges_per_row].astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"src": np.ascontiguousarray(part[:, 0]), "tgt": np.ascontiguousarray(part[:, 1])})
 
     def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for content in batch.column("content"):
-                pairs = np.frombuffer(content.as_buffer(), "<i4").reshape(-1, 2)
-                for at in range(0, len(pairs), edges_per_row):
-                    part = pairs[at : at + edges_per_row].astype(np.int64)
-                    yield pa.RecordBatch.from_pydict({"src": np.ascontiguousarray(part[:, 0]), "tgt": np.ascontiguousarray(part[:, 1])})
+            for content in batch.column(0):
+                yield from edges(np.frombuffer(content.as_buffer(), "<i4").reshape(-1, 2))
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(split, "src long, tgt long")
+    def join(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            yield from edges(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i4").reshape(-1, 2))
+
+    files = spark.read.format("binaryFile").load(path)
+    out = files.where(F.col("length") <= whole_file).select("content").mapInArrow(split, "src long, tgt long")
+    large = [r["path"] for r in files.where(F.col("length") > whole_file).select("path").collect()]
+    if large:
+        records = spark.sparkContext.binaryRecords(",".join(large), PAIR_BYTES).map(lambda r: (r,))
+        out = out.union(spark.createDataFrame(records, "pair binary").mapInArrow(join, "src long, tgt long"))
+    return out
 
 
 def adjacency_edges(lines: DataFrame, column: str = "value") -> DataFrame:

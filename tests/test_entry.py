@@ -10,14 +10,13 @@ from graphloom import catalog
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
-SMALL = {"bfs", "bfs_deep", "bfs_sparse", "bfs_3_rounds", "sssp", "active_sources", "pagerank_20"}
 
 
 def test_names():
     assert set(catalog.oracle_sql()) <= set(catalog.queries()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.oracle_sql()) - SMALL))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query(spark, name):
     import duckdb
 

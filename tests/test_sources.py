@@ -23,10 +23,25 @@ def test_binary(spark, tmp_path):
     edges = [(k, k * 3 % 7) for k in range(100)]
     (tmp_path / "e.bin").write_bytes(np.array(edges, "<i4").tobytes())
     assert pairs(readers.read_binary(spark, str(tmp_path), 7)) == sorted(edges)
+    assert pairs(readers.read_binary(spark, str(tmp_path), 7, whole_file=100)) == sorted(edges)
     packed = readers.packed_pairs(spark.createDataFrame(edges, "src long, tgt long")).collect()
     assert sorted(map(tuple, np.frombuffer(b"".join(bytes(r.data) for r in packed), "<i4").reshape(-1, 2).tolist())) == sorted(edges)
 
 
+def test_throughput_over_blocks(spark):
+    """Differences over the borders of blocks, and over blocks without samples, by hand."""
+    rows = [("a", t, t * t) for t in (0, 1, 2, 50, 51, 99)] + [("b", t, 7 * t) for t in range(30, 60)] + [("c", 5, 1)]
+    samples = spark.createDataFrame(rows, "device string, sample long, counter long")
+    truth = {}
+    for device in "abc":
+        own = sorted((t, c) for d, t, c in rows if d == device)
+        for (_, c0), (t, c) in zip(own, own[1:]):
+            truth[t] = truth.get(t, 0) + c - c0
+    for blocks in (1, 7, 1024):
+        assert {r["sample"]: r.amount for r in analysis.disk_throughput(samples, blocks).collect()} == truth
+    assert analysis.disk_throughput(samples.limit(0)).count() == 0
+
+
 def test_text_forms(spark):
     lines = spark.createDataFrame([("1 2 5 6",), ("7 0",), (" 3 1  4 ",)], "value string")
     assert pairs(readers.adjacency_edges(lines)) == [(1, 5), (1, 6), (3, 4)]

@@ -1,5 +1,7 @@
 """Golden tables of the traversals, tiles and run-length offsets."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +53,25 @@ def test_pack_tiles_bounds(spark):
     assert worst <= 6 and packs.count() == 200
 
 
+@pytest.mark.parametrize("ranges", [1, 3])
+def test_packs_by_hand(spark, ranges):
+    """Edge by edge along the traversal, in each range."""
+    random.seed(3)
+    edges = spark.createDataFrame([(random.randrange(64), random.randrange(64)) for _ in range(700)], "src long, tgt long")
+    tiles = tiling.tiled(edges, 64, 8)
+    got = sorted(tuple(r) for r in tiling.packed_tiles(tiles, ranges, 9).select("tile_id", "src", "tgt", "pack").collect())
+    part = {r.tile_id: r.part for r in tiling.equal_ranges(tiles.groupBy("tile_id").agg(F.count("*").alias("edges")), ranges).collect()}
+    truth, number, sources, targets, before = [], 0, set(), set(), None
+    for t, s, g in sorted((r.tile_id, r.src, r.tgt) for r in tiles.collect()):
+        if part[t] != before:
+            before, number, sources, targets = part[t], 0, set(), set()
+        if len(sources | {s}) > 9 or len(targets | {g}) > 9:
+            number, sources, targets = number + 1, set(), set()
+        sources.add(s), targets.add(g)
+        truth.append((t, s, g, (part[t] << 32) + number))
+    assert got == truth and len(set(part.values())) == ranges
+
+
 def test_rebalance_and_index(spark, tmp_path):
     edges = spark.createDataFrame([(s, (s * 7) % 64) for s in range(64)], "src long, tgt long")
     tiles = tiling.tiled(edges, 64, 8)
