@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.plans.storage import cut as written  # noqa: F401  the operators' name for it
 
 BROADCAST_BYTES = 64 << 20
-LEAST_HOT, MOST_HOT = 1000, 100_000
+LEAST_HOT, MOST_HOT = 200, 100_000
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -27,7 +27,7 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 def beside_group(rows: DataFrame, key: str, groups: DataFrame, size: str, total: int) -> DataFrame:
     """``rows`` joined to ``groups``, one row a key, whose column ``size`` says how many rows each key has; ``total`` is their sum.
 
-    Keys with over a thousand rows and a 100,000th of all, 100,000 of them at most, are joined by broadcast, so that their
+    Keys with over 200 rows and a 100,000th of all, 100,000 of them at most, are joined by broadcast, so that their
     rows stay where they are; a shuffle then meets no key with many rows.
     """
     limit = max(LEAST_HOT, total // MOST_HOT)

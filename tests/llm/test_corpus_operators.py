@@ -67,7 +67,7 @@ def near_rows():
     return rows + [(500, "short text", "en", "a"), (501, "Short, TEXT!", "en", "a"), (502, None, "en", "a"), (503, "", "en", "a"), (504, "...", "en", "a"), (505, prose(3, 20000), "en", "a"), (506, prose(3, 20000) + " end", "en", "a")]
 
 
-@pytest.mark.parametrize("block, hot", [(2048, 1000), (3, 2)])
+@pytest.mark.parametrize("block, hot", [(2048, 200), (3, 2)])
 def test_jaccard(spark, monkeypatch, block, hot):
     monkeypatch.setattr(frames, "LEAST_HOT", hot)
     rows = near_rows()
@@ -105,7 +105,7 @@ def test_pruning_keeps_what_may_reach_the_threshold():
     assert least == dict(sorted(least.items())) and all(m < 0.8 * n for n, m in least.items())
 
 
-@pytest.mark.parametrize("hub", [1000, 3])
+@pytest.mark.parametrize("hub", [200, 3])
 def test_components(spark, monkeypatch, hub):
     monkeypatch.setattr(frames, "LEAST_HOT", hub)
     rng = random.Random(6)
