@@ -36,7 +36,7 @@ Columns = dict[str, Column]
 SPLIT = 1_000_000
 ROWS_A_TASK = 100_000  # of edges and vertices, unless that makes more tasks than shuffle partitions
 STRETCHES, RANGES = 1024, 32  # vertex ids are in that many stretches; a round reads that many ranges of them
-COMBINE: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "min": F.min, "max": F.max, "product": F.product, "count": F.count}
+COMBINE: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "min": F.min, "max": F.max, "product": F.product, "count": F.count, "any": F.bool_or, "all": F.bool_and}
 
 
 @dataclass
@@ -78,6 +78,10 @@ class Run:
         """(round, active, milliseconds), one row a round."""
         return spark.createDataFrame(self.log, "round long, active long, milliseconds double")
 
+    def write_metrics(self, spark: SparkSession, path: str) -> None:
+        """``metrics`` as CSV with a header; what tasks did is in Spark's own event log."""
+        self.metrics(spark).coalesce(1).write.mode("overwrite").csv(path, header=True)
+
 
 def ranges_of(stretches: list[int], most: int = RANGES) -> list[tuple[int, int]]:
     """At most ``most`` ranges, ends included, that hold all of ``stretches``: the smallest gaps are closed."""

@@ -158,6 +158,22 @@ def test_small_frontiers_read_few_edges(spark, monkeypatch):
     assert values(done) == [None] * 580 + list(range(20)) and seen[0] and not any(seen[1:-1])
 
 
+def test_activity_may_be_reduced(spark, tmp_path):
+    """Vertices that hear from an active source or point at an active target, and the round's table."""
+    heard = VertexProgram(
+        "heard",
+        init=lambda: {"value": F.lit(False), "active": F.col("id") == 3},
+        message=lambda: {"s": F.col("s_active"), "t": F.col("t_active")},
+        combine={"s": "any", "t": "all"},
+        apply=lambda: {"value": F.coalesce("m_s", F.lit(False)), "active": F.coalesce("m_s", F.lit(False))},
+        target=("active",),
+    )
+    done = run(graph(spark, SIX, 4), heard, 2)
+    assert values(done) == [False, True, True, True] and [a for _, a, _ in done.log] == [2, 3]
+    done.write_metrics(spark, f"{tmp_path}/rounds")
+    assert spark.read.csv(f"{tmp_path}/rounds", header=True).count() == 2
+
+
 def test_old_states_go(spark, tmp_path):
     path = f"file://{tmp_path}/kept"
     programs.pagerank(graph(spark, SIX, 4), 5, checkpoint=path)
