@@ -1,9 +1,9 @@
 """The library's own queries over the driver's tables, and their SQL.
 
-The graphs: G_cust has an edge o_custkey -> o_orderkey % |customer| per order; G_mid and G_sparse are its orders with
-keys below two times and one time |customer|; G_sp has an edge supplier -> part per line item. bfs_deep, bfs_sparse, sssp,
-cc, cc_weak and adjacency_edges read the thinned graphs (long paths, unreached vertices, many components); bfs and the
-_whole queries read every order, the _suppliers queries every line item.
+The graphs, each of every row of its table: G_cust has an edge o_custkey -> o_orderkey % |customer| per order, G_sp an edge
+supplier -> part per line item. G_jump has the orders as vertices and two edges from each to a later one, a jump of at
+most a twelfth of all orders that the customer or the price gives: long paths, unreached vertices and many labels. G_star
+has an edge from each customer to each of its orders: as many components as customers.
 """
 
 from __future__ import annotations
@@ -28,15 +28,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def customer_graph(spark: SparkSession, sf_dir: str, times: int | None = None) -> Graph:
+def customer_graph(spark: SparkSession, sf_dir: str) -> Graph:
     n = _table(spark, sf_dir, "customer").count()
     orders = _table(spark, sf_dir, "orders")
-    if times is not None:
-        orders = orders.where(F.col("o_orderkey") < times * n)
     edges = orders.select(F.col("o_custkey").alias("src"), F.pmod("o_orderkey", F.lit(n)).alias("tgt"), (F.col("o_totalprice") / 1000).alias("weight"), F.col("o_orderkey").alias("pos"))
     return Graph(edges, n)
 
 
+def jump_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    orders = _table(spark, sf_dir, "orders")
+    n = orders.count()
+    most = max(1, n // 12)
+    jumps = F.array(F.col("o_custkey"), F.floor("o_totalprice").cast("long"))
+    ends = orders.select(F.col("o_orderkey").alias("src"), (F.col("o_totalprice") / 1000).alias("weight"), F.explode(jumps).alias("jump"))
+    edges = ends.select("src", (F.col("src") + 1 + F.col("jump") % most).alias("tgt"), "weight")
+    return Graph(edges.where(F.col("tgt") < n), n)
+
+
+def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    customers, orders = _table(spark, sf_dir, "customer").count(), _table(spark, sf_dir, "orders")
+    return Graph(orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + customers).alias("tgt")), customers + orders.count())
+
+
 def supplier_graph(spark: SparkSession, sf_dir: str) -> Graph:
     suppliers, parts = _table(spark, sf_dir, "supplier").count(), _table(spark, sf_dir, "part").count()
     items = _table(spark, sf_dir, "lineitem")
@@ -45,8 +58,13 @@ def supplier_graph(spark: SparkSession, sf_dir: str) -> Graph:
 
 _N = "(SELECT count(*) FROM customer)"
 _EDGES = f"SELECT o_custkey AS src, o_orderkey % {_N} AS tgt, o_totalprice / 1000 AS weight, o_orderkey AS pos FROM orders"
-_SPARSE = f"{_EDGES} WHERE o_orderkey < {_N}"
-_MID = f"{_EDGES} WHERE o_orderkey < 2 * {_N}"
+_ORDERS = "(SELECT count(*) FROM orders)"
+_JUMP = f"""SELECT src, src + 1 + jump % greatest(1, {_ORDERS} // 12) AS tgt, weight FROM (
+    SELECT o_orderkey AS src, o_custkey AS jump, o_totalprice / 1000 AS weight FROM orders UNION ALL
+    SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT), o_totalprice / 1000 FROM orders) WHERE src + 1 + jump % greatest(1, {_ORDERS} // 12) < {_ORDERS}"""
+_JUMP_IDS = f"SELECT range AS id FROM range({_ORDERS})"
+_STAR = f"SELECT o_custkey AS src, o_orderkey + {_N} AS tgt FROM orders"
+_STAR_IDS = f"SELECT range AS id FROM range({_N} + {_ORDERS})"
 _SP = "SELECT l_suppkey AS src, l_partkey + (SELECT count(*) FROM supplier) AS tgt, l_quantity AS weight FROM lineitem"
 _IDS = f"SELECT range AS id FROM range({_N})"
 _DEGREES = "SELECT id, count(s.src) AS out_degree FROM v LEFT JOIN e s ON s.src = id GROUP BY id"
@@ -142,13 +160,18 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("device"), F.col("l_orderkey").alias("sample"), F.col("l_quantity").cast("long").alias("counter")).groupBy("device", "sample").agg(F.max("counter").alias("counter"))
 
 
-def _adjacency(spark: SparkSession, sf_dir: str, times: int | None = None) -> DataFrame:
-    g = customer_graph(spark, sf_dir, times)
+def _adjacency(g: Graph) -> DataFrame:
     lines = g.edges.groupBy("src").agg(F.count("*").alias("d"), F.array_sort(F.collect_list("tgt")).alias("t"))
     text = lines.select(F.concat_ws(" ", F.col("src").cast("string"), F.col("d").cast("string"), F.array_join(F.transform("t", lambda x: x.cast("string")), " ")).alias("value"))
     return readers.adjacency_edges(text)
 
 
+def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BFS from a vertex behind which few lie."""
+    g = jump_graph(spark, sf_dir)
+    return _values(programs.bfs(g, g.n - g.n // 20 - 1))
+
+
 def _pack_sql(most: int) -> str:
     """A pack begins at the first edge of its range, and where one end's distinct vertices since the last begin would be over ``most``."""
     return f"""WITH RECURSIVE t AS MATERIALIZED ({_tile_sql()}), c AS (SELECT tile_id, count(*) AS edges FROM t GROUP BY tile_id),
@@ -212,12 +235,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pagerank_5": lambda s, d: _rounded(_values(programs.pagerank(cust(s, d), 5), "rank"), "rank"),
         "pagerank_20": lambda s, d: _rounded(_values(programs.pagerank(cust(s, d), 20), "rank"), "rank"),
         "bfs": lambda s, d: _values(programs.bfs(cust(s, d), START)),
-        "bfs_deep": lambda s, d: _values(programs.bfs(cust(s, d, 2), START)),
-        "bfs_sparse": lambda s, d: _values(programs.bfs(cust(s, d, 1), START)),
+        "bfs_deep": lambda s, d: _values(programs.bfs(jump_graph(s, d), START)),
+        "bfs_sparse": _late,
         "bfs_3_rounds": lambda s, d: _values(run(cust(s, d), programs.bfs_program(START), 3)),
-        "sssp": lambda s, d: _rounded(_values(programs.sssp(cust(s, d, 2), START)), "value"),
-        "cc": lambda s, d: _values(programs.cc(cust(s, d, 1))),
-        "cc_weak": lambda s, d: _values(programs.cc(cust(s, d, 1), directed=False)),
+        "sssp": lambda s, d: _rounded(_values(programs.sssp(jump_graph(s, d), START)), "value"),
+        "cc": lambda s, d: _values(programs.cc(jump_graph(s, d))),
+        "cc_weak": lambda s, d: _values(programs.cc(star_graph(s, d), directed=False)),
         "sssp_whole": lambda s, d: _rounded(_values(programs.sssp(cust(s, d), START)), "value"),
         "cc_whole": lambda s, d: _values(programs.cc(cust(s, d))),
         "cc_weak_whole": lambda s, d: _values(programs.cc(cust(s, d), directed=False)),
@@ -252,8 +275,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pack_tiles": lambda s, d: tiling.packed_tiles(_tiles(s, d), max_vertices=256),
         "hash_weights": lambda s, d: cust(s, d).edges.select("src", "tgt", F.round(arith.hash_weight(F.col("src"), F.col("tgt")), 9).alias("weight")),
         "constant_values": lambda s, d: readers.constant_values(cust(s, d).degrees()),
-        "adjacency_edges": lambda s, d: _adjacency(s, d, 1),
-        "adjacency_edges_whole": _adjacency,
+        "adjacency_edges": lambda s, d: _adjacency(jump_graph(s, d)),
+        "adjacency_edges_whole": lambda s, d: _adjacency(cust(s, d)),
         "compare_results": lambda s, d: _rounded(analysis.compare_results(programs.spmv(cust(s, d)).withColumnRenamed("y", "value"), programs.spmv(cust(s, d), "source").withColumnRenamed("y", "value"), ["id"], digits=4), "a", "b", digits=4),
         "compare_results_relative": lambda s, d: analysis.compare_results(programs.spmv(cust(s, d)).withColumnRenamed("y", "value"), programs.spmv(cust(s, d), "source").withColumnRenamed("y", "value"), ["id"], digits=None, relative=0.1).agg(F.count("*").alias("differing")),
         "compare_labels": lambda s, d: analysis.compare_labels(_table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("label")), _table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.pmod("c_nationkey", F.lit(5)).alias("label"))),
@@ -296,12 +319,12 @@ def oracle_sql() -> dict[str, str]:
         "pagerank_5": _pagerank_sql(5),
         "pagerank_20": _pagerank_sql(20),
         "bfs": _least_sql(_EDGES, bfs_first, "r.x + 1", bfs_value),
-        "bfs_deep": _least_sql(_MID, bfs_first, "r.x + 1", bfs_value),
-        "bfs_sparse": _least_sql(_SPARSE, bfs_first, "r.x + 1", bfs_value),
+        "bfs_deep": _least_sql(_JUMP, bfs_first, "r.x + 1", bfs_value, _JUMP_IDS),
+        "bfs_sparse": _least_sql(_JUMP, f"SELECT {_ORDERS} - {_ORDERS} // 20 - 1, 0::BIGINT", "r.x + 1", bfs_value, _JUMP_IDS),
         "bfs_3_rounds": _with(more=f", r AS (SELECT {START}::BIGINT AS v, 0::BIGINT AS x UNION SELECT e.tgt, r.x + 1 FROM r JOIN e ON e.src = r.v WHERE r.x < 3)") + "SELECT id, min(x) AS value FROM v LEFT JOIN r ON r.v = id GROUP BY id",
-        "sssp": _least_sql(_MID, f"SELECT {START}::BIGINT, 0.0::DOUBLE", "r.x + e.weight", "round(x, 6)"),
-        "cc": _least_sql(_SPARSE, "SELECT id, id FROM v", "r.x", "x"),
-        "cc_weak": _least_sql(f"SELECT src, tgt FROM ({_SPARSE}) UNION ALL SELECT tgt, src FROM ({_SPARSE})", "SELECT id, id FROM v", "r.x", "x"),
+        "sssp": _least_sql(_JUMP, f"SELECT {START}::BIGINT, 0.0::DOUBLE", "r.x + e.weight", "round(x, 6)", _JUMP_IDS),
+        "cc": _least_sql(_JUMP, "SELECT id, id FROM v", "r.x", "x", _JUMP_IDS),
+        "cc_weak": _least_sql(both_ways.format(e=_STAR), "SELECT id, id FROM v", "r.x", "x", _STAR_IDS),
         "sssp_whole": _least_sql(_EDGES, f"SELECT {START}::BIGINT, 0.0::DOUBLE", "r.x + e.weight", "round(x, 6)"),
         "cc_whole": _least_sql(_EDGES, "SELECT id, id FROM v", "r.x", "x"),
         "cc_weak_whole": _least_sql(both_ways.format(e=_EDGES), "SELECT id, id FROM v", "r.x", "x"),
@@ -337,7 +360,7 @@ def oracle_sql() -> dict[str, str]:
         "target_area": e + "SELECT src, count(*) AS edges FROM e WHERE src >= 10 AND src < 500 AND tgt >= 20 AND tgt < 90 GROUP BY src",
         "hash_weights": e + "SELECT src, tgt, round(((src % 1000003) * 1103515245 + (tgt % 1000003) * 69069 + 12345) % 2147483648 / 4294967296.0, 9) AS weight FROM e",
         "constant_values": e + "SELECT id, 0.5::DOUBLE AS value FROM v",
-        "adjacency_edges": f"SELECT src, tgt FROM ({_SPARSE})",
+        "adjacency_edges": f"SELECT src, tgt FROM ({_JUMP})",
         "compare_results": _with(more=f", {both}") + "SELECT a.id AS id, a.y AS a, b.y AS b FROM a JOIN b ON a.id = b.id WHERE a.y <> b.y",
         "compare_results_relative": _with(more=f", {both}") + "SELECT count(*) AS differing FROM a JOIN b ON a.id = b.id WHERE NOT abs(a.y - b.y) <= 0.1 * greatest(abs(a.y), abs(b.y))",
         "compare_labels": "SELECT count(*) FILTER (c_nationkey IS DISTINCT FROM c_nationkey % 5) AS differing, count(DISTINCT c_nationkey) AS labels_a, count(DISTINCT c_nationkey % 5) AS labels_b FROM customer",

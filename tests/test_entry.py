@@ -31,6 +31,15 @@ def test_query(spark, name):
     assert rows == sorted(found.fetchall(), key=repr)
 
 
+def test_no_row_is_left_out(spark):
+    """Jumps and stars have the edges of every order; a jump that would end beyond the last order is none."""
+    orders = spark.read.parquet(f"{DIR}/orders.parquet").collect()
+    n, customers = len(orders), spark.read.parquet(f"{DIR}/customer.parquet").count()
+    jumps = [(r.o_orderkey, r.o_orderkey + 1 + j % (n // 12)) for r in orders for j in (r.o_custkey, int(r.o_totalprice))]
+    assert sorted((r.src, r.tgt) for r in catalog.jump_graph(spark, DIR).edges.collect()) == sorted(e for e in jumps if e[1] < n)
+    assert sorted((r.src, r.tgt) for r in catalog.star_graph(spark, DIR).edges.collect()) == sorted((r.o_custkey, customers + r.o_orderkey) for r in orders)
+
+
 @pytest.mark.parametrize("name, whole", [("adjacency_edges_whole", "orders"), ("cc_whole", "orders"), ("cc_suppliers", "lineitem")])
 def test_whole_tables_are_read(spark, name, whole):
     """Every row of the table takes part: against the edges of all its rows, by hand."""
