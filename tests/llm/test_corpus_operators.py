@@ -1,6 +1,7 @@
 import collections
 import functools
 import json
+import os
 import random
 import re
 import time
@@ -21,6 +22,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 Tokenizer = pytest.importorskip("tokenizers").Tokenizer
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+TABLES = "/root/testdata/sf0.01"
 
 
 def grams(text):
@@ -92,6 +94,20 @@ def test_jaccard(spark, monkeypatch, block, hot):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in sets if top(i) == i) and kept.columns == documents(spark).columns
 
 
+@pytest.mark.skipif(not os.path.exists(f"{TABLES}/documents.parquet"), reason="no tables")
+def test_jaccard_recall_on_a_whole_table(spark):
+    """Links of every document whose id is divisible by 50, each against all documents by hand: none missed, none made up."""
+    df = spark.read.parquet(f"{TABLES}/documents.parquet")
+    got = {r.doc_id: r for r in jaccard.similarity_classes(df).collect()}
+    sets = {r.doc_id: grams(r.text) for r in df.select("doc_id", "text").collect()}
+    asked = [i for i in sets if i % 50 == 0]
+    for i in asked:
+        mine = sets[i]
+        near = [j for j, x in sets.items() if j != i and mine and x and len(mine & x) >= 0.8 * len(mine | x) - 1e-9]
+        assert got[i].n_links == len(near) and {got[j].class_id for j in near} <= {got[i].class_id}
+    assert len(asked) > 10 and sum(got[i].n_links > 0 for i in got) > 10
+
+
 def test_jaccard_edges(spark):
     got = jaccard.similarity_classes(documents(spark))
     assert got.count() == len(ROWS)
