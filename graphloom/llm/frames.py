@@ -31,9 +31,9 @@ def beside_group(rows: DataFrame, key: str, groups: DataFrame, size: str, total:
     rows stay where they are; a shuffle then meets no key with many rows.
     """
     limit = max(LEAST_HOT, total // MOST_HOT)
-    hot = F.broadcast(groups.where(F.col(size) > limit))
-    rest = rows.join(hot.select(key), key, "left_anti").join(groups.where(F.col(size) <= limit), key)
-    return rows.join(hot, key).unionByName(rest)
+    marked = rows.join(F.broadcast(groups.where(F.col(size) > limit)), key, "left")
+    rest = marked.where(F.col(size).isNull()).select(*rows.columns).join(groups.where(F.col(size) <= limit), key)
+    return marked.where(F.col(size).isNotNull()).unionByName(rest)
 
 
 @contextmanager

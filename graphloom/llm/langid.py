@@ -34,6 +34,7 @@ FAMILIES = {
 UNKNOWN = "und"
 BUCKETS = 1 << 13
 PER_LANGUAGE = 400
+BATCH_BYTES = 1 << 20  # a text's trigrams take some twenty times its bytes
 _U = np.uint64
 _FOLD = np.full(256, 0x20, np.uint8)  # bytes of letters stand for themselves, all else is a space
 _FOLD[97:123] = np.arange(97, 123)
@@ -189,7 +190,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
                 cuts[k] = min(1.0, 4 * cuts[k])
 
     def features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(it, "text"):
+        for batch in batches(it, "text", BATCH_BYTES):
             bucket, doc = _trigrams(*utf8(batch.column("text")), buckets)
             cells = []
             for d in range(batch.num_rows):
@@ -246,7 +247,7 @@ def identify(documents: DataFrame, model: LanguageModel | None, text: str = "tex
 
     def predict(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = sent.value
-        for batch in batches(it, "_text"):
+        for batch in batches(it, "_text", BATCH_BYTES):
             lettered = [_has_letter(t) for t in batch.column("_text").to_pylist()]
             langs, scores = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
             if machine and any(lettered):

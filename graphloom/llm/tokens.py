@@ -24,7 +24,7 @@ import pyarrow as pa
 
 from graphloom.llm.words import coefficients, mix64
 
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES, UNIT_ENTRIES = 600_000, 50_000
 _HEAD = "\0"
 #: White space other than space and line feed, and the mark of a text's first piece.
 _OTHER = re.compile("[\0\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -160,6 +160,8 @@ class Encoder:
         found = self.units.get(text)
         if found is None:
             shown = text.replace(" ", "Ġ") if text.isascii() else text.encode().decode("latin-1").translate(_LETTERS)
+            if len(self.units) >= UNIT_ENTRIES:
+                self.units.clear()
             found = self.units[text] = array("I", [t.id for t in self.merge(shown)]).tobytes()
         return found
 
@@ -201,7 +203,6 @@ class Encoder:
                 new = np.arange(len(hashes))
                 distinct, first = np.unique(hashes, return_index=True)
                 self.cache.clear(len(distinct))
-                self.units.clear()
             raw = data.tobytes()
             self.cache.add(distinct, [self._learn(raw[a:b].decode()) for a, b in zip(starts[new[first]].tolist(), ends[new[first]].tolist())])
             entry[new] = self.cache.find(hashes[new])
