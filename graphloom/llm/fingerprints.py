@@ -90,8 +90,9 @@ def with_next(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     place = F.struct("_id", "b")  # null ids are the least
     sample = rows.select("_id", "b", F.xxhash64(F.lit(5), "_id", "b").alias("o")).distinct().orderBy("o").limit(SAMPLED * ranges)
     places = f"array<struct<_id:{dict(rows.dtypes)['_id']},b:bigint>>"
-    found = sample.agg(F.array_sort(F.collect_list(place)).alias("s")).select(F.to_json(F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda k: F.get("s", F.floor(k * F.size("s") / ranges).cast("int"))))).first()[0]
-    held = F.filter(F.array_distinct(F.from_json(F.lit(found or "[]"), places)), lambda x: x.isNotNull())
+    picked = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda k: F.get("s", F.floor(k * F.size("s") / ranges).cast("int")))
+    found = sample.agg(F.array_sort(F.collect_list(place)).alias("s")).select(F.to_json(F.array_distinct(F.filter(picked, lambda x: x.isNotNull())))).first()[0]
+    held = F.from_json(F.lit(found or "[]"), places)  # a constant to the plan
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(ranges.bit_length()))])
     bucket = F.aggregate(steps, F.lit(0), lambda at, k: F.when((at + k <= F.size(held)) & (F.get(held, at + k - 1) <= place), at + k).otherwise(at))
     placed = rows.withColumn("bucket", bucket)
