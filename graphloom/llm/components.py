@@ -38,8 +38,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     state = _state(now)
     while True:
         before, last = state, path
-        now, path = cut_at(_small_star(_large_star(now, state[0]).where("u != v").distinct(), state[0]), name)
+        large, between = cut_at(_large_star(now, state[0]).where("u != v").distinct(), name)
+        now, path = cut_at(_small_star(large, state[0]), name)
         remove(spark, last)
+        remove(spark, between)
         state = _state(now)
         if before == state:
             return now

@@ -25,15 +25,18 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 
 
 def beside_group(rows: DataFrame, key: str, groups: DataFrame, size: str, total: int) -> DataFrame:
-    """``rows`` joined to ``groups``, one row a key, whose column ``size`` says how many rows each key has; ``total`` is their sum.
+    """``rows`` joined to ``groups``, one row a key (a long), whose column ``size`` says how many rows each key has; ``total`` is their sum.
 
-    Keys with over 200 rows and a 100,000th of all, 100,000 of them at most, are joined by broadcast, so that their
-    rows stay where they are; a shuffle then meets no key with many rows.
+    Keys with over 200 rows and a 100,000th of all, 100,000 of them at most, are joined by broadcast, and their rows
+    spread by hash in the shuffle that joins the others, which then meets no key with many rows.
     """
-    limit = max(LEAST_HOT, total // MOST_HOT)
-    marked = rows.join(F.broadcast(groups.where(F.col(size) > limit)), key, "left")
-    rest = marked.where(F.col(size).isNull()).select(*rows.columns).join(groups.where(F.col(size) <= limit), key)
-    return marked.where(F.col(size).isNotNull()).unionByName(rest)
+    limit, names = max(LEAST_HOT, total // MOST_HOT), [c for c in groups.columns if c != key]
+    hot = groups.where(F.col(size) > limit).select(key, *[F.col(c).alias(f"_hot_{c}") for c in names])
+    cold = groups.where(F.col(size) <= limit).select(F.col(key).alias("_cold"), *[F.col(c).alias(f"_cold_{c}") for c in names])
+    is_hot = F.col(f"_hot_{size}").isNotNull()
+    marked = rows.join(F.broadcast(hot), key, "left").withColumn("_spread", F.when(is_hot, F.xxhash64(*rows.columns)).otherwise(F.col(key)))
+    met = marked.join(cold, F.col("_spread") == F.col("_cold"), "left").where(is_hot | F.col("_cold").isNotNull())
+    return met.select(*rows.columns, *[F.when(is_hot, F.col(f"_hot_{c}")).otherwise(F.col(f"_cold_{c}")).alias(c) for c in names])
 
 
 @contextmanager
