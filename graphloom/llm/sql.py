@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontaminate, secrets, substrings
+from graphloom.llm import decontaminate, middle, secrets, substrings
 
 SUBSTRINGS = f"""
 WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -52,3 +52,14 @@ j AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FIL
     string_agg(kind || ':' || place || ':' || upto, ',' ORDER BY place, rank, upto) AS spans FROM s GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN j USING (doc_id)
 """
+
+_P, _S, _M = middle.Marks()
+MIDDLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('{middle.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+c AS (SELECT doc_id, t, n, ('0x' || h[1:8])::BIGINT % (n + 1) AS x, ('0x' || h[9:16])::BIGINT % (n + 1) AS y, ('0x' || h[17:24])::BIGINT % 100 AS z, ('0x' || h[25:32])::BIGINT % 100 AS w FROM d),
+f AS (SELECT doc_id, t, n, least(x, y) AS a, greatest(x, y) AS b,
+    CASE WHEN t = '' OR contains(t, '{_P}') OR contains(t, '{_S}') OR contains(t, '{_M}') OR z >= {middle.TRANSFORMED} THEN 'plain' WHEN w < {middle.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM c),
+p AS (SELECT *, substring(t, 1, a) AS head, substring(t, a + 1, b - a) AS mid, substring(t, b + 1) AS rest FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{_P}' || head || '{_S}' || rest || '{_M}' || mid ELSE '{_S}' || rest || '{_P}' || head || '{_M}' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
