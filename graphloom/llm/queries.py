@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import blocks, decontaminate, fingerprints, jaccard, langid, middle, packing, pages, pii, secrets, sql, substrings
+from graphloom.llm import alignment, blocks, decontaminate, fingerprints, jaccard, langid, middle, packing, pages, pii, secrets, sql, substrings
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_personal_data": pii.query,
         "op9_secret_scan": secrets.query,
         "op10_decontaminate": decontaminate.query,
+        "op11_token_alignment": alignment.query,
         "op13_fill_in_middle": middle.query,
     }
 

@@ -46,14 +46,14 @@ _DROPPED = (
 )
 
 
-def _byte_letters() -> dict[int, int]:
+def hidden_bytes() -> dict[int, int]:
     """The public byte-level alphabet: printable bytes stand for themselves, the others for 256 onwards."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
     hidden = [b for b in range(256) if b not in shown]
     return {b: 256 + k for k, b in enumerate(hidden)}
 
 
-_LETTERS = _byte_letters()
+_LETTERS = hidden_bytes()
 
 
 class _Cache:
@@ -118,16 +118,20 @@ def _scheme(rules: dict) -> str | None:
 
 
 class Encoder:
-    """``encode(texts)`` gives little-endian unsigned 32-bit ids, those of the library's ``encode(text, add_special_tokens=False)``."""
+    """``encode(texts)`` gives little-endian unsigned 32-bit ids, those of the library's ``encode(text, add_special_tokens=False)``.
 
-    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
+    With ``plain_special`` a special token's string in a text is text like any other.
+    """
+
+    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES, plain_special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain_special
         rules = json.loads(self.tokenizer.to_str())
         self.scheme = _scheme(rules)
         self.kept = self.scheme == "kept"
-        self.added = [t["content"] for t in rules.get("added_tokens") or []]
+        self.added = [t["content"] for t in rules.get("added_tokens") or [] if not (plain_special and t["special"])]
         self.cache = _Cache(cache_entries)
         self.merge = self.tokenizer.model.tokenize
         self.units: dict[str, bytes] = {}  # ids of what the merge model saw: words come with many marks behind them
@@ -235,12 +239,12 @@ class Encoder:
 _held: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, cache_entries: int = CACHE_ENTRIES) -> Encoder:
+def encoder(path: str, cache_entries: int = CACHE_ENTRIES, plain_special: bool = False) -> Encoder:
     """One encoder per worker."""
-    key = (path, cache_entries)
+    key = (path, cache_entries, plain_special)
     if key not in _held:
         _held.clear()
-        _held[key] = Encoder(path, cache_entries)
+        _held[key] = Encoder(path, cache_entries, plain_special)
     return _held[key]
 
 
