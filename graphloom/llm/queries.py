@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import alignment, blocks, decontaminate, fingerprints, jaccard, langid, middle, packing, pages, pii, secrets, sql, substrings
+from graphloom.llm import alignment, blocks, decontaminate, fingerprints, jaccard, langid, middle, neighbours, packing, pages, pii, secrets, sql, substrings
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_secret_scan": secrets.query,
         "op10_decontaminate": decontaminate.query,
         "op11_token_alignment": alignment.query,
+        "op12_nearest_vectors": neighbours.query,
         "op13_fill_in_middle": middle.query,
     }
 
