@@ -23,7 +23,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,8 @@ from graphloom.llm.words import batches
 
 BLOCK_BYTES, LINKS_A_TASK = 1 << 25, 2_000_000
 MANY = 64  # links of a group from which its ids are counted before they are paired
-HELD_PAIRS = 1 << 22
+HELD_PAIRS = 1 << 21
+BATCH_BYTES = 1 << 20
 _SEPARATORS = (b",", b"|", b";")
 
 
@@ -50,9 +50,11 @@ class Side:
         self.pool = np.frombuffer(b"".join(entries), np.uint8)
 
     def decoded(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of some ids, of under 2 GB."""
         sizes = self.sizes[ids]
-        places = np.repeat(self.starts[ids] - np.cumsum(sizes) + sizes, sizes)
-        return self.pool[places + np.arange(len(places))]
+        places = np.repeat((self.starts[ids] - np.cumsum(sizes) + sizes).astype(np.int32), sizes)
+        places += np.arange(len(places), dtype=np.int32)
+        return self.pool[places]
 
 
 def _left_side(encoder: tokens.Encoder) -> Side:
@@ -71,15 +73,46 @@ def _right_side(pieces) -> Side:
     return Side([entry(k) for k in range(pieces.get_piece_size())])
 
 
+class PieceEncoder(tokens.Encoder):
+    """``encode(texts)`` of a sentencepiece model, with a cache of what stands between spaces and line feeds.
+
+    That is exact where no piece holds a space behind another character or a line feed, and characters stay as they are;
+    both are looked up, and a model for which they don't hold encodes whole texts.
+    """
+
+    def __init__(self, path: str, cache_entries: int = tokens.CACHE_ENTRIES):
+        import sentencepiece
+
+        self.pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+        names = [self.pieces.id_to_piece(k) for k in range(self.pieces.get_piece_size())]
+        inside = any("▁" in name.lstrip("▁") or "\n" in name for name in names)
+        probes = ["ﬁ Å ① ㌔ ｶﾞ ´ \u0301x e\u0301 \u00ad\u200b\ufeff ½ ﷺ", "a  b\tc\r\n d\u00a0e\u3000f "]
+        side = _right_side(self.pieces)
+        changed = any(side.decoded(np.array(self.pieces.encode(p))).tobytes() != (" " + p).encode() for p in probes)
+        self.scheme = None if inside or changed else "kept"
+        self.kept, self.cache = True, tokens.Cache(cache_entries)
+
+    def vocabulary(self) -> int:
+        return self.pieces.get_piece_size()
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.pieces.encode(text), "<u4").tobytes()
+
+    def _unusual(self, text: str) -> bool:
+        return self.scheme is None or "\0" in text or "▁" in text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", "\n\n", " \n", "\n "))
+
+    def _learn(self, piece: str) -> bytes:
+        if piece[0] == "\n":  # the model puts a space in front, which nothing joins with a line feed
+            return self.whole(piece)[4:]
+        return self.whole(piece[1:] if piece[0] == "\0" else piece)
+
+
 class Aligner:
     """Tokens, groups and links of batches of texts."""
 
     def __init__(self, left: str, right: str):
-        import sentencepiece
-
-        self.encoder = tokens.encoder(left, plain_special=True)
-        self.pieces = sentencepiece.SentencePieceProcessor(model_file=right)
-        self.sides = _left_side(self.encoder), _right_side(self.pieces)
+        self.encoder, self.pieces = tokens.encoder(left, plain_special=True), PieceEncoder(right)
+        self.sides = _left_side(self.encoder), _right_side(self.pieces.pieces)
         self.sizes = tuple(len(s.sizes) for s in self.sides)
         self.shown = [f"{k}".encode() + sep for k in range(max(self.sizes)) for sep in _SEPARATORS]
 
@@ -88,10 +121,9 @@ class Aligner:
         whole = [" " + t if t else "" for t in texts]
         raw = [w.encode() for w in whole]
         lengths = np.array([len(r) for r in raw], np.int64)
-        a = self.encoder.encode(whole)
-        b = self.pieces.encode(texts, num_threads=1) if texts else []
-        ids = [np.frombuffer(b"".join(a), "<u4").astype(np.int64), np.fromiter(chain.from_iterable(b), np.int64)]
-        counts = [np.array([len(x) // 4 for x in a], np.int64), np.array([len(x) for x in b], np.int64)]
+        found = self.encoder.encode(whole), self.pieces.encode(texts)
+        ids = [np.frombuffer(b"".join(own), "<u4").astype(np.int64) for own in found]
+        counts = [np.array([len(x) // 4 for x in own], np.int64) for own in found]
         good = lengths > 0
         data = np.frombuffer(b"".join(raw), np.uint8)
         for side, own, n in zip(self.sides, ids, counts):
@@ -221,7 +253,7 @@ def aligned(documents: DataFrame, left: str, right: str, doc_id: str = "doc_id",
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by, stripes = aligner(left, right), stripes_of(left, right, block_bytes)
-        for batch in batches(it, "_text"):
+        for batch in batches(it, "_text", BATCH_BYTES):
             found = by.align(tokens.texts(batch.column("_text")))
             doc, codes, links = found.pairs(stripes)
             cuts = np.searchsorted(doc, np.arange(found.docs + 1)).tolist()
@@ -325,7 +357,7 @@ def scored(rows: DataFrame, blocks: DataFrame, stripes: Stripes, links_a_task: i
 
     def strip(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
-        for batch in it:
+        for batch in batches(it, "codes", 8 * BATCH_BYTES):
             codes, links = _codes(batch.column("codes")), _codes(batch.column("links"), "<u4")
             sizes = [len(c) for c in codes]
             flat, n = np.concatenate(codes), np.concatenate(links)

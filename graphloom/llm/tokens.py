@@ -56,7 +56,7 @@ def hidden_bytes() -> dict[int, int]:
 _LETTERS = hidden_bytes()
 
 
-class _Cache:
+class Cache:
     """Open-addressed table from 64-bit hashes to runs in a pool of ids."""
 
     def __init__(self, entries: int):
@@ -132,7 +132,7 @@ class Encoder:
         self.scheme = _scheme(rules)
         self.kept = self.scheme == "kept"
         self.added = [t["content"] for t in rules.get("added_tokens") or [] if not (plain_special and t["special"])]
-        self.cache = _Cache(cache_entries)
+        self.cache = Cache(cache_entries)
         self.merge = self.tokenizer.model.tokenize
         self.units: dict[str, bytes] = {}  # ids of what the merge model saw: words come with many marks behind them
         self.feed = self.whole("\n") if self.kept else b""

@@ -1,7 +1,9 @@
 import collections
 import hashlib
 import os
+import random
 
+import numpy as np
 import pytest
 
 from graphloom.llm import alignment
@@ -115,6 +117,14 @@ def test_many_links_in_a_group(spark, wanted, monkeypatch):
     assert all((x == y).all() for x, y in zip(plain, by.align(texts).pairs(stripes)))
 
 
+def test_cached_pieces_are_the_librarys():
+    by, rng = alignment.PieceEncoder(RIGHT), random.Random(1)
+    parts = ["a", "the", "\n", " ", "\t", "é", "▁", "<s>", "\u0301", "中", "x1", "!!", "\u00a0", "🙂", "\r", "ing", "\0", "’", "ab▁c"]
+    texts = [sep.join(rng.choice(parts) for _ in range(rng.randrange(1, 30))) for sep in ("", " ") for _ in range(3000)]
+    assert by.scheme == "kept"
+    assert [np.frombuffer(x, "<u4").tolist() for x in by.encode(texts)] == by.pieces.encode(texts)
+
+
 def test_an_empty_table(spark):
     assert alignment.token_alignment(empty(spark), LEFT, RIGHT).collect() == []
 
