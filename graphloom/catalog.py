@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import arith, hashing
 from graphloom.graph import Graph, decode_ids, encode_ids
-from graphloom.operators import analysis, programs, tiling
+from graphloom.operators import analysis, components, frontiers, programs, tiling
+from graphloom.plans.delta import TileStore
+from graphloom.plans.storage import place
 from graphloom.plans.superstep import run
 from graphloom.sources import readers, rmat
 
@@ -172,6 +174,14 @@ def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(programs.bfs(g, g.n - g.n // 20 - 1))
 
 
+def _over_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of ``bfs_sparse`` over tiles and their index in the shared folder, of which a round reads the active ones."""
+    g = jump_graph(spark, sf_dir)
+    path = place(spark, "tiles")
+    tiling.store_tiles(tiling.tiled(g.edges, g.n, SIDE), path, g.n)
+    return _values(run(Graph(TileStore(spark, path).all_edges(), g.n), programs.bfs_program(g.n - g.n // 20 - 1), None, tiles=path))
+
+
 def _pack_sql(most: int) -> str:
     """A pack begins at the first edge of its range, and where one end's distinct vertices since the last begin would be over ``most``."""
     return f"""WITH RECURSIVE t AS MATERIALIZED ({_tile_sql()}), c AS (SELECT tile_id, count(*) AS edges FROM t GROUP BY tile_id),
@@ -237,6 +247,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bfs": lambda s, d: _values(programs.bfs(cust(s, d), START)),
         "bfs_deep": lambda s, d: _values(programs.bfs(jump_graph(s, d), START)),
         "bfs_sparse": _late,
+        "bfs_tiles": _over_tiles,
+        "bfs_bitmaps": lambda s, d: _values(frontiers.bfs_bitmaps(cust(s, d), START)),
+        "bfs_bitmaps_deep": lambda s, d: _values(frontiers.bfs_bitmaps(jump_graph(s, d), START)),
+        "sssp_buckets": lambda s, d: _rounded(_values(programs.sssp_buckets(jump_graph(s, d), START)), "value"),
+        "components_star": lambda s, d: components.weak_components(star_graph(s, d))[0],
+        "components_whole": lambda s, d: components.weak_components(cust(s, d))[0],
+        "components_jump": lambda s, d: components.weak_components(jump_graph(s, d))[0],
+        "components_suppliers": lambda s, d: components.weak_components(supplier_graph(s, d))[0],
         "bfs_3_rounds": lambda s, d: _values(run(cust(s, d), programs.bfs_program(START), 3)),
         "sssp": lambda s, d: _rounded(_values(programs.sssp(jump_graph(s, d), START)), "value"),
         "cc": lambda s, d: _values(programs.cc(jump_graph(s, d))),
@@ -303,7 +321,17 @@ def oracle_sql() -> dict[str, str]:
     spmv = "SELECT id, coalesce(y, 0)::DOUBLE AS y FROM v LEFT JOIN (SELECT tgt, sum({x}) AS y FROM e GROUP BY tgt) m ON m.tgt = id"
     both = "a AS (SELECT id, coalesce(y, 0)::DOUBLE AS y FROM v LEFT JOIN (SELECT tgt, sum(tgt) AS y FROM e GROUP BY tgt) m ON m.tgt = id), b AS (SELECT id, coalesce(y, 0)::DOUBLE AS y FROM v LEFT JOIN (SELECT tgt, sum(src) AS y FROM e GROUP BY tgt) m ON m.tgt = id)"
     rmat_edges = _rmat_sql(1024, 20000)
+    bfs_deep = _least_sql(_JUMP, bfs_first, "r.x + 1", bfs_value, _JUMP_IDS)
+    bfs_sparse = _least_sql(_JUMP, f"SELECT {_ORDERS} - {_ORDERS} // 20 - 1, 0::BIGINT", "r.x + 1", bfs_value, _JUMP_IDS)
+    bfs = _least_sql(_EDGES, bfs_first, "r.x + 1", bfs_value)
+    sssp = _least_sql(_JUMP, f"SELECT {START}::BIGINT, 0.0::DOUBLE", "r.x + e.weight", "round(x, 6)", _JUMP_IDS)
+    weak = {k: _least_sql(both_ways.format(e=edges), "SELECT id, id FROM v", "r.x", "x", ids) for k, edges, ids in (("star", _STAR, _STAR_IDS), ("whole", _EDGES, _IDS), ("jump", _JUMP, _JUMP_IDS), ("suppliers", _SP, sp_ids))}
     return {
+        "bfs_tiles": bfs_sparse,
+        "bfs_bitmaps": bfs,
+        "bfs_bitmaps_deep": bfs_deep,
+        "sssp_buckets": sssp,
+        **{f"components_{k}": text for k, text in weak.items()},
         "pack_tiles": _pack_sql(256),
         "rmat_edges": rmat_edges,
         "rmat_degrees": f"WITH e AS MATERIALIZED ({rmat_edges}), v AS (SELECT range AS id FROM range(1024)) " + degrees,
@@ -318,18 +346,18 @@ def oracle_sql() -> dict[str, str]:
         "pagerank_1": _pagerank_sql(1),
         "pagerank_5": _pagerank_sql(5),
         "pagerank_20": _pagerank_sql(20),
-        "bfs": _least_sql(_EDGES, bfs_first, "r.x + 1", bfs_value),
-        "bfs_deep": _least_sql(_JUMP, bfs_first, "r.x + 1", bfs_value, _JUMP_IDS),
-        "bfs_sparse": _least_sql(_JUMP, f"SELECT {_ORDERS} - {_ORDERS} // 20 - 1, 0::BIGINT", "r.x + 1", bfs_value, _JUMP_IDS),
+        "bfs": bfs,
+        "bfs_deep": bfs_deep,
+        "bfs_sparse": bfs_sparse,
         "bfs_3_rounds": _with(more=f", r AS (SELECT {START}::BIGINT AS v, 0::BIGINT AS x UNION SELECT e.tgt, r.x + 1 FROM r JOIN e ON e.src = r.v WHERE r.x < 3)") + "SELECT id, min(x) AS value FROM v LEFT JOIN r ON r.v = id GROUP BY id",
-        "sssp": _least_sql(_JUMP, f"SELECT {START}::BIGINT, 0.0::DOUBLE", "r.x + e.weight", "round(x, 6)", _JUMP_IDS),
+        "sssp": sssp,
         "cc": _least_sql(_JUMP, "SELECT id, id FROM v", "r.x", "x", _JUMP_IDS),
-        "cc_weak": _least_sql(both_ways.format(e=_STAR), "SELECT id, id FROM v", "r.x", "x", _STAR_IDS),
+        "cc_weak": weak["star"],
         "sssp_whole": _least_sql(_EDGES, f"SELECT {START}::BIGINT, 0.0::DOUBLE", "r.x + e.weight", "round(x, 6)"),
         "cc_whole": _least_sql(_EDGES, "SELECT id, id FROM v", "r.x", "x"),
-        "cc_weak_whole": _least_sql(both_ways.format(e=_EDGES), "SELECT id, id FROM v", "r.x", "x"),
+        "cc_weak_whole": weak["whole"],
         "cc_suppliers": _least_sql(_SP, "SELECT id, id FROM v", "r.x", "x", sp_ids),
-        "cc_weak_suppliers": _least_sql(both_ways.format(e=_SP), "SELECT id, id FROM v", "r.x", "x", sp_ids),
+        "cc_weak_suppliers": weak["suppliers"],
         "adjacency_edges_whole": f"SELECT src, tgt FROM ({_EDGES})",
         "spmv_target": e + spmv.format(x="tgt"),
         "spmv_source": e + spmv.format(x="src"),

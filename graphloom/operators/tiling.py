@@ -116,6 +116,21 @@ def read_tiles(spark, path: str, tile_ids: list[int] | None = None, buckets: int
     return rows
 
 
+def store_tiles(tiles: DataFrame, path: str, n: int, buckets: int = 64) -> None:
+    """The tiles under ``path``/tiles and their vertex index under ``path``/index, as ``superstep.run(tiles=path)`` reads them.
+
+    The index, (src, tile_id, tile_bucket), lies in stretches of sources as a run's state does.
+    """
+    from graphloom.plans.delta import Stretches
+
+    write_tiles(tiles, f"{path}/tiles", buckets)
+    kept = read_tiles(tiles.sparkSession, f"{path}/tiles")
+    stretches = Stretches(n, n)
+    index = kept.select("src", "tile_id", F.col("tile_bucket").cast("int").alias("tile_bucket")).distinct()
+    placed = index.withColumn("part", stretches.of(F.col("src")).cast("int")).withColumn("bits", F.lit(stretches.bits))
+    placed.repartition(max(1, n // 1_000_000), "part").sortWithinPartitions("part", "src").write.mode("overwrite").partitionBy("part").parquet(f"{path}/index")
+
+
 def vertex_tiles(tiles: DataFrame) -> DataFrame:
     """(src, tiles): the tiles in which a vertex is a source, sorted."""
     return tiles.groupBy("src").agg(F.sort_array(F.collect_set("tile_id")).alias("tiles"))

@@ -21,9 +21,14 @@ def shared_folder(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_at(df: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
     """``df`` written to the shared folder and read back, and its path there."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = place(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 

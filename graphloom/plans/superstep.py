@@ -16,6 +16,10 @@ Each round's state is checkpointed in the shared folder, which keeps how it is
 dealt and sorted and cuts the lineage: a lost executor costs the round it was in,
 and the plan of a round is no longer than the first one's. The state before the
 last is deleted.
+
+A round of a ``quiet`` program with at most ``narrow`` senders and messages reads
+and writes what changes alone (``delta``); the two kinds of round may follow each
+other in any order, and do not differ in what they compute.
 """
 
 from __future__ import annotations
@@ -30,11 +34,13 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
+from graphloom.plans.delta import Changes, Stretches, StretchStore, TileStore
 from graphloom.plans.storage import Checkpoints, cut, drop_round, keep_round, resume, settings
 
 Columns = dict[str, Column]
 SPLIT = 1_000_000
 ROWS_A_TASK = 100_000  # of edges and vertices, unless that makes more tasks than shuffle partitions
+NARROW = 250_000  # senders and messages of a round that are broadcast: some ten megabytes
 STRETCHES, RANGES = 1024, 32  # vertex ids are in that many stretches; a round reads that many ranges of them
 COMBINE: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "min": F.min, "max": F.max, "product": F.product, "count": F.count, "any": F.bool_or, "all": F.bool_and}
 
@@ -47,8 +53,8 @@ class VertexProgram:
     (named s_<column>), src, tgt, weight and those of the target's columns that ``target`` lists (named t_<column>);
     ``combine`` names the aggregate of each message; ``apply`` the new state from the old columns and the messages
     (m_<name>, null where none came). ``active`` tells which vertices send next round; with ``frontier`` the others
-    don't send. ``before_round`` may give another program for a round, from its number and the state. A program that
-    asks for no ``degrees`` has none in its state.
+    don't send. ``quiet`` says that a vertex without a message keeps its state and falls silent. ``before_round`` may give
+    another program for a round, from its number and the state. A program that asks for no ``degrees`` has none in its state.
     """
 
     name: str
@@ -58,6 +64,7 @@ class VertexProgram:
     apply: Callable[[], Columns]
     active: Callable[[], Column] | None = None
     frontier: bool = False
+    quiet: bool = False
     target: tuple[str, ...] = ()
     degrees: bool = True
     before_round: Callable[[int, DataFrame], VertexProgram] | None = None
@@ -69,14 +76,17 @@ class Run:
     rounds: int = 0
     log: list[tuple[int, int | None, float]] = field(default_factory=list)  # (round, active vertices after it, milliseconds)
     settled: bool | None = None  # whether nobody is active any more; None for programs without a frontier
+    counts: list[tuple[int, int, int, bool]] = field(default_factory=list)  # of quiet programs: (round, messages sent, rows written, narrow)
 
     def lines(self) -> list[str]:
         """One line per round, as ``analysis.log_stats`` reads them."""
         return [f"Round Time for iteration {k} {ms:.3f}msec" for k, _, ms in self.log]  # fixed value: the line's format
 
     def metrics(self, spark: SparkSession) -> DataFrame:
-        """(round, active, milliseconds), one row a round."""
-        return spark.createDataFrame(self.log, "round long, active long, milliseconds double")
+        """(round, active, milliseconds, messages, written), one row a round; the last two for quiet programs alone."""
+        more = {k: (sent, rows) for k, sent, rows, _ in self.counts}
+        rows = [(*row, *more.get(row[0], (None, None))) for row in self.log]
+        return spark.createDataFrame(rows, "round long, active long, milliseconds double, messages long, written long")
 
     def write_metrics(self, spark: SparkSession, path: str) -> None:
         """``metrics`` as CSV with a header; what tasks did is in Spark's own event log."""
@@ -102,12 +112,15 @@ def run(
     on_round: Callable[[int, DataFrame], None] | None = None,
     checkpoint: str | None = None,
     split: int = SPLIT,
+    narrow: int = NARROW,
+    tiles: str | None = None,
 ) -> Run:
     """Run up to ``max_rounds`` rounds; a program with a frontier stops when nobody is active, and with None only then.
 
     ``settled`` of the result tells whether a bound ended the run before that. With ``checkpoint`` each round is written
     as a table under that path instead, where the last two stay; a later call with it goes on from the last complete one. A single
-    round of a program without a frontier is a plan and nothing more, so its count of active vertices is None.
+    round of a program without a frontier is a plan and nothing more, so its count of active vertices is None. With ``tiles``
+    narrow rounds read the graph's edges from the tiles that ``tiling.store_tiles`` wrote there, active ones alone.
     """
     if max_rounds is None and not program.frontier:
         raise ValueError(f"{program.name} has no frontier to run out of; give max_rounds")
@@ -123,15 +136,16 @@ def run(
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     width = shuffles if found["edges"] is None else max(1, min(shuffles, -(-(found["edges"] + graph.n) // ROWS_A_TASK)))
     with settings(spark, {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(width)}):
-        return _rounds(graph, program, max_rounds, on_round, checkpoint, split, vertices, hubs, width)
+        rows = graph.n + (found["edges"] or 0)
+        return _rounds(graph, program, max_rounds, on_round, checkpoint, split, vertices, hubs, width, rows, narrow, tiles)
 
 
-def _rounds(graph, program, max_rounds, on_round, checkpoint, split, vertices, hubs, width) -> Run:
+def _rounds(graph, program, max_rounds, on_round, checkpoint, split, vertices, hubs, width, rows, narrow, tiles) -> Run:
     spark = graph.edges.sparkSession
     once = max_rounds == 1  # nothing is read twice
     lazy = once and not (program.frontier or checkpoint or on_round)
     merged = (lambda df: df) if lazy else lambda df: df.hint("merge")
-    edges = graph.edges.select("src", "tgt", *(["weight"] if "weight" in graph.edges.columns else []))
+    edges = plain = graph.edges.select("src", "tgt", *(["weight"] if "weight" in graph.edges.columns else []))
     if hubs:
         degrees = vertices.select("id", F.greatest(F.ceil(F.col("out_degree") / split), F.lit(1)).cast("int").alias("shares"))
         edges = edges.join(degrees, edges["src"] == degrees["id"]).withColumn("share", F.pmod(F.xxhash64("tgt"), F.col("shares"))).drop("id", "shares")
@@ -153,8 +167,31 @@ def _rounds(graph, program, max_rounds, on_round, checkpoint, split, vertices, h
     out, active, folder = Run(state, start), None, Checkpoints(spark, program.name)
     kept_rounds = [done[0]] if done else []
     stretches: list[int] | None = None
+    store: StretchStore | TileStore | None = TileStore(spark, tiles) if tiles else None
+    changes: Changes | None = None
+    due = F.coalesce(F.sum(F.when(F.col("active"), F.col("out_degree"))), F.lit(0)) if program.degrees else F.lit(0)
+    quiet = program.quiet and program.frontier and program.degrees and not (once or checkpoint or program.before_round or program.target)
+    if quiet:
+        active, to_send = state.agg(F.count_if("active"), due).first()
     for number in count(start) if max_rounds is None else range(start, max_rounds):
         began = time.time()
+        if quiet and max(active, to_send) <= narrow:
+            if changes is None:
+                parts = Stretches(graph.n, rows)
+                store = store or StretchStore(plain, parts, width)
+                changes = Changes(state, store, parts, width, number)
+            counted = changes.round(program, number, max(1, to_send // ROWS_A_TASK), COMBINE)
+            active, to_send, stretches = counted["active"], counted["messages"], None
+            if on_round:
+                on_round(number, changes.current())
+            out.rounds = number + 1
+            out.log.append((number, active, (time.time() - began) * 1000))
+            out.counts.append((number, counted["sent"], counted["written"], True))
+            if active == 0:
+                break
+            continue
+        if changes is not None:
+            state, changes = dealt(changes.current()), None
         step = program.before_round(number, state) if program.before_round else program
         senders = state.where("active") if step.frontier else state
         named = senders.select(*[F.col(c).alias(f"s_{c}") for c in senders.columns])
@@ -178,7 +215,7 @@ def _rounds(graph, program, max_rounds, on_round, checkpoint, split, vertices, h
             out.state, out.rounds, out.log = state, 1, [(number, None, (time.time() - began) * 1000)]
             return out
         seen = Observation(f"{program.name}-{number}")
-        watched = state.observe(seen, F.count_if("active").alias("active"), F.collect_set(F.when(F.col("active"), stretch)).alias("stretches"))
+        watched = state.observe(seen, F.count_if("active").alias("active"), F.collect_set(F.when(F.col("active"), stretch)).alias("stretches"), due.alias("due"))
         if checkpoint:
             keep_round(watched, checkpoint, program.name, number)
             state = dealt(resume(spark, checkpoint, program.name)[1])
@@ -187,13 +224,19 @@ def _rounds(graph, program, max_rounds, on_round, checkpoint, split, vertices, h
                 drop_round(spark, checkpoint, program.name, kept_rounds.pop(0))
         else:
             state = folder.checkpoint(watched)
-        active, stretches = seen.get["active"], list(seen.get["stretches"] or [])
+        if quiet:
+            out.counts.append((number, to_send, graph.n, False))
+        active, to_send, stretches = seen.get["active"], seen.get["due"], list(seen.get["stretches"] or [])
         if on_round:
             on_round(number, state)
         out.rounds = number + 1
         out.log.append((number, active, (time.time() - began) * 1000))
         if program.frontier and active == 0:
             break
+    if changes is not None:
+        state = changes.current()
+    if store is not None:
+        store.close()
     out.state = state
     if program.frontier:
         out.settled = active == 0 if active is not None else state.where("active").isEmpty()

@@ -154,7 +154,7 @@ def test_small_frontiers_read_few_edges(spark, monkeypatch):
     seen = []
     plain = superstep._among
     monkeypatch.setattr(superstep, "_among", lambda e, stretches, bits: seen.append(plain(e, stretches, bits) is e) or plain(e, stretches, bits))
-    done = programs.bfs(graph(spark, edges, n), 580)
+    done = programs.bfs(graph(spark, edges, n), 580, narrow=0)
     assert values(done) == [None] * 580 + list(range(20)) and seen[0] and not any(seen[1:-1])
 
 
