@@ -20,7 +20,7 @@ from graphloom.operators import analysis, components, frontiers, programs, tilin
 from graphloom.plans.delta import TileStore
 from graphloom.plans.storage import place
 from graphloom.plans.superstep import run
-from graphloom.sources import readers, rmat
+from graphloom.sources import edge_files, readers, rmat
 
 SIDE = 128  # of a grid cell, small enough for the small graphs to have many
 START = 100
@@ -194,6 +194,7 @@ def _pack_sql(most: int) -> str:
         SELECT tile_id, src, tgt, part * 4294967296 + max(number) - 1 AS pack FROM (SELECT e.*, r.number FROM e JOIN r ON r.part = e.part AND r.first <= e.k) GROUP BY tile_id, src, tgt, part, k"""
 
 
+_POWER = f"(SELECT CAST(2 ** ceil(log2(greatest(1, {_N}))) AS BIGINT))"
 _WRAP = "18446744073709551616::HUGEINT"  # 2**64
 
 
@@ -211,15 +212,39 @@ def _mixed_sql(rows: str, column: str, keep: str) -> str:
     return rows
 
 
-def _rmat_sql(n: int, m: int) -> str:
+def _through_files(spark: SparkSession, edges: DataFrame, **options) -> DataFrame:
+    """``edges`` written as binary files to the shared folder and read back."""
+    path = place(edge_files.register(spark), "edges")
+    edges.write.format("edge_files").options(path=path, **options).mode("append").save()
+    return spark.read.format("edge_files").options(path=path, split_bytes=1 << 16, **options).load()
+
+
+def _wide(g: Graph) -> DataFrame:
+    """Edges whose ends need more than 32 bits."""
+    return g.edges.select((F.col("src") + (1 << 33)).alias("src"), (F.col("tgt") * (1 << 20) + (1 << 40)).alias("tgt"), F.col("weight").cast("float").alias("weight"))
+
+
+def _side(spark: SparkSession, sf_dir: str) -> int:
+    """The power of two that holds all customers."""
+    return tiling.next_power_of_two(_table(spark, sf_dir, "customer").count())
+
+
+def _rmat(spark: SparkSession, sf_dir: str, in_area: bool = False) -> DataFrame:
+    """An edge for each order, its key the index, over as many vertices as customers; or those from the second quarter of ids to the third."""
+    n = _side(spark, sf_dir)
+    area = (n // 4, n // 2, n // 2, n // 2 + n // 4) if in_area else None
+    return rmat.rmat_of(_table(spark, sf_dir, "orders"), n, "o_orderkey", area=area)
+
+
+def _rmat_sql() -> str:
     a, b, c = (repr(float(x)) for x in np.cumsum(rmat.SHARES))
     key = int(hashing.mix64(np.array([rmat.SEED], np.uint64))[0])
     factor = lambda more: f"((2 * range + {more})::HUGEINT * {key}::HUGEINT) % {_WRAP}"
-    seeds = f"SELECT range AS i, {factor(0)} AS draw, {factor(1)} AS stride FROM range({m})"
+    seeds = f"SELECT range AS i, {factor(0)} AS draw, {factor(1)} AS stride FROM (SELECT o_orderkey AS range FROM orders)"
     seeds = _mixed_sql(_mixed_sql(seeds, "draw", "i, stride"), "stride", "i, draw")
     drawn = _mixed_sql("SELECT i, draw, stride, src, tgt, half, draw AS h FROM r WHERE half > 0", "h", "i, draw, stride, src, tgt, half")
     share = f"h::DOUBLE / {float(2**64 - 1)!r}"
-    return f"""WITH RECURSIVE r AS (SELECT i, draw, stride, 0::BIGINT AS src, 0::BIGINT AS tgt, {n // 2}::BIGINT AS half FROM ({seeds}) UNION ALL
+    return f"""WITH RECURSIVE r AS (SELECT i, draw, stride, 0::BIGINT AS src, 0::BIGINT AS tgt, {_POWER} // 2 AS half FROM ({seeds}) UNION ALL
         SELECT i, (draw + stride) % {_WRAP}, stride, src + CASE WHEN x >= {b} THEN half ELSE 0 END, tgt + CASE WHEN x >= {c} OR (x >= {a} AND x < {b}) THEN half ELSE 0 END, half // 2
         FROM (SELECT *, {share} AS x FROM ({drawn}))) SELECT src, tgt FROM r WHERE half = 0"""
 
@@ -239,8 +264,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "vertex_count": lambda s, d: analysis.distinct_vertices(cust(s, d).edges),
         "id_dictionary": lambda s, d: encode_ids(cust(s, d).edges),
         "id_decode": lambda s, d: decode_ids(encode_ids(cust(s, d).edges).select("id", (F.col("id") * 2).alias("value")), encode_ids(cust(s, d).edges)),
-        "bounds_check": lambda s, d: cust(s, d).checked().edges.agg(F.count("*").alias("edges")),
-        "symmetrize": lambda s, d: cust(s, d).symmetrized().edges.groupBy("src").agg(F.count("*").alias("edges")),
+        "bounds_check": lambda s, d: cust(s, d).checked().edges.select("src", "tgt", "pos"),
+        "symmetrize": lambda s, d: cust(s, d).symmetrized().edges.groupBy("src", "tgt").agg(F.count("*").alias("edges")),
         "pagerank_1": lambda s, d: _rounded(_values(programs.pagerank(cust(s, d), 1), "rank"), "rank"),
         "pagerank_5": lambda s, d: _rounded(_values(programs.pagerank(cust(s, d), 5), "rank"), "rank"),
         "pagerank_20": lambda s, d: _rounded(_values(programs.pagerank(cust(s, d), 20), "rank"), "rank"),
@@ -304,8 +329,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "grid_density": lambda s, d: _rounded(analysis.grid_density(cust(s, d).edges, cust(s, d).n, SIDE), "mean", "deviation"),
         "log_stats": lambda s, d: _rounded(analysis.log_stats(_log_lines(s, d)), "median", "mean", "deviation", "total", digits=4),
         "disk_throughput": lambda s, d: analysis.disk_throughput(_samples(s, d)),
-        "rmat_edges": lambda s, d: rmat.rmat_edges(s, 1024, 20000),
-        "rmat_degrees": lambda s, d: Graph(rmat.rmat_edges(s, 1024, 20000), 1024).degrees(),
+        "binary_edges": lambda s, d: _through_files(s, cust(s, d).edges.select("src", "tgt")),
+        "binary_edges_wide": lambda s, d: _rounded(_through_files(s, _wide(cust(s, d)), bits=64, weighted=True), "weight", digits=2),
+        "rmat_edges": _rmat,
+        "rmat_degrees": lambda s, d: Graph(_rmat(s, d), _side(s, d)).degrees(),
+        "rmat_area": lambda s, d: _rmat(s, d, True),
     }
 
 
@@ -320,7 +348,7 @@ def oracle_sql() -> dict[str, str]:
     tri = f", p AS MATERIALIZED ({_PAIRS}), t AS MATERIALIZED (SELECT x.a AS a, x.b AS b, y.b AS c FROM p x JOIN p y ON y.a = x.b JOIN p z ON z.a = x.a AND z.b = y.b)"
     spmv = "SELECT id, coalesce(y, 0)::DOUBLE AS y FROM v LEFT JOIN (SELECT tgt, sum({x}) AS y FROM e GROUP BY tgt) m ON m.tgt = id"
     both = "a AS (SELECT id, coalesce(y, 0)::DOUBLE AS y FROM v LEFT JOIN (SELECT tgt, sum(tgt) AS y FROM e GROUP BY tgt) m ON m.tgt = id), b AS (SELECT id, coalesce(y, 0)::DOUBLE AS y FROM v LEFT JOIN (SELECT tgt, sum(src) AS y FROM e GROUP BY tgt) m ON m.tgt = id)"
-    rmat_edges = _rmat_sql(1024, 20000)
+    rmat_edges = _rmat_sql()
     bfs_deep = _least_sql(_JUMP, bfs_first, "r.x + 1", bfs_value, _JUMP_IDS)
     bfs_sparse = _least_sql(_JUMP, f"SELECT {_ORDERS} - {_ORDERS} // 20 - 1, 0::BIGINT", "r.x + 1", bfs_value, _JUMP_IDS)
     bfs = _least_sql(_EDGES, bfs_first, "r.x + 1", bfs_value)
@@ -332,17 +360,20 @@ def oracle_sql() -> dict[str, str]:
         "bfs_bitmaps_deep": bfs_deep,
         "sssp_buckets": sssp,
         **{f"components_{k}": text for k, text in weak.items()},
+        "binary_edges": f"SELECT src, tgt FROM ({_EDGES})",
+        "binary_edges_wide": f"SELECT src + 8589934592 AS src, tgt * 1048576 + 1099511627776 AS tgt, round(weight::FLOAT::DOUBLE, 2) AS weight FROM ({_EDGES})",
         "pack_tiles": _pack_sql(256),
         "rmat_edges": rmat_edges,
-        "rmat_degrees": f"WITH e AS MATERIALIZED ({rmat_edges}), v AS (SELECT range AS id FROM range(1024)) " + degrees,
+        "rmat_degrees": f"WITH e AS MATERIALIZED ({rmat_edges}), v AS (SELECT range AS id FROM range({_POWER})) " + degrees,
+        "rmat_area": f"SELECT src, tgt FROM ({rmat_edges}), (SELECT {_POWER} AS n) WHERE src >= n // 4 AND src < n // 2 AND tgt >= n // 2 AND tgt < n // 2 + n // 4",
         "graph_edges": f"SELECT src, tgt FROM ({_EDGES})",
         "degrees": e + degrees,
         "degrees_multigraph": f"WITH e AS ({_SP}), v AS (SELECT range AS id FROM range({sp_n})) " + degrees,
         "vertex_count": e + "SELECT count(DISTINCT x) AS vertices FROM (SELECT src AS x FROM e UNION ALL SELECT tgt FROM e)",
         "id_dictionary": _with(more=f", {first}") + "SELECT id, orig_id FROM d",
         "id_decode": _with(more=f", {first}") + "SELECT orig_id, id * 2 AS value FROM d",
-        "bounds_check": e + "SELECT count(*) AS edges FROM e",
-        "symmetrize": e + "SELECT src, count(*) AS edges FROM (SELECT src FROM e UNION ALL SELECT tgt FROM e) GROUP BY src",
+        "bounds_check": e + "SELECT src, tgt, pos FROM e",
+        "symmetrize": e + "SELECT src, tgt, count(*) AS edges FROM (SELECT src, tgt FROM e UNION ALL SELECT tgt, src FROM e) GROUP BY src, tgt",
         "pagerank_1": _pagerank_sql(1),
         "pagerank_5": _pagerank_sql(5),
         "pagerank_20": _pagerank_sql(20),

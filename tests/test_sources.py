@@ -1,11 +1,12 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions.arith import is_close, nearly_equal, split_paths
 from graphloom.operators import analysis
-from graphloom.sources import readers
+from graphloom.sources import edge_files, readers
 
 
 def pairs(df):
@@ -77,3 +78,32 @@ def test_density_counts_empty_cells(spark):
     edges = spark.createDataFrame([(0, 0), (0, 1), (3, 3)], "src long, tgt long")
     r = analysis.grid_density(edges, 4, 2).first()
     assert (r.least, r.greatest, r["mean"], r.median) == (0, 2, 0.75, 0.5) and math.isclose(r.deviation, math.sqrt((4 + 1) / 4 - 0.75**2))
+
+
+def test_edge_files(spark, tmp_path):
+    """Round trips over several files and ranges, with wide ids and weights; a job that fails leaves nothing."""
+    edge_files.register(spark)
+    edges = [(k, k * 3 % 7) for k in range(100)]
+    df, path = spark.createDataFrame(edges, "src long, tgt long"), f"file://{tmp_path}/plain"
+    df.repartition(3).write.format("edge_files").mode("append").save(path)
+    read = lambda **more: spark.read.format("edge_files").options(**more).load(path)
+    assert pairs(read()) == pairs(read(split_bytes=50)) == sorted(edges) and read(split_bytes=50).rdd.getNumPartitions() > 10
+    data = np.concatenate([np.fromfile(f, "<i4") for f in (tmp_path / "plain").glob("part-*")]).reshape(-1, 2)
+    assert sorted(map(tuple, data.tolist())) == sorted(edges) and sorted(map(tuple, pairs(readers.read_binary(spark, path)))) == sorted(edges)
+    df.limit(1).write.format("edge_files").mode("append").save(path)
+    assert read().count() == 101
+    bad = spark.createDataFrame([(1, 2), (1 << 33, 3)], "src long, tgt long").repartition(2)
+    for rows in (bad, spark.createDataFrame([(None, 3)], "src long, tgt long")):
+        with pytest.raises(Exception, match="beyond 32 bits|without src"):
+            rows.write.format("edge_files").mode("append").save(path)
+    assert read().count() == 101
+    df.limit(2).write.format("edge_files").mode("overwrite").save(path)
+    assert read().count() == 2
+    wide = spark.createDataFrame([(1 << 33, (1 << 62) + 1, 0.5)], "src long, tgt long, weight double")
+    wide.write.format("edge_files").options(bits=64, weighted=True).mode("append").save(f"file://{tmp_path}/wide")
+    assert [tuple(r) for r in spark.read.format("edge_files").options(bits=64, weighted=True).load(f"file://{tmp_path}/wide").collect()] == [(1 << 33, (1 << 62) + 1, 0.5)]
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("edge_files").load(f"file://{tmp_path}/none").count() == 0
+    (tmp_path / "odd.bin").write_bytes(b"12345")
+    with pytest.raises(Exception, match="within a record"):
+        spark.read.format("edge_files").load(f"file://{tmp_path}/odd.bin").count()

@@ -93,3 +93,15 @@ def test_rmat(spark):
     assert [round(shares[k], 3) for k in ((False, False), (False, True), (True, False), (True, True))] == [0.571, 0.190, 0.190, 0.049]
     with pytest.raises(ValueError):
         rmat.rmat_ends(np.arange(3), 12)
+
+
+def test_rmat_by_area(spark):
+    area, drawn = (100, 300, 512, 700), []
+    src, tgt = rmat.rmat_ends(np.arange(20000), 1024)
+    inside = (src >= 100) & (src < 300) & (tgt >= 512) & (tgt < 700)
+    own = rmat.rmat_ends(np.arange(20000), 1024, area=area, drawn=drawn)
+    assert own[0].tolist() == src[inside].tolist() and own[1].tolist() == tgt[inside].tolist()
+    assert len(drawn) == 10 and sum(drawn) < 0.3 * 10 * 20000 and drawn[-1] < 2 * inside.sum() + 50
+    rows = spark.createDataFrame([(5,), (None,), (7,), (7,)], "k int")
+    assert sorted(map(tuple, rmat.rmat_of(rows, 1024, "k").collect())) == sorted(zip(*(x[[5, 7, 7]].tolist() for x in (src, tgt))))
+    assert rmat.rmat_edges(spark, 1024, 300, area=(0, 0, 0, 0)).count() == 0
