@@ -1,16 +1,24 @@
 """Personal data by weak supervision, in DataFrame operations only.
 
 Strict patterns (with checks such as Luhn's) give the base spans. What the strict
-patterns match and the checks drop, and what looser patterns find (spelled-out
-addresses, addresses without a domain, telephone numbers without a plus, long
-network addresses, names), are further candidates. Regex, gazetteer and context
-labelers each vote yes (1), no (-1) or nothing (0) on every candidate, base spans
-included. Only how often each combination of votes and surroundings occurs goes
-to the driver: at most 3**8 votes by a few dozen classes a kind, whatever the
-input. There, for each kind by itself, expectation-maximisation (Dawid-Skene)
-estimates how reliable each labeler is, and a logistic classifier is trained on
-the resulting soft labels. It becomes an SQL expression that decides which
-candidates are spans. Base spans stay whatever it says.
+patterns match and the checks drop, and what looser patterns find (card numbers
+that stand beside other digits, spelled-out addresses, addresses without a domain,
+telephone numbers without a plus, long network addresses, names), are further
+candidates. Regex, gazetteer and context labelers each vote yes (1), no (-1) or
+nothing (0) on every candidate, base spans included. Only how often each
+combination of votes and surroundings occurs goes to the driver: at most 3**6
+votes by some hundred classes a kind, whatever the input. There, for each kind by
+itself, expectation-maximisation (Dawid-Skene) estimates how reliable each
+labeler is, and a logistic classifier is trained on the resulting soft labels. It
+becomes an SQL expression that decides which candidates are spans. Base spans
+stay whatever it says.
+
+That a candidate passed the strict test is no labeler's vote: it only raises the
+odds from which its estimate begins, so how reliable base spans are is an estimate
+too. The two classes are even beforehand, and each counts for half in training,
+however many candidates of either a table has; what a labeler is thought to do
+before any votes are counted weighs in as well (``_prior``). So a candidate does
+not change sides because a table is larger.
 
 Candidates are found once: the table of them is written, learned from and read
 again for the decisions.
@@ -32,8 +40,8 @@ from graphloom.llm.frames import tables, written
 
 KINDS = ("email", "ip", "card", "phone", "name")
 BASE_KINDS = KINDS[:4]
-LABELERS = ("strict", "shape", "gazetteer", "cue_before", "cue_after", "cue_against", "boundary", "variety")
-SIZES, EDGES = 4, 5
+LABELERS = ("shape", "gazetteer", "context", "boundary", "variety", "company")
+SIZES, EDGES, CUES = 4, 5, 5
 
 # The base patterns. A match starts where a run of its first class starts, or where the match before
 # ended; that is where the plain pattern's leftmost match starts, without trying every place within a run.
@@ -44,6 +52,9 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IP_PARTS = rf"^{_PART}(?:\.{_PART}){{3}}$"
 # The looser patterns.
+_CARD_RUN = r"(?<![0-9])[0-9]{12,19}(?![0-9])"
+_CARD_GROUPS = r"(?<![0-9])[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"
+_PLUS = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{2,4}[ .-][0-9]{3,4}(?![0-9-])"
 _SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[(\[{] ?(?:at|AT) ?[)\]}] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[(\[{] ?(?:dot|DOT) ?[)\]}]) ?[A-Za-z0-9-]{2,63}){1,4}"
 _SPACED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ @ [A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{2,63}){0,4}"
 _HOSTED = r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?![A-Za-z0-9@]|\.[A-Za-z0-9-])"
@@ -67,12 +78,23 @@ _FOLLOWING = {
     "name": r"^[ ,]{1,2}(?:said|wrote|is|was|born|ph)\b",
 }
 _AGAINST = r"(?:isbn|issn|order|version|release|\bver|\bv|page|pp|invoice|serial|section|chapter|model|part|item|total|score|no\.|nr\.?|#|[$€£])[ .:#]*$"
+_COMPANY = r"@[a-z0-9-]+\.|\+[0-9]|[0-9]{3}[ .-][0-9]{3}"  # other personal data beside it
 _KNOWN = {
     "email": r"(?i)[. )\]}](?:com|org|net|edu|gov|io|info|biz|de|fr|es|it|uk|us|eu|nl|ch|at|ca|au|jp|in|br|ru|pl|se|no|dk)$",
     "ip": r"^(?:[1-9]|[1-9][0-9]|1[0-9][0-9]|2[01][0-9]|22[0-3])\.|:",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[0-9]|6)",
     "phone": r"^(?:\+[1-9]|00[1-9]|\(?0[1-9]|\(?[2-9][0-9]{2}\)?[ .-][2-9])",
-    "name": r"(?:John|James|Mary|Anna|Peter|Paul|Maria|Thomas|Michael|David|Sarah|Laura|Smith|Jones|Brown|Miller|Davis|Garcia|Martin|Bernard|Müller|Schmidt|Weber|Lopez|Wilson|Taylor|Fischer|Dubois|Moreau|Fernández|Sánchez)",
+    "name": r"(?:^|[ .-])(?:"
+    + "|".join(
+        "John James Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Paul Steven Andrew Kevin Brian George Edward Peter Henry Jack Simon Oliver Harry "
+        "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Emily Emma Laura Anna Julia Alice Helen Grace Olivia Sophie Claire Rachel "
+        "Hans Karl Klaus Jürgen Wolfgang Stefan Andreas Markus Sabine Monika Ursula Petra Heike Jean Pierre Michel Philippe Jacques Luc Marie Isabelle Nathalie Camille Chloé "
+        "José Antonio Manuel Francisco Juan Carlos Luis Miguel Javier Pedro María Carmen Ana Isabel Lucía Elena Maria Sofia Marco Giovanni Luca Giulia "
+        "Smith Jones Brown Johnson Miller Davis Wilson Taylor Moore Anderson Jackson White Harris Martin Thompson Garcia Clark Lewis Walker Hall Young King Wright Green Baker "
+        "Müller Schmidt Schneider Fischer Weber Meyer Wagner Becker Schulz Hoffmann Koch Bauer Richter Klein Wolf Bernard Dubois Durand Moreau Laurent Lefebvre Michel Roux Fournier "
+        "García Fernández González Rodríguez López Lopez Martínez Sánchez Pérez Gómez Ruiz Díaz Torres Rossi Russo Ferrari Bianchi Romano".split()
+    )
+    + r")(?:$|[ .-])",
 }
 _DIGITS = "[^0-9]"
 
@@ -106,11 +128,15 @@ def _loose(text: Column) -> Column:
         return reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in words])
 
     at = any_of("(at", "[at", "{at", "(AT", "[AT", "{AT", "( at", "[ at", "{ at")
+    luhn = lambda m: F.call_function("luhn_check", _digits(m))
     found = F.concat(
+        S.find(text, _CARD_RUN, "card", 2, keep=luhn, context=True),
+        S.find(text, _CARD_GROUPS, "card", 2, keep=luhn, context=True),
         S.find(text, _SPELLED, "email", 0, at, context=True),
         S.find(text, _SPACED, "email", 0, any_of(" @ "), context=True),
         S.find(text, _HOSTED, "email", 0, any_of("@"), context=True),
         S.find(text, _LONG_IP, "ip", 1, any_of(":"), context=True),
+        S.find(text, _PLUS, "phone", 3, any_of("+"), keep=lambda m: F.length(_digits(m)).between(9, 15), context=True),
         S.find(text, _LOCAL, "phone", 3, keep=lambda m: F.length(_digits(m)).between(7, 15), context=True),
         S.find(text, _TITLED, "name", 4, any_of("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Sr"), context=True),
         S.find(text, _NAMED, "name", 4, any_of(" name is ", "ame: ", "amed "), context=True),
@@ -153,27 +179,35 @@ def _votes(s: Column) -> Column:
     n = F.length(digits)
     yes, no, none = F.lit(1), F.lit(-1), F.lit(0)
     shape = (
-        F.when(kind == "phone", F.when(n.between(9, 15), yes).when(n < 7, no).otherwise(none))
-        .when(kind == "card", F.when(~F.call_function("luhn_check", digits), no).when(n.isin(13, 15, 16, 19), yes).otherwise(none))
+        F.when(kind == "phone", F.when(n.between(9, 15), yes).when((n < 7) | (n > 15), no).otherwise(none))
+        .when(kind == "card", F.when((n > 19) | ~F.call_function("luhn_check", digits), no).when(n.isin(13, 15, 16, 19), yes).otherwise(none))
         .when(kind == "ip", F.when(F.contains(match, F.lit(":")), yes).when(match.rlike(_IP_PARTS), F.when(match.rlike(r"(?:^|\.)0[0-9]"), none).otherwise(yes)).otherwise(no))
         .when(kind == "email", F.when(match.rlike(r"[. )\]}][A-Za-z]{2,12}$"), yes).when(match.rlike(r"[.) ][A-Za-z0-9-]*$"), none).otherwise(no))
         .otherwise(F.when(match.rlike(r"\p{L} \p{Lu}\p{L}+ \p{Lu}|^\p{Lu}\p{L}+ \p{Lu}"), yes).otherwise(none))
     )
-    glued = F.substring(before, -1, 1).rlike(r"[\p{L}0-9_]") | after.rlike(r"^(?:[\p{L}0-9_]|[ .,/-][0-9])")
+    glued = F.substring(before, -1, 1).rlike(r"[\p{L}0-9_]") | after.rlike(r"^(?:[\p{L}0-9_]|[.,/-][0-9])") | (after.rlike(r"^ [0-9]") & ~((kind == "card") | F.startswith(match, F.lit("+"))))
     against = before.rlike(_AGAINST) | (kind.isin("phone", "card") & after.rlike(r"^ ?(?:€|\$|£|%|km|kg|pages|copies)"))
-    numeric = kind.isin("phone", "card")
+    cue = (_by_kind(kind, _CUES, before) == 1) | (_by_kind(kind, _FOLLOWING, after) == 1)
+    distinct = F.size(F.array_distinct(F.split(F.when(kind.isin("phone", "card", "ip"), digits).otherwise(F.lower(match)), "")))
+    few = F.when(kind.isin("phone", "card"), distinct <= 3).when(kind == "ip", distinct <= 1).otherwise(distinct <= 4)
+    around = F.concat(before, F.lit("\n"), after)
     return F.array(
-        F.when(s["base"], yes).otherwise(none),
         shape,
         _by_kind(kind, _KNOWN, match),
-        _by_kind(kind, _CUES, before),
-        _by_kind(kind, _FOLLOWING, after),
-        F.when(against, no).otherwise(none),
+        F.when(against, no).when(cue, yes).otherwise(none),
         F.when(glued, no).otherwise(yes),
-        F.when(numeric & (F.size(F.array_distinct(F.split(digits, ""))) <= 3), no).otherwise(none),
+        F.when(few, no).when(distinct >= 5, yes).otherwise(none),
+        F.when(around.rlike(_COMPANY), yes).otherwise(none),
     )
 
 
+def _cue(s: Column) -> Column:
+    """Where cue words stand: nowhere, before, behind, on both sides, or such as speak against it."""
+    kind, before, after = s["kind"], F.lower(s["before"]), F.lower(s["after"])
+    places = _by_kind(kind, _CUES, before) + 2 * _by_kind(kind, _FOLLOWING, after)
+    return F.when(before.rlike(_AGAINST), F.lit(4)).otherwise(places)
+
+
 def _edge(c: Column) -> Column:
     """What stands beside a candidate: nothing, white space, a letter or digit, an opening or closing mark, other."""
     return F.when(c == "", F.lit(0)).when(c.rlike(r"\s"), F.lit(1)).when(c.rlike(r"[\p{L}0-9]"), F.lit(2)).when(c.rlike(r"[.,;:!?)\]}>]"), F.lit(3)).otherwise(F.lit(4))
@@ -186,21 +220,23 @@ def _size_class(match: Column) -> Column:
 
 @dataclass(frozen=True)
 class KindModel:
-    """``reliability[labeler]``: P(vote is right | it votes); the classifier's weights of votes, length classes and the two edges."""
+    """``reliability[labeler]``: P(vote is right | it votes), and of "base", P(base span is a span); the classifier's weights of votes for and against, length classes, the two edges and cue words."""
 
     reliability: dict[str, float]
     bias: float
-    votes: tuple[float, ...]
+    yes: tuple[float, ...]
+    no: tuple[float, ...]
     sizes: tuple[float, ...]
     left: tuple[float, ...]
     right: tuple[float, ...]
+    cues: tuple[float, ...]
 
-    def score(self, votes, size: int, left: int, right: int) -> float:
-        return self.bias + sum(w * v for w, v in zip(self.votes, votes)) + self.sizes[size] + self.left[left] + self.right[right]
+    def score(self, votes, size: int, left: int, right: int, cue: int) -> float:
+        return self.bias + sum(y if v > 0 else n if v < 0 else 0.0 for y, n, v in zip(self.yes, self.no, votes)) + self.sizes[size] + self.left[left] + self.right[right] + self.cues[cue]
 
     def column(self, s: Column) -> Column:
-        weighed = [F.lit(w) * F.get(s["votes"], F.lit(j)) for j, w in enumerate(self.votes)]
-        classes = [F.get(F.array(*map(F.lit, weights)), s[c]) for weights, c in ((self.sizes, "size"), (self.left, "left"), (self.right, "right"))]
+        weighed = [F.get(F.array(F.lit(n), F.lit(0.0), F.lit(y)), F.get(s["votes"], F.lit(j)) + 1) for j, (y, n) in enumerate(zip(self.yes, self.no))]
+        classes = [F.get(F.array(*map(F.lit, weights)), s[c]) for weights, c in ((self.sizes, "size"), (self.left, "left"), (self.right, "right"), (self.cues, "cue"))]
         return reduce(Column.__add__, weighed + classes, F.lit(self.bias))
 
 
@@ -217,70 +253,87 @@ class SpanModel:
         return out
 
 
-#: (votes, length class, left edge, right edge, how often)
-Cell = tuple[tuple[int, ...], int, int, int, int]
+#: (votes, length class, left edge, right edge, cue words, whether base spans, how often)
+Cell = tuple[tuple[int, ...], int, int, int, int, bool, int]
+SEED_ODDS = 2.0  # of a base span beforehand, as a logarithm
 #: How labelers are thought to vote before any are counted: P(-1, 0, 1) for spans and for others.
-_PRIOR = {1: (0.1, 0.3, 0.6), 0: (0.6, 0.3, 0.1)}
+_USUAL = {1: (0.1, 0.3, 0.6), 0: (0.6, 0.3, 0.1)}
+_CHECKSUM = {1: (0.0005, 0.2995, 0.7), 0: (0.85, 0.1, 0.05)}  # what fails Luhn's test or has a part over 255 is nearly never one
+_WEAK = {1: (0.1, 0.55, 0.35), 0: (0.15, 0.65, 0.2)}
+
 
+def _prior(kind: str, labeler: str) -> dict[int, tuple[float, ...]]:
+    if labeler == "shape" and kind in ("card", "ip"):
+        return _CHECKSUM
+    return _WEAK if labeler in ("variety", "company") else _USUAL
 
-def _estimate(cells: list[Cell], rounds: int) -> tuple[np.ndarray, dict[str, float]]:
+
+def _estimate(kind: str, cells: list[Cell], rounds: int) -> tuple[np.ndarray, dict[str, float]]:
     """Dawid-Skene over one kind: (belief that each cell's candidates are spans, reliability of each labeler).
 
-    The prior counts for 4 candidates and a twentieth of all, so that the two classes cannot change places.
+    The prior counts for 20 candidates of each class and a quarter of them, so that the classes cannot change places.
     """
-    votes, count = np.array([c[0] for c in cells]) + 1, np.array([c[4] for c in cells], float)
-    total = count.sum()
-    belief = 1 / (1 + np.exp(-(votes - 1).sum(axis=1).astype(float)))
+    votes, count = np.array([c[0] for c in cells]) + 1, np.array([c[6] for c in cells], float)
+    seed = np.where([c[5] for c in cells], SEED_ODDS, 0.0)
+    priors = [_prior(kind, name) for name in LABELERS]
+    tables = [{y: np.array(p[y]) for y in (1, 0)} for p in priors]
+    belief = np.zeros(len(cells))
     for _ in range(rounds):
-        share = (belief @ count + 2) / (total + 4)
-        odds = np.full(len(cells), math.log(share / (1 - share)))
-        for j in range(len(LABELERS)):
-            chance = []
-            for y, mass in ((1, belief * count), (0, (1 - belief) * count)):
-                table = np.bincount(votes[:, j], weights=mass, minlength=3) + (4 + 0.05 * total) * np.array(_PRIOR[y])
-                chance.append(table / table.sum())
-            odds += np.log(chance[0][votes[:, j]] / chance[1][votes[:, j]])
+        odds = seed.copy()
+        for j, table in enumerate(tables):
+            odds += np.log(table[1][votes[:, j]] / table[0][votes[:, j]])
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         moved = np.abs(new - belief).max()
         belief = new
         if moved < 1e-6:
             break
+        for j, prior in enumerate(priors):
+            for y, mass in ((1, belief * count), (0, (1 - belief) * count)):
+                found = np.bincount(votes[:, j], weights=mass, minlength=3) + (20 + mass.sum() / 4) * np.array(prior[y])
+                tables[j][y] = found / found.sum()
     reliability = {}
     for j, name in enumerate(LABELERS):
         cast = votes[:, j] != 1
         right = np.where(votes[:, j] > 1, belief, 1 - belief)
         reliability[name] = float((right * count)[cast].sum() / count[cast].sum()) if cast.any() else 0.5
+    own = seed > 0
+    reliability["base"] = float((belief * count)[own].sum() / count[own].sum()) if own.any() else 0.5
     return belief, reliability
 
 
-def _classifier(cells: list[Cell], belief: np.ndarray, reliability: dict[str, float], steps: int) -> KindModel:
-    """Logistic regression on the cells by Newton's steps with a small penalty."""
-    hot = lambda k, n: np.eye(n)[k]
-    x = np.concatenate([np.ones((len(cells), 1)), np.array([c[0] for c in cells], float), *[hot([c[k] for c in cells], n) for k, n in ((1, SIZES), (2, EDGES), (3, EDGES))]], axis=1)
-    share = np.array([c[4] for c in cells], float)
-    share /= share.sum()
-    w = np.zeros(x.shape[1])
+def _classifier(kind: str, cells: list[Cell], belief: np.ndarray, reliability: dict[str, float], steps: int) -> KindModel:
+    """Logistic regression by steps on a bound of its curvature, which cannot overshoot; in it spans and others weigh the same; weights are drawn to the labelers' priors."""
+    n, widths = len(LABELERS), (SIZES, EDGES, EDGES, CUES)
+    votes = np.array([c[0] for c in cells])
+    hot = np.concatenate([np.eye(w)[[c[k] for c in cells]] for k, w in enumerate(widths, 1)], axis=1)
+    x = np.concatenate([np.ones((len(cells), 1)), votes > 0, votes < 0, hot], axis=1)
+    priors = [_prior(kind, name) for name in LABELERS]
+    start = np.zeros(x.shape[1])
+    start[1 : 2 * n + 1] = [math.log(p[1][k] / p[0][k]) for k in (2, 0) for p in priors]
+    penalty = np.array([1.0] + [0.05] * (2 * n) + [0.2] * hot.shape[1])
+    count = np.array([c[6] for c in cells], float)
+    yes, no = (part / max(part.sum(), 1.0) for part in (count * belief, count * (1 - belief)))
+    w = start.copy()
+    curve = (x * ((yes + no) / 4)[:, None]).T @ x + np.diag(penalty)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (share * (p - belief)) + 0.001 * w
-        curve = (x * (share * p * (1 - p))[:, None]).T @ x + 0.001 * np.eye(len(w))
-        step = np.linalg.solve(curve, gradient)
+        step = np.linalg.solve(curve, x.T @ (no * p - yes * (1 - p)) + penalty * (w - start))
         w -= step
         if np.abs(step).max() < 1e-9:
             break
     w = [round(float(v), 6) for v in w]
-    cuts = np.cumsum([1, len(LABELERS), SIZES, EDGES, EDGES])
+    cuts = np.cumsum([1, n, n, *widths])
     return KindModel(reliability, w[0], *[tuple(w[a:b]) for a, b in zip(cuts, cuts[1:])])
 
 
-def fit(cells: dict[str, list[Cell]], rounds: int = 100, steps: int = 60) -> SpanModel:
+def fit(cells: dict[str, list[Cell]], rounds: int = 100, steps: int = 500) -> SpanModel:
     """One model for each kind with cells. The order of cells does not matter."""
     kinds = {}
     for kind, own in sorted(cells.items()):
-        own = sorted(c for c in own if c[4])
+        own = sorted(c for c in own if c[6])
         if own:
-            belief, reliability = _estimate(own, rounds)
-            kinds[kind] = _classifier(own, belief, reliability, steps)
+            belief, reliability = _estimate(kind, own, rounds)
+            kinds[kind] = _classifier(kind, own, belief, reliability, steps)
     return SpanModel(kinds)
 
 
@@ -296,7 +349,7 @@ def with_candidates(documents: DataFrame, text: str = "text", keep: list[str] |
     others = F.when((F.size("_loose") == 0) & (F.size("_strict") == F.size("_passed")), F.col("_loose")).otherwise(_clear(F.concat(failed, F.col("_loose")), F.col("_passed")))
     voted = F.transform(
         F.concat("_passed", others),
-        lambda s: F.struct(*[s[c].alias(c) for c in (*SPAN_FIELDS, "base")], _votes(s).alias("votes"), _size_class(s["match"]).alias("size"), _edge(F.substring(s["before"], -1, 1)).alias("left"), _edge(F.substring(s["after"], 1, 1)).alias("right")),
+        lambda s: F.struct(*[s[c].alias(c) for c in (*SPAN_FIELDS, "base")], _votes(s).alias("votes"), _size_class(s["match"]).alias("size"), _edge(F.substring(s["before"], -1, 1)).alias("left"), _edge(F.substring(s["after"], 1, 1)).alias("right"), _cue(s).alias("cue")),
     )
     return rows.select("_row", F.transform("_passed", lambda s: F.struct(*[s[c].alias(c) for c in SPAN_FIELDS])).alias("_base"), voted.alias("_cands"))
 
@@ -305,8 +358,8 @@ def learn(candidates: DataFrame) -> SpanModel:
     """Fit on every candidate of ``with_candidates``; only counts of combinations are collected."""
     cands = candidates.where(F.size("_cands") > 0).select(F.explode("_cands").alias("s"))
     cells: dict[str, list[Cell]] = defaultdict(list)
-    for r in cands.groupBy("s.kind", "s.votes", "s.size", "s.left", "s.right").count().collect():
-        cells[r["kind"]].append((tuple(r["votes"]), r["size"], r["left"], r["right"], r["count"]))
+    for r in cands.groupBy("s.kind", "s.votes", "s.size", "s.left", "s.right", "s.cue", "s.base").count().collect():
+        cells[r["kind"]].append((tuple(r["votes"]), r["size"], r["left"], r["right"], r["cue"], r["base"], r["count"]))
     return fit(cells)
 
 

@@ -289,7 +289,7 @@ def test_added_personal_data(spark):
     # the same decisions by hand from the weights
     for r in cands.select(F.explode("_cands").alias("s")).withColumn("ok", model.accepts(F.col("s"))).collect():
         s = r.s
-        assert r.ok == (model.kinds[s.kind].score(s.votes, s.size, s.left, s["right"]) > 0)
+        assert r.ok == (model.kinds[s.kind].score(s.votes, s.size, s.left, s["right"], s.cue) > 0)
 
 
 def test_candidates_beside_base_spans(spark):
@@ -303,13 +303,61 @@ def test_candidates_beside_base_spans(spark):
         assert not any(a < d and c < b for a, b in others for c, d in base)
 
 
+#: Planted without a look at the module's cue words: sentences that hold personal data, and such that hold what only looks like it.
+UNSEEN = (
+    ["if in doubt ring {} at noon", "reachable under {} all week", "we left it with {} yesterday", "{} is what the note said", "the form gave {} instead", "both sides wrote {} down", "ask for {}", "see also {} below"],
+    ["+1 (415) 555-2671 4539578763621486", "4539578763621486 6011000990139424", "4539 5787 6362 1486 77", "2001:db8:0:1:1:1:1:1", "jane.roe (at) inbox.net", "rick [at] home [dot] org", "nora @ firm.com", "Dr. Helen Clark", "Mr Paul Walker", "020 7946 0018", "(415) 555-2671"],
+    ["lot {} arrived", "the {} series sold well", "{} units in stock", "row {} of the sheet", "catalog {} is out"],
+    ["4539578763621487", "1111 2222 3333 4445", "999.12.1.4", "1.2.3.456", "11-11-111", "00 00 000", "a@3", "7 @ 8"],
+)
+
+
+def test_unseen_personal_data(spark):
+    """Precision and recall of added spans, by the characters that they cover."""
+    good, found, bad, fakes = UNSEEN
+    rows, right, wrong = [], set(), set()
+    for frames, values, out in ((good, found, right), (bad, fakes, wrong)):
+        for k, frame in enumerate(frames):
+            for v in values:
+                text = f"Note {k}: " + frame.format(v)
+                out.add((len(rows), text.index(v), text.index(v) + len(v)))
+                rows.append((len(rows), text, "en", "a"))
+    rows += [(len(rows) + k, ["dial +1 (555) 123-4567 now", "use 4111 1111 1111 1111", "bob@x.org wrote", "192.0.2.17 was up"][k % 4], "en", "a") for k in range(80)]
+    got = pii.find_personal_data(documents(spark, rows)).collect()
+    added = {(r.doc_id, s.start, s.end) for r in got for s in r.spans if s not in r.base_spans}
+    covers = lambda x, y: x[0] == y[0] and x[1] < y[2] and y[1] < x[2]
+    base = {(r.doc_id, s.start, s.end) for r in got for s in r.base_spans}
+    hit = sum(any(covers(x, y) for y in added | base) for x in right)
+    true = sum(any(covers(x, y) for y in right) for x in added)
+    assert hit >= 0.9 * len(right) and true >= 0.9 * len(added) and len(added) >= 60
+
+
+def test_decisions_do_not_depend_on_the_amount():
+    """One combination of votes is decided alike beside few and beside very many candidates of either class."""
+    good, fails, plain = (1, 1, 0, 1, 1, 0), (-1, 1, 0, 1, 1, 0), (0, 0, 0, 1, 0, 0)
+    decided = set()
+    for spans, others in ((1, 1), (20, 3), (3, 20), (100_000, 0), (100_000, 10), (10, 100_000), (0, 1), (0, 100_000)):
+        cells = [(good, 1, 1, 1, 0, True, spans), (fails, 1, 1, 1, 0, False, others), (good, 1, 2, 1, 0, False, 1), (plain, 2, 1, 1, 0, False, 1)]
+        model = pii.fit({"card": cells}).kinds["card"]
+        decided.add((model.score(good, 1, 1, 1, 0) > 0, model.score(fails, 1, 1, 1, 0) > 0))
+    assert decided == {(True, False)}
+
+
+def test_every_labeler_votes(spark):
+    rows, _, _ = planted_rows()
+    votes = pii.with_candidates(documents(spark, rows)).select(F.explode("_cands").alias("s"))
+    shares = votes.select(*[F.avg((F.get("s.votes", F.lit(j)) != 0).cast("int")).alias(n) for j, n in enumerate(pii.LABELERS)]).first()
+    assert all(shares[n] > 0 for n in pii.LABELERS if n != "company")
+
+
 def test_reliabilities():
-    """Two classes of telephone numbers that most labelers tell apart; cue_after votes at random."""
-    good, bad = (0, 1, 1, 1, 1, 0, 1, 0), (0, -1, 0, 0, 1, -1, -1, -1)
-    cells = [(good, 1, 1, 1, 60), ((0, 1, 1, 0, 0, 0, 1, 0), 1, 1, 3, 30), (bad, 1, 1, 1, 40), ((0, -1, 0, 0, 1, 0, -1, 0), 2, 1, 1, 9)]
+    """Two classes of telephone numbers that most labelers tell apart; context votes at random."""
+    good, bad = (1, 1, 1, 1, 1, 0), (-1, -1, 1, -1, -1, 0)
+    cells = [(good, 1, 1, 1, 0, True, 60), ((1, 1, -1, 1, 0, 0), 1, 1, 3, 0, False, 30), (bad, 1, 1, 1, 0, False, 40), ((-1, -1, -1, -1, 0, 0), 2, 1, 1, 0, False, 9)]
     model = pii.fit({"phone": cells}).kinds["phone"]
-    assert model.reliability["boundary"] > 0.9 > model.reliability["cue_after"] and all(0 <= x <= 1 for x in model.reliability.values())
-    assert all((model.score(*c[:4]) > 0) == (c[0][1] > 0) for c in cells)
+    assert model.reliability["boundary"] > 0.9 > model.reliability["context"] and all(0 <= x <= 1 for x in model.reliability.values())
+    assert model.reliability["base"] > 0.9
+    assert all((model.score(*c[:5]) > 0) == (c[0][0] > 0) for c in cells)
     assert pii.fit({}).kinds == {} == pii.fit({"ip": []}).kinds
 
 
