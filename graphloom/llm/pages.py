@@ -8,15 +8,18 @@
    Texts that aligned nodes have in common are constant, the template's; other texts,
    and those of nodes in one tree alone, are varying slots.
 3. Per host and node path the constant and varying texts are summed in Spark. The
-   deepest container that holds most of the varying text is the host's content
-   slot. Texts that are constant at one path on nearly all pages of a host of some
-   pages are its template, inside the slot too. Hosts without two different pages
-   take the slot of most hosts.
+   deepest container, a single element on most pages, that holds most of the varying
+   text is the host's content slot. Texts that are constant at one path on nearly all pages of a host of some
+   pages are its template, inside the slot too. So are sub-trees of the slot that
+   vary but are no article: lists of records, that is elements of one class with the
+   same fields on page after page (readers' comments, teasers), and containers whose
+   text is mostly links. Hosts without two different pages take the slot of most
+   hosts.
 4. Each page is read again; its text is that of the slot without the template's. A
    page of which that would leave less than half is one that its host repeats, and
-   keeps all. What varies from page to page and is no content all the same (menus,
-   forms, adverts, readers' comments) goes by its element or by a class, id or role
-   that names it as a whole.
+   keeps all. What else is no content (menus, forms, adverts, readers' comments) goes
+   by its element or by a class, id or role: one that names it as a whole, or a part
+   of a name (``user-comments``) for what holds less than half of the slot's text.
 """
 
 from __future__ import annotations
@@ -42,6 +45,7 @@ GROUP_PAGES, ALIGNED = 500, 24
 SLOT_SHARE = 0.6
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.8, 8  # a text is template if on that share of a host's pages, that many at least
 KEPT_SHARE = 0.5
+RECORDS, LINKED, SIDE_SHARE = 0.5, 0.6, 0.5  # share of pages with records, of text in links; of the slot's text at most
 DEEPEST = 200  # texts of elements below this depth belong to the one at it
 
 # Elements by what they do.
@@ -50,37 +54,53 @@ _VOID = set("area base br col embed hr img input link meta param source track wb
 _RAW = "script|style|textarea|title|iframe"  # without an end tag they run to the end of the page
 _MUTE = set("button select svg template noscript annotation annotation-xml".split())  # without an end tag they are no elements
 _CONTAINERS = set("body div article main section center td form".split())
+_HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+_RECORD_TAGS = set("div section article aside li".split())
 _NOISE_TAGS = set("head nav header footer aside form menu dialog".split())
 #: Whole names in class, id or role.
 _NOISE_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored banner promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer site-footer site-header masthead comment comments comment-list comments-area disqus disqus_thread cookie cookies cookie-notice cookie-banner consent notice notices alert popup modal newsletter subscribe share sharing social social-share share-buttons related related-posts recommended toolbar pagination pager skip login search searchbox contentinfo complementary".split())
+#: Of these, what marks a container alone, and what does so if its text is mostly links.
+_CONTAINER_WORDS = set("alert banner related related-posts recommended search login skip".split())
+_LINK_WORDS = set("related related-posts recommended".split())
+_TEXT_TAGS = set("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre figure figcaption".split())
+#: Parts of names, between hyphens, underscores and changes of case.
+_NOISE_PARTS = set("ad ads advert adverts advertisement advertising sponsor sponsored comment comments disqus cookie cookies notice notices newsletter".split())
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[/!?][^>]*>", re.S | re.I
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<({_RAW})(?=[\s/>])[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[/!?][^>]*>", re.S | re.I
 )
 _ROLE = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _CLASS = re.compile(r"""(?<![\w-])class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "label", "noise", "parent", "depth", "kids", "texts")
+    __slots__ = ("tag", "label", "noise", "side", "parent", "depth", "kids", "texts", "links")
 
-    def __init__(self, tag: str, label: str, noise: bool, parent: Node | None):
-        self.tag, self.label, self.noise, self.parent = tag, label, noise, parent
+    def __init__(self, tag: str, label: str, role: str, parent: Node | None):
+        self.tag, self.label, self.parent = tag, label, parent
+        self.noise, self.side, self.links = role == "noise", role if role != "noise" else "", 0  # characters in links
         self.depth: int = parent.depth + 1 if parent is not None else 0
         self.kids: list[Node] = []
         self.texts: list[str] = []
 
 
-def _noisy(tag: str, attributes: str) -> bool:
+def _noisy(tag: str, attributes: str) -> str:
+    """"noise" by element or name; "links" or "part" if it is noise for its links or beside a larger part of the slot; or ''."""
     if tag in _NOISE_TAGS:
-        return True
+        return "noise"
     if not attributes:
-        return False
-    named = " ".join("".join(m) for m in _ROLE.findall(attributes)).lower()
-    return any(w in _NOISE_WORDS for w in named.split())
+        return ""
+    named = " ".join("".join(m) for m in _ROLE.findall(attributes))
+    found = {w for w in named.lower().split() if w in _NOISE_WORDS}
+    if tag in _TEXT_TAGS:
+        found -= _CONTAINER_WORDS
+    if found:
+        return "links" if found <= _LINK_WORDS else "noise"
+    return "part" if named and any(p.lower() in _NOISE_PARTS for p in _PART.findall(named)) else ""
 
 
 def _label(tag: str, attributes: str) -> str:
@@ -91,22 +111,26 @@ def _label(tag: str, attributes: str) -> str:
 
 def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
     """(root, blocks in page order as (innermost node, text)). Inline elements count as text unless they have a role of their own."""
-    root = Node("html", "html", False, None)
+    root = Node("html", "html", "", None)
     node, blocks, buffer, at = root, [], [], 0
     inline: list[tuple[str, Node]] = []
-    deep: list[tuple[str, bool]] = []  # open elements below DEEPEST, whether they have a role, and how many there are of each
+    deep: list[tuple[str, str]] = []  # open elements below DEEPEST, their role, and how many there are of each
     held: Counter[str] = Counter()
     muted: list[str] = []  # open elements whose text isn't read, and the blocks in the outermost
     inner: Counter[str] = Counter()
     ends: dict[str, int] = {}  # the last end tag of each
+    linked, in_link = 0, False
 
     def flush() -> None:
+        nonlocal linked
         if buffer:
             text = _WHITE.sub(" ", _html.unescape("".join(buffer))).strip()
-            if text and not any(noise for _, noise in deep):
+            if text and not any(role == "noise" for _, role in deep):
                 blocks.append((node, text))
                 node.texts.append(text)
+                node.links += min(linked, len(text))
             buffer.clear()
+        linked = 0
 
     def leave(tags: set[str], within: set[str]) -> None:
         """Close the nearest open element of ``tags``, not looking beyond ``within``."""
@@ -151,6 +175,8 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
     for m in _TOKEN.finditer(html):
         if m.start() > at and not muted:
             buffer.append(html[at : m.start()])
+            if in_link:
+                linked += len(_WHITE.sub(" ", buffer[-1]).strip())
         at = m.end()
         tag = (m[3] or "").lower()
         if m[1] or not tag:
@@ -159,6 +185,8 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
             continue
         if muted and not unmuted(tag, bool(m[2]), m[4].rstrip().endswith("/")):
             continue
+        if tag == "a":
+            in_link = not m[2]
         if tag in _MUTE:
             buffer.append(" ")
             if tag not in ends:
@@ -200,9 +228,9 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
                 continue
             node.kids.append(kid := Node(tag, _label(tag, attributes), _noisy(tag, attributes), node))
             node = kid
-        elif attributes and node.depth < DEEPEST and _noisy(tag, attributes) and not attributes.rstrip().endswith("/"):
+        elif attributes and node.depth < DEEPEST and _noisy(tag, attributes) == "noise" and not attributes.rstrip().endswith("/"):
             flush()
-            node.kids.append(kid := Node(tag, _label(tag, attributes), True, node))
+            node.kids.append(kid := Node(tag, _label(tag, attributes), "noise", node))
             node = kid
             inline.append((tag, kid))
     if at < len(html) and not muted:
@@ -212,7 +240,8 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
 
 
 def skeleton(node: Node) -> list:
-    """[label, own texts as hash, length, hash, length ..., kids]; siblings with one label are one node with the texts of all."""
+    """[label, own texts as hash, length, hash, length ..., kids, characters in links, records, siblings]; siblings with one label
+    are one node with the texts of all. Records are siblings of one class with the same two fields at least."""
     return _merged([node])
 
 
@@ -223,7 +252,16 @@ def _merged(nodes: list[Node]) -> list:
             texts += [crc32(text.encode("utf-8", "replace")), len(text)]
         for kid in node.kids:
             kids[kid.label].append(kid)
-    return [nodes[0].label, texts, [_merged(k) for k in kids.values()]]
+    return [nodes[0].label, texts, [_merged(k) for k in kids.values()], sum(n.links for n in nodes), _records(nodes), len(nodes)]
+
+
+def _records(nodes: list[Node]) -> int:
+    """How many siblings are records, by the fields that most of them have; 0 if fewer than two."""
+    if len(nodes) < 2 or nodes[0].tag not in _RECORD_TAGS or "." not in nodes[0].label:
+        return 0
+    fields = Counter(tuple(sorted({k.label for k in n.kids if k.texts or k.kids})) for n in nodes)
+    shape, n = fields.most_common(1)[0]
+    return n if len(shape) >= 2 and n >= 2 and n >= 0.8 * len(nodes) else 0
 
 
 def match(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
@@ -260,28 +298,35 @@ def match(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
     return size, found
 
 
+SIDE = -1  # in place of a text's hash: the path itself
+
+
 def text_key(path: str, text_hash: int) -> int:
     """A text at a path, as 64 bits."""
     return xxhash.xxh64_intdigest(f"{path} {text_hash}") - (1 << 63)
 
 
 def _vote(page: list, reference: list, sums: dict, constant: Counter) -> None:
-    """Add a page's varying text by container, and the texts that it has in common with the reference."""
+    """Add a page's varying text, all text, text in links, records, whether it is one element, and itself by container, and the texts that it has in common with the reference."""
     common = {id(b): set(a[1][::2]) for a, b in match(reference, page)[1]}
 
-    def walk(node: list, path: str, depth: int) -> int:
+    def walk(node: list, path: str, depth: int) -> tuple[int, int, int]:
         path = f"{path}/{node[0]}" if path else node[0]
-        shared, varying = common.get(id(node), ()), 0
-        for text, size in dict(zip(node[1][::2], node[1][1::2])).items():
+        shared, varying, links = common.get(id(node), ()), 0, node[3]
+        for text in dict.fromkeys(node[1][::2]):
             if text in shared:
                 constant[path, text] += 1
-        for text, size in zip(node[1][::2], node[1][1::2]):
-            varying += 0 if text in shared else size
+        size = sum(node[1][1::2])
+        for text, n in zip(node[1][::2], node[1][1::2]):
+            varying += 0 if text in shared else n
         for kid in node[2]:
-            varying += walk(kid, path, depth + 1)
-        if node[0].split(".", 1)[0] in _CONTAINERS:
-            sums[path, depth] += varying
-        return varying
+            own = walk(kid, path, depth + 1)
+            varying, size, links = varying + own[0], size + own[1], links + own[2]
+        if node[0].split(".", 1)[0] in _CONTAINERS or node[4]:
+            held = sums.setdefault((path, depth), [0] * 6)
+            for k, v in enumerate((varying, size, links, node[4] > 0, node[5] == 1, 1)):
+                held[k] += v
+        return varying, size, links
 
     walk(page, "", 0)
 
@@ -293,7 +338,8 @@ def _host(url: str | None) -> str:
 
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html", aligned: int = ALIGNED) -> DataFrame:
     """(host, slot, template): the path of the container that holds the content, and the ``text_key`` of each template
-    text, as packed 64-bit integers; the row with a null host has the slot of most hosts."""
+    text and of each path below the slot that is no content (``SIDE``), as packed 64-bit integers; the row with a null host
+    has the slot of most hosts."""
     spark = pages.sparkSession
     source = pages.select(F.col(url).cast("string").alias("u"), F.col(html).cast("string").alias("t"))
 
@@ -307,7 +353,8 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html", aligned: in
     counts = small(trees.groupBy("host").agg(F.count("*").alias("n")).where("n > 1"))
     salted = trees.join(counts, "host").withColumn("salt", F.pmod(F.xxhash64("tree"), F.ceil(F.col("n") / GROUP_PAGES)))
     dealt = salted.select("host", "salt", "tree").repartition(shuffle_width(spark), "host", "salt").sortWithinPartitions("host", "salt", "tree")
-    none = {"path": "string", "depth": "int", "varying": "long", "text": "long", "n": "long"}
+    counted = ("varying", "size", "links", "records", "alone", "seen")
+    none = {"path": "string", "depth": "int", **dict.fromkeys(counted, "long"), "text": "long", "n": "long"}
 
     def align(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = []
@@ -316,12 +363,13 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html", aligned: in
         def emit() -> Iterator[pa.RecordBatch]:
             if len(held) < 2:
                 return
-            sums, constant = Counter(), Counter()
+            sums, constant = {}, Counter()
             for k, page in enumerate(held):
                 _vote(page, held[0] if k else held[1], sums, constant)
-            rows = [(p, d, v, None, None) for (p, d), v in sums.items()]
-            rows += [(p, None, None, t, n) for (p, t), n in constant.items()] + [(None, None, None, None, len(held))]
-            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+            blank = (None,) * (1 + len(counted))
+            rows = [(p, d, *v, None, None) for (p, d), v in sums.items()]
+            rows += [(p, *blank, t, n) for (p, t), n in constant.items()] + [(None, *blank, None, len(held))]
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.string(), pa.int32(), *[pa.int64()] * 8))]
             yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(rows), pa.string()), *columns], names=["host", *none])
 
         for batch in it:
@@ -336,15 +384,20 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html", aligned: in
         yield from emit()
 
     votes = written(dealt.mapInArrow(align, "host string, " + ", ".join(f"{c} {k}" for c, k in none.items())), "votes")
-    summed = votes.where("depth is not null").groupBy("host", "path").agg(F.max("depth").alias("depth"), F.sum("varying").alias("varying"))
+    summed = votes.where("depth is not null").groupBy("host", "path").agg(F.max("depth").alias("depth"), *[F.sum(c).alias(c) for c in counted])
     whole = summed.groupBy("host").agg(F.max("varying").alias("most"))
-    slots = summed.join(whole, "host").where((F.col("most") > 0) & (F.col("varying") >= SLOT_SHARE * F.col("most")))
+    slots = summed.join(whole, "host").where((F.col("most") > 0) & (F.col("varying") >= SLOT_SHARE * F.col("most")) & (2 * F.col("alone") >= F.col("seen")))
     slots = slots.groupBy("host").agg(F.max_by("path", F.struct("depth", "path")).alias("slot"))
     total = votes.where("path is null").groupBy("host").agg(F.sum("n").alias("pages"))
     texts = votes.where("text is not null").groupBy("host", "path", "text").agg(F.sum("n").alias("n"))
+    # below the slot: a smaller part that is mostly links or, on many of the pages that have it, a list of records
+    chosen = slots.join(summed.select("host", F.col("path").alias("slot"), F.col("size").alias("_whole")), ["host", "slot"])
+    inner = summed.join(chosen, "host").join(total, "host").where(F.startswith("path", F.concat("slot", F.lit("/"))) & (F.col("size") < SIDE_SHARE * F.col("_whole")))
+    side = (F.col("links") >= LINKED * F.col("size")) & (F.col("links") > 0) | (F.col("records") >= RECORDS * F.col("seen"))
+    sides = inner.where(side & (F.col("seen") >= 2) & (F.col("seen") >= 0.1 * F.col("pages")) & (F.col("pages") >= TEMPLATE_PAGES)).select("host", "path", F.lit(SIDE).cast("long").alias("text"))
     often = texts.join(total, "host").where((F.col("n") >= TEMPLATE_SHARE * F.col("pages")) & (F.col("pages") >= TEMPLATE_PAGES))
     # no more than a page has texts, by 1 / TEMPLATE_SHARE
-    listed = often.groupBy("host").agg(F.to_json(F.collect_list(F.struct("path", "text"))).alias("texts"))
+    listed = often.select("host", "path", "text").union(sides).groupBy("host").agg(F.to_json(F.collect_list(F.struct("path", "text"))).alias("texts"))
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -364,10 +417,21 @@ def _path(node: Node) -> str:
     return "/".join(reversed(labels))
 
 
-def _inside(node: Node | None, region: Node) -> bool:
+def _aside(node: Node, whole: int) -> bool:
+    """Whether a node of a region with ``whole`` characters has another role."""
+    if node.noise:
+        return not (node.tag == "header" and any(n.tag in _HEADINGS for n in _nodes(node)))
+    if node.side == "links":
+        return 2 * sum(n.links for n in _nodes(node)) >= _mass(node)
+    return node.side == "part" and 2 * _mass(node) < whole
+
+
+def _inside(node: Node | None, region: Node, whole: int, known: dict[int, bool]) -> bool:
     """Whether ``node`` lies in the region and in no part of it that has another role."""
     while node is not None and node is not region:
-        if node.noise and not (node.tag == "header" and any(n.tag == "h1" for n in _nodes(node))):
+        if id(node) not in known:
+            known[id(node)] = _aside(node, whole)
+        if known[id(node)]:
             return False
         node = node.parent
     return node is region
@@ -404,13 +468,25 @@ def main_text(html: str, slots: list[str | None], template: frozenset[int] | set
             regions = []
     for tag in ("article", "main", "body", "html"):
         regions = regions or [n for n in nodes if n.tag == tag and _roleless(n)]
-    chosen = {id(n) for n in regions}
+    chosen, known = {id(n): _mass(n) for n in regions}, {}
 
     def within(node: Node) -> bool:
         region = node
         while region is not None and id(region) not in chosen:
             region = region.parent
-        return region is not None and _inside(node, region)
+        return region is not None and _inside(node, region, chosen[id(region)], known)
+
+    def beside(node: Node) -> bool:
+        """Whether the node or one above it is a path that the wrapper leaves out."""
+        while node is not None:
+            if id(node) not in sides:
+                sides[id(node)] = text_key(_path(node), SIDE) in template
+            if sides[id(node)]:
+                return True
+            node = node.parent
+        return False
+
+    sides: dict[int, bool] = {}
 
     inside: dict[int, bool] = {}
     texts = []
@@ -421,7 +497,7 @@ def main_text(html: str, slots: list[str | None], template: frozenset[int] | set
             texts.append((node, text))
     if template:
         paths = {id(n): _path(n) for n, _ in texts}
-        own = [text for n, text in texts if text_key(paths[id(n)], crc32(text.encode("utf-8", "replace"))) not in template]
+        own = [text for n, text in texts if not beside(n) and text_key(paths[id(n)], crc32(text.encode("utf-8", "replace"))) not in template]
         if sum(map(len, own)) >= KEPT_SHARE * sum(len(text) for _, text in texts):
             return "\n".join(own)
     return "\n".join(text for _, text in texts)

@@ -390,6 +390,44 @@ def test_pages_that_a_host_repeats_keep_their_text(spark):
     assert {r.text for r in got} == {f"One\n{prose(3, 40)}"}
 
 
+def noisy_article_rows():
+    """30 pages of three hosts whose articles hold readers' comments, teasers and a notice under names that say nothing."""
+    rows, truth = [], {}
+    for k in range(30):
+        host = f"n{k % 3}.org"
+        own = [f"Story {k} begins", *[prose(50 * k + j, 30 + j) for j in range(3)], f"See also the earlier one, number {k}"]
+        parts = [f"<h1>{own[0]}</h1>", *[f"<p>{t}</p>" for t in own[1:4]], f"<p>See also <a href=x>the earlier one</a>, number {k}</p>"]
+        voices = "".join(f"<div class=voice><b>Reader {j}</b><span>says</span><p>{prose(1000 * k + j, 5)}</p><div class=when>day {j + k}</div></div>" for j in range(2 + k % 3))
+        teasers = "".join(f"<p><a href=x>{prose(7000 + 10 * k + j, 4)}</a></p>" for j in range(3))
+        body = "".join(parts) + f"<div class=zone>{voices}</div><div class=more-of-it>{teasers}</div><p>This site keeps small files on your machine</p>"
+        rows.append((k, f"http://{host}/{k}", f"<html><body><div class=top>{host}</div><article>{body}</article></body></html>"))
+        truth[k] = "\n".join(own)
+    return rows, truth
+
+
+def test_side_parts_of_articles(spark):
+    """The wrapper leaves out lists of records, link lists and constant texts inside the articles; the same by hand."""
+    rows, truth = noisy_article_rows()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.extract(df, aligned=6).collect()}
+    assert got == truth
+    assert all(pages.main_text(html, []) != truth[k] for k, _, html in rows)
+    # by hand: at which paths records stand, and where text is mostly links
+    for r in pages.wrappers(df, aligned=6).where("host is not null").collect():
+        keys = set(np.frombuffer(r.template, "<i8").tolist())
+        sides = {path for path in ("html/body/article/div.zone", "html/body/article/div.zone/div.voice", "html/body/article/div.it.more.of", "html/body/article") if pages.text_key(path, pages.SIDE) in keys}
+        assert sides == {"html/body/article/div.zone/div.voice", "html/body/article/div.it.more.of"}
+
+
+def test_sections_of_an_article_stay(spark):
+    """Repeated sections without a class, definition lists, tables and lists are content."""
+    body = "<article><h1>T {k}</h1>" + "".join(f"<section><h2>Part {j}</h2><p>{prose(j, 12)} {{k}}</p></section>" for j in range(4)) + "<table><tr class=r><td>a {k}<td>b</table><ul><li>one {k}<li>two</ul></article>"
+    rows = [(k, f"http://s.org/{k}", body.format(k=k)) for k in range(12)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, text in got.items():
+        assert all(f"{prose(j, 12)} {k}" in text for j in range(4)) and f"a {k}" in text and f"one {k}" in text
+
+
 def best_matching(a, b):
     """Simple tree matching by the textbook table."""
     if a[0] != b[0]:
@@ -444,6 +482,11 @@ def test_pages_of_many_siblings():
         ("<article><header><div><h1>Title</h1></div></header><p>text</p><section class=related-work>work</section></article>", "Title\ntext\nwork"),
         ("<article>" + "<div>" * 300 + "<p>yes</p><p class=ad>no</p><nav>no</nav>end" + "</div>" * 300 + "</article>", "yes\nend"),
         ("<p>shown<script>var a = 1", "shown"),
+        ("<p>a<!-- x --!>b</p><!--> c <!---> d", "ab\nc d"),
+        ("<article><header><h2>Title</h2></header><p class=alert>mind the gap</p><p>text of it</p></article>", "Title\nmind the gap\ntext of it"),
+        ('<article><p>a long enough text of the article</p><div class="user-comments">nice</div><div class="reader-comments">x</div><div id=commentBody>y</div><div class="ad-slot">buy</div><div class="advert-box">b</div><div class=site-notice>n</div></article>', "a long enough text of the article"),
+        ('<article class="comment-style"><p>all of the text</p></article>', "all of the text"),
+        ('<article><p>text of it</p><section class=related><p>Related work is discussed here at length</p></section><section class=related><a href=x>other story</a></section></article>', "text of it\nRelated work is discussed here at length"),
         ("<div class=ad>" + "<div>" * 300 + "no" + "</div>" * 300 + "still no</div><p>after", "after"),
         ("<div class=ad>" + "<div>" * 250 + "<ul><li>no<li>no</ul>" + "</div>" * 250 + "still no</div><p>after", "after"),
     ],
