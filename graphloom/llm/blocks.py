@@ -41,7 +41,7 @@ def coded(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
     ``end_id`` closes each document. Null texts count as empty; repeated ids stay, next to each other, and null ids come
     first; a document over ``block_ids`` is a block alone. ``doc_id`` must be an integer column.
     """
-    rows = documents.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
+    rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
     ranged = rows.repartitionByRange(shuffle_width(documents.sparkSession), "_id").sortWithinPartitions("_id")
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,7 +59,7 @@ def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str
                     out["hash"][k] = int(hashes[w])
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("length", pa.int32()), ("hash", pa.int64()), ("item", pa.string()), ("words", pa.binary())]))
 
-    source = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("t"))
+    source = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{text}`").cast("string").alias("t"))
     return source.mapInArrow(cut, "length int, hash long, item string, words binary").distinct()
 
 

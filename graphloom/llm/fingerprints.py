@@ -8,8 +8,8 @@ before the shuffle, so a bucket with a third of all rows is no single task's. If
 they are equal so is all between; a bucket with different texts numbers them.
 
 The normaliser and the case folding are those of the ICU library that Spark
-itself ships, called by SQL's ``reflect``; texts of ASCII and the letters of
-Latin-1 alone skip them, as for these folding is lowering, and ß is ss.
+itself ships, called by SQL's ``reflect``; texts of ASCII alone skip them, as for
+these folding is lowering.
 """
 
 from __future__ import annotations
@@ -19,25 +19,35 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm import spans as S
 from graphloom.llm.frames import shuffle_width, small, tables, written
 
 SAMPLED = 20  # rows a range that its bounds are taken from
-_SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-
-#: Beyond ASCII and the letters of Latin-1, which NFKC leaves as they are.
-_NOT_LATIN = r"[^\x00-\x7f\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]"
+#: White space but the space, in ASCII and, after NFKC, beyond it.
+_WHITE, _WIDE_WHITE = "\t\n\x0b\x0c\r", "\t\n\x0b\x0c\r\x85\u1680\u2028\u2029"
 
 Digest = Callable[[Column], Column]
 
 
 def canonical(text: Column) -> Column:
-    """The canonical form of a non-null text."""
+    """The canonical form of a non-null text. Each step's value is bound, so that none is computed twice."""
+    ascii_only = lambda t: F.octet_length(t) == F.length(t)
     composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
     folded = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed, F.lit(True))
     again = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), folded, F.lit(True))
-    simple = ~text.rlike(_NOT_LATIN)
-    plain = F.when(F.octet_length(text) == F.length(text), F.lower(text)).when(simple, F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))).otherwise(again)
-    return F.trim(F.regexp_replace(plain, _SPACE, " "))
+
+    def spaced(t: Column, white: str) -> Column:
+        for c in white:
+            t = F.replace(t, F.lit(c), F.lit(" "))
+        return t
+
+    def single(t: Column) -> Column:
+        return F.trim(F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, " {2,}", " ")).otherwise(t))
+
+    def whole(t: Column) -> Column:
+        return S.bound(F.when(ascii_only(t), spaced(t, _WHITE)).otherwise(spaced(t, _WIDE_WHITE)), single)
+
+    return S.bound(F.when(ascii_only(text), F.lower(text)).otherwise(again), whole)
 
 
 def digest128(canon: Column) -> Column:
@@ -85,7 +95,7 @@ def with_next(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spark = documents.sparkSession
     ranges = 4 * shuffle_width(spark)
-    rows = documents.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+    rows = documents.select(F.col(f"`{doc_id}`").alias("_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body"))
     rows = rows.withColumn("b", F.xxhash64(F.lit(3), "body"))
     place = F.struct("_id", "b")  # null ids are the least
     sample = rows.select("_id", "b", F.xxhash64(F.lit(5), "_id", "b").alias("o")).distinct().orderBy("o").limit(SAMPLED * ranges)
@@ -135,7 +145,7 @@ def edited_fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str
     )
     hashes = marks.select("h").union(marks.select(F.col("he").alias("h"))).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     shared = small(written(hashes, "shared"))
-    rows = documents.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+    rows = documents.select(F.col(f"`{doc_id}`").alias("_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body"))
     originals = rows.select("_id", F.xxhash64(F.lit(3), "body").alias("b"), canonical(F.col("body")).alias("canon")).withColumn("h", digest(F.col("canon")))
     originals = originals.join(shared, "h", "left_semi")
     pairs = small(written(marks.join(shared.withColumnRenamed("h", "he"), "he", "left_semi").select("_id", "b", "next_id", "next_b", "he").distinct(), "edited"))

@@ -96,7 +96,7 @@ def signatures(documents: DataFrame, doc_id: str, text: str, n: int) -> DataFram
                 }
             )
 
-    rows = documents.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"))
+    rows = documents.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
     return rows.mapInArrow(make, f"_id {dict(rows.dtypes)['_id']}, v long, w long, size long, sig binary")
 
 
@@ -247,7 +247,7 @@ def _verified(documents: DataFrame, doc_id: str, text: str, n: int, threshold: f
     blocks = known.groupBy("cluster").agg(F.ceil(parts).alias("blocks"))
     large = small(written(blocks.where("blocks > 1"), "large"))
     needed = written(known.join(large, "cluster", "left").drop("size").fillna(1, ["blocks"]), "needed")
-    rows = documents.select(F.col(doc_id).alias("rep"), F.col(text).cast("string").alias("_text"))
+    rows = documents.select(F.col(f"`{doc_id}`").alias("rep"), F.col(f"`{text}`").cast("string").alias("_text"))
     sent = small(needed)
     source = rows.join(sent, rows["rep"].eqNullSafe(sent["rep"])).select("v", "copies", "cluster", "blocks", "_text")
 
@@ -350,9 +350,9 @@ def similarity_classes(
 def one_of_each(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``documents``, all columns, with the least id of each class of near duplicates alone; rows alike in id and text become one. Texts without words stay."""
     found = similarity_classes(documents, doc_id, text, **options)
-    kept = found.where(F.col(doc_id).eqNullSafe(F.col("class_id"))).select(F.col(doc_id).alias("_kept")).distinct()
-    rows = documents.withColumn("_text_hash", F.xxhash64(F.col(text).cast("string")))
-    rows = rows.join(kept, rows[doc_id].eqNullSafe(kept["_kept"]), "left_semi")
+    kept = found.where(F.col(f"`{doc_id}`").eqNullSafe(F.col("class_id"))).select(F.col(f"`{doc_id}`").alias("_kept")).distinct()
+    rows = documents.withColumn("_text_hash", F.xxhash64(F.col(f"`{text}`").cast("string")))
+    rows = rows.join(kept, rows[f"`{doc_id}`"].eqNullSafe(kept["_kept"]), "left_semi")
     return rows.dropDuplicates([doc_id, "_text_hash"]).drop("_text_hash")
 
 

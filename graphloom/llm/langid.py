@@ -170,7 +170,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
     which the whole text is used. Its trigram counts are collected and sent to the tasks that fit the machines: some
     kilobytes a text, so a megabyte a language. Any number of languages is told apart.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & lettered(F.col(text))).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    rows = labelled.where(F.col(f"`{lang}`").isNotNull() & lettered(F.col(f"`{text}`"))).select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text") / F.lit(float(1 << 64)) + 0.5)  # 0 to 1
     hashes = written(rows.select("lang", "h").distinct(), "hashes")  # of distinct texts: copies hash alike
     counts = {r["lang"]: r["count"] for r in hashes.groupBy("lang").count().collect()}
@@ -242,7 +242,7 @@ def identify(documents: DataFrame, model: LanguageModel | None, text: str = "tex
     these two names are replaced. Only the text counts.
     """
     kept = [c for c in documents.columns if c not in ("lang_pred", "score")]
-    rows = documents.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(kept)], F.col(text).cast("string").alias("_text"))
+    rows = documents.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(kept)], F.col(f"`{text}`").cast("string").alias("_text"))
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def predict(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,11 +72,11 @@ def tokenized(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
     queue = name
     if known > max_queues:
         own = list(dict.fromkeys(weighted))
-        size = F.sum(F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)) + 1)
-        largest = documents.select(name.alias("name"), F.col(text)).where(~F.col("name").isin(own)).groupBy("name").agg(size.alias("size")).orderBy(F.desc("size"), "name")
+        size = F.sum(F.coalesce(F.octet_length(F.col(f"`{text}`").cast("string")), F.lit(0)) + 1)
+        largest = documents.select(name.alias("name"), F.col(f"`{text}`")).where(~F.col("name").isin(own)).groupBy("name").agg(size.alias("size")).orderBy(F.desc("size"), "name")
         own += [r["name"] for r in largest.limit(max(0, max_queues // 2 - len(own))).collect()]
         queue = F.when(name.isin(own), name).otherwise(F.pmod(F.xxhash64(name), F.lit(max(1, max_queues - len(own)))).cast("string"))
-    rows = documents.select(F.col(doc_id).alias("_id"), queue.alias("_queue"), F.col(text).cast("string").alias("_text"))
+    rows = documents.select(F.col(f"`{doc_id}`").alias("_id"), queue.alias("_queue"), F.col(f"`{text}`").cast("string").alias("_text"))
     kind = dict(rows.dtypes)["_id"]
     with arrow_rows(documents.sparkSession, ARROW_ROWS):
         return written(rows.mapInArrow(encode, f"_id {kind}, _queue string, part int, local long, n_tokens long, ids binary"), "tokens")

@@ -188,7 +188,7 @@ def find_secrets(documents: DataFrame, text: str = "text", rules: tuple[Rule, ..
     queries = {r.name: trigram_query(r.pattern) for r in rules}
     indexed = {n: q for n, q in queries.items() if q is not True}
     wanted = sorted(set().union(*(trigrams(q) for q in indexed.values()))) if indexed else []
-    body = S.safe(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    body = S.safe(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
     packed = documents.select(F.struct("*").alias("_row"), body.alias("_body"))
     # a key from every plain column: copies of a text have keys of their own, rows alike throughout share one
     plain = [F.col(f"_row.`{c}`") for c, kind in documents.dtypes if c != text and not re.match("array|map|struct|variant|void", kind)]

@@ -68,12 +68,12 @@ def repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     """
     spark = documents.sparkSession
     keep = keep or []
-    size = documents.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    size = documents.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
     width = shuffle_width(spark)
     chunks = max(width, math.ceil(size / CHUNK_BYTES))
     bits = min(40, max(8, math.ceil(math.log2(max(1, size / 6 / BUCKET_WINDOWS)))))
     source = documents.select(
-        F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"), *[F.col(c).alias(f"_keep_{k}") for k, c in enumerate(keep)]
+        F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"), *[F.col(f"`{c}`").alias(f"_keep_{k}") for k, c in enumerate(keep)]
     ).withColumn("_chunk", F.pmod(F.xxhash64("_id", "_text"), F.lit(chunks)))
 
     def send(table: pa.Table) -> pa.Table:
