@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import arith, hashing
 from graphloom.graph import Graph, decode_ids, encode_ids
-from graphloom.operators import analysis, components, frontiers, programs, tiling
+from graphloom.operators import analysis, components, frontiers, programs, ranks, tiling
 from graphloom.plans.delta import TileStore
 from graphloom.plans.storage import place
 from graphloom.plans.superstep import run
@@ -297,6 +297,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "wedges": lambda s, d: programs.wedges_per_vertex(cust(s, d)),
         "triangles_minhash": lambda s, d: _rounded(programs.triangles_minhash(cust(s, d)), "estimate"),
         "belief_propagation": lambda s, d: _rounded(programs.belief_propagation(cust(s, d), 3, _prior()), "belief0", "belief1"),
+        "belief_propagation_5": lambda s, d: _rounded(programs.belief_propagation(cust(s, d), 5, _prior()), "belief0", "belief1"),
         "kmeans_assign": lambda s, d: _table(s, d, "customer").select("c_custkey", programs.nearest(F.col("c_acctbal"), [0.0, 2500.0, 5000.0, 7500.0]).alias("k")),
         "kmeans_3": _kmeans,
         "active_sources": lambda s, d: _values(run(cust(s, d), programs.bfs_program(START), 2)).agg(F.count("value").alias("reached")),
@@ -326,6 +327,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "canonical_labels": lambda s, d: analysis.canonical_labels(_table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("label"))),
         "distribution_stats": lambda s, d: _rounded(analysis.distribution_stats(tiling.tile_stats(_tiles(s, d)), F.col("edges")), "mean", "deviation"),
         "tile_percentiles": lambda s, d: _rounded(analysis.percentiles(tiling.tile_stats(_tiles(s, d)), F.col("edges")), "value"),
+        "price_percentiles": lambda s, d: _rounded(ranks.order_values(_table(s, d, "lineitem"), ["l_returnflag"], F.col("l_extendedprice"), [0.05, 0.25, 0.5, 0.75, 0.99]), "value", digits=4),
+        "price_median": lambda s, d: _rounded(ranks.order_values(_table(s, d, "lineitem"), [], F.col("l_extendedprice"), [0.5]), "value", digits=4),
         "grid_density": lambda s, d: _rounded(analysis.grid_density(cust(s, d).edges, cust(s, d).n, SIDE), "mean", "deviation"),
         "log_stats": lambda s, d: _rounded(analysis.log_stats(_log_lines(s, d)), "median", "mean", "deviation", "total", digits=4),
         "disk_throughput": lambda s, d: analysis.disk_throughput(_samples(s, d)),
@@ -354,6 +357,8 @@ def oracle_sql() -> dict[str, str]:
     bfs = _least_sql(_EDGES, bfs_first, "r.x + 1", bfs_value)
     sssp = _least_sql(_JUMP, f"SELECT {START}::BIGINT, 0.0::DOUBLE", "r.x + e.weight", "round(x, 6)", _JUMP_IDS)
     weak = {k: _least_sql(both_ways.format(e=edges), "SELECT id, id FROM v", "r.x", "x", ids) for k, edges, ids in (("star", _STAR, _STAR_IDS), ("whole", _EDGES, _IDS), ("jump", _JUMP, _JUMP_IDS), ("suppliers", _SP, sp_ids))}
+    # emitted products are of ones, so later rounds absorb the same again: true for any odd number of rounds from three on
+    beliefs = _with(more=", q AS (SELECT id, (id % 9 + 1) / 10.0 AS q0 FROM v), m AS MATERIALIZED (SELECT id, q0, coalesce(w, 0) * q0 AS m0, coalesce(w, 0) * (1 - q0) AS m1 FROM q LEFT JOIN (SELECT tgt, sum(weight) AS w FROM e GROUP BY tgt) ON tgt = id), b AS (SELECT q.id, ln(q0) + coalesce(x0, 0) AS a0, ln(1 - q0) + coalesce(x1, 0) AS a1 FROM q LEFT JOIN (SELECT tgt, sum(ln(m0)) AS x0, sum(ln(m1)) AS x1 FROM e JOIN m ON m.id = src GROUP BY tgt) ON tgt = q.id)") + "SELECT id, round(1 / (1 + exp(a1 - a0)), 6) AS belief0, round(1 / (1 + exp(a0 - a1)), 6) AS belief1 FROM b"
     return {
         "bfs_tiles": bfs_sparse,
         "bfs_bitmaps": bfs,
@@ -397,8 +402,8 @@ def oracle_sql() -> dict[str, str]:
         "triangles_per_vertex": _with(more=tri) + "SELECT id, coalesce(k, 0) AS triangles FROM v LEFT JOIN (SELECT x, count(*) AS k FROM (SELECT a AS x FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY x) ON x = id",
         "wedges": _with(more=f", p AS MATERIALIZED ({_PAIRS})") + "SELECT id, coalesce(d * (d - 1) // 2, 0) AS wedges FROM v LEFT JOIN (SELECT x, count(*) AS d FROM (SELECT a AS x FROM p UNION ALL SELECT b FROM p) GROUP BY x) ON x = id",
         "triangles_minhash": _minhash_sql(),
-        "belief_propagation": _with(more=", q AS (SELECT id, (id % 9 + 1) / 10.0 AS q0 FROM v), m AS MATERIALIZED (SELECT id, q0, coalesce(w, 0) * q0 AS m0, coalesce(w, 0) * (1 - q0) AS m1 FROM q LEFT JOIN (SELECT tgt, sum(weight) AS w FROM e GROUP BY tgt) ON tgt = id), b AS (SELECT q.id, ln(q0) + coalesce(x0, 0) AS a0, ln(1 - q0) + coalesce(x1, 0) AS a1 FROM q LEFT JOIN (SELECT tgt, sum(ln(m0)) AS x0, sum(ln(m1)) AS x1 FROM e JOIN m ON m.id = src GROUP BY tgt) ON tgt = q.id)")
-        + "SELECT id, round(1 / (1 + exp(a1 - a0)), 6) AS belief0, round(1 / (1 + exp(a0 - a1)), 6) AS belief1 FROM b",
+        "belief_propagation": beliefs,
+        "belief_propagation_5": beliefs,
         "kmeans_assign": "WITH c AS (SELECT * FROM (VALUES (0, 0.0), (1, 2500.0), (2, 5000.0), (3, 7500.0)) t(k, c)) SELECT c_custkey, k FROM (" + _assign_sql("c_acctbal", "c") + ")",
         "kmeans_3": _kmeans_sql(3),
         "active_sources": _with(more=f", r AS (SELECT {START}::BIGINT AS v, 0::BIGINT AS x UNION SELECT e.tgt, r.x + 1 FROM r JOIN e ON e.src = r.v WHERE r.x < 2)") + "SELECT count(DISTINCT v) AS reached FROM r",
@@ -426,6 +431,8 @@ def oracle_sql() -> dict[str, str]:
         "canonical_labels": "SELECT c_custkey AS id, min(c_custkey::VARCHAR) OVER (PARTITION BY c_nationkey) AS label FROM customer",
         "distribution_stats": tiles + "SELECT min(k)::DOUBLE AS least, max(k)::DOUBLE AS greatest, round(avg(k), 6) AS mean, round(stddev_pop(k), 6) AS deviation, median(k)::DOUBLE AS median FROM (SELECT count(*) AS k FROM t GROUP BY tile_id)",
         "tile_percentiles": tiles + "SELECT unnest([10, 20, 30, 40, 50, 60, 70, 80, 90]) AS p, round(unnest(quantile_cont(k::DOUBLE, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])), 6) AS value FROM (SELECT count(*) AS k FROM t GROUP BY tile_id)",
+        "price_percentiles": " UNION ALL ".join(f"SELECT l_returnflag, {p}::DOUBLE AS p, round(quantile_cont(l_extendedprice::DOUBLE, {p}), 4) AS value FROM lineitem GROUP BY l_returnflag" for p in (0.05, 0.25, 0.5, 0.75, 0.99)),
+        "price_median": "SELECT 0.5::DOUBLE AS p, round(median(l_extendedprice::DOUBLE), 4) AS value FROM lineitem",
         "grid_density": tiles + f", r AS (SELECT CAST(ceil({n} / {SIDE}.0) AS BIGINT) AS rows), g AS (SELECT i.range AS x, j.range AS y FROM r, range((SELECT rows FROM r)) i, range((SELECT rows FROM r)) j), k AS (SELECT x, y, count(t.src) AS k FROM g LEFT JOIN t ON cell_row = x AND cell_column = y GROUP BY x, y) SELECT min(k) AS least, max(k) AS greatest, round(avg(k), 6) AS mean, median(k)::DOUBLE AS median, round(stddev_pop(k), 6) AS deviation FROM k",
         "log_stats": "SELECT event_type AS run, count(*) AS rounds, round(median(v), 4) AS median, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS deviation, round(sum(v), 4) AS total FROM (SELECT event_type, round(abs(value), 3)::DOUBLE AS v FROM events) GROUP BY event_type",
         "disk_throughput": "WITH s AS (SELECT l_linenumber AS device, l_orderkey AS sample, max(l_quantity::BIGINT) AS counter FROM lineitem GROUP BY ALL) SELECT sample, sum(d)::BIGINT AS amount FROM (SELECT sample, counter - lag(counter) OVER (PARTITION BY device ORDER BY sample) AS d FROM s) WHERE d IS NOT NULL GROUP BY sample",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.arith import is_close, nearly_equal
+from graphloom.operators.ranks import order_values
 
 
 def compare_results(a: DataFrame, b: DataFrame, keys: list[str], value: str = "value", digits: int | None = 4, relative: float = 1e-4) -> DataFrame:
@@ -35,13 +36,15 @@ def distinct_vertices(edges: DataFrame) -> DataFrame:
 def distribution_stats(rows: DataFrame, value: Column) -> DataFrame:
     """Least, greatest, mean, population deviation, median."""
     v = rows.select(value.cast("double").alias("v"))
-    return v.agg(F.min("v").alias("least"), F.max("v").alias("greatest"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("deviation"), F.median("v").alias("median"))
+    stats = v.agg(F.min("v").alias("least"), F.max("v").alias("greatest"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("deviation"))
+    median = order_values(v, [], F.col("v"), [0.5]).select(F.col("value").alias("median"))
+    return stats.join(F.broadcast(median), F.lit(True), "left")  # one row each
 
 
 def percentiles(rows: DataFrame, value: Column, at: tuple[int, ...] = tuple(range(10, 100, 10))) -> DataFrame:
     """(p, value) for each percentage, interpolated."""
-    found = rows.agg(F.percentile(value, [p / 100 for p in at]).alias("q"))
-    return found.select(F.explode(F.arrays_zip(F.array(*map(F.lit, at)).alias("p"), F.col("q").alias("v"))).alias("z")).select(F.col("z.p").alias("p"), F.col("z.v").alias("value"))
+    found = order_values(rows, [], value, [p / 100 for p in at])
+    return found.select(F.round(F.col("p") * 100).cast("int").alias("p"), "value")
 
 
 def grid_density(edges: DataFrame, n: int, side: int) -> DataFrame:
@@ -72,7 +75,9 @@ def log_stats(lines: DataFrame, column: str = "line", run: str = "run") -> DataF
     """(run, rounds, median, mean, deviation, total) of the milliseconds in round-time lines."""
     ms = F.regexp_extract(column, r"Round Time for iteration \d+ ([0-9.]+)msec", 1)
     timed = lines.where(ms != "").select(run, ms.cast("double").alias("ms"))
-    return timed.groupBy(run).agg(F.count("*").alias("rounds"), F.median("ms").alias("median"), F.avg("ms").alias("mean"), F.stddev_pop("ms").alias("deviation"), F.sum("ms").alias("total"))
+    medians = order_values(timed, [run], F.col("ms"), [0.5]).select(F.col(run).alias("_run"), F.col("value").alias("median"))
+    stats = timed.groupBy(run).agg(F.count("*").alias("rounds"), F.avg("ms").alias("mean"), F.stddev_pop("ms").alias("deviation"), F.sum("ms").alias("total"))
+    return stats.join(medians, F.col(run).eqNullSafe(F.col("_run"))).select(run, "rounds", "median", "mean", "deviation", "total")
 
 
 def disk_throughput(samples: DataFrame, blocks: int = 1024) -> DataFrame:

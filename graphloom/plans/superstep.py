@@ -215,7 +215,10 @@ def _rounds(graph, program, max_rounds, on_round, checkpoint, split, vertices, h
             out.state, out.rounds, out.log = state, 1, [(number, None, (time.time() - began) * 1000)]
             return out
         seen = Observation(f"{program.name}-{number}")
-        watched = state.observe(seen, F.count_if("active").alias("active"), F.collect_set(F.when(F.col("active"), stretch)).alias("stretches"), due.alias("due"))
+        counts = [F.count_if("active").alias("active")]
+        if program.frontier:
+            counts += [F.collect_set(F.when(F.col("active"), stretch)).alias("stretches"), due.alias("due")]
+        watched = state.observe(seen, *counts)
         if checkpoint:
             keep_round(watched, checkpoint, program.name, number)
             state = dealt(resume(spark, checkpoint, program.name)[1])
@@ -226,7 +229,8 @@ def _rounds(graph, program, max_rounds, on_round, checkpoint, split, vertices, h
             state = folder.checkpoint(watched)
         if quiet:
             out.counts.append((number, to_send, graph.n, False))
-        active, to_send, stretches = seen.get["active"], seen.get["due"], list(seen.get["stretches"] or [])
+        found = seen.get
+        active, to_send, stretches = found["active"], found.get("due"), list(found.get("stretches") or [])
         if on_round:
             on_round(number, state)
         out.rounds = number + 1
