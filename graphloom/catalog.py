@@ -273,6 +273,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bfs_deep": lambda s, d: _values(programs.bfs(jump_graph(s, d), START)),
         "bfs_sparse": _late,
         "bfs_tiles": _over_tiles,
+        "round_counters": lambda s, d: programs.bfs(jump_graph(s, d), START).metrics(s).drop("milliseconds"),
         "bfs_bitmaps": lambda s, d: _values(frontiers.bfs_bitmaps(cust(s, d), START)),
         "bfs_bitmaps_deep": lambda s, d: _values(frontiers.bfs_bitmaps(jump_graph(s, d), START)),
         "sssp_buckets": lambda s, d: _rounded(_values(programs.sssp_buckets(jump_graph(s, d), START)), "value"),
@@ -361,6 +362,8 @@ def oracle_sql() -> dict[str, str]:
     beliefs = _with(more=", q AS (SELECT id, (id % 9 + 1) / 10.0 AS q0 FROM v), m AS MATERIALIZED (SELECT id, q0, coalesce(w, 0) * q0 AS m0, coalesce(w, 0) * (1 - q0) AS m1 FROM q LEFT JOIN (SELECT tgt, sum(weight) AS w FROM e GROUP BY tgt) ON tgt = id), b AS (SELECT q.id, ln(q0) + coalesce(x0, 0) AS a0, ln(1 - q0) + coalesce(x1, 0) AS a1 FROM q LEFT JOIN (SELECT tgt, sum(ln(m0)) AS x0, sum(ln(m1)) AS x1 FROM e JOIN m ON m.id = src GROUP BY tgt) ON tgt = q.id)") + "SELECT id, round(1 / (1 + exp(a1 - a0)), 6) AS belief0, round(1 / (1 + exp(a0 - a1)), 6) AS belief1 FROM b"
     return {
         "bfs_tiles": bfs_sparse,
+        "round_counters": bfs_deep.split("SELECT id, x AS value")[0]
+        + "SELECT k AS round, (SELECT count(*) FROM r WHERE x = k + 1) AS active, (SELECT count(*) FROM e JOIN r ON r.v = e.src WHERE r.x = k) AS messages, (SELECT count(*) FROM r WHERE x = k + 1) AS written FROM (SELECT DISTINCT x AS k FROM r)",
         "bfs_bitmaps": bfs,
         "bfs_bitmaps_deep": bfs_deep,
         "sssp_buckets": sssp,

@@ -41,6 +41,7 @@ Columns = dict[str, Column]
 SPLIT = 1_000_000
 ROWS_A_TASK = 100_000  # of edges and vertices, unless that makes more tasks than shuffle partitions
 NARROW = 250_000  # senders and messages of a round that are broadcast: some ten megabytes
+ROUND_PROPERTY = "graphloom.round"  # of the jobs of a round: program and number, as ``sources.event_log`` finds it in Spark's log
 STRETCHES, RANGES = 1024, 32  # vertex ids are in that many stretches; a round reads that many ranges of them
 COMBINE: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "min": F.min, "max": F.max, "product": F.product, "count": F.count, "any": F.bool_or, "all": F.bool_and}
 
@@ -175,6 +176,7 @@ def _rounds(graph, program, max_rounds, on_round, checkpoint, split, vertices, h
         active, to_send = state.agg(F.count_if("active"), due).first()
     for number in count(start) if max_rounds is None else range(start, max_rounds):
         began = time.time()
+        spark.sparkContext.setLocalProperty(ROUND_PROPERTY, f"{program.name}-{number}")
         if quiet and max(active, to_send) <= narrow:
             if changes is None:
                 parts = Stretches(graph.n, rows)
@@ -237,6 +239,7 @@ def _rounds(graph, program, max_rounds, on_round, checkpoint, split, vertices, h
         out.log.append((number, active, (time.time() - began) * 1000))
         if program.frontier and active == 0:
             break
+    spark.sparkContext.setLocalProperty(ROUND_PROPERTY, None)
     if changes is not None:
         state = changes.current()
     if store is not None:
