@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import arith, hashing
 from graphloom.graph import Graph, decode_ids, encode_ids
-from graphloom.operators import analysis, components, frontiers, programs, ranks, tiling
+from graphloom.operators import analysis, cells, components, frontiers, programs, ranks, tiling
 from graphloom.plans.delta import TileStore
 from graphloom.plans.storage import place
 from graphloom.plans.superstep import run
@@ -294,6 +294,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "spmv_source": lambda s, d: programs.spmv(cust(s, d), "source"),
         "spmv_weighted": lambda s, d: _rounded(programs.spmv(supplier_graph(s, d), "source", weighted=True), "y"),
         "triangles": lambda s, d: programs.triangle_count(cust(s, d)),
+        "triangle_cells": lambda s, d: cells.triangle_cells(cust(s, d), edges_a_task=20_000),
         "triangles_per_vertex": lambda s, d: programs.triangles_per_vertex(cust(s, d)),
         "wedges": lambda s, d: programs.wedges_per_vertex(cust(s, d)),
         "triangles_minhash": lambda s, d: _rounded(programs.triangles_minhash(cust(s, d)), "estimate"),
@@ -402,6 +403,7 @@ def oracle_sql() -> dict[str, str]:
         "spmv_source": e + spmv.format(x="src"),
         "spmv_weighted": f"WITH e AS ({_SP}), v AS (SELECT range AS id FROM range({sp_n})) SELECT id, round(coalesce(y, 0), 6)::DOUBLE AS y FROM v LEFT JOIN (SELECT tgt, sum(weight * src) AS y FROM e GROUP BY tgt) m ON m.tgt = id",
         "triangles": _with(more=tri) + "SELECT count(*) AS triangles FROM t",
+        "triangle_cells": _with(more=tri) + "SELECT a, b, c FROM t",
         "triangles_per_vertex": _with(more=tri) + "SELECT id, coalesce(k, 0) AS triangles FROM v LEFT JOIN (SELECT x, count(*) AS k FROM (SELECT a AS x FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY x) ON x = id",
         "wedges": _with(more=f", p AS MATERIALIZED ({_PAIRS})") + "SELECT id, coalesce(d * (d - 1) // 2, 0) AS wedges FROM v LEFT JOIN (SELECT x, count(*) AS d FROM (SELECT a AS x FROM p UNION ALL SELECT b FROM p) GROUP BY x) ON x = id",
         "triangles_minhash": _minhash_sql(),
