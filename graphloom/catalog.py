@@ -44,12 +44,12 @@ def jump_graph(spark: SparkSession, sf_dir: str) -> Graph:
     jumps = F.array(F.col("o_custkey"), F.floor("o_totalprice").cast("long"))
     ends = orders.select(F.col("o_orderkey").alias("src"), (F.col("o_totalprice") / 1000).alias("weight"), F.explode(jumps).alias("jump"))
     edges = ends.select("src", (F.col("src") + 1 + F.col("jump") % most).alias("tgt"), "weight")
-    return Graph(edges.where(F.col("tgt") < n), n)
+    return Graph(edges.where(F.col("tgt") < n), n).checked()
 
 
 def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
     customers, orders = _table(spark, sf_dir, "customer").count(), _table(spark, sf_dir, "orders")
-    return Graph(orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + customers).alias("tgt")), customers + orders.count())
+    return Graph(orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + customers).alias("tgt")), customers + orders.count()).checked()
 
 
 def supplier_graph(spark: SparkSession, sf_dir: str) -> Graph:
@@ -249,10 +249,10 @@ def _rmat_sql() -> str:
         FROM (SELECT *, {share} AS x FROM ({drawn}))) SELECT src, tgt FROM r WHERE half = 0"""
 
 
-def _hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles to read when only the vertices below 64 are active."""
-    index = tiling.vertex_tiles(_tiles(spark, sf_dir))
-    return tiling.active_tiles(spark.range(64), index)
+def _reached_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles to read for the vertices within two hops of the start."""
+    reached = run(customer_graph(spark, sf_dir), programs.bfs_program(START), 2).state.where("value is not null")
+    return tiling.active_tiles(reached, tiling.vertex_tiles(_tiles(spark, sf_dir)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -303,7 +303,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kmeans_assign": lambda s, d: _table(s, d, "customer").select("c_custkey", programs.nearest(F.col("c_acctbal"), [0.0, 2500.0, 5000.0, 7500.0]).alias("k")),
         "kmeans_3": _kmeans,
         "active_sources": lambda s, d: _values(run(cust(s, d), programs.bfs_program(START), 2)).agg(F.count("value").alias("reached")),
-        "active_tiles": _hubs,
+        "active_tiles": _reached_tiles,
         "grid_cells": lambda s, d: _tiles(s, d).groupBy("cell_row", "cell_column").agg(F.count("*").alias("edges")),
         "stripe_partition": lambda s, d: cust(s, d).degrees().groupBy(tiling.stripe_partition(F.col("id"), 4, 128).alias("part")).agg(F.count("*").alias("vertices")),
         "hilbert_index": lambda s, d: _tiles(s, d).select("cell_row", "cell_column", "tile_id").distinct(),
@@ -412,7 +412,7 @@ def oracle_sql() -> dict[str, str]:
         "kmeans_assign": "WITH c AS (SELECT * FROM (VALUES (0, 0.0), (1, 2500.0), (2, 5000.0), (3, 7500.0)) t(k, c)) SELECT c_custkey, k FROM (" + _assign_sql("c_acctbal", "c") + ")",
         "kmeans_3": _kmeans_sql(3),
         "active_sources": _with(more=f", r AS (SELECT {START}::BIGINT AS v, 0::BIGINT AS x UNION SELECT e.tgt, r.x + 1 FROM r JOIN e ON e.src = r.v WHERE r.x < 2)") + "SELECT count(DISTINCT v) AS reached FROM r",
-        "active_tiles": tiles + "SELECT DISTINCT tile_id FROM t WHERE src < 64",
+        "active_tiles": _with(more=f", t AS MATERIALIZED ({_tile_sql()}), r AS (SELECT {START}::BIGINT AS v, 0::BIGINT AS x UNION SELECT e.tgt, r.x + 1 FROM r JOIN e ON e.src = r.v WHERE r.x < 2)") + "SELECT DISTINCT tile_id FROM t WHERE src IN (SELECT v FROM r)",
         "grid_cells": tiles + "SELECT cell_row, cell_column, count(*) AS edges FROM t GROUP BY ALL",
         "stripe_partition": f"SELECT (id // 128) % 4 AS part, count(*) AS vertices FROM ({_IDS}) GROUP BY part",
         "hilbert_index": tiles + "SELECT DISTINCT cell_row, cell_column, tile_id FROM t",

@@ -1,4 +1,4 @@
-"""A directed multigraph: edges(src, tgt[, weight]) over vertices 0 .. n-1. Repeated edges and loops count."""
+"""A directed multigraph: edges(src, tgt[, weight]) over vertices 0 .. n-1. Repeated edges and loops count; an edge with a null end or one outside is none."""
 
 from __future__ import annotations
 
@@ -34,7 +34,8 @@ class Graph:
 
     def degrees(self) -> DataFrame:
         """(id, in_degree, out_degree) of every vertex, isolated ones too; repeated edges count."""
-        ends = self.edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("tgt").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select("e.*")
+        inside = F.col("src").between(0, self.n - 1) & F.col("tgt").between(0, self.n - 1)
+        ends = self.edges.where(inside).select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("tgt").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select("e.*")
         counted = ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
         ids = self.edges.sparkSession.range(self.n)
         zero = F.lit(0).cast("long")

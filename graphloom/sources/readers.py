@@ -13,7 +13,10 @@ DELIMITERS = {"tab": "\t", "space": " ", "comma": ",", "semicolon": ";"}
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str = "tab", weighted: bool = False) -> DataFrame:
-    """edges(src, tgt[, weight]) from text with one edge a line; further columns are ignored, there is no header."""
+    """edges(src, tgt[, weight]) from text with one edge a line; further columns are ignored, there is no header.
+
+    What is no number in a line is null; an edge with a null end is none to any operator of the library.
+    """
     schema = "src long, tgt long" + (", weight double" if weighted else "")
     return spark.read.schema(schema).csv(path, sep=DELIMITERS.get(delimiter, delimiter), enforceSchema=True, mode="PERMISSIVE")
 
@@ -26,7 +29,8 @@ def read_binary(spark: SparkSession, path: str, edges_per_row: int = 1 << 20, wh
     """edges(src, tgt) from files of little-endian 32-bit pairs.
 
     A file of up to ``whole_file`` bytes is one task's; larger ones are split as Hadoop splits fixed-length records, a
-    record being a pair.
+    record being a pair. Paths are any that Spark reads; where ``pyarrow.fs`` knows them too, ``edge_files`` needs no row
+    for each pair.
     """
 
     def edges(pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -46,8 +50,8 @@ def read_binary(spark: SparkSession, path: str, edges_per_row: int = 1 << 20, wh
     files = spark.read.format("binaryFile").load(path)
     out = files.where(F.col("length") <= whole_file).select("content").mapInArrow(split, "src long, tgt long")
     large = [r["path"] for r in files.where(F.col("length") > whole_file).select("path").collect()]
-    if large:
-        records = spark.sparkContext.binaryRecords(",".join(large), PAIR_BYTES).map(lambda r: (r,))
+    for one in large:
+        records = spark.sparkContext.binaryRecords(one.replace(",", "\\,"), PAIR_BYTES).map(lambda r: (r,))
         out = out.union(spark.createDataFrame(records, "pair binary").mapInArrow(join, "src long, tgt long"))
     return out
 
