@@ -102,6 +102,14 @@ def _latest(rows: DataFrame, order: str = "_round") -> DataFrame:
     return rows.groupBy("id").agg(F.max_by(F.struct(*rest), order).alias("_z"), F.max(order).alias(order)).select("id", *[F.col(f"_z.{c}").alias(c) for c in rest], order)
 
 
+def changed_by(live: Column, new: dict[str, Column]) -> Column:
+    """Whether a vertex sends next round or one of its ``new`` values differs from the old."""
+    moved = live
+    for name, value in new.items():
+        moved = moved | ~value.eqNullSafe(F.col(name))
+    return moved
+
+
 class Changes:
     """The state of all vertices as a table and a log of changed rows; ``first`` is the round that comes next."""
 
@@ -141,9 +149,7 @@ class Changes:
                 old = _latest(old.union(beside(self._log(), F.col("id") == F.col("tgt"), F.col("_round"))))
             new = step.apply()
             live = new.pop("active") if "active" in new else step.active()
-            moved = live
-            for name, value in new.items():
-                moved = moved | ~value.eqNullSafe(F.col(name))
+            moved = changed_by(live, new)
             kept = [F.col(c) for c in names if c not in new]
             changed = old.where(moved).select(*kept, *[c.alias(k) for k, c in new.items()], live.alias("active"), (F.col("m__last") + 1).alias("_round")).select(*self.columns, "_round")
             out_edges = F.coalesce(F.sum(F.when(F.col("active"), F.col("out_degree"))), F.lit(0)).alias("messages")

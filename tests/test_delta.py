@@ -82,6 +82,15 @@ def test_a_round_writes_what_changes(spark):
     assert [r.written for r in done.metrics(spark).orderBy("round").collect()] == [w for _, _, w, _ in done.counts]
 
 
+@pytest.mark.parametrize("narrow", [0, 12, 250_000])
+def test_counters_do_not_depend_on_the_kind_of_round(spark, narrow):
+    edges, _ = some_edges(3, 60, 110)
+    start = edges[0][0]
+    done, by_hand = programs.bfs(graph(spark, edges, 60), start, narrow=narrow), hops(edges, 60, start)
+    rows = [(r.round, r.active, r.messages, r.written) for r in done.metrics(spark).orderBy("round").collect()]
+    assert rows == [(k, by_hand.count(k + 1), sum(by_hand[s] == k for s, _ in edges), by_hand.count(k + 1)) for k in range(max(x for x in by_hand if x is not None) + 1)]
+
+
 def test_a_bound_ends_a_run(spark):
     edges = [(k, k + 1) for k in range(9)]
     done = run(graph(spark, edges, 10), programs.bfs_program(0), 4)
