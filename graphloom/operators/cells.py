@@ -4,8 +4,12 @@ Each vertex has one of p colours by hash. The edges between two colours are a ce
 of a triangular grid, and a triangle lies in the three cells of its corners'
 colours. A task gets the cells of one triple of colours, about 6 / p^2 of all
 edges and of each hub's 2 / p, and finds its triangles there by itself; so an
-edge is sent p times, whatever the degrees are, where a plan by wedges sends the
-square of each degree.
+edge is sent p times at most, whatever the degrees are, where a plan by wedges
+sends the square of each degree.
+
+With more than ``FEW`` colours each vertex also has the set of its neighbours'
+colours, and an edge is sent only to the triples whose third colour both of its
+ends have a neighbour of: some d * d / p of them for ends of degree d.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from graphloom.operators.programs import undirected
 from graphloom.plans.storage import cut
 
 EDGES_A_TASK, WEDGES = 1_000_000, 1 << 21
+FEW, WORD = 16, 63  # colours without sets; colours in a long of a set
 
 
 def _local(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -53,19 +58,44 @@ def _local(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarra
         at = end
 
 
+def _with_sets(pairs: DataFrame, p: int, words: int) -> DataFrame:
+    """(a, b, w0, w1, ...): the colours that both ends have neighbours of, a bit each; edges without any are left out."""
+
+    def colour(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            a, b = (batch.column(c).to_numpy() for c in ("a", "b"))
+            seen = (mix64(np.concatenate([b, a])) % np.uint64(p)).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"v": np.concatenate([a, b]), "word": (seen // WORD).astype(np.int32), "bit": np.int64(1) << (seen % WORD)})
+
+    ends = pairs.mapInArrow(colour, "v long, word int, bit long")
+    sets = cut(ends.groupBy("v").agg(*[F.coalesce(F.bit_or(F.when(F.col("word") == k, F.col("bit"))), F.lit(0)).alias(f"w{k}") for k in range(words)]), "sets")
+    for end in "ab":
+        pairs = pairs.join(sets.select(F.col("v").alias(end), *[F.col(f"w{k}").alias(f"{end}{k}") for k in range(words)]), end)
+    shared = pairs.select("a", "b", *[F.col(f"a{k}").bitwiseAND(F.col(f"b{k}")).alias(f"w{k}") for k in range(words)])
+    return shared.where(" or ".join(f"w{k} != 0" for k in range(words)))
+
+
 def triangle_cells(graph: Graph, edges_a_task: int = EDGES_A_TASK, colours: int | None = None) -> DataFrame:
     """(a, b, c), a < b < c: each triangle of distinct vertices once; loops, repeated edges and directions don't matter."""
     pairs = cut(undirected(graph).where("a is not null and b is not null"), "pairs")
     p = colours or max(1, math.ceil(math.sqrt(6 * pairs.count() / edges_a_task)))
 
+    words = -(-p // WORD) if p > FEW else 0
+    if words:
+        pairs = _with_sets(pairs, p, words)
+
     def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        third = np.arange(p)
         for batch in it:
             a, b = (batch.column(c).to_numpy() for c in ("a", "b"))
-            x, y = (np.repeat((mix64(c) % np.uint64(p)).astype(np.int64), p) for c in (a, b))
-            colours = np.sort(np.stack([x, y, np.tile(third, len(a))]), axis=0)
+            if words:
+                shared = np.stack([batch.column(f"w{k}").to_numpy() for k in range(words)])
+                edge, third = np.nonzero((shared[np.arange(p) // WORD].T >> (np.arange(p) % WORD)) & 1)
+            else:
+                edge, third = np.repeat(np.arange(len(a)), p), np.tile(np.arange(p), len(a))
+            x, y = ((mix64(c) % np.uint64(p)).astype(np.int64)[edge] for c in (a, b))
+            colours = np.sort(np.stack([x, y, third]), axis=0)
             cell = (colours[0] * p + colours[1]) * p + colours[2]
-            yield pa.RecordBatch.from_pydict({"cell": cell, "a": np.repeat(a, p), "b": np.repeat(b, p)})
+            yield pa.RecordBatch.from_pydict({"cell": cell, "a": a[edge], "b": b[edge]})
 
     def find(table: pa.Table) -> pa.Table:
         cell = table.column("cell")[0].as_py()
