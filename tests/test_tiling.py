@@ -31,6 +31,18 @@ def test_hilbert_inverse(spark, n):
     assert placed.select("d").distinct().count() == n * n
 
 
+@pytest.mark.parametrize("n", [4096, 8192, 1 << 16])
+def test_hilbert_of_large_grids(spark, n):
+    """Cells that differ in the upper bits alone have places of their own, and steps along the curve are to a neighbour."""
+    half = n // 2
+    cells = spark.createDataFrame([(a + dx, b + dy) for a in (0, 5, 77) for b in (0, 3, half - 1) for dx in (0, half) for dy in (0, half)], "x long, y long")
+    placed = cells.withColumn("d", tiling.hilbert_xy2d(F.col("x"), F.col("y"), n))
+    x, y = tiling.hilbert_d2xy(F.col("d"), n)
+    assert placed.where((x != F.col("x")) | (y != F.col("y"))).count() == 0 and placed.select("d").distinct().count() == 36
+    nx, ny = tiling.hilbert_d2xy(F.col("d") + 1, n)
+    assert placed.where(F.col("d") + 1 < n * n).where(F.abs(nx - F.col("x")) + F.abs(ny - F.col("y")) != 1).count() == 0
+
+
 def test_rle_offsets():
     runs = [2, 1, 0, 2]
     expected = {0: (0, 0), 1: (0, 1), 2: (1, 0), 3: (2, 0), 65537: (2, 65534), 65538: (2, 65535), 65539: (3, 0), 65540: (3, 1)}
