@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -350,13 +351,24 @@ def best_partners(blocks: DataFrame, stripes: Stripes) -> DataFrame:
     return blocks.select("codes", "counts", "best").mapInArrow(run, "a long, b long, count long")
 
 
+class Turns:
+    """Deals each stripe's pieces over its shares by turns; ``first``, one of its own for every task, as a task may have a single piece of a stripe."""
+
+    def __init__(self, shares: dict[int, int], first: int):
+        self.shares, self.first, self.taken = shares, first, {}
+
+    def share(self, stripe: int) -> int:
+        turn = self.taken[stripe] = self.taken.get(stripe, self.first) + 1
+        return turn % self.shares.get(stripe, 1)
+
+
 def scored(rows: DataFrame, blocks: DataFrame, stripes: Stripes, links_a_task: int = LINKS_A_TASK) -> DataFrame:
     """(_row, n_best, count_sum) of ``rows``, (_row, codes, links), that have links."""
     shares = {r["stripe"]: -(-r["entries"] // links_a_task) for r in blocks.select("stripe", "entries").collect()}  # a number a stripe
     dealt = {k: n for k, n in shares.items() if n > 1}
 
     def strip(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
+        turns = Turns(dealt, TaskContext.get().partitionId())
         for batch in batches(it, "codes", 8 * BATCH_BYTES):
             codes, links = _codes(batch.column("codes")), _codes(batch.column("links"), "<u4")
             sizes = [len(c) for c in codes]
@@ -367,12 +379,11 @@ def scored(rows: DataFrame, blocks: DataFrame, stripes: Stripes, links_a_task: i
             names, cuts = stripes.cut(flat)
             out: dict[str, list] = {k: [] for k in ("stripe", "share", "rows", "sizes", "codes", "links")}
             for name, a, b in zip(names, cuts, cuts[1:]):
-                step = links_a_task // 8 if name in dealt else b - a
-                for lo in range(a, b, max(1, step)):
+                step = max(1, links_a_task // 8) if name in dealt else b - a
+                for lo in range(a, b, step):
                     hi = min(b, lo + step)
                     first = np.flatnonzero(np.diff(row[lo:hi], prepend=-1))
-                    turn += 1
-                    values = (name, turn % dealt.get(name, 1), _binary(row[lo:hi][first], "<i8"), _binary(np.diff(np.append(first, hi - lo)), "<u4"), _binary(flat[lo:hi] - name * stripes.block, "<u4"), _binary(n[lo:hi], "<u4"))
+                    values = (name, turns.share(name), _binary(row[lo:hi][first], "<i8"), _binary(np.diff(np.append(first, hi - lo)), "<u4"), _binary(flat[lo:hi] - name * stripes.block, "<u4"), _binary(n[lo:hi], "<u4"))
                     for k, v in zip(out, values):
                         out[k].append(v)
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
@@ -384,7 +395,7 @@ def scored(rows: DataFrame, blocks: DataFrame, stripes: Stripes, links_a_task: i
         for codes, n, top in zip(*[_codes(block.column(c)) for c in ("codes", "counts", "best")]):
             counts[codes - base] = n
             best[(codes - base) // stripes.right] = top
-        out: list[list[np.ndarray]] = [[], [], []]
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]  # a share may have no links
         for row, size, codes, links in zip(_codes(own.column("rows")), *[_codes(own.column(c), "<u4") for c in ("sizes", "codes", "links")]):
             first = np.cumsum(size, dtype=np.int64) - size
             n = links.astype(np.int64)
@@ -396,9 +407,7 @@ def scored(rows: DataFrame, blocks: DataFrame, stripes: Stripes, links_a_task: i
 
     width = shuffle_width(rows.sparkSession)
     links = rows.where(F.octet_length("codes") > 0).mapInArrow(strip, "stripe int, share int, rows binary, sizes binary, codes binary, links binary")
-    many = F.lit(1)
-    for k, n in dealt.items():
-        many = F.when(F.col("stripe") == k, F.lit(n)).otherwise(many)
+    many = F.greatest(F.ceil(F.col("entries") / links_a_task), F.lit(1)).cast("int")
     copies = blocks.select("stripe", F.explode(F.sequence(F.lit(0), many - 1)).alias("share"), "codes", "counts", "best")
     by = lambda df: df.repartition(width, "stripe", "share").groupBy("stripe", "share")
     sums = by(links).cogroup(by(copies)).applyInArrow(meet, "_row long, n_best long, count_sum long")

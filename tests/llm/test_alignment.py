@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from graphloom.llm import alignment
+from graphloom.llm.frames import arrow_rows, written
 from tests.llm.cases import ROWS, documents, empty
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -94,6 +95,26 @@ def test_against_the_libraries(spark, wanted, block_bytes, links_a_task):
     assert {r.doc_id for r in got if r.n_a == 0} == {0, 1, 21}
 
 
+def test_one_piece_of_each_stripe_a_batch(spark):
+    """As in large tables, of which a batch has all stripes: the pieces of a stripe go to all of its shares."""
+    rows = [(k, "the cat") for k in range(12)]
+    with arrow_rows(spark, 1):
+        df = alignment.token_alignment(documents(spark, [(*r, "en", "a") for r in rows]).coalesce(1), LEFT, RIGHT, links_a_task=6, with_groups=True)
+        got = sorted(tuple(r[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")) for r in df.collect())
+    assert got == sorted(by_hand(rows)[0])
+    for tasks, pieces in ((12, 1), (1, 12), (4, 3)):
+        all_turns = [alignment.Turns({5: 3, 7: 2}, k) for k in range(tasks)]
+        dealt = collections.Counter((stripe, turns.share(stripe)) for turns in all_turns for _ in range(pieces) for stripe in (5, 7, 9))
+        assert dealt == {(5, 0): 4, (5, 1): 4, (5, 2): 4, (7, 0): 6, (7, 1): 6, (9, 0): 12}
+
+
+def test_shares_without_links(spark):
+    stripes = alignment.stripes_of(LEFT, RIGHT)
+    rows = written(alignment.aligned(documents(spark, [(k, "the cat", "en", "a") for k in range(12)]), LEFT, RIGHT).selectExpr("doc_id as _row", "codes", "links"))
+    sums = alignment.scored(rows.where("_row = 3"), written(alignment.counted(rows, stripes)), stripes, links_a_task=2)
+    assert [tuple(r) for r in sums.collect()] == [(3, 2, 24)]
+
+
 def test_best_partners(spark, wanted):
     stripes = alignment.stripes_of(LEFT, RIGHT)
     blocks = alignment.counted(alignment.aligned(documents(spark, ROWS + MORE), LEFT, RIGHT), stripes)
