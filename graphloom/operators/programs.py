@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import time
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
-from graphloom.plans.delta import Changes, Stretches, StretchStore
-from graphloom.plans.storage import cut, settings
-from graphloom.plans.superstep import COMBINE, NARROW, ROWS_A_TASK, Run, VertexProgram, run
+from graphloom.plans.storage import cut
+from graphloom.plans.superstep import NARROW, Run, VertexProgram, run
 
 DAMPING = 0.85
 
@@ -79,58 +78,17 @@ def sssp(graph: Graph, start: int = 100, max_rounds: int | None = None, **option
 
 
 def sssp_buckets(graph: Graph, start: int = 100, delta: float | None = None, narrow: int = NARROW) -> Run:
-    """``sssp`` by delta-stepping: vertices send in the order of their distance, a bucket of ``delta`` at a time.
+    """``sssp`` by delta-stepping: vertices send in the order of their distance, by buckets of ``delta``.
 
-    A bucket's vertices send along edges lighter than ``delta`` until none of them changes, then once along the others:
-    by then their distances are final. So a vertex that gets a shorter path later has mostly not sent yet. ``delta`` is
-    twice the mean weight unless given. Rounds work on the stored stretches and the log of ``plans.delta``; a bucket begins with
-    the least distance of the log that has not been sent. ``Run.counts`` has the messages and written rows of each round.
+    A bucket's vertices send until few are left that changed; these wait for the next one (``superstep.Turns``). So a
+    vertex that gets a shorter path later has mostly not sent yet. ``delta`` is twice the mean weight unless given.
+    ``Run.counts`` has the messages and changed rows of each round.
     """
     _inside(graph, start)
-    spark = graph.edges.sparkSession
-    weights = graph.edges.agg(F.count("*").alias("n"), F.min("weight").alias("least"), F.max("weight").alias("most"), F.avg("weight").alias("mean")).first()
+    weights = graph.edges.agg(F.min("weight").alias("least"), F.avg("weight").alias("mean")).first()
     if (weights["least"] or 0) < 0:
         raise ValueError("negative weights")
-    delta = delta or 2 * (weights["mean"] or 0.5)
-    program, rows = sssp_program(start), graph.n + weights["n"]
-    width = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK)))
-    out, number = Run(None, settled=True), 0
-    with settings(spark, {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(width)}):
-        vertices = cut(graph.degrees(), "degrees").select("id", "in_degree", "out_degree", *[c.alias(k) for k, c in program.init().items()])
-        parts = Stretches(graph.n, rows)
-        store = StretchStore(graph.edges.select("src", "tgt", "weight"), parts, width)
-        changes = Changes(vertices, store, parts, width)
-        changes.add(vertices.where("active"))
-        static = ["id", "in_degree", "out_degree"]
-
-        def round(senders: DataFrame, along: Column, small: bool, bound: float) -> int:
-            nonlocal number
-            began, inside = time.time(), F.col("value") < bound
-            counted = changes.round(program, number, 1 if small else width, COMBINE, senders, along, small, {"inside": F.count_if(inside)})
-            out.counts.append((number, counted["sent"], counted["written"], small))
-            out.log.append((number, counted["active"], (time.time() - began) * 1000))
-            number += 1
-            return counted["inside"]
-
-        low = 0.0
-        while True:
-            best = changes.log().groupBy(*static).agg(F.min("value").alias("value")).withColumn("active", F.lit(True))
-            left = best.where(F.col("value") >= low).agg(F.min("value"), F.count("*"), F.sum("out_degree")).first()
-            if left[0] is None:
-                break
-            low = max(low, left[0] // delta * delta)
-            bound, small = low + delta, max(left[1], left[2]) <= narrow
-            settled = best.where((F.col("value") >= low) & (F.col("value") < bound))
-            inside = round(settled, F.col("weight") < delta, small, bound)
-            while inside:
-                inside = round(changes.front.where(F.col("value") < bound), F.col("weight") < delta, small, bound)
-            if weights["most"] is not None and weights["most"] >= delta:
-                best = changes.log().groupBy(*static).agg(F.min("value").alias("value")).withColumn("active", F.lit(True))
-                round(best.where((F.col("value") >= low) & (F.col("value") < bound)), F.col("weight") >= delta, small, bound)
-            low = bound
-        out.rounds, out.state = number, changes.current()
-        store.close()
-    return out
+    return run(graph, replace(sssp_program(start), order=("value", delta or 2 * (weights["mean"] or 0.5))), None, narrow=narrow)
 
 
 def cc_program() -> VertexProgram:

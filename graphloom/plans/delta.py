@@ -32,10 +32,6 @@ def _read(spark: SparkSession, schema: StructType, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def _hint(df: DataFrame, small: bool) -> DataFrame:
-    return F.broadcast(df) if small else df
-
-
 class Stretches:
     """Vertex ids cut into stretches of a power of two."""
 
@@ -58,10 +54,10 @@ class StretchStore:
         dealt.sortWithinPartitions("src").write.partitionBy("part").parquet(self.path)
         self.edges = _read(spark, StructType([*edges.schema.fields]).add("part", LongType()), self.path)
 
-    def sent(self, named: DataFrame, small: bool = True) -> DataFrame:
-        """The edges of ``named`` sources (columns s_<name>) beside their columns. A ``small`` frontier is broadcast."""
+    def sent(self, named: DataFrame) -> DataFrame:
+        """The edges of ``named`` sources (columns s_<name>) beside their columns."""
         named = named.where("s_id >= 0").withColumn("s_part", self.stretches.of(F.col("s_id")).cast("long"))
-        return self.edges.join(_hint(named, small), (F.col("part") == F.col("s_part")) & (F.col("src") == F.col("s_id")))
+        return self.edges.join(F.broadcast(named), (F.col("part") == F.col("s_part")) & (F.col("src") == F.col("s_id")))
 
     def all_edges(self) -> DataFrame:
         return self.edges.drop("part")
@@ -84,10 +80,10 @@ class TileStore:
         at = self.index.select(F.col("part").alias("i_part"), F.col("src").alias("i_src"), F.col("tile_id").alias("i_tile"), F.col("tile_bucket").alias("i_bucket"))
         return at.join(F.broadcast(named), (F.col("i_part") == F.col("s_part")) & (F.col("i_src") == F.col("s_id")))
 
-    def sent(self, named: DataFrame, small: bool = True) -> DataFrame:
+    def sent(self, named: DataFrame) -> DataFrame:
         found = self.active(named).where("i_tile >= 0")
         on = (F.col("tile_bucket") == F.col("i_bucket")) & (F.col("tile_id") == F.col("i_tile")) & (F.col("src") == F.col("s_id"))
-        return self.tiles.join(_hint(found, small), on)
+        return self.tiles.join(F.broadcast(found), on)
 
     def all_edges(self) -> DataFrame:
         return self.tiles.select("src", "tgt", *(["weight"] if "weight" in self.tiles.columns else []))
@@ -123,21 +119,19 @@ class Changes:
         self.front = self.base.where("active").drop("part").withColumn("_round", F.lit(self.begun))
         self.logs: list[tuple[int, str]] = []  # level, path
 
-    def round(self, step, number: int, parts: int, combine, senders: DataFrame | None = None, along: Column | None = None, small: bool = True, count: dict[str, Column] | None = None) -> dict:
+    def round(self, step, number: int, parts: int, combine, senders: DataFrame | None = None, count: dict[str, Column] | None = None) -> dict:
         """One round; what it counted: messages sent, rows written, active ones and their out-edges, and ``count`` over the rows written.
 
-        ``senders`` are rows of the state, by default those that the last round left active; ``along`` tells which edges
-        carry a message. A ``small`` round broadcasts its senders and combined messages; others are joined by shuffle.
+        ``senders`` are rows of the state, by default those that the last round left active.
         """
         with settings(self.spark, {"spark.sql.shuffle.partitions": str(parts)}):
             front = self.front if senders is None else senders.withColumn("_round", F.lit(number - 1))
             named = front.select(*[F.col(c).alias(f"s_{c}") for c in [*self.columns, "_round"]])
             messages, seen, heard = step.message(), Observation(f"changes-{number}"), Observation(f"sent-{number}")
-            sent = self.store.sent(named, small)
-            sent = (sent if along is None else sent.where(along)).select("tgt", F.col("s__round").alias("m__last"), *[c.alias(f"m_{k}") for k, c in messages.items()])
+            sent = self.store.sent(named).select("tgt", F.col("s__round").alias("m__last"), *[c.alias(f"m_{k}") for k, c in messages.items()])
             sent = sent.observe(heard, F.count("*").alias("sent"))
             met = sent.groupBy("tgt").agg(*[combine[kind](F.col(f"m_{k}")).alias(f"m_{k}") for k, kind in step.combine.items()], F.max("m__last").alias("m__last"))  # no literal, so that rounds share their compiled code
-            met = _hint(met.where("tgt >= 0").withColumn("m_part", self.stretches.of(F.col("tgt")).cast("long")), small)
+            met = F.broadcast(met.where("tgt >= 0").withColumn("m_part", self.stretches.of(F.col("tgt")).cast("long")))
             names = [c for c in self.columns if c != "active"]
             received = [f"m_{k}" for k in step.combine] + ["m__last"]
 
@@ -168,9 +162,9 @@ class Changes:
         rows.select(*self.columns, F.lit(self.begun).alias("_round")).write.parquet(path)
         self._keep(0, path)
 
-    def log(self) -> DataFrame:
-        """All rows of the log, older ones of an id too, with their ``_round``."""
-        return self._log()
+    def waiting(self, order: Column, sent: float) -> DataFrame:
+        """The rows of the log that have not been sent, if the last rounds sent those whose ``order`` was ``sent`` at most."""
+        return _latest(self._log()).where((order > sent) | (F.col("_round") == self.last)).select(*self.columns, "_round")
 
     def _log(self, paths: list[str] | None = None) -> DataFrame:
         return self.spark.read.schema(self.kind).parquet(*(paths or [path for _, path in self.logs]))

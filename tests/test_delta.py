@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
 from graphloom.operators import components, frontiers, programs, tiling
-from graphloom.plans import delta
+from graphloom.plans import delta, superstep
 from graphloom.plans.superstep import run
 
 
@@ -183,6 +183,31 @@ def test_buckets_send_less(spark):
     assert sum(m for _, m, _, _ in buckets.counts) < sum(m for _, m, _, _ in rounds.counts)
 
 
+@pytest.mark.parametrize("narrow", [0, 12, 250_000])
+def test_few_left_of_a_bucket_wait(spark, narrow):
+    """Many narrow buckets take little more rounds than a search by rounds, which takes 16, and held vertices outlast a change of the kind of round."""
+    rng = random.Random(4)
+    edges = [(v, v + 1 + rng.randrange(20)) for v in range(160) for _ in range(3)]
+    edges = [e for e in edges if e[1] < 160]
+    weights = [rng.randrange(1, 200) for _ in edges]
+    done = programs.sssp_buckets(graph(spark, edges, 160, weights), 0, 20.0, narrow)
+    assert values(done.state) == shortest(edges, weights, 160, 0) and done.settled
+    assert len(done.counts) < 32 and {kind for *_, kind in done.counts} == ({False} if narrow == 0 else {True, False} if narrow == 12 else {True})
+    assert sum(m for _, m, _, _ in done.counts) < 643  # those of the search by rounds
+
+
+def test_turns(spark):
+    turns = superstep.Turns(("value", 10.0), 4096)
+    turns.look(100, 0, [3.0, 14.0, 14.0, 57.0], 57.0)  # 4096 / 1024 are fewer than a quarter
+    assert (turns.bound, turns.held) == (10.0, True)
+    turns.look(100, 25, [9.0, 14.0, 14.0, 57.0], 57.0)
+    assert turns.bound == turns.sent == 10.0 and turns.held
+    turns.look(5, 1, [9.0, 14.0, 57.0, 57.0], 57.0)
+    assert (turns.sent, turns.bound, turns.held, turns.behind) == (10.0, 60.0, False, True)
+    turns.look(2, 0, [math.nan] * 4, math.nan)
+    assert math.isnan(turns.bound) and not turns.held
+
+
 def test_weak_components(spark):
     edges, _ = some_edges(11, 80, 70)
     labels, rounds = components.weak_components(graph(spark, edges, 80))
